@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, secret_scan, url_filter
+from . import byte_bpe, kmeans_tree, language_id, media, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +83,23 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text of documents, and the bytes that they decode to, as digests."""
     return byte_bpe.encode_digests(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_ann_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every embedding whose vec_id is divisible by 20."""
+    return kmeans_tree.nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every text of documents; learned from rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op3_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents as lossless WebP, read back."""
+    return media.media_digests(_table(spark, sf_dir, "documents"))
