@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, kmeans_tree, language_id, media, secret_scan, url_filter
+from . import byte_bpe, jaccard_join, kmeans_tree, language_id, media, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +103,27 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents as lossless WebP, read back."""
     return media.media_digests(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"), 3, jaccard_join.Threshold(90, 100))
+
+
+ORACLE["op4_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                          ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+reach(node, least) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.node WHERE r.least < l.b)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.least AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT node, min(least) AS least FROM reach GROUP BY node) m ON m.node = d.doc_id"""
