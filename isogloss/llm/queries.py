@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, kmeans_tree, language_id, media, secret_scan, url_filter
+from . import byte_bpe, jaccard_join, kmeans_tree, language_id, media, mixing, secret_scan, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -127,3 +127,21 @@ reach(node, least) AS (
   SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.node WHERE r.least < l.b)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.least AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT node, min(least) AS least FROM reach GROUP BY node) m ON m.node = d.doc_id"""
+
+
+@_query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of every text of documents."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+#: Tokens that op10_mixing wants of each domain, relative to what there is.
+MIX_WEIGHTS = {"toxic": 0.05, "quality0": 0.5, "quality1": 1.25}
+
+
+@_query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain, posteriors and fitted rate of every document."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    rated, _, _ = mixing.mix_sources(docs, labels, mixing.label_domain(), mixing.weighted(MIX_WEIGHTS))
+    return rated
