@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, kmeans_tree, language_id, media, mixing, secret_scan, token_counts, url_filter
+from . import byte_bpe, jaccard_join, kmeans_tree, language_id, media, mixing, secret_scan, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -145,3 +145,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     rated, _, _ = mixing.mix_sources(docs, labels, mixing.label_domain(), mixing.weighted(MIX_WEIGHTS))
     return rated
+
+
+@_query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents that repeat earlier strings of 100 bytes, removed."""
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
