@@ -1 +1,5 @@
-"""functions"""
+"""Column functions."""
+
+from .columns import file_stem, ground_distance, natural_key, not_a_number_to_null, path_part, round_half_even, zero_padded
+
+__all__ = ["file_stem", "ground_distance", "natural_key", "not_a_number_to_null", "path_part", "round_half_even", "zero_padded"]

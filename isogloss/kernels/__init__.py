@@ -1 +1 @@
-"""kernels"""
+"""Kernels in numpy that know nothing of Spark."""

@@ -1,4 +1,4 @@
-"""All queries of the library, and the SQL that gives the same rows."""
+"""All queries of the library over the driver's tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import matrix_queries, relational_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**matrix_queries.QUERIES, **relational_queries.QUERIES}
+ORACLE: dict[str, str] = {**matrix_queries.ORACLE, **relational_queries.ORACLE}

@@ -1 +1 @@
-"""sources"""
+"""Readers and writers of the library's files."""

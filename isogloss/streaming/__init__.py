@@ -1 +1,2 @@
-"""streaming"""
+"""The library's data model has batches only: matrices are computed from finished sets of recordings, and nothing
+that it computes has event times, windows or state, so there are no streaming operators."""
