@@ -152,3 +152,18 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of documents that repeat earlier strings of 100 bytes, removed."""
     found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+# Bytes as pairs of hex digits; a window that isn't the first of its string is a repeat.
+ORACLE["op7_suffix_dedup"] = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM docs)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1),
+runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM again)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run),
+edges AS (SELECT doc_id, b AS a FROM spans UNION ALL SELECT doc_id, 0 FROM docs),
+pieces AS (SELECT e.doc_id, e.a, coalesce((SELECT min(s.a) FROM spans s WHERE s.doc_id = e.doc_id AND s.a >= e.a), d.n) AS b FROM edges e JOIN docs d USING (doc_id)),
+kept AS (SELECT p.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM pieces p JOIN docs USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, n AS n_bytes, n - length(k) // 2 AS n_removed, (SELECT count(*) FROM spans s WHERE s.doc_id = d.doc_id) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM docs d JOIN kept USING (doc_id)"""

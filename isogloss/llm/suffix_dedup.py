@@ -241,28 +241,37 @@ def _ends(stretches: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield _merged(lo[a:b], hi[a:b]) if ok else (lo[:0], hi[:0])
 
 
+def _pieces(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Starts and ends (exclusive) of stretches in pieces of SEGMENT at most."""
+    for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+        for at in range(a, b + 1, SEGMENT):
+            yield at, min(at + SEGMENT, b + 1)
+
+
 def _pairs(texts: DataFrame, length: int, start: int) -> DataFrame:
     """Pairs of ranks at offset `start` of positions in the texts' stretches (kind 0). Where the pairs decide
     (2 * start >= length), repeats inside a batch are known at once (kind 1)."""
     step = min(start, length - start)
     beyond = max(0, length - 2 * start)
 
+    def made(parts: list, docs: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+        number, p, one, two = (np.concatenate(c) for c in zip(*parts, strict=True))
+        again = np.zeros(len(p), bool) if beyond else _repeats(mix(one) ^ two, docs[number], p)
+        return _ranked(_PAIRS, again, number, one, two, docs[number], tags[number], p, p)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, tags, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            docs, tags, parts, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], 0
             for k, (text, (lo, hi)) in enumerate(zip(batch.column(2).to_pylist(), _ends(batch.column(3)), strict=True)):
-                if not len(lo):
-                    continue
-                lo, hi = _merged(lo, np.minimum(hi + beyond, len(text) - start - step))
-                n = hi - lo + 1
-                p = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                prints = Fingerprints(text)
-                parts.append((np.full(len(p), k), p, prints.of(p, p + start), prints.of(p + step, p + step + start)))
-            if not parts:
-                continue
-            number, p, one, two = (np.concatenate(c) for c in zip(*parts, strict=True))
-            again = np.zeros(len(p), bool) if beyond else _repeats(mix(one) ^ two, docs[number], p)
-            yield _ranked(_PAIRS, again, number, one, two, docs[number], tags[number], p, p)
+                for a, b in _pieces(*_merged(lo, np.minimum(hi + beyond, len(text) - start - step))):
+                    prints, p = Fingerprints(text[a : b + step + start]), np.arange(b - a)
+                    parts.append((np.full(len(p), k), p + a, prints.of(p, p + start), prints.of(p + step, p + step + start)))
+                    held += len(p)
+                    if held >= SEGMENT:
+                        yield made(parts, docs, tags)
+                        parts, held = [], 0
+            if parts:
+                yield made(parts, docs, tags)
 
     return texts.select("doc", "tag", "text", "stretches").mapInArrow(run, _ddl(_PAIRS))
 
