@@ -8,8 +8,8 @@ each band by the cost of signatures and of chance candidates. Sets that share a
 texts' shingles decide.
 
 Equal sets are one class from the start. Of a signature's bucket, members are first compared with its smallest
-member only; where that leaves several components in a bucket, the pairs across them are compared, and no others:
-what is connected already can't change a component.
+member only. Documents of buckets which that leaves with several components are compared in groups, block by block,
+inside tasks that give only the links which join components: what is connected already can't change one.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from .components import connected_components
 CHUNK = 1 << 21
 #: Class ids up to this number (8 bytes each) are broadcast to choose texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Documents of a group that one task compares with each other, or with as many others.
+GROUP_ROWS = 1024
 #: What a chance candidate costs, in signatures.
 CANDIDATE_COST = 50.0
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -318,25 +320,89 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: Threshold = Th
     first = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     links = written(_verified(first, texts, threshold, words).unionByName(joined), "links")
     nodes = connected_components(links)
-    tried = first
-    for pairs in (lambda labels: stars, lambda labels: _across(met, labels)):
-        # Only pairs of different components, each once.
-        open_pairs = _labelled(_labelled(pairs(nodes), nodes, "a"), nodes, "b").filter("a_component <> b_component").select("a", "b")
-        open_pairs = written(open_pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = written(_verified(open_pairs, texts, threshold, words), "links")
-        tried = tried.unionByName(open_pairs)
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        nodes = connected_components(links)
+    # Then each bucket's members with its smallest one, where they aren't connected yet.
+    apart = _labelled(_labelled(stars, nodes, "a"), nodes, "b").filter("a_component <> b_component").select("a", "b")
+    more = written(_verified(apart.join(first, ["a", "b"], "left_anti"), texts, threshold, words), "links")
+    for step in (lambda _: more, lambda known: written(_linked_in_groups(met, known, texts, threshold, words), "links")):
+        new = step(nodes)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            nodes = connected_components(links)
     return _labelled(members.select("doc_id", "n_shingles", "rep"), nodes, "rep").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep_component")).alias("component_id"))
 
 
-def _across(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members in different components, one of them with its whole subset, each pair once."""
-    rows = _labelled(met.select("sig", "doc_id", "whole"), nodes, "doc_id")
-    mixed = rows.groupBy("sig").agg(F.min("doc_id_component").alias("x"), F.max("doc_id_component").alias("y")).filter("x <> y").select("sig")
-    rows = written(rows.join(mixed, "sig", "left_semi"), "mixed")
-    left, right = (rows.select("sig", F.col("doc_id").alias(n), F.col("whole").alias(f"{n}_whole"), F.col("doc_id_component").alias(f"{n}_in")) for n in "ab")
-    pairs = left.join(right, "sig").filter("a < b and a_in <> b_in and (a_whole or b_whole)")
-    return pairs.select("a", "b").distinct()
+def _mixed(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sig, doc_id and component of the members of buckets that still hold several components."""
+    rows = _labelled(met.select("sig", "doc_id"), nodes, "doc_id")
+    ends = rows.groupBy("sig").agg(F.min("doc_id_component").alias("x"), F.max("doc_id_component").alias("y")).filter("x <> y")
+    return rows.join(ends.select("sig"), "sig", "left_semi").withColumnRenamed("doc_id_component", "component")
+
+
+def _linked_in_groups(met: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: Threshold, words: int) -> DataFrame:
+    """Links (a, b) that join the components which share a bucket: enough of them, not all.
+
+    Documents that buckets with several components connect are a group. A group is dealt into blocks of about
+    GROUP_ROWS, and a task compares two blocks (or one with itself) by their shingles' postings; it gives a link
+    only where its ends aren't joined yet, so no pairs are written out.
+    """
+    rows = written(_mixed(met, nodes), "mixed")
+    least = rows.groupBy("sig").agg(F.min("doc_id").alias("b"))
+    groups = connected_components(rows.join(least, "sig").select(F.col("doc_id").alias("a"), "b"))
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(GROUP_ROWS)).cast("int").alias("blocks"))
+    own = rows.groupBy("doc_id").agg(F.min("component").alias("inside"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = groups.join(sizes, "component").join(own.withColumnRenamed("doc_id", "node"), "node").withColumn("block", block)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", other).select("component", "node", "inside", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def run(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("node").reset_index(drop=True)
+        sets = shingle_sets(frame["text"].tolist(), words)
+        found = links_of(sets, frame["inside"].tolist(), frame["block"].to_numpy(), threshold)
+        node = frame["node"].to_numpy()
+        return pd.DataFrame({"a": node[[a for a, _ in found]], "b": node[[b for _, b in found]]}, dtype="int64")
+
+    held = dealt.join(texts.withColumnRenamed("id", "node"), "node")
+    return held.groupBy("component", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def links_of(sets: list[np.ndarray], inside: list[int], block: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
+    """Linked pairs (a < b) of sets in different blocks (of the same one if there is one only) whose ends neither
+    `inside` nor an earlier pair has joined."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    first: dict[int, int] = {}
+    for i, c in enumerate(inside):
+        parent[root(i)] = root(first.setdefault(c, i))
+    if n < 2:
+        return []
+    owner = np.repeat(np.arange(n), size)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    posted = owner[order]
+    count = np.bincount(token)
+    start = np.cumsum(count) - count
+    split, one, out = np.cumsum(size)[:-1], len(set(block.tolist())) == 1, []
+    for i, own in enumerate(np.split(token, split)):
+        own = own[count[own] > 1]
+        if not len(own):
+            continue
+        c = count[own]
+        at = np.repeat(start[own] - np.cumsum(c) + c, c) + np.arange(c.sum())
+        both = np.bincount(posted[at], minlength=n)[:i]
+        hit = threshold.whole * both >= threshold.part * (size[:i] + size[i] - both)
+        if not one:
+            hit &= block[:i] != block[i]
+        for j in np.flatnonzero(hit).tolist():
+            if root(i) != root(j):
+                parent[root(i)] = root(j)
+                out.append((j, i))
+    return out
