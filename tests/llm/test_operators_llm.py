@@ -193,8 +193,10 @@ def test_url_plan_has_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("local", [3, 1_000_000])
+@pytest.mark.parametrize("seed", range(2))
+def test_components(spark, seed, local, monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
     rng = random.Random(seed)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(5, None), (7, 7)]
     label = {n: n for e in edges for n in e if n is not None and e[0] is not None and e[1] is not None and e[0] != e[1]}
