@@ -39,7 +39,15 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     executor costs nothing that is not in shared storage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/isogloss-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # What the write has shuffled is of no use once it is written, and would lie on executors' disks until the driver
+    # happens to collect its garbage.
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
