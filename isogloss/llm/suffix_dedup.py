@@ -30,8 +30,9 @@ from .jaccard_join import _BYTE, _Powers, mix
 #: Bytes of text whose windows are anchored together (their places must fit in PLACE bits of a sort key).
 PLACE = 20
 SEGMENT = 1 << PLACE
-#: Rows of positions that are broadcast to meet the texts, at most (about 40 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 400_000
+#: Texts and stretches of theirs that are broadcast to meet the texts, at most (about 40 bytes each); more are joined
+#: by shuffle.
+BROADCAST_ROWS = 2_000_000
 NULL_ID = (1 << 63) - 1
 
 
@@ -214,13 +215,24 @@ def _rerank_anchors(rows: DataFrame) -> DataFrame:
 
 def _with_texts(source: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """source joined with a few rows for each text, by broadcast where these are few and else by shuffle."""
-    few = rows.count() <= BROADCAST_ROWS
+    few = (rows.agg(F.sum(1 + F.size("stretches"))).first()[0] or 0) <= BROADCAST_ROWS
     return source.join(F.broadcast(rows) if few else rows, ["doc", "tag"], how)
 
 
 def _stretches_of(rows: DataFrame) -> DataFrame:
-    """For each text its stretches, at most as many as it has bytes."""
-    return rows.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("stretches"))
+    """For each text its stretches, at most as many as it has bytes, merged where they touch."""
+    grouped = rows.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("stretches"))
+    schema = "doc long, tag int, stretches array<struct<lo:int,hi:int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = list(_ends(batch.column(2)))
+            offsets = np.cumsum([0, *[len(lo) for lo, _ in ends]]).astype(np.int32)
+            pairs = [pa.array(np.concatenate([e[i] for e in ends] or [np.zeros(0)]).astype(np.int32)) for i in (0, 1)]
+            merged = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(pairs, ["lo", "hi"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), merged], ["doc", "tag", "stretches"])
+
+    return grouped.mapInArrow(run, schema)
 
 
 def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +327,7 @@ def _double(pairs: DataFrame, reached: int, length: int) -> DataFrame:
     return ranks.withColumnRenamed("rank", "r1").distinct().join(further, ["doc", "tag", "lo"]).select(F.lit(0).cast("byte").alias("kind"), "r1", "r2", "doc", "tag", "lo", F.col("lo").alias("hi"))
 
 
-def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = 16, start: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = 32, start: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, tag and stretches (lo, hi): starts of the windows of `length` bytes that also start earlier (in a smaller
     doc, or at a smaller offset of the same doc)."""
     small_batches(docs)
@@ -339,7 +351,7 @@ def _spans(lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 16, start: int = 50, texts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, start: int = 50, texts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (of removed bytes, as maximal runs), kept (the bytes that remain; null
     without `texts`) and kept_sha256, one row per row of docs.
 
