@@ -15,9 +15,9 @@ from isogloss.session import written
 
 #: Below this score the language counts as not recognised.
 LEAST_SCORE = 0.05
-#: Tokens wanted of each domain, relative to what the stage is given. The clean domains' are over 1, so that a clean
+#: Tokens wanted of each domain, relative to what the stage is given. The clean domains' are well over 1, so that a clean
 #: document's rate doesn't fall below 1 for the small share of other domains that its posteriors hold.
-WEIGHTS = {"toxic": 0.0, "quality0": 1.3, "quality1": 1.3}
+WEIGHTS = {"toxic": 0.4, "quality0": 1.5, "quality1": 1.5}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
