@@ -15,9 +15,9 @@ from isogloss.session import written
 
 #: Below this score the language counts as not recognised.
 LEAST_SCORE = 0.05
-#: Tokens wanted of each domain, relative to what the stage is given. The clean domains' are well over 1, so that a clean
-#: document's rate doesn't fall below 1 for the small share of other domains that its posteriors hold.
-WEIGHTS = {"toxic": 0.4, "quality0": 1.5, "quality1": 1.5}
+#: Tokens wanted of each domain, relative to what the stage is given. A document is kept once at most, so none is over 1,
+#: and they leave what clean documents must give up for the share of `toxic` that their posteriors hold.
+WEIGHTS = {"toxic": 0.45, "quality0": 0.95, "quality1": 0.98}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,15 +53,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps each document with its fitted rate: always at 1 or more, else where a hash of its id lies below it."""
+    """Keeps each document with a chance of its fitted rate, 1 at most: where a hash of its id (of its text without one)
+    lies below the rate. The tokens kept of each domain are then expected to be those of WEIGHTS."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    _, fitted, classifier = mixing.mix_sources(docs, labels, mixing.label_domain(), mixing.weighted(WEIGHTS))
+    _, fitted, classifier = mixing.mix_sources(docs, labels, mixing.label_domain(), mixing.weighted(WEIGHTS), most=1.0)
 
     def keep(ids: list, texts: list) -> list[bool]:
         import xxhash
 
         rates = fitted.rates(classifier.posteriors(texts)[0])
-        return [r >= 1 or xxhash.xxh3_64_intdigest(str(i)) / 2**64 < r for i, r in zip(ids, rates.tolist(), strict=True)]
+        keys = [(t or b"") if i is None else str(i) for i, t in zip(ids, texts, strict=True)]
+        return [r >= 1 or xxhash.xxh3_64_intdigest(k) / 2**64 < r for k, r in zip(keys, rates.tolist(), strict=True)]
 
     return table_filters.keep_rows(docs, keep)
 

@@ -1,7 +1,7 @@
 """Mixing sources to target weights (operator 10), with soft membership.
 
 A classifier learned from a labelled table gives each document posteriors over domains. Projected gradient descent
-then fits a rate of at least 0 for each document, so that the expected tokens of each domain, the sum of rate times
+then fits a rate of at least 0 (and at most a bound, if there is one) for each document, so that the expected tokens of each domain, the sum of rate times
 tokens times posterior, match targets in the least-squares sense. A step needs the domains' totals only: those are
 summed where the documents are, and a document's rate follows from its posteriors and the steps made so far.
 """
@@ -137,23 +137,25 @@ def train(docs: DataFrame, labels: DataFrame, domain, id_col: str = "doc_id", te
 @dataclass
 class Mix:
     """The fitted mix. totals: tokens of each domain at rate 1; targets: those asked for; reached: those expected;
-    history: what each step takes from a document's rate, as weights of its posteriors."""
+    history: what each step takes from a document's rate, as weights of its posteriors; most: the largest rate."""
 
     domains: tuple[str, ...]
     totals: np.ndarray
     targets: np.ndarray
     reached: np.ndarray
     history: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    most: float = np.inf
 
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
         rate = np.ones(len(posteriors))
         for step in self.history:
-            rate = np.maximum(0.0, rate - posteriors @ step)
+            rate = np.clip(rate - posteriors @ step, 0.0, self.most)
         return rate
 
 
-def fit_mix(posteriors: DataFrame, domains: tuple[str, ...], targets: Callable[[dict[str, float]], dict[str, float]], steps: int = STEPS) -> Mix:
-    """Rates for posteriors(n_tokens, p). targets: tokens wanted of each domain, from its tokens at rate 1.
+def fit_mix(posteriors: DataFrame, domains: tuple[str, ...], targets: Callable[[dict[str, float]], dict[str, float]], steps: int = STEPS, most: float = np.inf) -> Mix:
+    """Rates of at most `most` for posteriors(n_tokens, p). targets: tokens wanted of each domain, from its tokens at
+    rate 1.
 
     The descent's metric weighs documents by tokens and domains by the inverse of their tokens. Each step's totals
     are one sum over all documents; only as many numbers as domains (squared, once) come to the driver.
@@ -184,7 +186,7 @@ def fit_mix(posteriors: DataFrame, domains: tuple[str, ...], targets: Callable[[
     scale = np.where(totals > 0, 1 / np.maximum(totals, 1e-12), 0.0)
     root = np.sqrt(scale)
     top = np.linalg.eigvalsh(root[:, None] * gram * root).max() if totals.any() else 1.0
-    mix = Mix(domains, totals, goal, totals.copy(), np.zeros((0, k)))
+    mix = Mix(domains, totals, goal, totals.copy(), np.zeros((0, k)), most)
     for _ in range(steps if totals.any() else 0):
         error = mix.reached - goal
         mix.history = np.vstack([mix.history, scale * error / top])
@@ -206,16 +208,16 @@ def document_posteriors(docs: DataFrame, classifier: Classifier, id_col: str = "
     return map_texts(docs, batch, "doc_id long, n_tokens long, p array<double>", id_col, text_col)
 
 
-def mix_sources(docs: DataFrame, labels: DataFrame, domain, targets, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mix, Classifier]:
-    """doc_id, n_tokens, domain (the likeliest), posterior (its), p and rate for each row of docs, with the mix and
-    the classifier.
+def mix_sources(docs: DataFrame, labels: DataFrame, domain, targets, id_col: str = "doc_id", text_col: str = "text", most: float = np.inf) -> tuple[DataFrame, Mix, Classifier]:
+    """doc_id, n_tokens, domain (the likeliest), posterior (its), p and rate (`most` at most) for each row of docs,
+    with the mix and the classifier.
 
     A null text counts as empty; without labelled rows there is one domain, `all`; repeated rows count each, a null
     id stays null, an empty table gives an empty result; other columns are not read.
     """
     classifier = train(docs, labels, domain, id_col, text_col)
     table = written(document_posteriors(docs, classifier, id_col, text_col), "posteriors")
-    mix = fit_mix(table, classifier.domains, targets)
+    mix = fit_mix(table, classifier.domains, targets, most=most)
 
     def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -1,12 +1,13 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from isogloss.llm import byte_bpe, secret_scan
+from isogloss.llm import byte_bpe, mixing, secret_scan
 
 from .test_kernels_llm import brute_sets
 
@@ -64,6 +65,18 @@ def test_mix_stage_keeps_clean_documents(spark, stages):
     assert len([d for d in clean if d in kept]) >= 0.95 * len(clean)
 
 
+def test_mix_stage_meets_its_targets(spark, stages):
+    rated, mix, _ = mixing.mix_sources(stages[3], spark.read.parquet(f"{SF}/labels.parquet"), mixing.label_domain(), mixing.weighted(corpus_pipeline.WEIGHTS), most=1.0)
+    rows = rated.collect()
+    kept = {r.doc_id for r in stages[4].collect()}
+    t, p, rate = np.array([r.n_tokens for r in rows]), np.array([r.p for r in rows]), np.array([r.rate for r in rows])
+    assert (mix.targets <= mix.totals).all() and (rate >= 0).all() and (rate <= 1).all()
+    assert (t * rate) @ p == pytest.approx(mix.targets, rel=1e-2)
+    # Tokens kept of each domain: the targets, within what chance allows.
+    got = (t * [r.doc_id in kept for r in rows]) @ p
+    assert (np.abs(got - mix.targets) <= 3 * np.sqrt((t * t * rate * (1 - rate)) @ (p * p)) + 1e-2 * mix.targets).all()
+
+
 def test_tokens_stage(stages):
     enc = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.encoding(byte_bpe.read_ranks())._mergeable_ranks, special_tokens={})
     texts = {r.doc_id: r.text for r in stages[4].collect()}
