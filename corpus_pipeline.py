@@ -13,22 +13,21 @@ from pyspark.sql import functions as F
 from isogloss.llm import byte_bpe, jaccard_join, language_id, mixing, secret_scan, table_filters
 from isogloss.session import written
 
-#: Below this score the language counts as not recognised.
-LEAST_SCORE = 0.05
 #: Tokens wanted of each domain, relative to what the stage is given. A document is kept once at most, so none is over 1,
 #: and they leave what clean documents must give up for the share of `toxic` that their posteriors hold.
 WEIGHTS = {"toxic": 0.45, "quality0": 0.95, "quality1": 0.98}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language isn't recognised: null, without a letter, or of a score under LEAST_SCORE."""
+    """Drops documents whose language isn't recognised: null, without a letter, or not like any language that was
+    learned, as calibrated on labelled rows (language_id.calibrate)."""
     model = language_id.train(docs)
 
     def keep(ids: list, texts: list) -> list[bool]:
-        names, scores = model.predict(texts)
+        names, _ = model.predict(texts, reject=True)
         if not model.languages:  # nothing was learned: only what can have no language goes
             return [language_id.has_letter(t) for t in texts]
-        return [n != language_id.UNKNOWN and s >= LEAST_SCORE for n, s in zip(names, scores, strict=True)]
+        return [n != language_id.UNKNOWN for n in names]
 
     return table_filters.keep_rows(docs, keep)
 

@@ -8,7 +8,7 @@ are fitted by accelerated gradient descent on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,6 +35,9 @@ WIDTH = 4096
 #: Labelled rows that the machines learn from, at most, for each language; and languages, at most.
 PER_LANGUAGE, LANGUAGES = 500, 200
 UNKNOWN = "und"
+#: Of the likeness that all but the least like RARE of a language's labelled rows have, the share that a text needs to
+#: count as being in it; and labelled rows of about one size that such a likeness is taken from, at least.
+NEEDED, RARE, SIZE_ROWS = 0.8, 0.01, 10
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -78,18 +81,35 @@ def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 60)
 @dataclass(frozen=True)
 class Model:
     """languages, sorted; families, sorted; gates: a column of weights for each family against the rest (empty with
-    one family); pairs: (i, j) of languages of one family, machines: a column for each, positive for i."""
+    one family); pairs: (i, j) of languages of one family, machines: a column for each, positive for i.
+
+    centres: a row of length one for each language; sizes, floors: the cosine with the nearest centre that a text with
+    2 ** size distinct features needs to be in a learned language at all."""
 
     languages: tuple[str, ...]
     families: tuple[str, ...]
     gates: np.ndarray
     pairs: tuple[tuple[int, int], ...]
     machines: np.ndarray
-
-    def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
+    centres: np.ndarray = field(default_factory=lambda: np.zeros((0, WIDTH), np.float32))
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    floors: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def like(self, x: np.ndarray) -> np.ndarray:
+        """Whether feature rows are like those of a learned language. Below the smallest calibrated size, what is
+        needed falls with the root of the size, as cosines with a centre do."""
+        if not len(self.sizes):
+            return np.ones(len(x), bool)
+        size = np.log2(np.maximum(1, (x > 0).sum(1)))
+        needed = np.interp(size, self.sizes, self.floors) * 2 ** (np.minimum(0, size - self.sizes[0]) / 2)
+        return (x @ self.centres.T).max(1) >= needed
+
+    def predict(self, texts: list[bytes | None], reject: bool = False) -> tuple[list[str], list[float]]:
+        """Languages and scores. reject: a text that is not like any learned language gets `und`, too."""
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         x = features(texts)
+        like = self.like(x) if reject else np.ones(len(x), bool)
         x = np.column_stack([x, np.ones(len(x), x.dtype)])
         family = np.array([self.families.index(FAMILY.get(l, l)) for l in self.languages])
         margin = x @ self.gates if self.gates.size else np.ones((len(x), 1))
@@ -107,7 +127,7 @@ class Model:
         rank = np.where(family[None, :] == best[:, None], votes + sure, -1.0)
         pick = rank.argmax(1)
         score = gate * sure[np.arange(len(x)), pick]
-        known = [has_letter(t) for t in texts]
+        known = [bool(l) and has_letter(t) for t, l in zip(texts, like, strict=True)]
         return [self.languages[p] if k else UNKNOWN for p, k in zip(pick, known, strict=True)], [float(s) if k else 0.0 for s, k in zip(score, known, strict=True)]
 
 
@@ -120,7 +140,23 @@ def fit(x: np.ndarray, languages: list[str]) -> Model:
     gates = np.column_stack([fit_machine(x, np.where(group == g, 1.0, -1.0)) for g in range(len(families))]) if len(families) > 1 else np.zeros((0, 0))
     pairs = tuple((i, j) for i in range(len(names)) for j in range(i) if FAMILY.get(names[i], names[i]) == FAMILY.get(names[j], names[j]))
     machines = [fit_machine(x[(at == i) | (at == j)], np.where(at[(at == i) | (at == j)] == i, 1.0, -1.0)) for i, j in pairs]
-    return Model(names, families, gates.astype(np.float32), pairs, np.column_stack(machines).astype(np.float32) if machines else np.zeros((0, 0), np.float32))
+    machines = np.column_stack(machines).astype(np.float32) if machines else np.zeros((0, 0), np.float32)
+    return Model(names, families, gates.astype(np.float32), pairs, machines, *calibrate(x, at, len(names)))
+
+
+def calibrate(x: np.ndarray, at: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres, sizes and floors of a Model from feature rows and the numbers of their languages. A row is compared
+    with the centre of the others of its language; rows of sizes within a factor of two give one floor. Without
+    enough rows of any size there are no floors, and every text is like a learned language."""
+    sums = np.stack([x[at == k].sum(0) for k in range(languages)]).astype(np.float64)
+    own, norm2 = (x @ sums.T.astype(np.float32))[np.arange(len(x)), at], np.einsum("ij,ij->i", x, x)
+    rest = np.sqrt(np.maximum(0, (sums * sums).sum(1)[at] - 2 * own + norm2))
+    size, cosine = np.log2(np.maximum(1, (x > 0).sum(1))), (own - norm2) / np.maximum(rest, 1e-9)
+    counted = (norm2 > 0) & (np.bincount(at, minlength=languages)[at] > 1)
+    bins = [counted & (np.floor(size) == k) for k in range(WIDTH.bit_length())]
+    bins = [b for b in bins if b.sum() >= SIZE_ROWS]
+    centres = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-9)
+    return centres.astype(np.float32), np.array([np.median(size[b]) for b in bins]), np.array([NEEDED * np.quantile(cosine[b], RARE) for b in bins])
 
 
 def held_out(id_col: str = "doc_id"):

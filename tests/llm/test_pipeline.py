@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +38,22 @@ def test_language_stage_drops_what_has_no_letter(stages):
     assert {900001, 900002, 900003, 900004} == gone
 
 
+def test_language_stage_drops_languages_that_were_not_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(3)
+    words = [
+        "вчера вечером мы долго гуляли по набережной и говорили о том как быстро меняется город",
+        "χθες το βράδυ περπατήσαμε πολλή ώρα στην παραλία και μιλήσαμε για την πόλη όπου μεγαλώσαμε",
+        "昨天晚上 我们在河边散步 聊了很久 关于这座城市 变化得多么快",
+        "wczoraj wieczorem długo spacerowaliśmy nad rzeką i rozmawialiśmy jak szybko zmienia się miasto",
+        " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(400)),
+    ]
+    # Without a language, as nobody has labelled them.
+    odd = spark.createDataFrame([(910000 + k, " ".join(rng.choices(words[k % 5].split(), k=15 * (k // 5 + 1))), None, "s", 0) for k in range(25)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(odd), SF).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_near_copies_stage(stages):
     rows = {r.doc_id: brute_sets(r.text, 5) for r in stages[1].collect()}
     label = {d: d for d in rows}
