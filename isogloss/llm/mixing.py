@@ -2,7 +2,8 @@
 
 A classifier learned from a labelled table gives each document posteriors over domains. Projected gradient descent
 then fits a rate of at least 0 (and at most a bound, if there is one) for each document, so that the expected tokens of each domain, the sum of rate times
-tokens times posterior, match targets in the least-squares sense. A step needs the domains' totals only: those are
+tokens times posterior, match targets in the least-squares sense. Steps have momentum, which starts anew where it
+leads uphill. A step needs the domains' totals and two more sums only: those are
 summed where the documents are, and a document's rate follows from its posteriors and the steps made so far.
 """
 
@@ -23,8 +24,9 @@ from .arrow_text import map_texts, small_batches
 #: Labelled rows that the classifier learns from, at most; words that it knows, at most; and the chi-square of a
 #: word's rows with a domain's from which on it is known.
 SAMPLE, WORDS, TELLING = 8000, 2048, 24.0
-#: Steps of the descent, at most, and the relative change of a domain's tokens at which it ends.
-STEPS, TOLERANCE = 80, 1e-4
+#: Steps of the descent, at most; the distance of each domain from its target, and the projected gradient (what a step
+#: moves rates by, as the root of the mean square over tokens), at which it ends.
+STEPS, TOLERANCE, OPTIMAL = 200, 1e-4, 1e-5
 _WORD = re.compile(rb"[^\x00-@\[-`{-\x7f]+")
 _STYLE = 6
 
@@ -137,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, domain, id_col: str = "doc_id", te
 @dataclass
 class Mix:
     """The fitted mix. totals: tokens of each domain at rate 1; targets: those asked for; reached: those expected;
-    history: what each step takes from a document's rate, as weights of its posteriors; most: the largest rate."""
+    history: what each step takes from a document's rate, as weights of its posteriors, and its momentum; most: the
+    largest rate; settled: whether targets are met or no rates come nearer, else the steps were used up."""
 
     domains: tuple[str, ...]
     totals: np.ndarray
@@ -145,12 +148,19 @@ class Mix:
     reached: np.ndarray
     history: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     most: float = np.inf
+    settled: bool = True
 
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
-        rate = np.ones(len(posteriors))
+        return self.walk(posteriors)[0]
+
+    def walk(self, posteriors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rates, those before the last step, and where the last step began."""
+        rate = before = start = ahead = np.ones(len(posteriors))
         for step in self.history:
-            rate = np.clip(rate - posteriors @ step, 0.0, self.most)
-        return rate
+            start, before = ahead, rate
+            rate = np.clip(start - posteriors @ step[:-1], 0.0, self.most)
+            ahead = rate + step[-1] * (rate - before)
+        return rate, before, start
 
 
 def fit_mix(posteriors: DataFrame, domains: tuple[str, ...], targets: Callable[[dict[str, float]], dict[str, float]], steps: int = STEPS, most: float = np.inf) -> Mix:
@@ -174,26 +184,35 @@ def fit_mix(posteriors: DataFrame, domains: tuple[str, ...], targets: Callable[[
                 yield pd.DataFrame({"place": np.arange(total.size), "value": total.ravel()})
 
         found = posteriors.select("n_tokens", "p").mapInPandas(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-        out = np.zeros(k * k + k)
+        out = np.zeros(k * k + k + 1)
         for r in found:
             out[r["place"]] = r["value"]
         return out
 
     both = sums(lambda p, t: np.concatenate([t @ p, ((p * t[:, None]).T @ p).ravel()]))
-    totals, gram = both[:k], both[k:].reshape(k, k)
+    totals, gram = both[:k], both[k : k * k + k].reshape(k, k)
     wanted = targets(dict(zip(domains, totals.tolist(), strict=True)))
     goal = np.array([wanted[d] for d in domains])
     scale = np.where(totals > 0, 1 / np.maximum(totals, 1e-12), 0.0)
     root = np.sqrt(scale)
     top = np.linalg.eigvalsh(root[:, None] * gram * root).max() if totals.any() else 1.0
-    mix = Mix(domains, totals, goal, totals.copy(), np.zeros((0, k)), most)
+    mix = Mix(domains, totals, goal, totals.copy(), np.zeros((0, k + 1)), most, not totals.any())
+    far = np.where(goal > 0, 1 / np.maximum(goal, 1e-12), scale)
+
+    def stepped(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+        rate, before, start = mix.walk(p)
+        return np.array([*((t * rate) @ p), t @ (rate - start) ** 2, t @ ((start - rate) * (rate - before))])
+
+    start, pace = totals, 1.0
     for _ in range(steps if totals.any() else 0):
-        error = mix.reached - goal
-        mix.history = np.vstack([mix.history, scale * error / top])
-        now = mix
-        reached = sums(lambda p, t, m=now: (t * m.rates(p)) @ p)[:k]
-        change, mix.reached = np.abs(reached - mix.reached) * scale, reached
-        if change.max() <= TOLERANCE:
+        mix.history = np.vstack([mix.history, np.append(scale * (start - goal) / top, 0.0)])
+        found = sums(stepped)
+        reached, moved, uphill = found[:k], np.sqrt(found[k] / totals.sum()), found[k + 1] > 0
+        pace, last = (1.0 if uphill else (1 + np.sqrt(1 + 4 * pace * pace)) / 2), pace
+        mix.history[-1, -1] = 0.0 if uphill else (last - 1) / pace
+        start, mix.reached = reached + mix.history[-1, -1] * (reached - mix.reached), reached
+        mix.settled = bool((np.abs(reached - goal) * far).max() <= TOLERANCE or moved <= OPTIMAL)
+        if mix.settled:
             break
     return mix
 
@@ -209,8 +228,8 @@ def document_posteriors(docs: DataFrame, classifier: Classifier, id_col: str = "
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, domain, targets, id_col: str = "doc_id", text_col: str = "text", most: float = np.inf) -> tuple[DataFrame, Mix, Classifier]:
-    """doc_id, n_tokens, domain (the likeliest), posterior (its), p and rate (`most` at most) for each row of docs,
-    with the mix and the classifier.
+    """doc_id, n_tokens, domain (the likeliest), posterior (its), p, rate (`most` at most), target and reached (expected
+    tokens of each domain, in the order of p: the same in each row) for each row of docs, with the mix and the classifier.
 
     A null text counts as empty; without labelled rows there is one domain, `all`; repeated rows count each, a null
     id stays null, an empty table gives an empty result; other columns are not read.
@@ -227,7 +246,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame, domain, targets, id_col: str
     rated = table.mapInPandas(rate, "doc_id long, n_tokens long, p array<double>, rate double")
     best = F.array_max("p")
     names = F.array(*[F.lit(d) for d in classifier.domains])
-    out = rated.select("doc_id", "n_tokens", F.element_at(names, F.array_position("p", best).cast("int")).alias("domain"), best.alias("posterior"), "p", "rate")
+    out = rated.select("doc_id", "n_tokens", F.element_at(names, F.array_position("p", best).cast("int")).alias("domain"), best.alias("posterior"), "p", "rate", *(F.array(*[F.lit(float(v)) for v in values]).alias(c) for c, values in (("target", mix.targets), ("reached", mix.reached))))
     return out, mix, classifier
 
 

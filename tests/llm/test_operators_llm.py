@@ -221,6 +221,26 @@ def test_mix_reaches_feasible_targets(spark):
     assert (hard.rates(p) >= 0).all() and hard.reached[1] < hard.totals[1] / 2
 
 
+def test_mix_reaches_targets_with_soft_posteriors(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, int(t), [float(p), float(1 - p)]) for k, (t, p) in enumerate(zip(rng.integers(10, 100, 500), rng.uniform(0.35, 0.65, 500), strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>").repartition(3)
+    mix = mixing.fit_mix(df, ("a", "b"), mixing.weighted({"a": 0.9, "b": 1.1}))
+    p, t = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    assert mix.settled and mix.reached == pytest.approx(mix.targets, rel=1e-3)
+    assert (t * mix.rates(p)) @ p == pytest.approx(mix.reached)
+    # Rates of 1 at most can't do it: the descent ends where no rates come nearer.
+    bound = mixing.fit_mix(df, ("a", "b"), mixing.weighted({"a": 0.9, "b": 1.1}), most=1.0)
+    assert bound.settled and (bound.rates(p) <= 1).all() and bound.reached[1] < bound.targets[1]
+
+
+def test_mix_reports_targets_and_reached(docs):
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality", "0 as toxic").filter("doc_id is not null")
+    rated, mix, _ = mixing.mix_sources(docs, labels, mixing.label_domain(), mixing.weighted({"quality0": 0.9}))
+    row = rated.first()
+    assert row.target == mix.targets.tolist() and row.reached == mix.reached.tolist() and len(row.p) == len(row.target)
+
+
 def test_language_is_learned_from_rows_that_are_not_held_out(spark):
     import zlib
 
