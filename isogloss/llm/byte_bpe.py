@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding (operator 9) with the tiktoken library and a local rank file.
 
 A long text is cut where no match of the splitting pattern can cross: between a character that is not white space
-and white space after it. No alternative of the pattern goes on past white space once it has taken another
+and white space after it (as the pattern's engine has it: Python's class has U+001C to U+001F, too). No alternative of the pattern goes on past white space once it has taken another
 character, and lookahead only looks at white space that a piece keeps whole, so the pieces' matches are the text's.
 """
 
@@ -22,7 +22,8 @@ from .arrow_text import map_texts
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a piece, at least, before it is cut at the next safe place.
 PIECE = 1 << 16
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])")
 
 
 @lru_cache(maxsize=2)

@@ -146,6 +146,18 @@ def test_bpe_cuts_are_safe(parts, size):
     assert ENC.decode_bytes(ids) == text.encode()
 
 
+@pytest.mark.parametrize("code", [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, 0x2000, 0x200A, 0x200B, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+def test_bpe_cuts_are_safe_before_odd_spaces(code):
+    for sign in ("!", "a", "1", "!\x1c", "\x1f"):
+        text = f"{sign}{chr(code)}!! {sign}{chr(code)}{chr(code)}\x1d?a " * 3
+        plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ENC._mergeable_ranks, special_tokens={})
+        for size in range(1, 8):
+            assert "".join(byte_bpe.pieces(text, size)) == text
+            assert byte_bpe.encode(text, ENC, size) == plain.encode_ordinary(text)
+    # A match of signs goes on past U+001C.
+    assert list(byte_bpe.pieces("!!!!\x1c!!!!", 2)) == ["!!!!\x1c!!!!"]
+
+
 def brute_tokens(word, v):
     word = word.replace(" ", "▁")
     best = {0: (0.0, 0)}
