@@ -2,14 +2,14 @@
 
 The tree is fitted on a bounded sample; every row is indexed in the leaf that it descends to. A query keeps a
 priority queue of tree nodes by the best inner product that they promise and visits leaves in that order. How many
-rows' worth of leaves it visits is calibrated: leaves are added until the sample's queries reach the recall asked
-for. Visited leaves are scanned exactly.
+leaves it visits is calibrated: leaves are added until the sample's queries reach the recall asked
+for, and further ones until those visited hold as many rows as a query needs. Visited leaves are scanned exactly.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,7 +39,6 @@ class Tree:
     leaves: int
     visits: int = 1
     sample_recall: float = 0.0
-    share: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf that each row descends to, always to the nearest centre."""
@@ -55,14 +54,15 @@ class Tree:
                 node[rows] = self.first_child[n] + (x[rows] @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
         return out
 
-    def order(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first `visits` leaves, best bin first."""
+    def order(self, q: np.ndarray, visits: int, rows: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first `visits` leaves, best bin first, and further ones until they hold `least` of the leaves' rows."""
         promise = (self.centre @ q + np.sqrt(q @ q) * self.spread).tolist()
-        queue, out = [(-promise[0], 0)], []
-        while queue and len(out) < visits:
+        queue, out, held = [(-promise[0], 0)], [], 0
+        while queue and (len(out) < visits or held < least):
             _, n = heapq.heappop(queue)
             if self.first_child[n] < 0:
                 out.append(int(self.leaf[n]))
+                held += rows.get(out[-1], 0) if rows else 0
             else:
                 for c in range(self.first_child[n], self.first_child[n] + self.children[n]):
                     heapq.heappush(queue, (-promise[c], c))
@@ -109,7 +109,6 @@ def fit_tree(x: np.ndarray, leaf_rows: int, k: int, recall: float = RECALL, bran
 
 def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, rng: np.random.Generator) -> None:
     """Sets visits: leaves are added, best bin first, until the sample's queries find `recall` of their k nearest."""
-    tree.share = np.bincount(tree.assign(x), minlength=tree.leaves) / max(1, len(x))
     if len(x) <= k + 1:
         tree.visits, tree.sample_recall = tree.leaves, 1.0
         return
@@ -175,7 +174,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
             yield frame.assign(leaf=shared.value.assign(_matrix(frame["v"])).astype(np.int32))
 
     indexed = written(distinct.mapInPandas(index, "v array<double>, ids array<long>, rep long, leaf int"), "leaves")
-    counts = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
+    sizes = indexed.groupBy("leaf").agg(F.count("*").alias("vectors"), F.sum(F.size("ids")).alias("ids")).collect()
+    counts, held = {r["leaf"]: r["vectors"] for r in sizes}, {r["leaf"]: r["ids"] for r in sizes}
     # Leaves lie in bins of BIN_ROWS rows; a leaf with more has several bins of its own.
     bins, at, room = {}, -1, 0
     for leaf in range(tree.leaves):
@@ -200,7 +200,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
             out = []
             for rep, v in zip(frame["rep"], frame["v"], strict=True):
                 by_bin: dict[int, list[int]] = {}
-                for leaf in own.order(np.asarray(v, np.float64), own.visits):
+                for leaf in own.order(np.asarray(v, np.float64), own.visits, held, k + 1):
                     first, count = bins[leaf]
                     for b in range(first, first + count):
                         by_bin.setdefault(b, []).append(leaf)

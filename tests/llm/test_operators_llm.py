@@ -161,6 +161,23 @@ def test_nearest(spark):
     assert hits >= 0.9 * 7 * 40 and set(got["query_id"]) == set(range(0, 400, 10))
 
 
+def test_sparse_leaves_give_all_neighbours(spark, monkeypatch):
+    fit = kmeans_tree.fit_tree
+
+    def one_visit(*args):
+        tree = fit(*args)
+        tree.visits = 1
+        return tree
+
+    monkeypatch.setattr(kmeans_tree, "fit_tree", one_visit)
+    monkeypatch.setattr(kmeans_tree, "LEAF_ROWS", 16)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(300, 4)), [[50.0, 0, 0, 0], [51.0, 0, 0, 0], [0, -60.0, 0, 0]]])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = kmeans_tree.nearest(df, lambda i: i >= 295, k=20).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == dict.fromkeys(range(295, 303), 20)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in kmeans_tree.nearest(df, lambda i: i == 0).orderBy("rank").collect()]
