@@ -8,28 +8,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch holds at most, so that a batch of long texts fits a worker's memory.
-BATCH_ROWS = 1000
+#: Rows, and about how many bytes, that a kernel gets at once. Spark's own batches have 64 MB at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> None:
-    """Sets how many rows an Arrow batch of this session holds."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of `rows` rows at most, and of fewer where rows are large. No batch is copied."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id (long) and text (UTF-8 bytes); no other column is read."""
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
 
 
 def map_texts(df: DataFrame, fn: Callable[[list[int | None], list[bytes | None]], dict[str, list]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of `schema` per row of df: fn gets a batch's ids and its texts as UTF-8 (None where null) and
+    """One row of `schema` per row of df: fn gets some rows' ids and their texts as UTF-8 (None where null) and
     gives the columns. Only the two named columns are read; others, whatever their names, don't matter."""
-    small_batches(df)
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = fn(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
-    return rows.mapInArrow(run, schema)
+    return texts_of(df, id_col, text_col).mapInArrow(run, schema)

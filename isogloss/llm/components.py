@@ -71,7 +71,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node that links reach) for every node of links(a, b).
 
     Direction, repeated links and links of a node with itself don't matter; rows with a null end are ignored; an
-    empty table gives an empty result. Each round is a written table of the shared folder.
+    empty table gives an empty result. Each round is a written table of the shared folder; the last one's files can be
+    discarded with the result.
     """
     ends = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     edges = written(_contracted(ends.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))), "edges")
@@ -87,4 +88,6 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         before = now
     own = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)
+    out.written_path = edges.written_path
+    return out

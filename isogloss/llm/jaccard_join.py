@@ -1,48 +1,59 @@
 """N-gram Jaccard join (operator 4) by partitioning the universe of shingles.
 
-Sets of similar size share a band. In a band, every shingle belongs to one of m segments, by its hash. Two sets
-that link differ in at most H shingles, H following from the sizes, so if segment i is compared up to fewer than
-v[i] differences and the v[i] add up to H + 1, one segment agrees that far (pigeonhole). v = 1 compares a segment's
-subset of the set whole; v = 2 also by its one-deletion neighbourhood. How many segments have which v is chosen for
-each band by the cost of signatures and of chance candidates. Sets that share a signature are candidates, and the
-texts' shingles decide.
-
-Equal sets are one class from the start. Of a signature's bucket, members are first compared with its smallest
-member only. Documents of buckets which that leaves with several components are compared in groups, block by block,
-inside tasks that give only the links which join components: what is connected already can't change one.
+Sets of similar size share a band. In a band, every shingle belongs to one of m segments, by its hash. Two sets that
+link differ in H shingles at most, H following from their sizes. A set gives segment i an allowance v[i] of 0, 1 or
+2, and these add up to H + 1 (for the largest H that a partner can have): for a linked set there is a segment in
+which the two differ in fewer than v[i] shingles (pigeonhole). v = 1 finds it by the signature of the segment's
+subset; v = 2 by that of the subset or of one with a shingle less on either side, its one-deletion neighbourhood. A
+subset without shingles would meet every other such set, so it gets 0, and as many of the largest subsets among the
+first K segments get 2 instead; K is chosen for each band by the cost of signatures and of chance candidates. So all
+index the subsets of all segments and the neighbourhoods of the first K; a set without enough segments for 2 also
+asks for its empty ones.
+
+Texts with equal words are one class from the start. Sets that share a signature are candidates: members of a bucket
+are first compared with one of them, then those that are still in different components in groups, inside tasks.
+Candidates are verified by their shingles themselves, not by hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
-from .arrow_text import map_texts, small_batches
+from ..session import discard, written
+from .arrow_text import map_texts, slices, texts_of
 from .components import connected_components
 
-#: Bytes whose words are hashed together.
+#: Bytes whose words are held as objects at once.
 CHUNK = 1 << 21
-#: Class ids up to this number (8 bytes each) are broadcast to choose texts; more are joined by shuffle.
+#: Ids up to this number (8 bytes each) are broadcast to choose texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Documents of a group that one task compares with each other, or with as many others.
 GROUP_ROWS = 1024
 #: What a chance candidate costs, in signatures.
 CANDIDATE_COST = 50.0
-_SPACE = b" \t\n\x0b\x0c\r"
+#: A segment needs so many shingles to get the allowance 2.
+LEAST_TWO = 3
+#: Rows of one signature that a task sends on, at most, from each BUFFER of its signatures; further ones are compared
+#: with one of these.
+LOCAL_ROWS, BUFFER = 8, 2_000_000
 _GAP = re.compile(rb"[ \t-\r]")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_IS_SPACE = np.isin(np.arange(256), list(_SPACE))
+#: What a row of a bucket is: a subset that also asks for neighbourhoods (or an empty one that asks), a subset, a
+#: member of a neighbourhood that asks for subsets, one that only answers, and an empty subset, which only answers,
+#: too. It stands above the digest's 60 bits.
+ASKS, SUBSET, NEAR, ANSWERS, EMPTY = range(5)
+_DIGEST = np.uint64((1 << 60) - 1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -54,77 +65,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, made once and grown where a long word needs it."""
-
-    size = 0
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if cls.size < n:
-            cls.size = max(n, CHUNK + 4096)
-            cls.up, cls.down = _powers(_BASE, cls.size), _powers(_INVERSE, cls.size)
-        return cls.up, cls.down
-
-
-def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of words and their hashes."""
-    b = np.frombuffer(data.translate(_LOWER), np.uint8)
-    edge = np.diff(np.concatenate([[True], _IS_SPACE[b], [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _Powers.get(len(b) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * up[: len(b)], dtype=np.uint64)])
-    return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def word_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
-    """For each text the hashes of its words, A-Z lower-cased; a word is a run without white space."""
-    out: list[list[np.ndarray]] = [[] for _ in texts]
-    parts: list[tuple[int, bytes]] = []
-    size = 0
-
-    def flush() -> None:
-        if parts:
-            start, h = _words(b" ".join(p for _, p in parts))
-            ends = np.cumsum([len(p) + 1 for _, p in parts])
-            for (k, _), piece in zip(parts, np.split(h, np.searchsorted(start, ends)[:-1]), strict=True):
-                out[k].append(piece)
-            parts.clear()
-
-    for k, text in enumerate(texts):
-        at, text = 0, text or b""
-        while at < len(text):
-            gap = _GAP.search(text, at + CHUNK) if len(text) - at > CHUNK else None
-            end = gap.start() if gap else len(text)
-            parts.append((k, text[at:end]))
-            size += end - at
-            at = end
-            if size >= CHUNK:
-                flush()
-                size = 0
-    flush()
-    return [np.concatenate(p) if p else np.zeros(0, np.uint64) for p in out]
-
-
-def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
-    """For each text its distinct shingles as sorted 64-bit hashes; fewer words than `words` are one shingle."""
-    out = []
-    for h in word_hashes(texts):
-        n = min(words, len(h))
-        if not n:
-            out.append(h)
-            continue
-        s = np.full(len(h) - n + 1, n, np.uint64)
-        for i in range(n):
-            s = mix(s * np.uint64(0x2545F4914F6CDD1D) + h[i : len(h) - n + 1 + i])
-        out.append(np.unique(s))
-    return out
+def words_of(text: bytes | None) -> Iterator[list[bytes]]:
+    """The words of a text (runs without white space, A-Z lower-cased) in lists, each from about CHUNK bytes."""
+    at, text = 0, text or b""
+    while at < len(text):
+        gap = _GAP.search(text, at + CHUNK) if len(text) - at > CHUNK else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end].translate(_LOWER).split()  # without an argument, bytes are split at space and \t to \r
+        at = end
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of a text's words."""
+    parts = [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) for words in words_of(text)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def shingle_set(h: np.ndarray, words: int) -> np.ndarray:
+    """The distinct shingles of a sequence of words as sorted 64-bit hashes; fewer words than `words` are one."""
+    n = min(words, len(h))
+    if not n:
+        return h
+    s = np.full(len(h) - n + 1, n, np.uint64)
+    for i in range(n):
+        s += h[i : len(h) - n + 1 + i] * (mix(np.array([i + 1], np.uint64)) | np.uint64(1))
+    return np.unique(mix(s))
+
+
+def exact_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
+    """For each text its distinct shingles as sorted numbers. Equal shingles of these texts have equal numbers, and
+    only they: words are compared as bytes, shingles as sequences of words."""
+    known: dict[bytes, int] = {}
+    rows = [np.array([known.setdefault(w, len(known) + 1) for part in words_of(t) for w in part], np.int64) for t in texts]
+    sizes = np.array([max(len(r) - words + 1, min(1, len(r))) for r in rows], np.int64)
+    number = np.zeros(int(sizes.sum()), np.int64)
+    for i in range(words):  # numbers of sequences of 1, 2, ... words; 0 stands for no further word
+        column = np.concatenate([r[i : i + n] if len(r) >= words else np.append(r, np.zeros(words, np.int64))[i : i + n] for r, n in zip(rows, sizes.tolist(), strict=True)] or [number])
+        number = np.unique(number * (len(known) + 1) + column, return_inverse=True)[1]
+    return [np.unique(part) for part in np.split(number, np.cumsum(sizes)[:-1])] if len(texts) else []
 
 
 @dataclass(frozen=True)
@@ -142,6 +120,9 @@ class Threshold:
         """Of the sets that link with one of this size, the largest size."""
         return size * self.whole // self.part
 
+    def smallest(self, size: int) -> int:
+        return -(-size * self.part // self.whole)
+
     def bands(self, most: int) -> list[int]:
         """The smallest size of each band, up to one past `most`: a set's partners lie in its band and the ones
         beside it."""
@@ -150,122 +131,218 @@ class Threshold:
             out.append(self.largest(out[-1]) + 1)
         return [*out, self.largest(out[-1]) + 1]
 
-
-def allocate(sets: int, size: int, need: int) -> tuple[int, int]:
-    """Segments with v = 2 and with v = 1 (twice the first and the second add up to `need`) that cost least for
-    `sets` sets of about `size` shingles: signatures, and chance meetings of empty or almost empty segments."""
-    best = (math.inf, 0, need)
-    for twos in sorted({0, 1, need // 8, need // 4, need // 2}):
-        ones = need - 2 * twos
-        if ones < 0:
-            continue
-        each = size / (ones + twos)
-        none = math.exp(-2 * each)
-        cost = sets * (ones + twos * (each + 2)) + CANDIDATE_COST * sets * sets * none * (ones + twos * (1 + 2 * each))
-        best = min(best, (cost, twos, ones))
-    return best[1], best[2]
+    def link(self, a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both > 0 and self.whole * both >= self.part * (len(a) + len(b) - both)
+
+
+def _beyond(mean: float, most: float) -> float:
+    """The chance that a Poisson variable exceeds `most`."""
+    term = total = math.exp(-mean)
+    for i in range(1, int(most) + 1):
+        term *= mean / i
+        total += term
+    return max(0.0, 1 - total)
+
+
+def allocate(sets: int, threshold: Threshold, low: int, high: int) -> int:
+    """K for a band of sizes low to high - 1 that `sets` sets take part in: the number of segments with
+    neighbourhoods at which these signatures, and chance meetings of empty subsets of sets that don't have enough
+    segments for the allowance 2, cost least."""
+    m = threshold.differences(2 * (high - 1)) + 1
+    most = min(m, threshold.differences(threshold.smallest(low) + low) + 1)
+    best = (math.inf, 0)
+    sizes = sorted({threshold.smallest(low), low, (low + high) // 2, high - 1})
+    for k in sorted({0, *range(1, min(most, 33)), *(most * i // 32 for i in range(33))}):
+        cost = 0.0
+        for n in sizes:
+            each = n / m
+            empty, small = math.exp(-each), math.exp(-each) * sum(each**i / math.factorial(i) for i in range(LEAST_TWO))
+            need = threshold.differences(n + min(threshold.largest(n), high - 1)) + 1
+            cost += sets * k * each + CANDIDATE_COST * sets * sets * empty * _beyond(need * empty, k * (1 - small))
+        best = min(best, (cost, k))
+    return best[1]
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """bands: smallest sizes; segments: for each band, how many segments have v = 2 and v = 1."""
+    """bands: smallest sizes; near: for each band, how many segments have neighbourhoods (K)."""
 
     threshold: Threshold
     bands: tuple[int, ...]
-    segments: tuple[tuple[int, int], ...]
+    near: tuple[int, ...]
 
     def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of a set, and whether each is of a whole subset (else one of its deletions)."""
-        n, out, whole = len(s), [], []
+        """Signatures of a set, and what each is (ASKS, SUBSET, NEAR, ANSWERS or EMPTY)."""
+        n, out, kinds = len(s), [], []
         own = int(np.searchsorted(self.bands, n, side="right")) - 1
         for band in (own, own + 1):
             if band + 1 >= len(self.bands) or self.threshold.largest(n) < self.bands[band]:
                 continue
-            partner = min(self.threshold.largest(n), self.bands[band + 1] - 1)
-            need = self.threshold.differences(n + partner) + 1
-            if need == 1:  # only equal sets link
-                continue
-            twos, ones = self.segments[band]
-            m = twos + ones
-            h = mix(s + np.uint64(band * 2 + 1))
-            segment = (h % np.uint64(m)).astype(np.int64)
-            token = mix(h)
-            total = np.zeros(m, np.uint64)
-            np.add.at(total, segment, token)
-            # Segments in order until their v add up to what this set's partners need; all partners do the same.
-            used = (need + 1) // 2 if need <= 2 * twos else need - twos
-            key = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 20))
-            out.append(mix(total[:used] + key[:used]))
-            whole.append(np.ones(used, bool))
-            if twos:
-                near = segment < min(used, twos)
-                out.append(mix(total[segment[near]] - token[near] + key[segment[near]]))
-                whole.append(np.zeros(int(near.sum()), bool))
+            high = self.bands[band + 1] - 1
+            m, k = self.threshold.differences(2 * high) + 1, self.near[band]
+            need = self.threshold.differences(n + min(self.threshold.largest(n), high)) + 1
+            token = mix(s + np.uint64(band * 2 + 1))
+            segment = (token % np.uint64(m)).astype(np.int64)
+            token = mix(token)
+            if need < m:  # a pair's segments are the first that it needs, which both sets have
+                used = segment < need
+                token, segment = token[used], segment[used]
+            count = np.bincount(segment, minlength=need)
+            order = np.argsort(segment, kind="stable")
+            token, segment = token[order], segment[order]
+            some = np.flatnonzero(count)
+            total = np.zeros(need, np.uint64)
+            if len(some):
+                total[some] = np.add.reduceat(token, (np.cumsum(count) - count)[some])
+            key = mix(np.arange(need, dtype=np.uint64) + np.uint64((band + 1) << 32))
+            kind = np.where(count > 0, SUBSET, EMPTY)
+            empty = need - len(some)
+            two = np.zeros(need, bool)
+            if empty:
+                first = np.flatnonzero(count[:k] >= LEAST_TWO)
+                two[first[np.argsort(-count[first], kind="stable")][:empty]] = True
+                kind[two] = ASKS
+                left = empty - int(two.sum())
+                if left:
+                    kind[np.flatnonzero(count == 0)[:left]] = ASKS
+            out.append(mix(total + key))
+            kinds.append(kind)
+            # A subset that asks has LEAST_TWO shingles at least, so that smaller neighbours never answer.
+            near = (segment < k) & ((count > LEAST_TWO) | two)[segment]
+            if near.any():
+                at = segment[near]
+                out.append(mix(total[at] - token[near] + key[at]))
+                kinds.append(np.where(two[at], NEAR, ANSWERS))
         if not out:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
-        return np.concatenate(out), np.concatenate(whole)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.concatenate(out), np.concatenate(kinds)
 
 
 DIGESTS = "doc_id long, n_shingles long, d1 long, d2 long"
 
 
+def _text_digest(text: bytes | None, ident: int | None) -> tuple[int, int]:
+    """128 bits that stand for the words of a text; those of a text without words are its id."""
+    h = hashlib.blake2b(digest_size=16)
+    some = False
+    for words in words_of(text):
+        if words:
+            h.update(b" " * some + b" ".join(words))
+            some = True
+    return (int.from_bytes(h.digest()[:8], "little", signed=True), int.from_bytes(h.digest()[8:], "little", signed=True)) if some else (ident or 0, 0)
+
+
 def set_digests(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, the size of its set, and 128 bits that stand for the set."""
+    """doc_id, the size of its set, and 128 bits that stand for its sequence of words."""
 
     def batch(ids: list, texts: list) -> dict[str, list]:
-        sets = shingle_sets(texts, words)
-        two = [(int(s.sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64))) for s in sets]
-        one, other = (np.array([t[i] for t in two], np.uint64).view(np.int64) for i in (0, 1))
-        return {"doc_id": ids, "n_shingles": [len(s) for s in sets], "d1": one.tolist(), "d2": other.tolist()}
+        two = [_text_digest(t, i) for t, i in zip(texts, ids, strict=True)]
+        return {"doc_id": ids, "n_shingles": [len(shingle_set(word_hashes(t), words)) for t in texts], "d1": [d[0] for d in two], "d2": [d[1] for d in two]}
 
     return map_texts(docs, batch, DIGESTS, id_col, text_col)
 
 
+def _short(d1: np.ndarray) -> np.ndarray:
+    return d1.view(np.uint64) >> np.uint64(4)
+
+
+def collapse(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sig, node and hub: of signatures with more than LOCAL_ROWS rows, the first (smallest) node stays (hub 0), the
+    others get it as their hub. Empty subsets all stay."""
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+    count = np.diff(np.append(head, len(sig)))
+    first = np.repeat(head, count)
+    later = (np.repeat(count, count) > LOCAL_ROWS) & (np.arange(len(sig)) > first) & (node >> 60 < EMPTY)
+    return sig, node, np.where(later, node[first], 0) if len(sig) else node
+
+
+_SIGNED = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("hub", pa.int64())])
+
+
 def _signature_rows(docs: DataFrame, scheme: Scheme, words: int, id_col: str, text_col: str) -> DataFrame:
-    """sig, doc_id, whole. Of equal sets that a task has seen lately, one row's signatures are enough: the others
-    are in its class."""
-    small_batches(docs)
-    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("whole", pa.bool_())])
+    """sig, node (what the row is, and 60 bits of the text's digest) and hub. Texts of one class that a task has seen
+    lately are signed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            sigs, ids, whole = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), strict=True):
-                key = s[:8].tobytes() + np.uint64(len(s)).tobytes() + s.sum(dtype=np.uint64, keepdims=True).tobytes()
-                if not len(s) or key in seen:
+        seen: set[tuple[int, int]] = set()
+        sigs: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            sig, node, hub = collapse(np.concatenate(sigs).view(np.int64), np.concatenate(nodes))
+            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(hub)], schema=_SIGNED)
+
+        for batch in slices(batches):
+            for text in batch.column(1).to_pylist():
+                key = _text_digest(text, None)
+                if key in seen or key == (0, 0):
                     continue
                 if len(seen) > 50_000:
                     seen.clear()
                 seen.add(key)
-                sig, w = scheme.signatures(s)
+                sig, kind = scheme.signatures(shingle_set(word_hashes(text), words))
                 sigs.append(sig)
-                ids.append(np.full(len(sig), i, np.int64))
-                whole.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(whole))], schema=schema)
+                nodes.append((kind << 60) | int(_short(np.array(key[:1], np.int64))[0]))
+                size += len(sig)
+                if size >= BUFFER:
+                    yield made()
+                    sigs, nodes, size = [], [], 0
+        if sigs:
+            yield made()
 
-    rows = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "sig long, doc_id long, whole boolean")
+    return texts_of(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col).mapInArrow(run, "sig long, node long, hub long")
+
+
+_MET = pa.schema([("sig", pa.int64()), ("hub", pa.int64()), ("node", pa.int64())])
+
+
+def _met(signed: DataFrame) -> DataFrame:
+    """sig, hub and node: for each signature that candidates share, every other member with one of them.
+
+    Rows are sorted by signature, and in it those that can be a hub come first, so that only the last hub is held.
+    Rows that have a hub already are dealt out evenly.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 2), np.int64)
+        for batch in batches:
+            sig, node, hub = (c.to_numpy() for c in batch.columns)
+            known = hub != 0
+            out = [np.stack([sig[known], hub[known], node[known]])]
+            rows = np.concatenate([held, np.stack([sig[~known], node[~known]], 1)])
+            if len(rows):
+                head = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+                first = np.repeat(head, np.diff(np.append(head, len(rows))))
+                asked, kind = rows[first, 1] >> 60, rows[:, 1] >> 60
+                keep = (rows[:, 1] != rows[first, 1]) & ((asked == ASKS) | (asked == SUBSET) & (kind <= NEAR))
+                out.append(np.stack([rows[keep, 0], rows[first[keep], 1], rows[keep, 1]]))
+                held = rows[head[-1] : head[-1] + 1]
+            sig, hub, node = np.concatenate(out, 1)
+            hub, node = hub & int(_DIGEST), node & int(_DIGEST)
+            differ = hub != node
+            yield pa.RecordBatch.from_arrays([pa.array(c[differ]) for c in (sig, hub, node)], schema=_MET)
+
+    dealt = F.when(F.col("hub") == 0, F.col("sig")).otherwise(F.xxhash64("sig", "node"))
+    return signed.repartition(dealt).sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, hub long, node long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold, words: int) -> DataFrame:
     """The pairs (a, b) of ids whose texts link."""
-    small_batches(pairs, 200)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 200):
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            sets = dict(zip(texts_here := list({*ta, *tb}), shingle_sets(texts_here, words), strict=True))
-            keep = []
-            for x, y in zip(ta, tb, strict=True):
-                x, y = sets[x], sets[y]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(threshold.whole * both >= threshold.part * (len(x) + len(y) - both) and both > 0)
+            sets = dict(zip(here := list({*ta, *tb}), exact_sets(here, words), strict=True))
+            keep = [threshold.link(sets[x], sets[y]) for x, y in zip(ta, tb, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (a, b)], schema=schema)
 
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    return one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _labelled(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
@@ -274,98 +351,112 @@ def _labelled(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     return rows.join(labels, column, "left").withColumn(f"{column}_component", F.coalesce(f"{column}_component", column))
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and text of the classes in wanted(node, rep, d1, d2), from a document that has the id and the words."""
+    few = wanted.count() <= BROADCAST_IDS
+    ids = wanted.select(F.col("rep").alias("id")).distinct()
+    source = texts_of(docs, id_col, text_col).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+    def batch(ids: list, texts: list) -> dict[str, list]:
+        two = [_text_digest(t, i) for t, i in zip(texts, ids, strict=True)]
+        return {"text": texts, "d1": [d[0] for d in two], "d2": [d[1] for d in two]}
+
+    digested = map_texts(source, batch, "text binary, d1 long, d2 long", "id", "text")
+    some = digested.join(F.broadcast(wanted) if few else wanted, ["d1", "d2"])
+    return some.groupBy("node").agg(F.first("text").alias("text"))
+
+
 def similar_documents(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold(80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach), one row per row of docs.
 
     A document's set: the distinct `words`-word shingles of its whole text, A-Z lower-cased; with fewer words, the
-    whole sequence as one; without words or text it is empty and links with nothing. Shingles are compared as
-    64-bit hashes. Rows with one doc_id are one node, whatever their texts; rows with a null id have a null
-    component. Repeated rows are kept, an empty table gives an empty result; other columns are not read. Sizes of
-    sets are counted over all documents, for the bands; only those counts come to the driver.
+    whole sequence as one; without words or text it is empty and links with nothing. Linked are texts with equal
+    words (by a 128-bit digest) and candidates whose shingles, compared as such, reach the threshold. Rows with one
+    doc_id are one node, whatever their texts; rows with a null id have a null component. Repeated rows are kept, an
+    empty table gives an empty result; other columns are not read. Sizes of sets are counted over all documents, for
+    the bands; only those counts come to the driver.
     """
-    spark = docs.sparkSession
     digests = written(set_digests(docs, words, id_col, text_col), "digests")
-    classes = digests.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    # Ids of a document and of its class, and classes that one id brings together.
-    members = digests.join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    members = written(members, "members")
-    both = members.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    many = both.filter("a <> b").select("doc_id")
-    joined = members.join(many, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    sets = members.filter("doc_id = rep and n_shingles > 0")
+    known = digests.filter(F.col("doc_id").isNotNull())
+    # Classes get numbers when they are written, so that these stay as they are.
+    named = known.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = written(named.withColumn("node", F.monotonically_increasing_id()).withColumn("short", F.shiftrightunsigned("d1", 4)), "classes")
+    # Classes that one id brings together.
+    several = known.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).filter("x <> y").select("doc_id")
+    shared = known.join(several, "doc_id", "left_semi").distinct().join(classes.select("n_shingles", "d1", "d2", "node"), ["n_shingles", "d1", "d2"]).select("doc_id", "node")
+    joined = shared.join(shared.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("a <> node").select("a", F.col("node").alias("b"))
+
+    sets = classes.filter("n_shingles > 0")
     bands = threshold.bands(sets.agg(F.max("n_shingles")).first()[0] or 1)
     of_band = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bands]), lambda b: b <= F.col("n_shingles"))) - 1
     counts = {r["band"]: r["count"] for r in sets.groupBy(of_band.alias("band")).count().collect()}
-    segments = []
-    for k, above in enumerate(bands[1:]):
-        segments.append(allocate(max(1, counts.get(k, 0) + counts.get(k - 1, 0)), above - 1, threshold.differences(2 * (above - 1)) + 1))
-    scheme = Scheme(threshold, tuple(bands), tuple(segments))
-
-    signed = _signature_rows(docs, scheme, words, id_col, text_col)
-    one = Window.partitionBy("sig")
-    met = signed.withColumn("low", F.min("doc_id").over(one)).withColumn("high", F.max("doc_id").over(one)).withColumn("hub", F.min(F.when(F.col("whole"), F.col("doc_id"))).over(one))
-    met = met.filter("low <> high and hub is not null").select("sig", "doc_id", "whole", "hub")
-    own = members.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    # From here on a class is named by its smallest id.
-    met = met.join(own, "doc_id").select("sig", F.col("rep").alias("doc_id"), "whole", "hub").join(own.select(F.col("doc_id").alias("hub"), F.col("rep").alias("hub_rep")), "hub")
-    met = written(met.groupBy("sig", "doc_id").agg(F.max("whole").alias("whole"), F.min("hub_rep").alias("hub")), "buckets")
-    stars = written(met.filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), "stars")
-
-    wanted = written(met.select(F.col("doc_id").alias("id")).distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
-    texts = written(source.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), "texts")
+    near = [allocate(max(1, counts.get(k, 0) + counts.get(k - 1, 0)), threshold, low, high) for k, (low, high) in enumerate(zip(bands, bands[1:], strict=False))]
+    scheme = Scheme(threshold, tuple(bands), tuple(near))
+    met = written(_met(_signature_rows(docs, scheme, words, id_col, text_col)), "met")
+
+    # From here on classes go by their numbers; the short digests of two may be equal, and then both are meant.
+    short = classes.filter("n_shingles > 0").select("short", "node")
+    pairs = met.select("hub", "node").distinct().withColumnRenamed("node", "other")
+    ends = pairs.join(short.select(F.col("short").alias("hub"), F.col("node").alias("x")), "hub").join(short.select(F.col("short").alias("other"), F.col("node").alias("y")), "other")
+    stars = written(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "stars")
+    ids = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    wanted = written(classes.join(ids, "node", "left_semi").select("node", "rep", "d1", "d2"), "wanted")
+    texts = written(_texts(docs, wanted, id_col, text_col), "texts")
 
     first = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    links = written(_verified(first, texts, threshold, words).unionByName(joined), "links")
-    nodes = connected_components(links)
-    # Then each bucket's members with its smallest one, where they aren't connected yet.
+    links = [written(_verified(first, texts, threshold, words).unionByName(joined), "links")]
+    nodes = connected_components(links[0])
+    # Then each bucket's members with its hub, where they aren't connected yet.
     apart = _labelled(_labelled(stars, nodes, "a"), nodes, "b").filter("a_component <> b_component").select("a", "b")
-    more = written(_verified(apart.join(first, ["a", "b"], "left_anti"), texts, threshold, words), "links")
-    for step in (lambda _: more, lambda known: written(_linked_in_groups(met, known, texts, threshold, words), "links")):
-        new = step(nodes)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            nodes = connected_components(links)
-    return _labelled(members.select("doc_id", "n_shingles", "rep"), nodes, "rep").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep_component")).alias("component_id"))
-
-
-def _mixed(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """sig, doc_id and component of the members of buckets that still hold several components."""
-    rows = _labelled(met.select("sig", "doc_id"), nodes, "doc_id")
-    ends = rows.groupBy("sig").agg(F.min("doc_id_component").alias("x"), F.max("doc_id_component").alias("y")).filter("x <> y")
-    return rows.join(ends.select("sig"), "sig", "left_semi").withColumnRenamed("doc_id_component", "component")
-
-
-def _linked_in_groups(met: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: Threshold, words: int) -> DataFrame:
+    for step in (lambda _: _verified(apart.join(first, ["a", "b"], "left_anti"), texts, threshold, words), lambda now: _linked_in_groups(met, short, now, texts, threshold, words)):
+        links.append(written(step(nodes), "links"))
+        if not links[-1].isEmpty():
+            before, nodes = nodes, connected_components(reduce(DataFrame.unionByName, links))
+            discard(before)
+    # A component is named by its smallest document.
+    names = _labelled(classes.select("node", "rep", "n_shingles", "d1", "d2"), nodes, "node")
+    smallest = names.groupBy("node_component").agg(F.min("rep").alias("least"))
+    labels = written(names.join(smallest, "node_component").select("n_shingles", "d1", "d2", "least"), "labels")
+    for table in (met, stars, wanted, texts, first, nodes, classes, *links):
+        discard(table)
+    out = digests.join(labels, ["n_shingles", "d1", "d2"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))
+
+
+def _linked_in_groups(met: DataFrame, short: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: Threshold, words: int) -> DataFrame:
     """Links (a, b) that join the components which share a bucket: enough of them, not all.
 
-    Documents that buckets with several components connect are a group. A group is dealt into blocks of about
-    GROUP_ROWS, and a task compares two blocks (or one with itself) by their shingles' postings; it gives a link
-    only where its ends aren't joined yet, so no pairs are written out.
+    Documents that buckets with several components connect are a group, which one task compares; of a group with
+    more than GROUP_ROWS documents, each bucket is one of its own (buckets with equal members once), dealt into
+    blocks of about GROUP_ROWS where it is larger. Tasks compare by their shingles' postings and give a link only
+    where its ends aren't joined yet, so no pairs are written out.
     """
-    rows = written(_mixed(met, nodes), "mixed")
-    least = rows.groupBy("sig").agg(F.min("doc_id").alias("b"))
-    groups = connected_components(rows.join(least, "sig").select(F.col("doc_id").alias("a"), "b"))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(GROUP_ROWS)).cast("int").alias("blocks"))
-    own = rows.groupBy("doc_id").agg(F.min("component").alias("inside"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = groups.join(sizes, "component").join(own.withColumnRenamed("doc_id", "node"), "node").withColumn("block", block)
+    members = met.select("sig", "hub").unionByName(met.select("sig", F.col("node").alias("hub"))).distinct()
+    named = members.join(short, F.col("hub") == F.col("short")).select("sig", "node")
+    held = written(_labelled(named, nodes, "node").withColumnRenamed("node_component", "component"), "members")
+    # Of two members, one is the other's hub, and they have been compared.
+    mixed = held.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("own")).filter("x <> y and n > 2")
+    once = written(mixed.groupBy("n", "x", "y", "own").agg(F.min("sig").alias("sig")), "mixed")
+    rows = written(held.join(once.select("sig", "x"), "sig"), "members")
+    groups = connected_components(rows.join(rows.groupBy("sig").agg(F.min("node").alias("b")), "sig").select(F.col("node").alias("a"), "b"))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    of_bucket = rows.select("sig", "node").join(groups.withColumnRenamed("component", "group"), "node").join(sizes.withColumnRenamed("component", "group"), "group")
+    small = F.col("size") <= GROUP_ROWS
+    units = of_bucket.select(small.alias("small"), F.when(small, F.col("group")).otherwise(F.col("sig")).alias("unit"), "node").distinct()
+    blocks = units.groupBy("small", "unit").agg(F.ceil(F.count("*") / F.lit(GROUP_ROWS)).cast("int").alias("blocks"))
+    dealt = units.join(blocks, ["small", "unit"]).join(rows.groupBy("node").agg(F.min("component").alias("inside")), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("component", "node", "inside", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.withColumn("other", other).select("small", "unit", "node", "inside", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def run(frame):
         import pandas as pd
 
         frame = frame.sort_values("node").reset_index(drop=True)
-        sets = shingle_sets(frame["text"].tolist(), words)
-        found = links_of(sets, frame["inside"].tolist(), frame["block"].to_numpy(), threshold)
+        found = links_of(exact_sets(frame["text"].tolist(), words), frame["inside"].tolist(), frame["block"].to_numpy(), threshold)
         node = frame["node"].to_numpy()
         return pd.DataFrame({"a": node[[a for a, _ in found]], "b": node[[b for _, b in found]]}, dtype="int64")
 
-    held = dealt.join(texts.withColumnRenamed("id", "node"), "node")
-    return held.groupBy("component", "i", "j").applyInPandas(run, "a long, b long")
+    return dealt.join(texts, "node").groupBy("small", "unit", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def links_of(sets: list[np.ndarray], inside: list[int], block: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:

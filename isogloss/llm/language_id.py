@@ -11,10 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import map_texts, small_batches
+from .arrow_text import map_texts, slices
 
 #: Families of ISO 639-1 codes. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -175,17 +176,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     space = 1 << 40
     limit = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(space, space * per_language // r["count"])))])
     chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(space)) < F.coalesce(limit[F.col("lang")], F.lit(0)))
-    small_batches(docs, 200)
 
-    def vectors(frames):
-        for frame in frames:
-            x = features([v.encode() for v in frame["text"]]).astype(np.float16)
-            yield frame.assign(x=[v.tobytes() for v in x])[["lang", "x"]]
+    def vectors(batches):
+        for batch in slices(batches, 200):
+            x = features(batch.column(1).cast(pa.binary()).to_pylist()).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(2)], ["id", "x", "lang"])
 
-    got = chosen.select("text", "lang").mapInPandas(vectors, "lang string, x binary").limit(2 * per_language * len(counts)).collect()
+    # A repeated row is one example, and sums run in the order of the rows, however they come in.
+    got = sorted({tuple(r) for r in chosen.select("id", "text", "lang").mapInArrow(vectors, "id long, x binary, lang string").collect()})
     if not got:
         return Model((), (), np.zeros((0, 0)), (), np.zeros((0, 0)))
-    return fit(np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32), [r["lang"] for r in got])
+    return fit(np.stack([np.frombuffer(x, np.float16) for _, x, _ in got]).astype(np.float32), [lang for _, _, lang in got])
 
 
 SCHEMA = "doc_id long, lang_pred string, score double"

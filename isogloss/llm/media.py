@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import webp
-from .arrow_text import map_texts, small_batches
+from .arrow_text import map_texts, slices
 
 #: Bytes of a row of samples; a payload is a whole number of rows. Rows of one image, at most.
 ROW, ROWS = 576, 4096
@@ -87,11 +87,10 @@ def decode_images(df: DataFrame, media_col: str = "media", id_col: str = "doc_id
     """doc_id, image (from 0), width, height and pixels (the ARGB bytes of each pixel in that order, row by row) of
     every image in a binary column. A null or empty value gives no rows; bytes that aren't lossless WebP are an
     error; repeated rows give repeated results."""
-    small_batches(df, 100)
     schema = "doc_id long, image int, width int, height int, pixels binary"
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 100):
             rows = [(i, k, p.shape[1], p.shape[0], p.astype(">u4").tobytes()) for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, p in enumerate(images(m or b""))]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .arrow_text import small_batches
-from .jaccard_join import _BYTE, _Powers, mix
+from .arrow_text import slices
+from .jaccard_join import mix
 
 #: Bytes of text whose windows are anchored together (their places must fit in PLACE bits of a sort key).
 PLACE = 20
@@ -46,6 +46,29 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(_key(id_col).alias("doc"), F.hash(text).alias("tag"), text.cast("binary").alias("text"))
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class _Powers:
+    """Powers of the base and of its inverse modulo 2**64, made once and grown where needed."""
+
+    size = 0
+
+    @classmethod
+    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if cls.size < n:
+            cls.size = max(n, SEGMENT + 4096)
+            cls.up, cls.down = _powers(_BASE, cls.size), _powers(pow(_BASE, -1, 1 << 64), cls.size)
+        return cls.up, cls.down
+
+
 class Fingerprints:
     """Fingerprints of any stretch of some bytes, from sums of their powers."""
 
@@ -156,7 +179,7 @@ def _ranked(schema: pa.Schema, again: np.ndarray, number: np.ndarray, one: np.nd
 
 def _anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for data, numbers, offsets, ends in _segments(texts, length):
@@ -272,7 +295,7 @@ def _pairs(texts: DataFrame, length: int, start: int) -> DataFrame:
         return _ranked(_PAIRS, again, number, one, two, docs[number], tags[number], p, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             docs, tags, parts, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], 0
             for k, (text, (lo, hi)) in enumerate(zip(batch.column(2).to_pylist(), _ends(batch.column(3)), strict=True)):
                 for a, b in _pieces(*_merged(lo, np.minimum(hi + beyond, len(text) - start - step))):
@@ -330,7 +353,6 @@ def _double(pairs: DataFrame, reached: int, length: int) -> DataFrame:
 def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = 32, start: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, tag and stretches (lo, hi): starts of the windows of `length` bytes that also start earlier (in a smaller
     doc, or at a smaller offset of the same doc)."""
-    small_batches(docs)
     source = _source(docs, id_col, text_col)
     sorted_anchors = written(_rerank_anchors(_anchor_rows(source, length, gram)), "anchors")
     open_windows = _stretches_of(sorted_anchors.filter("kind = 2").select("doc", "tag", "lo", "hi"))
@@ -369,7 +391,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, start: in
     schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text, (lo, hi) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _ends(batch.column(2)), strict=True):
                 begin, end = _spans(lo, hi, length)

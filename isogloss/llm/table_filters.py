@@ -9,16 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import small_batches
+from .arrow_text import slices
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[int | None], list[bytes | None]], list[bool]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, for which keep(ids, texts) is true."""
-    small_batches(docs)
     i, t = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             mask = keep(batch.column(i).to_pylist(), batch.column(t).cast(pa.binary()).to_pylist())
             yield batch.filter(pa.array(np.asarray(mask, bool)))
 
@@ -27,11 +26,10 @@ def keep_rows(docs: DataFrame, keep: Callable[[list[int | None], list[bytes | No
 
 def rewrite_texts(docs: DataFrame, rewrite: Callable[[list[bytes | None]], list[bytes | None]], text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with each text replaced, and its number of characters where there is a column for it and it changed."""
-    small_batches(docs)
     t = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns, kind = list(batch.columns), batch.schema.field(t).type
             columns[t] = pa.array(rewrite(columns[t].cast(pa.binary()).to_pylist()), pa.binary()).cast(kind)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)

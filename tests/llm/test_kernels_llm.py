@@ -189,49 +189,72 @@ def brute_sets(text, n):
 @given(st.lists(st.text(alphabet="abAB é\t\n　.", max_size=40), max_size=6), st.integers(1, 4))
 @settings(deadline=None, max_examples=200)
 def test_shingle_sets(texts, n):
-    sets = jaccard_join.shingle_sets([t.encode() for t in texts], n)
-    for a, x in zip(texts, sets, strict=True):
-        assert len(x) == len(brute_sets(a, n))
-        for b, y in zip(texts, sets, strict=True):
-            assert len(np.intersect1d(x, y)) == len(brute_sets(a, n) & brute_sets(b, n))
+    data = [t.encode() for t in texts]
+    for sets in ([jaccard_join.shingle_set(jaccard_join.word_hashes(t), n) for t in data], jaccard_join.exact_sets(data, n)):
+        for a, x in zip(texts, sets, strict=True):
+            assert len(x) == len(brute_sets(a, n))
+            for b, y in zip(texts, sets, strict=True):
+                assert len(np.intersect1d(x, y)) == len(brute_sets(a, n) & brute_sets(b, n))
 
 
 def test_shingles_of_a_text_beyond_a_chunk(monkeypatch):
     text = b"one two three four five six " * 50
-    expected = jaccard_join.shingle_sets([text], 3)
+    expected, digest = jaccard_join.word_hashes(text), jaccard_join._text_digest(text, 1)
     monkeypatch.setattr(jaccard_join, "CHUNK", 64)
-    assert (jaccard_join.shingle_sets([text, None, b""], 3)[0] == expected[0]).all()
+    assert (jaccard_join.word_hashes(text) == expected).all() and not len(jaccard_join.word_hashes(None))
+    assert jaccard_join._text_digest(text, 1) == digest == jaccard_join._text_digest(text.upper() + b"\n", 2)
+
+
+def test_words_that_polynomial_hashes_confuse():
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    x, y = jaccard_join.word_hashes(f"{a} {b}".encode())
+    assert x != y
 
 
 @pytest.mark.parametrize("part", [80, 90])
-@pytest.mark.parametrize("twos", [False, True])
-def test_linked_sets_share_a_signature(part, twos):
-    """The pigeonhole: every pair over the threshold, of any sizes, meets with one whole subset at least."""
+@pytest.mark.parametrize("near", [0, 2, None])
+def test_linked_sets_share_a_signature(part, near):
+    """The pigeonhole: every pair over the threshold, of any sizes, meets in a bucket where one of them asks."""
     rng = np.random.default_rng(part)
     t = jaccard_join.Threshold(part, 100)
     bands = t.bands(400)
-    needs = [t.differences(2 * (above - 1)) + 1 for above in bands[1:]]
-    scheme = jaccard_join.Scheme(t, tuple(bands), tuple((n // 2, n - 2 * (n // 2)) if twos else (0, n) for n in needs))
-    for _ in range(600):
+    ranges = list(zip(bands, bands[1:], strict=False))
+    k = [min(near, t.differences(t.smallest(a) + a) + 1) if near is not None else jaccard_join.allocate(10**6, t, a, b) for a, b in ranges]
+    scheme = jaccard_join.Scheme(t, tuple(bands), tuple(k))
+    seen = 0
+    for _ in range(1500):
         n = int(rng.integers(1, 300))
         base = rng.integers(0, 1 << 63, n + 80).astype(np.uint64)
-        drop, add = rng.integers(0, max(1, n // 5) + 1, 2)
+        drop, add = rng.integers(0, max(1, n // 8) + 1, 2)
         x, y = np.unique(base[:n]), np.unique(np.concatenate([base[drop:n], base[n : n + add]]))
-        both = len(np.intersect1d(x, y))
-        if not both or 100 * both < part * (len(x) + len(y) - both) or np.array_equal(x, y):
+        if not t.link(x, y):
             continue
-        (sx, wx), (sy, wy) = scheme.signatures(x), scheme.signatures(y)
-        shared = set(sx[wx].tolist()) & set(sy.tolist()) | set(sx.tolist()) & set(sy[wy].tolist())
-        assert shared, (len(x), len(y), both)
-
-
-def test_allocation_covers_what_is_needed():
-    for sets in (10, 10**6, 10**11):
-        for size in (5, 50, 5000):
-            for need in (1, 2, 7, 300):
-                twos, ones = jaccard_join.allocate(sets, size, need)
-                assert 2 * twos + ones == need and ones >= 0
-    assert jaccard_join.allocate(10**11, 20, 4)[0] > jaccard_join.allocate(10, 20, 4)[0]
+        (sx, wx), (sy, wy) = ({}, {}), ({}, {})
+        for s, (sigs, kinds) in ((x, (sx, wx)), (y, (sy, wy))):
+            for sig, kind in zip(*scheme.signatures(s), strict=True):
+                sigs.setdefault(int(sig), set()).add(int(kind))
+        asks, subset, close = jaccard_join.ASKS, jaccard_join.SUBSET, jaccard_join.NEAR
+        met = [sig for sig in sx.keys() & sy.keys() if any(asks in pair or (subset in pair and max(pair) <= close) for pair in ((p, q) for p in sx[sig] for q in sy[sig]))]
+        assert met, (len(x), len(y))
+        seen += 1
+    assert seen > 500
+
+
+def test_neighbourhoods_grow_with_the_number_of_sets():
+    t = jaccard_join.Threshold(80, 100)
+    few, many = (jaccard_join.allocate(n, t, 200, 250) for n in (10, 10**10))
+    assert few < many <= t.differences(160 + 200) + 1
+
+
+def test_hot_signatures_are_collapsed(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LOCAL_ROWS", 3)
+    kind = lambda k, n: (k << 60) | n
+    rows = [(1, kind(1, n)) for n in range(9, 2, -1)] + [(2, kind(1, 5)), (2, kind(3, 6))] + [(3, kind(4, n)) for n in range(9)] + [(4, kind(0, 8)), *((4, kind(4, n)) for n in range(5))]
+    sig, node, hub = jaccard_join.collapse(*(np.array(c) for c in zip(*rows, strict=True)))
+    assert sorted(zip(sig.tolist(), node.tolist(), strict=True)) == sorted(rows)
+    assert {(s, n): h for s, n, h in zip(sig.tolist(), node.tolist(), hub.tolist(), strict=True) if h} == {(1, kind(1, n)): kind(1, 3) for n in range(4, 10)}
 
 
 def test_links_in_a_group_join_its_components():

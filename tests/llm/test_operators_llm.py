@@ -90,6 +90,40 @@ def test_jaccard_components(docs, words, part, group_rows, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, words, part)
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    """Links of every text of an id count; texts that only hashes confuse don't link."""
+    rng = random.Random(4)
+    one, two = (" ".join(rng.choices(WORDS, k=80)) for _ in range(2))
+    near = two.split()
+    near[40] = "other"
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(1, one), (5, one), (5, two), (9, " ".join(near)), (20, a), (21, b), (30, ""), (30, one + " x"), (30, None), (31, " "), (40, "p q"), (40, "r s"), (41, "r  S"), (41, "P q")]
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, jaccard_join.Threshold(90, 100))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, 3, 90)
+    assert {r.doc_id: r.component_id for r in got.collect()}[9] == 1
+
+
+@pytest.mark.parametrize("local", [1, 8])
+def test_jaccard_of_sets_with_empty_segments(spark, local, monkeypatch):
+    """Without neighbourhoods every set asks for its empty segments; large groups are compared bucket by bucket."""
+    monkeypatch.setattr(jaccard_join, "allocate", lambda *_: 0)
+    monkeypatch.setattr(jaccard_join, "LOCAL_ROWS", local)
+    monkeypatch.setattr(jaccard_join, "GROUP_ROWS", 5)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [rng.choices(vocabulary, k=rng.randint(8, 60)) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, 5, 80)
+
+
 def test_one_row_of_each_group_stays(docs):
     kept = table_filters.one_of_each(docs, jaccard_join.similar_documents(docs))
     members = brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 5, 80)
