@@ -1,8 +1,11 @@
 """Byte-level BPE encoding and decoding (operator 9) with the tiktoken library and a local rank file.
 
 A long text is cut where no match of the splitting pattern can cross: between a character that is not white space
-and white space after it (as the pattern's engine has it: Python's class has U+001C to U+001F, too). No alternative of the pattern goes on past white space once it has taken another
-character, and lookahead only looks at white space that a piece keeps whole, so the pieces' matches are the text's.
+and white space after it (as the pattern's engine has it: Python's class has U+001C to U+001F, too). No alternative
+of the pattern goes on past white space once it has taken another character, and lookahead only looks at white space
+that a piece keeps whole, so the pieces' matches are the text's. The engine can't match a million white-space
+characters in a row; a long run of them is a match by the pattern's rule: all of it but the last character, which
+begins the next match, or all of it at the end of a text.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECE = 1 << 16
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SAFE = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+_RUN = re.compile(rf"[{_SPACE}]+")
 
 
 @lru_cache(maxsize=2)
@@ -33,19 +37,29 @@ def encoding(ranks: bytes, pattern: str = public_tokenizers.PATTERN) -> tiktoken
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """The text cut at safe places; a stretch without one stays whole."""
+def pieces(text: str, size: int = PIECE) -> Iterator[tuple[str, bool]]:
+    """The text cut at safe places, and whether a piece is one match (a run of over `size` white-space characters); a
+    stretch without a safe place stays whole."""
     at = 0
-    while len(text) - at > size and (cut := _SAFE.search(text, at + size)):
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:]
+    runs = (r.span() for r in _RUN.finditer(text) if r.end() - r.start() > size) if len(text) > size else iter(())
+    for start, stop in [*runs, (len(text), len(text))]:
+        while start - at > size and (cut := _SAFE.search(text, at + size, start)):
+            yield text[at : cut.start()], False
+            at = cut.start()
+        if at < start:
+            yield text[at:start], False
+        at = stop - (start < stop < len(text))
+        if start < at:
+            yield text[start:at], True
 
 
 def encode(text: str, enc: tiktoken.Encoding, size: int = PIECE) -> list[int]:
     if len(text) <= size:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text, size) for i in enc.encode_ordinary(piece)]
+    out: list[int] = []
+    for piece, match in pieces(text, size):
+        out += enc._encode_single_piece(piece) if match else enc.encode_ordinary(piece)
+    return out
 
 
 def read_ranks(path: str | None = None) -> bytes:

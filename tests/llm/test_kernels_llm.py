@@ -139,7 +139,7 @@ ENC = byte_bpe.encoding(byte_bpe.read_ranks())
 @settings(deadline=None, max_examples=300)
 def test_bpe_cuts_are_safe(parts, size):
     text = "".join(parts)
-    assert "".join(byte_bpe.pieces(text, size)) == text
+    assert "".join(p for p, _ in byte_bpe.pieces(text, size)) == text
     ids = byte_bpe.encode(text, ENC, size)
     plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ENC._mergeable_ranks, special_tokens={})
     assert ids == plain.encode_ordinary(text)
@@ -152,10 +152,27 @@ def test_bpe_cuts_are_safe_before_odd_spaces(code):
         text = f"{sign}{chr(code)}!! {sign}{chr(code)}{chr(code)}\x1d?a " * 3
         plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ENC._mergeable_ranks, special_tokens={})
         for size in range(1, 8):
-            assert "".join(byte_bpe.pieces(text, size)) == text
+            assert "".join(p for p, _ in byte_bpe.pieces(text, size)) == text
             assert byte_bpe.encode(text, ENC, size) == plain.encode_ordinary(text)
     # A match of signs goes on past U+001C.
-    assert list(byte_bpe.pieces("!!!!\x1c!!!!", 2)) == ["!!!!\x1c!!!!"]
+    assert list(byte_bpe.pieces("!!!!\x1c!!!!", 2)) == [("!!!!\x1c!!!!", False)]
+
+
+@pytest.mark.parametrize("space", [" ", "\n", " \n\u3000"])
+@pytest.mark.parametrize("after", ["", "x", "!", "1", "\x1c"])
+def test_bpe_of_long_white_space(space, after):
+    """Over a million white-space characters are more than the engine can match in one go."""
+    run = space * (3_000_000 // len(space))
+    ids = byte_bpe.encode("a" + run + after, ENC)
+    assert ENC.decode_bytes(ids) == ("a" + run + after).encode()
+    # The match of a run is encoded as one piece; runs that the engine can match tell how.
+    short = space * (200_000 // len(space))
+    assert byte_bpe.encode("a" + short + after, ENC) == ENC.encode_ordinary("a" + short + after)
+
+
+def test_bpe_of_a_long_text_without_white_space():
+    text = "ab1!" * 100_000
+    assert byte_bpe.encode(text, ENC) == ENC.encode_ordinary(text)
 
 
 def brute_tokens(word, v):
