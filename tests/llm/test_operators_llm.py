@@ -238,6 +238,18 @@ def test_urls(spark):
         url_filter.BROADCAST_RULES = before
 
 
+def test_long_hosts_and_many_path_lengths(spark):
+    host = ".".join(["a"] * 60_000)
+    pages = spark.createDataFrame([(1, f"http://{host}.org/x"), (2, "http://b.com/" + "p" * 9000), (3, "http://c.b.com/" + "p" * 20)], "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_filter.filter_urls(pages, url_filter.rule_table(spark)).collect()}
+    assert got == {1: "org/", 2: None, 3: None}
+    many = spark.range(5000).selectExpr("'block' as action", "'b.com' as host", "concat('/', repeat('p', cast(id as int))) as path")
+    got = {r.page_id: len(r.rule or "") for r in url_filter.filter_urls(pages, many).collect()}
+    assert got == {1: 0, 2: len("b.com/") + 4999, 3: len("b.com/") + 20}
+    none = spark.createDataFrame([("block", None, "/"), ("block", "org", None)], "action string, host string, path string")
+    assert {r.rule for r in url_filter.filter_urls(pages, none).collect()} == {None}
+
+
 def test_url_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     plan = url_filter.filter_urls(df, url_filter.rule_table(spark))._jdf.queryExecution().toString()
