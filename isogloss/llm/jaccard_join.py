@@ -12,7 +12,9 @@ asks for its empty ones.
 
 Texts with equal words are one class from the start. Sets that share a signature are candidates: members of a bucket
 are first compared with one of them, then those that are still in different components in groups, inside tasks.
-Candidates are verified by their shingles themselves, not by hashes.
+Before texts are moved, sketches are: a byte for each of about as many segments as there are shingles. The bytes in
+which two sketches differ are fewer than the shingles in which the sets do, so too many of them rule a link out.
+What is left is verified by the shingles themselves, not by hashes.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -38,8 +40,8 @@ from .components import connected_components
 CHUNK = 1 << 21
 #: Ids up to this number (8 bytes each) are broadcast to choose texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Documents of a group that one task compares with each other, or with as many others.
-GROUP_ROWS = 1024
+#: Documents of a group that one task compares with each other, or with as many others: by sketches, by texts.
+SKETCH_ROWS, GROUP_ROWS = 2048, 1024
 #: What a chance candidate costs, in signatures.
 CANDIDATE_COST = 50.0
 #: A segment needs so many shingles to get the allowance 2.
@@ -47,6 +49,8 @@ LEAST_TWO = 3
 #: Rows of one signature that a task sends on, at most, from each BUFFER of its signatures; further ones are compared
 #: with one of these.
 LOCAL_ROWS, BUFFER = 8, 2_000_000
+#: Shingles that sets of hashes may lack: where they come so near the threshold, the shingles are compared.
+SLACK = 2
 _GAP = re.compile(rb"[ \t-\r]")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: What a row of a bucket is: a subset that also asks for neighbourhoods (or an empty one that asks), a subset, a
@@ -132,10 +136,37 @@ class Threshold:
         return [*out, self.largest(out[-1]) + 1]
 
     def link(self, a: np.ndarray, b: np.ndarray) -> bool:
-        both = len(np.intersect1d(a, b, assume_unique=True))
+        """Whether sorted sets link."""
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        if not len(a) or self.whole * len(a) < self.part * len(b):
+            return False
+        at = np.searchsorted(b, a)
+        both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
         return both > 0 and self.whole * both >= self.part * (len(a) + len(b) - both)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A byte for each of 2**k segments of the universe, the sum (xor) of hashes of the shingles there; 2**k is the
+    size of the set or up to twice less."""
+    m = 1 << max(0, len(s).bit_length() - 1)
+    out = np.zeros(m, np.uint8)
+    h = mix(s ^ np.uint64(0xA0761D6478BD642F))
+    at = (h & np.uint64(m - 1)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    at, byte = at[order], (h >> np.uint64(56)).astype(np.uint8)[order]
+    head = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+    if len(head):
+        out[at[head]] = np.bitwise_xor.reduceat(byte, head)
+    return out
+
+
+def folded(x: np.ndarray, m: int) -> np.ndarray:
+    """A sketch of 2**k segments as one of m, a smaller power of two."""
+    while len(x) > m:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _beyond(mean: float, most: float) -> float:
     """The chance that a Poisson variable exceeds `most`."""
     term = total = math.exp(-mean)
@@ -330,6 +361,25 @@ def _met(signed: DataFrame) -> DataFrame:
     return signed.repartition(dealt).sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, hub long, node long")
 
 
+def _maybe(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFrame:
+    """The pairs (a, b) that sketches don't rule out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for n, m, x, y in zip(na, nb, sa, sb, strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                keep.append(max(n, m) <= threshold.largest(min(n, m)) and int((folded(x, size) != folded(y, size)).sum()) <= threshold.differences(n + m))
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (a, b)], schema=schema)
+
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
+    both = one.join(texts.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold, words: int) -> DataFrame:
     """The pairs (a, b) of ids whose texts link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -351,19 +401,20 @@ def _labelled(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     return rows.join(labels, column, "left").withColumn(f"{column}_component", F.coalesce(f"{column}_component", column))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node and text of the classes in wanted(node, rep, d1, d2), from a document that has the id and the words."""
+def _texts(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """node, n_shingles, sketch and text of the classes in wanted(node, rep, n_shingles, d1, d2), from a document that
+    has the id and the words."""
     few = wanted.count() <= BROADCAST_IDS
     ids = wanted.select(F.col("rep").alias("id")).distinct()
     source = texts_of(docs, id_col, text_col).join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
     def batch(ids: list, texts: list) -> dict[str, list]:
         two = [_text_digest(t, i) for t, i in zip(texts, ids, strict=True)]
-        return {"text": texts, "d1": [d[0] for d in two], "d2": [d[1] for d in two]}
+        return {"d1": [d[0] for d in two], "d2": [d[1] for d in two], "sketch": [sketch(shingle_set(word_hashes(t), words)).tobytes() for t in texts], "text": texts}
 
-    digested = map_texts(source, batch, "text binary, d1 long, d2 long", "id", "text")
+    digested = map_texts(source, batch, "d1 long, d2 long, sketch binary, text binary", "id", "text")
     some = digested.join(F.broadcast(wanted) if few else wanted, ["d1", "d2"])
-    return some.groupBy("node").agg(F.first("text").alias("text"))
+    return some.groupBy("node", "n_shingles").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text"))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold(80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -400,16 +451,18 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: Threshold = Th
     ends = pairs.join(short.select(F.col("short").alias("hub"), F.col("node").alias("x")), "hub").join(short.select(F.col("short").alias("other"), F.col("node").alias("y")), "other")
     stars = written(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "stars")
     ids = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    wanted = written(classes.join(ids, "node", "left_semi").select("node", "rep", "d1", "d2"), "wanted")
-    texts = written(_texts(docs, wanted, id_col, text_col), "texts")
+    wanted = written(classes.join(ids, "node", "left_semi").select("node", "rep", "n_shingles", "d1", "d2"), "wanted")
+    texts = written(_texts(docs, wanted, words, id_col, text_col), "texts")
+    stars, before = written(_maybe(stars, texts, threshold), "stars"), stars
+    discard(before)
 
     first = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     links = [written(_verified(first, texts, threshold, words).unionByName(joined), "links")]
     nodes = connected_components(links[0])
     # Then each bucket's members with its hub, where they aren't connected yet.
     apart = _labelled(_labelled(stars, nodes, "a"), nodes, "b").filter("a_component <> b_component").select("a", "b")
-    for step in (lambda _: _verified(apart.join(first, ["a", "b"], "left_anti"), texts, threshold, words), lambda now: _linked_in_groups(met, short, now, texts, threshold, words)):
-        links.append(written(step(nodes), "links"))
+    for step in (lambda _: written(_verified(apart.join(first, ["a", "b"], "left_anti"), texts, threshold, words), "links"), lambda now: _linked_in_groups(met, short, now, texts, threshold, words)):
+        links.append(step(nodes))
         if not links[-1].isEmpty():
             before, nodes = nodes, connected_components(reduce(DataFrame.unionByName, links))
             discard(before)
@@ -423,56 +476,113 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: Threshold = Th
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))
 
 
+def _dealt(units: DataFrame, rows: int) -> DataFrame:
+    """unit, node, block, i and j: the members of units(unit, node), dealt into blocks of about `rows`, once for each
+    pair (i, j) of blocks (equal ones where there is one) that has theirs."""
+    blocks = units.groupBy("unit").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = units.join(blocks, "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", other)
+    return dealt.select("unit", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
 def _linked_in_groups(met: DataFrame, short: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: Threshold, words: int) -> DataFrame:
     """Links (a, b) that join the components which share a bucket: enough of them, not all.
 
-    Documents that buckets with several components connect are a group, which one task compares; of a group with
-    more than GROUP_ROWS documents, each bucket is one of its own (buckets with equal members once), dealt into
-    blocks of about GROUP_ROWS where it is larger. Tasks compare by their shingles' postings and give a link only
-    where its ends aren't joined yet, so no pairs are written out.
+    Documents that buckets with several components connect are a group; where its blocks would be more than the
+    buckets that a document is in, each bucket is a group of its own (buckets with equal members once). Tasks compare
+    sketches, block by block, and give enough of the pairs that may link to connect them all. What these connect are
+    groups of texts, which tasks compare by their shingles' postings; they give a link only where its ends aren't
+    joined yet. So pairs are never written out.
     """
     members = met.select("sig", "hub").unionByName(met.select("sig", F.col("node").alias("hub"))).distinct()
     named = members.join(short, F.col("hub") == F.col("short")).select("sig", "node")
     held = written(_labelled(named, nodes, "node").withColumnRenamed("node_component", "component"), "members")
     # Of two members, one is the other's hub, and they have been compared.
     mixed = held.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("own")).filter("x <> y and n > 2")
-    once = written(mixed.groupBy("n", "x", "y", "own").agg(F.min("sig").alias("sig")), "mixed")
-    rows = written(held.join(once.select("sig", "x"), "sig"), "members")
+    once = mixed.groupBy("n", "x", "y", "own").agg(F.min("sig").alias("sig")).select("sig")
+    rows = written(held.join(once, "sig"), "mixed")
     groups = connected_components(rows.join(rows.groupBy("sig").agg(F.min("node").alias("b")), "sig").select(F.col("node").alias("a"), "b"))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    of_bucket = rows.select("sig", "node").join(groups.withColumnRenamed("component", "group"), "node").join(sizes.withColumnRenamed("component", "group"), "group")
-    small = F.col("size") <= GROUP_ROWS
-    units = of_bucket.select(small.alias("small"), F.when(small, F.col("group")).otherwise(F.col("sig")).alias("unit"), "node").distinct()
-    blocks = units.groupBy("small", "unit").agg(F.ceil(F.count("*") / F.lit(GROUP_ROWS)).cast("int").alias("blocks"))
-    dealt = units.join(blocks, ["small", "unit"]).join(rows.groupBy("node").agg(F.min("component").alias("inside")), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("small", "unit", "node", "inside", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    of_bucket = rows.select("sig", "node").join(groups.withColumnRenamed("component", "group"), "node")
+    sizes = of_bucket.groupBy("group").agg(F.count("*").alias("places")).join(groups.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("size")), "group")
+    whole = F.ceil(F.col("size") / F.lit(SKETCH_ROWS)) * F.col("size") <= F.col("places")
+    units = of_bucket.join(sizes, "group").select(F.struct(whole.alias("whole"), F.when(whole, F.col("group")).otherwise(F.col("sig")).alias("name")).alias("unit"), "node").distinct()
+    inside = rows.groupBy("node").agg(F.min("component").alias("inside"))
+    sketches = _dealt(units, SKETCH_ROWS).join(inside, "node").join(texts.select("node", "n_shingles", "sketch"), "node")
+
+    def near(frame):
+        import pandas as pd
+
+        frame = frame.sort_values(["n_shingles", "node"]).reset_index(drop=True)
+        found = near_of([np.frombuffer(x, np.uint8) for x in frame["sketch"]], frame["n_shingles"].to_numpy(), frame["inside"].to_numpy(), frame["block"].to_numpy(), threshold)
+        node = frame["node"].to_numpy()
+        return pd.DataFrame({"a": node[[a for a, _ in found]], "b": node[[b for _, b in found]]}, dtype="int64")
+
+    close = connected_components(sketches.groupBy("unit", "i", "j").applyInPandas(near, "a long, b long"))
+    units = close.select(F.col("component").alias("unit"), "node")
+    held_texts = _dealt(units, GROUP_ROWS).join(inside, "node").join(texts.select("node", "text"), "node")
 
     def run(frame):
         import pandas as pd
 
         frame = frame.sort_values("node").reset_index(drop=True)
-        found = links_of(exact_sets(frame["text"].tolist(), words), frame["inside"].tolist(), frame["block"].to_numpy(), threshold)
-        node = frame["node"].to_numpy()
+        texts, node = frame["text"].tolist(), frame["node"].to_numpy()
+        found = links_of([shingle_set(word_hashes(t), words) for t in texts], frame["inside"].tolist(), frame["block"].to_numpy(), threshold, lambda i, j: threshold.link(*exact_sets([texts[i], texts[j]], words)))
         return pd.DataFrame({"a": node[[a for a, _ in found]], "b": node[[b for _, b in found]]}, dtype="int64")
 
-    return dealt.join(texts, "node").groupBy("small", "unit", "i", "j").applyInPandas(run, "a long, b long")
+    links = written(held_texts.groupBy("unit", "i", "j").applyInPandas(run, "a long, b long"), "links")
+    for table in (held, rows, groups, close):
+        discard(table)
+    return links
 
 
-def links_of(sets: list[np.ndarray], inside: list[int], block: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
-    """Linked pairs (a < b) of sets in different blocks (of the same one if there is one only) whose ends neither
-    `inside` nor an earlier pair has joined."""
-    n, size = len(sets), np.array([len(s) for s in sets])
-    parent = list(range(n))
+class _Joined:
+    """Which of some things pairs have joined."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
 
-    def root(i: int) -> int:
+    def root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    first: dict[int, int] = {}
+    def join(self, i: int, j: int) -> bool:
+        """Whether they weren't joined."""
+        i, j = self.root(i), self.root(j)
+        self.parent[i] = j
+        return i != j
+
+
+def near_of(sketches: list[np.ndarray], size: np.ndarray, inside: np.ndarray, block: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
+    """Pairs (a < b) in different blocks (of the same one if there is one only) and different `inside` that sketches,
+    in ascending order of size, don't rule out: enough to connect all that do."""
+    joined, one, out = _Joined(len(sketches)), len(set(block.tolist())) == 1, []
+    width = np.array([len(x) for x in sketches])
+    stacked = {m: np.stack([x for x in sketches if len(x) == m]) for m in set(width.tolist())}
+    first = {m: int(np.searchsorted(width, m)) for m in stacked}
+    for i, x in enumerate(sketches):
+        low = int(np.searchsorted(size, threshold.smallest(int(size[i]))))
+        for m, table in stacked.items():
+            a, b = max(low, first[m]), min(i, first[m] + len(table))
+            if a >= b or m > len(x):
+                continue
+            far = (table[a - first[m] : b - first[m]] != folded(x, m)).sum(1)
+            most = (threshold.whole - threshold.part) * (size[a:b] + size[i]) // (threshold.whole + threshold.part)
+            hit = (far <= most) & (inside[a:b] != inside[i])
+            if not one:
+                hit &= block[a:b] != block[i]
+            out += [(a + int(j), i) for j in np.flatnonzero(hit) if joined.join(a + int(j), i)]
+    return out
+
+
+def links_of(sets: list[np.ndarray], inside: list[int], block: np.ndarray, threshold: Threshold, confirm: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Linked pairs (a < b) of sets in different blocks (of the same one if there is one only) whose ends neither
+    `inside` nor an earlier pair has joined; sets are of hashes, and confirm(a, b) compares the shingles."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    joined, first = _Joined(n), {}
     for i, c in enumerate(inside):
-        parent[root(i)] = root(first.setdefault(c, i))
+        joined.join(i, first.setdefault(c, i))
     if n < 2:
         return []
     owner = np.repeat(np.arange(n), size)
@@ -489,11 +599,11 @@ def links_of(sets: list[np.ndarray], inside: list[int], block: np.ndarray, thres
         c = count[own]
         at = np.repeat(start[own] - np.cumsum(c) + c, c) + np.arange(c.sum())
         both = np.bincount(posted[at], minlength=n)[:i]
-        hit = threshold.whole * both >= threshold.part * (size[:i] + size[i] - both)
+        hit = (both > 0) & (threshold.whole * (both + SLACK) >= threshold.part * (size[:i] + size[i] - both - SLACK))
         if not one:
             hit &= block[:i] != block[i]
         for j in np.flatnonzero(hit).tolist():
-            if root(i) != root(j):
-                parent[root(i)] = root(j)
+            if joined.root(i) != joined.root(j) and confirm(j, i):
+                joined.join(i, j)
                 out.append((j, i))
     return out

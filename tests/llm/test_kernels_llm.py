@@ -274,6 +274,34 @@ def test_hot_signatures_are_collapsed(monkeypatch):
     assert {(s, n): h for s, n, h in zip(sig.tolist(), node.tolist(), hub.tolist(), strict=True) if h} == {(1, kind(1, n)): kind(1, 3) for n in range(4, 10)}
 
 
+@given(st.integers(1, 300), st.integers(0, 40), st.integers(0, 40), st.integers(0, 10**6))
+@settings(deadline=None, max_examples=150)
+def test_sketches_differ_no_more_than_sets(n, drop, add, seed):
+    base = np.random.default_rng(seed).integers(0, 1 << 63, n + 40).astype(np.uint64)
+    x, y = np.unique(base[:n]), np.unique(base[min(drop, n - 1) : n + add])
+    a, b = jaccard_join.sketch(x), jaccard_join.sketch(y)
+    m = min(len(a), len(b))
+    assert len(a) <= n < 2 * len(a)
+    assert (jaccard_join.folded(a, m) != jaccard_join.folded(b, m)).sum() <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_near_sketches_connect_what_may_link(blocks):
+    rng = np.random.default_rng(5)
+    t = jaccard_join.Threshold(80, 100)
+    base = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (9, 40, 60, 130)]
+    sets = sorted((np.unique(np.concatenate([np.delete(b, rng.integers(0, len(b), 3)), rng.integers(0, 1 << 62, rng.integers(0, 6)).astype(np.uint64)])) for b in base for _ in range(12)), key=len)
+    inside, block = rng.integers(0, 30, 48), np.arange(48) % blocks
+    found = jaccard_join.near_of([jaccard_join.sketch(s) for s in sets], np.array([len(s) for s in sets]), inside, block, t)
+    joined = jaccard_join._Joined(48)
+    assert all(joined.join(a, b) for a, b in found)
+    for b in range(48):
+        for a in range(b):
+            if t.link(sets[a], sets[b]) and inside[a] != inside[b] and (blocks == 1 or block[a] != block[b]):
+                assert joined.root(a) == joined.root(b)
+    assert len({joined.root(i) for i in range(48)}) >= 4
+
+
 def test_links_in_a_group_join_its_components():
     rng = np.random.default_rng(9)
     base = np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64))
@@ -287,9 +315,10 @@ def test_links_in_a_group_join_its_components():
             label = [label[a] if v == label[b] else v for v in label]
         return len(set(label)), [frozenset(i for i in range(30) if label[i] == v) for v in sorted(set(label), key=label.index)]
 
-    found = jaccard_join.links_of(sets, list(range(30)), np.zeros(30, int), t)
+    linked = lambda a, b: t.link(sets[a], sets[b])
+    found = jaccard_join.links_of(sets, list(range(30)), np.zeros(30, int), t, linked)
     assert set(found) <= set(true) and set(components(found)[1]) == set(components(true)[1])
-    across = jaccard_join.links_of(sets, list(range(30)), np.arange(30) % 2, t)
+    across = jaccard_join.links_of(sets, list(range(30)), np.arange(30) % 2, t, linked)
     assert all((a + b) % 2 for a, b in across)
 
 

@@ -85,6 +85,7 @@ def brute_components(rows, words, part):
 @pytest.mark.parametrize("group_rows", [4, 1024])
 def test_jaccard_components(docs, words, part, group_rows, monkeypatch):
     monkeypatch.setattr(jaccard_join, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(jaccard_join, "SKETCH_ROWS", group_rows)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = jaccard_join.similar_documents(docs, words, jaccard_join.Threshold(part, 100))
     assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, words, part)
@@ -111,6 +112,7 @@ def test_jaccard_of_sets_with_empty_segments(spark, local, monkeypatch):
     monkeypatch.setattr(jaccard_join, "allocate", lambda *_: 0)
     monkeypatch.setattr(jaccard_join, "LOCAL_ROWS", local)
     monkeypatch.setattr(jaccard_join, "GROUP_ROWS", 5)
+    monkeypatch.setattr(jaccard_join, "SKETCH_ROWS", 7 * local)
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(300)]
     base = [rng.choices(vocabulary, k=rng.randint(8, 60)) for _ in range(12)]
