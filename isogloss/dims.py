@@ -2,47 +2,136 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
-# Localities (place, province, and a Frisian name where there is one), by code point.
-LOCALITIES = tuple(
-    re.split(r";\s+", """
-    Aalten Gl; Abbekerk NH; Almkerk NB; Amersfoort Ut; Angerlo Gl; Apeldoorn Gl; Arum Fr; Austerlitz Ut; Axel Ze;
-    Bellingwolde Gn; Benschop Ut; Bleskensgraaf ZH; Boekel NB; Breda NB; Brielle ZH; Brunssum Lb; Delden Ov;
-    Deventer Ov; Diemen NH; Dwingelo Dr; Echt Lb; Edam NH; Eeksterveen Dr; Eelde Dr; Eibergen Gl; Eijsden Lb;
-    Eindhoven NB; Elburg Gl; Finsterwolde Gn; Formerum Fr - Formearum Fr; Geldrop NB; Goes Ze; Gouda ZH;
-    Grijpskerk Gn; Groenekan Ut; Grouw Fr - Grou Fr; Haamstede Ze; Heerewaarden Gl; Heinkenszand Ze; Heteren Gl;
-    Hoenderlo Gl; Hunsel Lb; IJmuiden NH; Ingen Gl; Joure Fr - De Jouwer Fr; Jutfaas Ut; Kampen Ov; Kerkrade Lb;
-    Koekange Dr; Koevorden Dr; Koewacht Ze; Laren NH; Leermens Gn; Leeuwarden Fr - Ljouwert Fr; Loenen Ut;
-    Maastricht Lb; Makkum Fr; Marken NH; Marum Gn; Meije ZH; Meppel Dr; Middelburg Ze; Monnickendam NH;
-    Nijeholtpade Fr; Nijverdal Ov; Nunspeet Gl; Oldenzaal Ov; Oosterland Ze; Ootmarsum Ov; Ospel Lb; Ouddorp ZH;
-    Oudewater Ut; Piershil ZH; Posterholt Lb; Putten Gl; Puttershoek ZH; Raalte Ov; Reusel NB; Reuver Lb; Rhenen Ut;
-    Rijkevoort NB; Rilland Ze; Roderwolde Dr; Roermond Lb; Roodeschool Gn; Roswinkel Dr; Rozendaal Gl; Ruinen Dr;
-    Scheemda Gn; Scherpenzeel Fr; Scheveningen ZH; Schiermonnikoog Fr - Skiermantseach Fr; Sevenum Lb; Sliedrecht ZH;
-    Slochteren Gn; Smilde Dr; Spakenburg Ut; Stavoren Fr - Starum Fr; Tegelen Lb; Tiel Gl; Tilburg NB; Urk Fl;
-    Utrecht Ut; Vaals Lb; Vaassen Gl; Veenendaal Ut; Venlo Lb; Volendam NH; Vriezenveen Ov; Wagenborgen Gn;
-    Wateringen ZH; Westerbork Dr; Westkapelle Ze; Wijhe Ov; Willemstad NB; Windesheim Ov; Wissekerke Ze; Wolvega Fr;
-    Zandvoort NH; Zeeland NB; Zoetermeer ZH; Zuidzande Ze; Zutphen Gl; Zwartsluis Ov
-""".strip())
+# Localities (place, province, and a Frisian name where there is one), by code point: the key that
+# recordings name them by, the locality, whether distance matrices have it, and whether the evaluation keeps it.
+LOCALITIES = (
+    ("AALTEN", "Aalten Gl", True, True),
+    ("ABBEKERK", "Abbekerk NH", True, True),
+    ("ALMKERK", "Almkerk NB", False, False),
+    ("AMERSFOORT", "Amersfoort Ut", False, False),
+    ("ANGERLO", "Angerlo Gl", True, True),
+    ("APELDOORN", "Apeldoorn Gl", False, False),
+    ("ARUM", "Arum Fr", True, True),
+    ("AUSTERLITZ", "Austerlitz Ut", True, True),
+    ("AXEL", "Axel Ze", False, False),
+    ("BELLINGWOLDE", "Bellingwolde Gn", True, True),
+    ("BENSCHOP", "Benschop Ut", True, True),
+    ("BLESKENSGRAAF", "Bleskensgraaf ZH", True, True),
+    ("BOEKEL", "Boekel NB", True, True),
+    ("BREDA", "Breda NB", True, True),
+    ("DEN-BRIEL", "Brielle ZH", True, False),
+    ("BRUNSSUM", "Brunssum Lb", True, True),
+    ("DELDEN", "Delden Ov", True, True),
+    ("DEVENTER", "Deventer Ov", True, True),
+    ("DIEMEN", "Diemen NH", True, True),
+    ("DWINGELO", "Dwingelo Dr", True, True),
+    ("ECHT", "Echt Lb", True, True),
+    ("EDAM", "Edam NH", True, True),
+    ("EEKSTERVEEN", "Eeksterveen Dr", True, True),
+    ("EELDE", "Eelde Dr", True, True),
+    ("EIBERGEN", "Eibergen Gl", True, True),
+    ("EISDEN", "Eijsden Lb", True, True),
+    ("EINDHOVEN", "Eindhoven NB", True, True),
+    ("ELBURG", "Elburg Gl", True, True),
+    ("FINSTERWOLDE", "Finsterwolde Gn", True, True),
+    ("FORMEARUM", "Formerum Fr - Formearum Fr", True, True),
+    ("GELDROP", "Geldrop NB", False, False),
+    ("GOES", "Goes Ze", False, False),
+    ("GOUDA", "Gouda ZH", False, False),
+    ("GRIJPSKERK", "Grijpskerk Gn", True, True),
+    ("GROENEKAN", "Groenekan Ut", True, True),
+    ("GROUW", "Grouw Fr - Grou Fr", True, True),
+    ("HAAMSTEDE", "Haamstede Ze", True, True),
+    ("HEEREWAARDEN", "Heerewaarden Gl", False, False),
+    ("HEINKENSZAND", "Heinkenszand Ze", True, True),
+    ("HETEREN", "Heteren Gl", False, False),
+    ("HOENDERLO", "Hoenderlo Gl", True, True),
+    ("HUNSEL", "Hunsel Lb", True, True),
+    ("IJMUIDEN", "IJmuiden NH", True, True),
+    ("INGEN", "Ingen Gl", True, True),
+    ("JOURE", "Joure Fr - De Jouwer Fr", True, True),
+    ("JUTFAAS", "Jutfaas Ut", True, True),
+    ("KAMPEN", "Kampen Ov", True, True),
+    ("KERKRADE", "Kerkrade Lb", True, True),
+    ("KOEKANGE", "Koekange Dr", True, True),
+    ("KOEVORDEN", "Koevorden Dr", True, True),
+    ("KOEWACHT", "Koewacht Ze", True, True),
+    ("LAREN", "Laren NH", True, True),
+    ("LEERMENS", "Leermens Gn", True, True),
+    ("LEEUWARDEN", "Leeuwarden Fr - Ljouwert Fr", True, True),
+    ("LOENEN-UTRECHT", "Loenen Ut", True, True),
+    ("MAASTRICHT", "Maastricht Lb", True, True),
+    ("MAKKUM", "Makkum Fr", True, True),
+    ("MARKEN", "Marken NH", True, True),
+    ("MARUM", "Marum Gn", True, True),
+    ("MEIJE", "Meije ZH", True, True),
+    ("MEPPEL", "Meppel Dr", True, True),
+    ("MIDDELBURG", "Middelburg Ze", True, True),
+    ("MONNICKENDAM", "Monnickendam NH", True, True),
+    ("NIJEHOLTPADE", "Nijeholtpade Fr", True, True),
+    ("NIJVERDAL", "Nijverdal Ov", True, True),
+    ("NUNSPEET", "Nunspeet Gl", True, True),
+    ("OLDENZAAL", "Oldenzaal Ov", True, True),
+    ("OOSTERLAND", "Oosterland Ze", False, False),
+    ("OOTMARSUM", "Ootmarsum Ov", True, True),
+    ("OSPEL", "Ospel Lb", False, False),
+    ("OUDDORP", "Ouddorp ZH", True, True),
+    ("OUDEWATER", "Oudewater Ut", True, True),
+    ("PIERSHIL", "Piershil ZH", True, True),
+    ("POSTERHOLT", "Posterholt Lb", True, True),
+    ("PUTTEN", "Putten Gl", True, True),
+    ("PUTTERSHOEK", "Puttershoek ZH", False, False),
+    ("RAALTE", "Raalte Ov", True, True),
+    ("REUSEL", "Reusel NB", True, True),
+    ("REUVER", "Reuver Lb", True, True),
+    ("RHENEN", "Rhenen Ut", True, True),
+    ("RIJKEVOORT", "Rijkevoort NB", True, True),
+    ("RILLAND", "Rilland Ze", True, True),
+    ("RODERWOLDE", "Roderwolde Dr", True, True),
+    ("ROERMOND", "Roermond Lb", False, False),
+    ("ROODESCHOOL", "Roodeschool Gn", True, True),
+    ("ROSWINKEL", "Roswinkel Dr", True, True),
+    ("ROZENDAAL", "Rozendaal Gl", True, True),
+    ("RUINEN", "Ruinen Dr", True, True),
+    ("SCHEEMDA", "Scheemda Gn", True, True),
+    ("SCHERPENZEEL", "Scherpenzeel Fr", True, True),
+    ("SCHEVENINGEN", "Scheveningen ZH", True, True),
+    ("SCHIERMONNIKOOG", "Schiermonnikoog Fr - Skiermantseach Fr", True, True),
+    ("SEVENUM", "Sevenum Lb", True, True),
+    ("SLIEDRECHT", "Sliedrecht ZH", True, True),
+    ("SLOCHTEREN", "Slochteren Gn", True, True),
+    ("SMILDE", "Smilde Dr", True, True),
+    ("SPAKENBURG", "Spakenburg Ut", True, True),
+    ("STAVOREN", "Stavoren Fr - Starum Fr", True, False),
+    ("TEGELEN", "Tegelen Lb", True, True),
+    ("TIEL", "Tiel Gl", True, True),
+    ("TILBURG", "Tilburg NB", True, True),
+    ("URK", "Urk Fl", True, True),
+    ("UTRECHT", "Utrecht Ut", True, True),
+    ("VAALS", "Vaals Lb", True, True),
+    ("VAASSEN", "Vaassen Gl", True, True),
+    ("VEENENDAAL", "Veenendaal Ut", True, True),
+    ("VENLO", "Venlo Lb", False, False),
+    ("VOLENDAM", "Volendam NH", True, True),
+    ("FRIEZENVEEN", "Vriezenveen Ov", True, True),
+    ("WAGENBORGEN", "Wagenborgen Gn", True, True),
+    ("WATERINGEN", "Wateringen ZH", True, True),
+    ("WESTERBORK", "Westerbork Dr", True, True),
+    ("WESTKAPELLE", "Westkapelle Ze", True, True),
+    ("WIJHE", "Wijhe Ov", True, True),
+    ("WILLEMSTAD", "Willemstad NB", True, True),
+    ("WINDESHEIM", "Windesheim Ov", True, True),
+    ("WISSENKERKE", "Wissekerke Ze", False, False),
+    ("WOLVEGA", "Wolvega Fr", True, True),
+    ("ZANDVOORT", "Zandvoort NH", True, True),
+    ("ZEELAND", "Zeeland NB", True, True),
+    ("ZOETERMEER", "Zoetermeer ZH", False, False),
+    ("ZUIDZANDE", "Zuidzande Ze", True, True),
+    ("ZUTPHEN", "Zutphen Gl", True, True),
+    ("ZWARTSLUIS", "Zwartsluis Ov", True, True),
 )
-# Keys that don't follow the rule of key().
-ODD_KEYS = {
-    "DEN-BRIEL": "Brielle ZH",
-    "EISDEN": "Eijsden Lb",
-    "FORMEARUM": "Formerum Fr - Formearum Fr",
-    "LOENEN-UTRECHT": "Loenen Ut",
-    "FRIEZENVEEN": "Vriezenveen Ov",
-    "WISSENKERKE": "Wissekerke Ze",
-}
-# Localities with recordings that distance matrices don't have.
-NOT_COMPUTED = (
-    "Almkerk NB", "Amersfoort Ut", "Apeldoorn Gl", "Axel Ze", "Geldrop NB", "Goes Ze", "Gouda ZH", "Heerewaarden Gl",
-    "Heteren Gl", "Oosterland Ze", "Ospel Lb", "Puttershoek ZH", "Roermond Lb", "Venlo Lb", "Wissekerke Ze", "Zoetermeer ZH",
-)
-# Localities of distance matrices that the evaluation drops.
-NOT_EVALUATED = ("Brielle ZH", "Stavoren Fr - Starum Fr")
 # Models by name, with the hub's names of those that it has.
 MODELS = {
     "wav2vec2-large-960h": "facebook/wav2vec2-large-960h",
@@ -54,15 +143,9 @@ METHODS = ("sl", "cl", "ga", "wa", "uc", "wc", "wm")
 LAYERS = range(1, 25)
 
 
-def key(locality: str) -> str:
-    """The key of a locality by rule: its place in capitals, hyphens for spaces."""
-    return re.sub(r" [A-Z][A-Za-z]( - .*)?$", "", locality).upper().replace(" ", "-")
-
-
 def renames() -> dict[str, str]:
     """Locality of each key."""
-    odd = set(ODD_KEYS.values())
-    return {key(n): n for n in LOCALITIES if n not in odd} | ODD_KEYS
+    return {key: locality for key, locality, _, _ in LOCALITIES}
 
 
 def rename_table(spark: SparkSession) -> DataFrame:
@@ -71,8 +154,8 @@ def rename_table(spark: SparkSession) -> DataFrame:
 
 def locality_table(spark: SparkSession) -> DataFrame:
     """locality, ord (by code point) and evaluated, of the localities in distance matrices."""
-    rows = [n for n in sorted(LOCALITIES) if n not in NOT_COMPUTED]
-    return spark.createDataFrame([(n, i, n not in NOT_EVALUATED) for i, n in enumerate(rows)], "locality string, ord int, evaluated boolean")
+    rows = sorted((locality, evaluated) for _, locality, computed, evaluated in LOCALITIES if computed)
+    return spark.createDataFrame([(n, i, evaluated) for i, (n, evaluated) in enumerate(rows)], "locality string, ord int, evaluated boolean")
 
 
 def model_table(spark: SparkSession) -> DataFrame:

@@ -48,3 +48,8 @@ def ground_distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
     if metric in ("sqeuclidean", "cityblock"):
         return total
     raise ValueError(f"unknown metric {metric!r}")
+
+
+def contains(x: Column, part: str) -> Column:
+    """Whether a text has a part; false for null."""
+    return F.coalesce(F.contains(x, F.lit(part)), F.lit(False))

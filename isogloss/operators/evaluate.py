@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import transport
@@ -22,6 +23,59 @@ def clusterify(labelled: DataFrame, keys: Sequence[str], label: str = "label", n
     return labelled.groupBy(*keys, label).agg(F.transform(rows, lambda x: x["p"]).alias("points"))
 
 
+def centroids(labelled: DataFrame, keys: Sequence[str], label: str = "label", point: str = "point", width: int = 2) -> DataFrame:
+    """keys, label and centroid, the mean of the cluster's points in each of `width` coordinates."""
+    return labelled.groupBy(*keys, label).agg(F.array(*[F.avg(F.col(point)[i]) for i in range(width)]).alias("centroid"))
+
+
+def line_costs(predicted: DataFrame, reference: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, i, j and cost: what transport between each predicted(keys, label, x) cluster i and reference(label, x)
+    cluster j costs, masses uniform, on a line: the area between their distribution functions.
+
+    Each point meets the labels of the other side, which come to the driver, and not its points; equal places are
+    summed before they are sorted, and running sums are made in DataFrame functions.
+    """
+    keys = list(keys)
+    kinds = [[r[0] for r in df.select("label").distinct().orderBy("label").collect()] for df in (reference, predicted)]
+    groups = predicted.select(F.struct(*keys).alias("k")).distinct().agg(F.array_sort(F.collect_set("k")).alias("k")).first()["k"] if keys else []
+
+    def side(df: DataFrame, by: list[str], own: str, other: str, labels: list, sign: float) -> DataFrame:
+        names = {c: f"__{c}" for c in [*by, "label"]}
+        sizes = df.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.count("*").alias("__n"))
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+        met = df.join(sizes, same).select(*by, F.col("label").alias(own), "x", (F.lit(sign) / F.col("__n")).alias("__w"))
+        return met.withColumn(other, F.explode(F.array(*[F.lit(v) for v in labels])))
+
+    left = side(predicted, keys, "i", "j", kinds[0], 1.0)
+    right = side(reference, [], "j", "i", kinds[1], -1.0)
+    if keys:
+        every = F.array(*[F.struct(*[F.lit(g[c]).alias(c) for c in keys]) for g in groups])
+        right = right.withColumn("__k", F.explode(every)).select("*", "__k.*").drop("__k")
+    places = left.unionByName(right.select(left.columns)).groupBy(*keys, "i", "j", "x").agg(F.sum("__w").alias("__w"))
+    order = Window.partitionBy(*keys, "i", "j").orderBy("x")
+    step = F.abs(F.sum("__w").over(order)) * (F.lead("x").over(order) - F.col("x"))
+    return places.withColumn("__s", step).groupBy(*keys, "i", "j").agg(F.coalesce(F.sum("__s"), F.lit(0.0)).alias("cost"))
+
+
+def outer_cdistances(costs: DataFrame, p: DataFrame, q: DataFrame, keys: Sequence[str], out: str = "CDistance") -> DataFrame:
+    """keys and the distance of two clusterings from costs(keys, i, j, cost) and the clusters' weights p(keys, label,
+    weight) and q(label, weight): a group has as many rows as pairs of clusters. Null where the naive cost is 0."""
+    keys = list(keys)
+    met = costs.join(p.select(*keys, F.col("label").alias("i"), F.col("weight").alias("__p")), [*keys, "i"]).join(q.select(F.col("label").alias("j"), F.col("weight").alias("__q")), "j")
+    kinds = dict(costs.select(*keys).dtypes)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        table = frame.pivot(index="i", columns="j", values="cost").to_numpy()
+        left, right = frame.groupby("i")["__p"].first().to_numpy(), frame.groupby("j")["__q"].first().to_numpy()
+        naive = float(left @ table @ right)
+        value = transport.emd(left, right, table) / naive if naive else None
+        return pd.DataFrame({**{c: [frame[c].iloc[0]] for c in keys}, out: [value]}).astype({out: "float64"})
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], f"{out} double"])
+    found = met.groupBy(*keys).applyInPandas(run, schema)
+    return found.withColumn(out, F.when(~F.isnan(out), F.col(out)))
+
+
 def cluster_weights(labelled: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
     """keys, label, size and weight, the cluster's share of its group's points."""
     sizes = labelled.groupBy(*keys, label).agg(F.count("*").alias("size"))

@@ -37,6 +37,25 @@ def spectral_featurizer(layers: Sequence[int] = (1,), width: int = 400, hop: int
     return run
 
 
+def featurizer_of(encode: Callable[[np.ndarray, int], list[np.ndarray]], convolve: Callable[[np.ndarray], np.ndarray], project: Callable[[np.ndarray], np.ndarray], layer: int | None = None) -> Featurizer:
+    """The featurizer of a model of three parts, in the mode that `layer` stands for: None gives the hidden states of
+    all layers (0 is what the first one gets), l >= 0 the last state of a model cut off after layer l, -1 the
+    convolutional features after projection, and below -1 those before it.
+
+    encode(waveform, depth): states of layers 0 to depth, -1 for all; convolve: frames of a waveform; project: frames.
+    """
+
+    def run(wave: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        if layer is None:
+            return list(enumerate(encode(wave, -1)))
+        if layer >= 0:
+            return [(layer, encode(wave, layer)[layer])]
+        frames = convolve(wave)
+        return [(layer, project(frames) if layer == -1 else frames)]
+
+    return run
+
+
 def featurize(waves: DataFrame, model: str, load: Callable[[str], Featurizer]) -> DataFrame:
     """Frames of each layer of each recording. `load` makes the featurizer of a model once per task; village is the
     recording's key until lookup_strict names the locality."""

@@ -32,8 +32,18 @@ def long(matrix: DataFrame, keys: Sequence[str] = (), value: str = "dist") -> Da
 
 
 def without(cells: DataFrame, labels: Sequence) -> DataFrame:
-    """The cells in neither row nor column of the labels."""
-    return cells.filter(~F.col("row_loc").isin(list(labels)) & ~F.col("col_loc").isin(list(labels)))
+    """The cells in neither row nor column of the labels. A label that is no row or no column is an error, when the
+    result is read."""
+    labels = list(labels)
+    if not labels:
+        return cells
+    kept = cells.filter(~F.col("row_loc").isin(labels) & ~F.col("col_loc").isin(labels))
+    # One row a label that has been found, at most, so an aggregate of all is as many numbers as there are labels.
+    found = cells.agg(*[F.max(F.when(F.col(c) == label, 1)).alias(f"{c}{i}") for i, label in enumerate(labels) for c in ("row_loc", "col_loc")])
+    missing = F.filter(F.array(*[F.when(F.col(f"row_loc{i}").isNull() | F.col(f"col_loc{i}").isNull(), F.lit(str(label))) for i, label in enumerate(labels)]), lambda x: x.isNotNull())
+    # A row that fails where a label is missing, and that is none otherwise.
+    check = found.select(missing.alias("m")).filter(F.when(F.size("m") > 0, F.raise_error(F.concat(F.lit("no such label: "), F.array_join("m", ", "))).cast("boolean")).otherwise(F.lit(False)))
+    return kept.unionByName(check.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in cells.schema]))
 
 
 def lower_triangle(cells: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import round_half_even
-from ..kernels.dtw import normalized_distance
+from ..kernels.dtw import normalized_distances
 
 
 def collected_frames(df: DataFrame, group: Sequence[str], order: str, vector: str) -> DataFrame:
@@ -34,16 +34,26 @@ def item_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], blocks: i
     return left.join(right, [*keys, "__a", "__b"]).drop("__a", "__b")
 
 
+#: Recordings of one word that a task holds on either side.
+PAIR_ROWS = 256
+
+
 @F.pandas_udf(DoubleType())
 def dtw(a: pd.Series, b: pd.Series) -> pd.Series:
     """Normalised warping distance of two arrays of frames; null if one is empty or null."""
 
-    def one(x, y) -> float | None:
-        if x is None or y is None or not len(x) or not len(y):
-            return None
-        return normalized_distance(np.stack(x).astype(np.float64), np.stack(y).astype(np.float64))
+    none = np.zeros((0, 1))
+
+    def frames(x) -> np.ndarray:
+        return none if x is None or not len(x) else np.stack(x).astype(np.float64)
+
+    return pd.Series(normalized_distances([(frames(x), frames(y)) for x, y in zip(a, b, strict=True)]), dtype="float64")
+
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def blocks_for(frames: DataFrame, keys: Sequence[str] = ("model", "layer")) -> int:
+    """Blocks that leave a task about PAIR_ROWS recordings of one word on either side, from the counts of words."""
+    largest = frames.groupBy(*keys, "word").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    return -(-largest // PAIR_ROWS)
 
 
 def sequence_distances(frames: DataFrame, keys: Sequence[str] = ("model", "layer"), blocks: int = 1, symmetric: bool = True) -> DataFrame:
@@ -61,12 +71,14 @@ def sequence_distances(frames: DataFrame, keys: Sequence[str] = ("model", "layer
     return met.select(*keys, "a", "b", "word", dtw("frames_a", "frames_b").alias("distance"))
 
 
-def locality_distances(frames: DataFrame, keys: Sequence[str] = ("model", "layer"), digits: int | None = 4, blocks: int = 1) -> DataFrame:
+def locality_distances(frames: DataFrame, keys: Sequence[str] = ("model", "layer"), digits: int | None = 4, blocks: int = 1, words: bool = False) -> DataFrame:
     """keys, row_loc, col_loc, dist and n_pairs: the mean over all pairs of recordings that share a word, for both
-    orders of two villages; villages that share no word have no row (see matrix.scaffold)."""
-    half = sequence_distances(frames, keys, blocks).groupBy(*keys, "a", "b").agg(F.avg("distance").alias("dist"), F.count("distance").alias("n_pairs"))
+    orders of two villages; villages that share no word have no row (see matrix.scaffold). words: also the list of
+    the words that they share, in order (as many as there are words at most)."""
+    used = [F.array_sort(F.collect_set("word")).alias("words")] if words else []
+    half = sequence_distances(frames, keys, blocks).groupBy(*keys, "a", "b").agg(F.avg("distance").alias("dist"), F.count("distance").alias("n_pairs"), *used)
     if digits is not None:
         half = half.withColumn("dist", round_half_even(F.col("dist"), digits))
     # Each row gives both orders, so that the half is computed once.
     orders = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("r"), F.col("b").alias("c")))).otherwise(F.array(F.struct(F.col("a").alias("r"), F.col("b").alias("c")), F.struct(F.col("b").alias("r"), F.col("a").alias("c"))))
-    return half.withColumn("o", F.explode(orders)).select(*keys, F.col("o.r").alias("row_loc"), F.col("o.c").alias("col_loc"), "dist", "n_pairs")
+    return half.withColumn("o", F.explode(orders)).select(*keys, F.col("o.r").alias("row_loc"), F.col("o.c").alias("col_loc"), "dist", "n_pairs", *(["words"] if words else []))

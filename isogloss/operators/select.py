@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import not_a_number_to_null
@@ -18,11 +19,15 @@ def pearson(pairs: DataFrame, keys: Sequence[str], a: str, b: str, out: str = "r
 
 
 def best_with_ties(df: DataFrame, keys: Sequence[str], value: str, largest: bool = True, out: str = "is_best") -> DataFrame:
-    """df with a mark on every row that has its group's best value; null and NaN never win."""
+    """df with a mark on every row that has its group's best value; null and NaN never win.
+
+    The best values are an aggregate, which is partial before it is shuffled, and are joined back, so that a group
+    may hold any share of the rows."""
     v = not_a_number_to_null(F.col(value).cast("double"))
-    own = Window.partitionBy(*keys)
-    best = F.max(v).over(own) if largest else F.min(v).over(own)
-    return df.withColumn(out, F.coalesce(v == best, F.lit(False)))
+    names = [f"__key{i}" for i in range(len(keys))]
+    best = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg((F.max(v) if largest else F.min(v)).alias("__best"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], F.lit(True))
+    return df.join(best, same, "left").withColumn(out, F.coalesce(v == F.col("__best"), F.lit(False))).drop(*names, "__best")
 
 
 def first_best(df: DataFrame, keys: Sequence[str], order) -> DataFrame:

@@ -4,16 +4,12 @@ vec_id % 4 the predicted cluster, label % 4 the gold one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import ground_distance, round_half_even
-from ..kernels import transport
 from ..kernels.linkage import METHODS
 from ..operators import clustering, evaluate, matrix, pairs, select
 from ..sources import writers
@@ -46,12 +42,14 @@ def frames(spark: SparkSession, sf_dir: str, word: str = "vec_id % 5") -> DataFr
 
 
 def distances(spark: SparkSession, sf_dir: str, digits: int | None = 4) -> DataFrame:
-    return pairs.locality_distances(frames(spark, sf_dir), KEYS, digits)
+    made = frames(spark, sf_dir)
+    return pairs.locality_distances(made, KEYS, digits, pairs.blocks_for(made, KEYS))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """locality and ord of the villages."""
-    return embeddings(spark, sf_dir).select(F.col("label").alias("locality")).distinct().withColumn("ord", F.col("locality"))
+    """locality and ord (the place among the villages, from 0) of the villages."""
+    named = embeddings(spark, sf_dir).select(F.col("label").alias("locality")).distinct()
+    return named.withColumn("ord", (F.row_number().over(Window.orderBy("locality")) - 1).cast("int"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,14 +161,52 @@ steps AS (SELECT DISTINCT d FROM nine),
 hop(x, y, worst) AS (SELECT x, y, d FROM nine UNION SELECT h.x, n.y, greatest(h.worst, n.d) FROM hop h JOIN nine n ON n.x = h.y WHERE n.y <> h.x AND greatest(h.worst, n.d) < (SELECT d FROM nine k WHERE k.x = h.x AND k.y = n.y)),
 coph AS (SELECT x, y, min(worst) AS h FROM hop GROUP BY 1, 2)"""
 
+# Agglomeration in SQL: a state is the distances d between clusters x and y of nx and ny members, in both orders. The
+# nearest pair (p, q) merges into p, whose distances follow from those of p and q by the method's rule.
+RULES = {
+    "sl": "least(dp, dq)",
+    "cl": "greatest(dp, dq)",
+    "ga": "(np * dp + nq * dq) / (np + nq)",
+    "wa": "(dp + dq) / 2",
+    "uc": "(np * dp + nq * dq) / (np + nq) - np * nq * d0 / ((np + nq) * (np + nq))",
+    "wc": "(dp + dq) / 2 - d0 / 4",
+    "wm": "((nk + np) * dp + (nk + nq) * dq - nk * d0) / (nk + np + nq)",
+}
+
+
+def merge_sql(methods: Sequence[str], digits: int = 9) -> str:
+    """merges(method, step, a, b, height, size) and clusters(method, step, village, cluster) after each step."""
+    rule = " ".join(f"WHEN '{m}' THEN {RULES[m]}" for m in methods)
+    return f"""{DTW_SQL},
+apart AS MATERIALIZED (SELECT a AS x, b AS y, round_even(avg(distance), {digits}) AS d FROM dtw WHERE a <> b GROUP BY 1, 2),
+state(method, step, x, y, d, nx, ny) AS (
+  SELECT method, 0, x, y, d, 1, 1 FROM apart CROSS JOIN (SELECT unnest({list(methods)!r}) AS method)
+  UNION ALL
+  SELECT method, step + 1, x, y, CASE WHEN x = p OR y = p THEN CASE method {rule} END ELSE d END, CASE WHEN x = p THEN np + nq ELSE nx END, CASE WHEN y = p THEN np + nq ELSE ny END
+  FROM (SELECT *, CASE WHEN y = p THEN nx ELSE ny END AS nk,
+               CASE WHEN y = p THEN max(CASE WHEN y = p THEN d END) OVER rows ELSE max(CASE WHEN x = p THEN d END) OVER cols END AS dp,
+               CASE WHEN y = p THEN max(CASE WHEN y = q THEN d END) OVER rows ELSE max(CASE WHEN x = q THEN d END) OVER cols END AS dq
+        FROM (SELECT *, first_value(x) OVER near AS p, first_value(y) OVER near AS q, first_value(d) OVER near AS d0, first_value(nx) OVER near AS np, first_value(ny) OVER near AS nq
+              FROM state WINDOW near AS (PARTITION BY method ORDER BY d, x, y))
+        WINDOW rows AS (PARTITION BY method, x), cols AS (PARTITION BY method, y))
+  WHERE x <> q AND y <> q),
+merges AS MATERIALIZED (SELECT method, step, x AS a, y AS b, d AS height, nx + ny AS size FROM (SELECT *, row_number() OVER (PARTITION BY method, step ORDER BY d, x, y) AS n FROM state) WHERE n = 1),
+clusters(method, step, village, cluster) AS (
+  SELECT method, 0, label, label FROM (SELECT DISTINCT label FROM embeddings) CROSS JOIN (SELECT unnest({list(methods)!r}) AS method)
+  UNION ALL
+  SELECT c.method, c.step + 1, village, CASE WHEN cluster = b THEN a ELSE cluster END FROM clusters c JOIN merges m ON m.method = c.method AND m.step = c.step),
+coph AS (SELECT x.method, x.village AS x, y.village AS y, arg_min(m.height, m.step) AS h
+         FROM clusters x JOIN clusters y ON x.method = y.method AND x.step = y.step AND x.cluster = y.cluster AND x.village <> y.village
+         JOIN merges m ON m.method = x.method AND m.step = x.step - 1 GROUP BY 1, 2, 3)"""
+
+
 for _method in METHODS:
 
     def _linkage(spark: SparkSession, sf_dir: str, method: str = _method) -> DataFrame:
         rows = clustering.merge_rows(clustered(spark, sf_dir, [method]))
-        return rows.select("step", round_half_even(F.col("height"), 6).alias("height"))
+        return rows.select("step", "a", "b", round_half_even(F.col("height"), 6).alias("height"), "size")
 
-    query(name=f"linkage_{_method}")(_linkage)
-ORACLE["linkage_sl"] = f"WITH RECURSIVE {MINIMAX_SQL} SELECT (row_number() OVER (ORDER BY d) - 1)::INT AS step, round_even(d, 6) AS height FROM nine JOIN coph USING (x, y) WHERE x < y AND d = h"
+    query(f"WITH RECURSIVE {merge_sql([_method])} SELECT step, a::VARCHAR AS a, b::VARCHAR AS b, round_even(height, 6) AS height, size FROM merges", f"linkage_{_method}")(_linkage)
 
 
 @query(f"WITH RECURSIVE {MINIMAX_SQL} SELECT x::VARCHAR AS row_loc, y::VARCHAR AS col_loc, round_even(h, 6) AS coph FROM coph UNION ALL SELECT DISTINCT label::VARCHAR, label::VARCHAR, 0.0::DOUBLE FROM embeddings")
@@ -197,7 +233,13 @@ def cophenetic_r(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.pearson(met, [*KEYS, "method"], "dist", "coph").select(round_half_even(F.col("r"), 6).alias("r"))
 
 
-@query()
+BEST_R_SQL = f"""WITH RECURSIVE {merge_sql(METHODS, 4)},
+dist AS (SELECT a AS x, b AS y, round_even(avg(distance), 4) AS d FROM dtw GROUP BY 1, 2),
+r AS (SELECT method, corr(d, CASE WHEN dist.x = dist.y THEN 0 ELSE h END) AS r FROM dist CROSS JOIN (SELECT unnest({list(METHODS)!r}) AS method) LEFT JOIN coph USING (method, x, y) GROUP BY 1)
+SELECT 'm' AS model, 1 AS layer, method, round_even(r, 6) AS r, CASE WHEN r = max(r) OVER () THEN 'X' ELSE '' END AS max_r FROM r"""
+
+
+@query(BEST_R_SQL)
 def cophenetic_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven methods' correlations, the best one marked; one clustering pass."""
     d = distances(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("row_loc", "col_loc")})
@@ -206,6 +248,49 @@ def cophenetic_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.marked(select.best_with_ties(r, KEYS, "r")).withColumn("r", round_half_even(F.col("r"), 6))
 
 
+@query(f"""WITH RECURSIVE {merge_sql(("ga", "wm"))}
+SELECT method, village::VARCHAR AS locality, (dense_rank() OVER (PARTITION BY method ORDER BY cluster) - 1)::INT AS label
+FROM clusters WHERE step = (SELECT count(DISTINCT label) - 4 FROM embeddings)""")
+def cut_k4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.partition_rows(clustered(spark, sf_dir, ["ga", "wm"])).select("method", "locality", "label")
+
+
+@query(f"WITH RECURSIVE {DTW_SQL} SELECT a AS row_loc, b AS col_loc, list(DISTINCT word ORDER BY word) AS words FROM dtw GROUP BY 1, 2")
+def words_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.locality_distances(frames(spark, sf_dir, TWO_SETS.replace("ELSE 5", "ELSE 0")), KEYS, words=True).select("row_loc", "col_loc", "words")
+
+
+@query("SELECT label % 4 AS label, round_even(avg(embedding[1]::DOUBLE), 6) AS x, round_even(avg(embedding[2]::DOUBLE), 6) AS y FROM embeddings GROUP BY 1")
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = evaluate.centroids(points(spark, sf_dir).withColumn("label", F.col("gold")), [])
+    return made.select("label", *[round_half_even(F.col("centroid")[i], 6).alias(c) for i, c in enumerate(("x", "y"))])
+
+
+# Distances of transcriptions stand beside those of the model: here absolute differences of the villages' mean first
+# numbers.
+LD_SQL = "means AS (SELECT label, avg(embedding[1]::DOUBLE) AS x FROM embeddings GROUP BY 1), ld AS (SELECT a.label AS x, b.label AS y, round_even(abs(a.x - b.x), 9) AS d FROM means a CROSS JOIN means b)"
+
+
+def transcription_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model and layer `LD`, row_loc, col_loc, dist."""
+    means = embeddings(spark, sf_dir).groupBy(F.col("label").cast("string").alias("locality")).agg(F.avg(F.col("embedding")[0].cast("double")).alias("x"))
+    grid = matrix.scaffold(spark.createDataFrame([], "row_loc string, col_loc string"), means.select("locality"), [])
+    met = grid.join(means.select(F.col("locality").alias("row_loc"), F.col("x").alias("a")), "row_loc").join(means.select(F.col("locality").alias("col_loc"), F.col("x").alias("b")), "col_loc")
+    return met.select(F.lit("LD").alias("model"), F.lit("LD").alias("layer"), "row_loc", "col_loc", round_half_even(F.abs(F.col("a") - F.col("b")), 9).alias("dist"))
+
+
+LD_R_SQL = merge_sql(METHODS).replace("apart AS MATERIALIZED (SELECT a AS x, b AS y, round_even(avg(distance), 9) AS d FROM dtw WHERE a <> b GROUP BY 1, 2)", f"{LD_SQL}, apart AS MATERIALIZED (SELECT x, y, d FROM ld WHERE x <> y)")
+
+
+@query(f"WITH RECURSIVE {LD_R_SQL} SELECT 'LD' AS model, 'LD' AS layer, method AS clustering, round_even(corr(d, CASE WHEN ld.x = ld.y THEN 0 ELSE h END), 6) AS r FROM ld CROSS JOIN (SELECT unnest({list(METHODS)!r}) AS method) LEFT JOIN coph USING (method, x, y) GROUP BY 3")
+def cophenetic_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transcription matrix against each method's cophenetic distances."""
+    d = transcription_distances(spark, sf_dir)
+    coph = clustering.cophenetic_rows(clustering.cluster(d, 4, METHODS, KEYS))
+    r = select.pearson(d.join(coph, [*KEYS, "row_loc", "col_loc"]), [*KEYS, "method"], "dist", "coph")
+    return r.select("model", "layer", F.col("method").alias("clustering"), round_half_even(F.col("r"), 6).alias("r"))
+
+
 @query("SELECT label % 4 AS label, count(*) AS size, list_transform(list(vec_id ORDER BY vec_id), lambda x: x)[1] AS first_id, round_even(list(embedding[1]::DOUBLE ORDER BY vec_id)[1], 6) AS first_x FROM embeddings GROUP BY 1")
 def clusterify(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
@@ -244,16 +329,10 @@ def _line(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def transport_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """i, j, cost between predicted and gold clusters of the first dimension, each a grouped transport problem."""
+    """i, j, cost between predicted and gold clusters of the first dimension."""
     predicted, gold, where = _line(spark, sf_dir)
-    a = predicted.join(where, "locality").groupBy("label").agg(F.collect_list(F.col("point")[0]).alias("xs")).select(F.col("label").alias("i"), "xs")
-    b = gold.join(where, "locality").groupBy("label").agg(F.collect_list(F.col("point")[0]).alias("ys")).select(F.col("label").alias("j"), "ys")
-
-    @F.pandas_udf(DoubleType())
-    def cost(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([transport.emd_line(np.asarray(x), np.asarray(y)) for x, y in zip(xs, ys, strict=True)])
-
-    return a.crossJoin(F.broadcast(b)).select("i", "j", cost("xs", "ys").alias("cost"))
+    x = where.select("locality", F.col("point")[0].alias("x"))
+    return evaluate.line_costs(predicted.join(x, "locality"), gold.join(x, "locality"))
 
 
 @query(f"WITH {EMD_SQL} SELECT i, j, round_even(cost, 6) AS cost FROM emd")
@@ -277,8 +356,10 @@ t AS (SELECT *, unnest([greatest(0, p + q - 1), least(p, q)]) AS t FROM w, c)
 SELECT round_even(min(t * c00 + (p - t) * c01 + (q - t) * c10 + (1 - p - q + t) * c11) / max(p * q * c00 + p * (1 - q) * c01 + (1 - p) * q * c10 + (1 - p) * (1 - q) * c11), 6) AS cdistance FROM t""")
 def cdistance_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outer problem has one free variable, so SQL finds its least value at an end."""
-    predicted, gold, where = _line(spark, sf_dir)
-    found = evaluate.cdistances(predicted.withColumn("model", F.lit("m")), gold, where, ["model"], "line", "cdistance")
+    predicted, gold, _ = _line(spark, sf_dir)
+    model = F.lit("m").alias("model")
+    p, q = evaluate.cluster_weights(predicted, []).select("*", model), evaluate.cluster_weights(gold, [])
+    found = evaluate.outer_cdistances(transport_table(spark, sf_dir).select("*", model), p, q, ["model"], "cdistance")
     return found.select(round_half_even(F.col("cdistance"), 6).alias("cdistance"))
 
 

@@ -114,3 +114,20 @@ def distinct_without(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag, round_even(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
 def pearson_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.pearson(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice").withColumn("r", round_half_even(F.col("r"), 6))
+
+
+RESULT_SQL = """files AS (SELECT 'out/' || CASE WHEN page_id % 5 = 0 THEN 'data-l04-106' ELSE 'm' || page_id % 3 END || '/' || CASE page_id % 4 WHEN 0 THEN 'other' WHEN 1 THEN 'transcription-distances' ELSE 'layer-' || page_id % 7 END || '/' || page_id || CASE WHEN page_id % 2 = 0 THEN '.ga.' ELSE '.wm.' END || 'initclust.n4' AS path FROM pages)"""
+
+
+@query(f"""WITH {RESULT_SQL},
+cut AS (SELECT path, string_split(path, '/') AS p FROM files)
+SELECT path, CASE WHEN contains(p[-3] || '-' || p[-2], 'layer') THEN 'layer' ELSE 'ld' END AS kind, CASE WHEN p[-3] = 'data-l04-106' THEN 'ld' ELSE p[-3] END AS model, p[-2] AS layer, 'wm' AS method
+FROM cut WHERE (contains(p[-3] || '-' || p[-2], 'layer') OR contains(p[-3] || '-' || p[-2], 'transcription-distances')) AND contains(path, '.wm.')
+  AND (NOT contains(p[-3] || '-' || p[-2], 'layer') OR p[-3] IN ('m0', 'm1', 'data-l04-106'))""")
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    model = F.when(i % 5 == 0, readers.TRIANGULAR).otherwise(F.concat(F.lit("m"), i % 3))
+    layer = F.when(i % 4 == 0, "other").when(i % 4 == 1, readers.TRANSCRIPTIONS).otherwise(F.concat(F.lit("layer-"), i % 7))
+    name = F.concat(i.cast("string"), F.when(i % 2 == 0, ".ga.").otherwise(".wm."), F.lit("initclust.n4"))
+    paths = table(spark, sf_dir, "pages").select(F.concat_ws("/", F.lit("out"), model, layer, name).alias("path"))
+    return readers.result_files(paths, models=["m0", "m1", readers.TRIANGULAR], method="wm").select("path", "kind", "model", "layer", "method")

@@ -3,11 +3,5 @@
 RECORDING = "path string, village_key string, word string, content binary"
 WAVEFORM = "path string, village_key string, word string, rate int, waveform array<float>"
 FRAMES = "model string, layer int, village string, word string, recording string, frames array<array<float>>"
-DISTANCES = "model string, layer int, row_loc string, col_loc string, dist double"
-COPHENETIC = "model string, layer int, method string, row_loc string, col_loc string, coph double"
-PARTITION = "model string, layer int, method string, locality string, label int"
-MERGES = "model string, layer int, method string, step int, a int, b int, height double, size int"
 GOLD = "locality string, label int"
 COORDINATES = "locality string, longitude double, latitude double"
-R_SCORES = "model string, layer int, clustering string, r double"
-C_SCORES = "model string, layer int, clustering string, CDistance double"

@@ -8,11 +8,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import file_stem, path_part
+from ..functions import contains, file_stem, path_part
+
+# Cells of a matrix file without a distance.
+NOT_AVAILABLE = ("", "NA", "N/A", "nan", "NaN", "null", "NULL", "None")
+# Folders of transcription distances and of triangular matrix files, whose distances are model `ld`.
+TRANSCRIPTIONS, TRIANGULAR = "transcription-distances", "data-l04-106"
 
 
 def recordings(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,17 +91,26 @@ def npy_features(spark: SparkSession, pattern: str) -> DataFrame:
     return named.mapInPandas(run, "path string, model string, layer int, village_key string, word string, frames array<array<float>>")
 
 
+def _number(x: Column) -> Column:
+    """A cell as a double: null where it says that there is none, an error where it says something else."""
+    value = x.try_cast("double")
+    none = F.trim(x).isin(*NOT_AVAILABLE) | x.isNull() | F.isnan(value)
+    wrong = F.raise_error(F.concat(F.lit("not a number: "), x)).cast("double")
+    return F.when(none, F.lit(None).cast("double")).when(value.isNull(), wrong).otherwise(value)
+
+
 def _long(df: DataFrame, value: str, rows: str = "row_loc") -> DataFrame:
     cells = df.unpivot([rows], [c for c in df.columns if c != rows], "col_loc", value)
     return cells.withColumnRenamed(rows, "row_loc")
 
 
 def matrix_csv(spark: SparkSession, path: str) -> DataFrame:
-    """row_loc, col_loc, dist of a CSV file with a header and row labels; empty, NA and nan are null."""
+    """row_loc, col_loc, dist of a CSV file with a header and row labels; empty, NA and nan are null, any other text
+    that is not a number is an error."""
     df = spark.read.option("header", True).csv(path)
     first = df.columns[0]
-    df = df.select(F.col(f"`{first}`").alias("row_loc"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in df.columns[1:]])
-    return _long(df, "dist").withColumn("dist", F.when(~F.isnan("dist"), F.col("dist")))
+    df = df.select(F.col(f"`{first}`").alias("row_loc"), *[F.col(f"`{c}`") for c in df.columns[1:]])
+    return _long(df, "dist").withColumn("dist", _number(F.col("dist")))
 
 
 def cophenetic_tab(spark: SparkSession, path: str, labels: Sequence[str]) -> DataFrame:
@@ -142,10 +156,25 @@ def dif(spark: SparkSession, pattern: str) -> DataFrame:
     cells = files.select("path", "l", "n", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i")).filter("i >= 1")
     cells = cells.select("path", "l", "n", "i", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("j"))
     at = F.col("n") + 1 + (F.col("i") * (F.col("i") - 1) / 2).cast("int") + F.col("j")
-    return cells.select("path", F.col("l")[F.col("i") + 1].alias("row_loc"), F.col("l")[F.col("j") + 1].alias("col_loc"), F.col("l")[at].try_cast("double").alias("dist"))
+    return cells.select("path", F.col("l")[F.col("i") + 1].alias("row_loc"), F.col("l")[F.col("j") + 1].alias("col_loc"), _number(F.col("l")[at]).alias("dist"))
 
 
 def file_metadata(paths: DataFrame, path: str = "path") -> DataFrame:
     """model, layer and method that a result file's path names: `<model>/<layer>/<file>.<method>.<kind>.<suffix>`."""
     p = F.col(path)
     return paths.withColumns({"model": path_part(p, 3), "layer": path_part(p, 2), "method": path_part(path_part(p, 1), 3, ".")})
+
+
+def result_files(paths: DataFrame, path: str = "path", models: Sequence[str] | None = None, method: str | None = None) -> DataFrame:
+    """The paths of matrices, with kind, model, layer and method. kind: `layer` where the folders name one, else
+    `ld` where they are those of transcription distances; other paths go. model: `ld` in the folder of triangular
+    files. models and method: only these are kept (distances of transcriptions have no model to be kept by)."""
+    named = file_metadata(paths, path)
+    folders = F.concat_ws("-", "model", "layer")
+    kind = F.when(contains(folders, "layer"), "layer").when(contains(folders, TRANSCRIPTIONS), "ld")
+    named = named.withColumn("kind", kind).filter("kind is not null")
+    if models is not None:
+        named = named.filter((F.col("kind") == "ld") | F.col("model").isin(list(models)))
+    if method is not None:
+        named = named.filter(F.col("method") == method)
+    return named.withColumn("model", F.when(F.col("model") == TRIANGULAR, "ld").otherwise(F.col("model")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import natural_key, round_half_even
+from ..functions import natural_key, round_half_even, zero_padded
 from ..operators.matrix import lower_triangle, wide
 
 
@@ -16,6 +19,31 @@ def features(frames: DataFrame, folder: str) -> None:
     frames.write.mode("overwrite").partitionBy("model", "layer").parquet(folder)
 
 
+def npy_features(frames: DataFrame, folder: str) -> None:
+    """Frames as `<model>/layer-<l>/<recording>/layer-<ll>.npy` files below a folder, for programs that read those; what
+    was there is overwritten. Tasks make the files' bytes and the driver writes them through Hadoop's file systems, one
+    partition at a time, so that any store works; features() is the way for large sets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            content = []
+            for x in batch["frames"]:
+                out = io.BytesIO()
+                np.save(out, np.stack(x).astype(np.float32) if len(x) else np.zeros((0, 0), np.float32))
+                content.append(out.getvalue())
+            yield pd.DataFrame({"path": batch["path"], "content": content})
+
+    layer = F.col("layer").cast("string")
+    path = F.concat_ws("/", "model", F.concat(F.lit("layer-"), layer), "recording", F.concat(F.lit("layer-"), zero_padded(layer, 2), F.lit(".npy")))
+    spark = frames.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for row in frames.select(path.alias("path"), "frames").mapInPandas(run, "path string, content binary").toLocalIterator():
+        target = hadoop.Path(f"{folder.rstrip('/')}/{row.path}")
+        stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        stream.write(bytearray(row.content))
+        stream.close()
+
+
 def matrix_csv(cells: DataFrame, labels: Sequence[str], folder: str) -> None:
     """One matrix as CSV with a header and row labels, rows and columns in the labels' order."""
     wide(cells, labels).coalesce(1).sortWithinPartitions("row_loc").write.mode("overwrite").option("header", True).csv(folder)
@@ -48,6 +76,12 @@ def cophenetic_tab(cells: DataFrame, labels: Sequence[str], folder: str) -> None
     wide(cells.withColumnRenamed("coph", "dist"), labels).coalesce(1).sortWithinPartitions("row_loc").write.mode("overwrite").option("sep", "\t").csv(folder)
 
 
+def merges(rows: DataFrame, folder: str) -> None:
+    """The merges of one clustering as tab-separated lines without a header, in order: step, height, size and the two
+    clusters, named by their smallest members."""
+    rows.select("step", "height", "size", "a", "b").coalesce(1).sortWithinPartitions("step").write.mode("overwrite").option("sep", "\t").csv(folder)
+
+
 def partition(labelled: DataFrame, folder: str) -> None:
     """A partition as text: one locality a line, a blank line between clusters."""
     last = labelled.agg(F.max("label")).first()[0]

@@ -1,3 +1,5 @@
+import sys
+
 import __spark_entry__
 import duckdb
 import pytest
@@ -26,3 +28,11 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 100
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_queries_without_a_library_of_the_optional_subpackage(monkeypatch):
+    for name in [n for n in sys.modules if n.startswith(("isogloss.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "isogloss.llm", None)
+    assert set(__spark_entry__.queries()) == set(registry.QUERIES)
+    assert set(__spark_entry__.oracle_sql()) == set(registry.ORACLE)

@@ -1,11 +1,12 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from isogloss.kernels import linkage, transport
+from isogloss.kernels import dtw, linkage, transport
 from isogloss.kernels.dtw import normalized_distance
 
 # Published distances of three clusterings of seven points, at four digits.
@@ -53,6 +54,75 @@ def test_dtw(n, m, seed):
     assert normalized_distance(x, x) == 0
 
 
+@pytest.mark.parametrize("width", [1, 64, 256, 257, 1024])
+def test_dtw_of_any_width(width):
+    rng = np.random.default_rng(width)
+    x, y = rng.normal(size=(7, width)), rng.normal(size=(5, width))
+    assert normalized_distance(x, y) == pytest.approx(brute_dtw(x, y), rel=1e-12)
+    assert normalized_distance(x, x) == 0
+    # Large numbers with small differences: nothing cancels.
+    assert normalized_distance(x + 1e6, y + 1e6) == pytest.approx(brute_dtw(x + 1e6, y + 1e6), rel=1e-12)
+
+
+def test_dtw_of_many_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    some = [rng.normal(size=(n, 3)) for n in (4, 4, 5, 4, 1, 0)]
+    pairs = [(x, y) for x in some for y in some]
+    for block in (1, 50, 1 << 20):
+        monkeypatch.setattr(dtw, "BLOCK", block)
+        for (x, y), d in zip(pairs, dtw.normalized_distances(pairs), strict=True):
+            assert np.isnan(d) if not len(x) or not len(y) else d == pytest.approx(brute_dtw(x, y))
+
+
+def test_dtw_of_long_recordings_is_bounded():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(4000, 64)), rng.normal(size=(4000, 64))
+    tracemalloc.start()
+    assert 0 < normalized_distance(x, y) < 20
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
+def brute_transport(p, q, cost):
+    """The least cost over all basic solutions: flows on as many arcs as rows and columns less one."""
+    m, n = cost.shape
+    rows = np.vstack([np.kron(np.eye(m), np.ones(n)), np.kron(np.ones(m), np.eye(n))])[:-1]
+    want, best = np.concatenate([p, q])[:-1], np.inf
+    for arcs in itertools.combinations(range(m * n), m + n - 1):
+        part = rows[:, arcs]
+        if abs(np.linalg.det(part)) > 0.5:
+            amount = np.linalg.solve(part, want)
+            if amount.min() > -1e-12:
+                best = min(best, float(amount @ cost.ravel()[list(arcs)]))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_transport_against_all_basic_solutions(seed):
+    rng = np.random.default_rng(seed)
+    m, n = rng.integers(2, 4, 2)
+    p, q = rng.dirichlet(np.ones(m)), rng.dirichlet(np.ones(n))
+    if seed % 3 == 0:
+        p, q = np.full(m, 1 / m), np.full(n, 1 / n)
+    a, b = rng.normal(size=(m, 2)), rng.normal(size=(n, 2))
+    cost = np.round(transport.ground_costs(a, b), seed % 4)
+    assert transport.emd(p, q, cost) == pytest.approx(brute_transport(p, q, cost))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cdistance_in_the_plane_against_all_basic_solutions(seed):
+    rng = np.random.default_rng(seed)
+    points = rng.normal(size=(8, 2))
+    s, t = (transport.clusterify(points, rng.permutation([0, 0, 0, 1, 1, 1, 2, 2])) for _ in range(2))
+
+    def emd(a, b):
+        return brute_transport(np.full(len(a), 1 / len(a)), np.full(len(b), 1 / len(b)), np.sqrt(((a[:, None] - b) ** 2).sum(2)))
+
+    d = np.array([[emd(a, b) for b in t] for a in s])
+    p, q = (np.array([len(c) / 8 for c in x]) for x in (s, t))
+    assert transport.cdistance(s, t) == pytest.approx(brute_transport(p, q, d) / (p @ d @ q))
+
+
 @given(st.integers(1, 6), st.integers(0, 10**6))
 @settings(deadline=None, max_examples=60)
 def test_transport_of_equal_masses_is_the_best_assignment(n, seed):

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isogloss import dims
+from isogloss import dims, session
 from isogloss.functions import natural_key, round_half_even
+from isogloss.kernels import transport
 from isogloss.operators import clustering, evaluate, featurize, lookup, matrix, pairs, select
 from isogloss.sources import readers, writers
 
@@ -85,6 +86,9 @@ def test_matrix_round_trips(spark, tmp_path):
     assert low.count() == 15
     assert rows(matrix.full(low, labels).select("row_loc", "col_loc", "dist")) == rows(plain)
     assert matrix.without(plain, ["A", "C"]).count() == 16
+    assert matrix.without(plain, []).count() == 36
+    with pytest.raises(Exception, match="no such label: Z"):
+        matrix.without(plain, ["A", "Z"]).count()
     writers.matrix_csv(plain, names, str(tmp_path / "csv"))
     assert rows(readers.matrix_csv(spark, str(tmp_path / "csv")).select("row_loc", "col_loc", "dist")) == rows(plain)
     writers.dif(plain, labels, str(tmp_path / "dif"))
@@ -95,9 +99,71 @@ def test_matrix_round_trips(spark, tmp_path):
     assert rows(readers.cophenetic_tab(spark, str(tmp_path / "tab"), names).select("row_loc", "col_loc", "coph")) == rows(plain)
 
 
+def test_cells_that_are_not_numbers(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("x,A,B,C\nA,0,NA,nan\nB,,0,N/A\n")
+    assert [r.dist for r in readers.matrix_csv(spark, str(tmp_path / "m.csv")).orderBy("row_loc", "col_loc").collect()] == [0.0, None, None, None, 0.0, None]
+    (tmp_path / "bad.csv").write_text("x,A\nA,0.1.2\n")
+    with pytest.raises(Exception, match="not a number: 0.1.2"):
+        readers.matrix_csv(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_costs_on_a_line(spark):
+    rng = np.random.default_rng(2)
+    left = [(m, int(rng.integers(0, 3)), float(rng.integers(0, 9))) for m in ("a", "b", "b", "a", None) for _ in range(8)]
+    right = [(int(rng.integers(0, 2)), float(rng.normal())) for _ in range(15)]
+    predicted, gold = spark.createDataFrame(left, "model string, label int, x double"), spark.createDataFrame(right, "label int, x double")
+    got = {(r.model, r.i, r.j): r.cost for r in evaluate.line_costs(predicted, gold, ["model"]).collect()}
+    for m, i in {(m, i) for m, i, _ in left}:
+        for j in (0, 1):
+            x, y = [v for n, k, v in left if (n, k) == (m, i)], [v for k, v in right if k == j]
+            assert got[(m, i, j)] == pytest.approx(transport.emd_line(np.array(x), np.array(y)))
+    assert len(got) == 2 * len({(m, i) for m, i, _ in left})
+    plan = evaluate.line_costs(predicted, gold, ["model"])._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_blocks_follow_counts(spark, monkeypatch):
+    assert pairs.blocks_for(frames(spark)) == 1
+    monkeypatch.setattr(pairs, "PAIR_ROWS", 1)
+    assert pairs.blocks_for(frames(spark)) == 3
+    words = {(r.row_loc, r.col_loc): r.words for r in pairs.locality_distances(frames(spark), words=True).collect()}
+    assert words[("A", "B")] == words[("B", "A")] == ["w"] and words[("C", "C")] == ["other"]
+
+
+def test_featurizer_modes():
+    states = [np.full((2, 3), float(k), np.float32) for k in range(4)]
+    parts = {"encode": lambda w, depth: states if depth < 0 else states[: depth + 1], "convolve": lambda w: np.ones((2, 5), np.float32), "project": lambda f: f[:, :3] * 2}
+    modes = {layer: featurize.featurizer_of(**parts, layer=layer)(np.zeros(10)) for layer in (None, 0, 2, -1, -2)}
+    assert [k for k, _ in modes[None]] == [0, 1, 2, 3] and modes[2][0][0] == 2 and modes[2][0][1][0, 0] == 2 and modes[0][0][1][0, 0] == 0
+    assert modes[-1][0][1].shape == (2, 3) and modes[-2][0][1].shape == (2, 5)
+
+
+def test_result_files(spark):
+    paths = ["a/m/layer-3/x.dif.ga.initclust.n4", "a/other/layer-3/x.dif.ga.n4.x", "a/data-l04-106/layer-1/x.ga.initclust.n4", "a/transcription-distances/ld/ld.ga.initclust.n4", "a/b/c/d.ga.e.f"]
+    got = readers.result_files(spark.createDataFrame([(p,) for p in paths], "path string"), models=["m", "data-l04-106"], method="ga")
+    assert rows(got.select("kind", "model", "layer")) == [("layer", "ld", "layer-1"), ("layer", "m", "layer-3"), ("ld", "transcription-distances", "ld")]
+
+
+def test_intermediate_tables_need_a_shared_folder(spark):
+    class Elsewhere:
+        class conf:
+            @staticmethod
+            def get(*_):
+                return None
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Elsewhere)
+
+
 def test_clustering_and_partitions(spark, tmp_path):
     cells, names = square(spark)
     made = clustering.cluster(cells, 3)
+    writers.merges(clustering.merge_rows(made).filter("method = 'ga'"), str(tmp_path / "merges"))
+    lines = [line.split("\t") for line in next((tmp_path / "merges").glob("part*")).read_text().splitlines()]
+    assert [int(x[0]) for x in lines] == list(range(5)) and lines[-1][2:4] == ["6", "A"]
     assert clustering.merge_rows(made).count() == 7 * 5
     assert clustering.cophenetic_rows(made).count() == 7 * 36
     part = clustering.partition_rows(made)
@@ -187,6 +253,14 @@ def test_npy_features(spark, tmp_path):
     assert (r.model, r.layer, r.village_key, r.word, len(r.frames)) == ("m", 3, "AALTEN", "een", 3)
 
 
+def test_npy_features_round_trip(spark, tmp_path):
+    made = frames(spark).withColumn("recording", F.concat_ws("_", "recording", "word"))
+    writers.npy_features(made, f"file://{tmp_path}/npy")
+    back = readers.npy_features(spark, str(tmp_path / "npy" / "*" / "*" / "*"))
+    assert sorted(r.frames for r in back.collect()) == sorted(r.frames for r in made.collect())
+    assert (tmp_path / "npy" / "m" / "layer-1" / "B1_w" / "layer-01.npy").exists()
+
+
 def test_file_metadata(spark):
     df = spark.createDataFrame([("x/m/layer-4/m-layer-4.dif.ga.initclust.n4",)], "path string")
     r = readers.file_metadata(df).first()
