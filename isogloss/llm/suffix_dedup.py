@@ -2,15 +2,19 @@
 
 Prefix doubling ranks each position by its first h bytes, pairs its rank with that of the position h further, and
 sorts the pairs for ranks of 2h bytes; a position whose rank is unique leaves, and past the threshold the rest are
-repeats. Most positions of a corpus are unique, so the first ranks are taken of few: every window of `length` bytes
-has one anchor, the smallest fingerprint of `gram` bytes in it (the leftmost of equal ones), which depends on the
-window's bytes alone. Windows that follow each other share anchors; equal windows have equal anchors.
+repeats. Most positions of a corpus are unique, so candidates are found first: every window of `length` bytes has one
+anchor, the smallest fingerprint of `gram` bytes in it (the leftmost of equal ones), which depends on the window's
+bytes alone. Windows that follow each other share anchors; equal windows have equal anchors.
 
 1. Anchors are sorted by (rank of the gram, rank of the bytes of all windows that share the anchor). Equal pairs are
-   repeats of the first. A gram with one such context only is unique there and leaves.
-2. For the windows of the other contexts, pairs of ranks at offsets `start`, 2 * `start`, ... are sorted and reranked.
-
-A rank is a 64-bit fingerprint or made of the first position that has it, and both ranks of a pair are compared.
+   repeats of the first. A gram with one such context only is unique there, and its windows leave.
+2. The windows of the other contexts are open. Positions in them are ranked by `start` bytes; pairs of ranks at
+   offsets `start`, 2 * `start`, ... are sorted, unique ones leave, and the others are reranked and paired again,
+   until ranks are of `length` bytes.
+
+A rank of h bytes is a 64-bit name made of the two names that it joins, so that each position can be renamed where it
+is; sorting decides which names are unique. Rows with a pair that a task has already seen aren't sorted: of each task's
+rows, one stands for all with its pair, so that a pair that a third of all positions has doesn't fill one task.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -33,17 +37,25 @@ SEGMENT = 1 << PLACE
 #: Texts and stretches of theirs that are broadcast to meet the texts, at most (about 40 bytes each); more are joined
 #: by shuffle.
 BROADCAST_ROWS = 2_000_000
-NULL_ID = (1 << 63) - 1
-
-
-def _key(id_col: str):
-    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
+#: Bytes of a gram that anchors are chosen by, and of the first ranks.
+GRAM, START = 48, 25
+#: Positions of a text that are paired together.
+PART = 1 << 16
+#: A null id counts as the largest: as this one, with offsets above those of any text.
+LAST_ID, LAST = (1 << 63) - 1, 1 << 40
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (nulls last), tag (tells rows with one id and different texts apart), text as UTF-8."""
+    """doc, tag (tells rows with one id and different texts apart; negative for a null id), text as UTF-8."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(_key(id_col).alias("doc"), F.hash(text).alias("tag"), text.cast("binary").alias("text"))
+    ident = F.col(f"`{id_col}`").cast("long")
+    half = F.shiftrightunsigned(F.xxhash64(text), 1)
+    return docs.select(F.coalesce(ident, F.lit(LAST_ID)).alias("doc"), F.when(ident.isNull(), -1 - half).otherwise(half).alias("tag"), text.cast("binary").alias("text"))
+
+
+def _shift(tags: np.ndarray) -> np.ndarray:
+    """What offsets of a text with this tag are raised by."""
+    return np.where(tags < 0, LAST, 0)
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -136,16 +148,21 @@ def _segments(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[int
 
 
 #: kind 0: an anchor; kind 1: a stretch of repeated windows already known from the same batch.
-_ANCHORS = pa.schema([("kind", pa.int8()), ("gram", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-_STRETCHES = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("tag", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-_PAIRS = pa.schema([("kind", pa.int8()), ("r1", pa.int64()), ("r2", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+_ANCHORS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("gram", "context", "doc", "tag", "lo", "hi"))])
+_STRETCHES = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("doc", "tag", "lo", "hi"))])
+_PAIRS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("r1", "r2", "doc", "tag", "lo", "hi"))])
+_RANKS = pa.schema([(c, pa.int64()) for c in ("doc", "tag", "lo", "rank")])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {"int8": "byte", "int32": "int", "int64": "long"}
+    names = {"int8": "byte", "int64": "long"}
     return ", ".join(f"{f.name} {names[str(f.type)]}" for f in schema)
 
 
+def _batch(schema: pa.Schema, columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(f.type.to_pandas_dtype())) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _repeats(key: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """Whether a row with the same key starts earlier."""
     order = np.lexsort((lo, doc, key))
@@ -166,15 +183,15 @@ def _ranked(schema: pa.Schema, again: np.ndarray, number: np.ndarray, one: np.nd
     head, tail = np.flatnonzero(again & ~np.concatenate([edge, joint])), np.flatnonzero(again & ~np.concatenate([joint, edge]))
     n, m = int((~again).sum()), len(head)
     columns = (
-        np.concatenate([np.zeros(n, np.int8), np.ones(m, np.int8)]),
+        np.concatenate([np.zeros(n), np.ones(m)]),
         np.concatenate([one[~again], mix(one[head] + np.arange(m, dtype=np.uint64))]).view(np.int64),
         np.concatenate([two[~again], two[head]]).view(np.int64),
         np.concatenate([doc[~again], doc[head]]),
         np.concatenate([tag[~again], tag[head]]),
-        np.concatenate([lo[~again], lo[head]]).astype(np.int32),
-        np.concatenate([hi[~again], hi[tail]]).astype(np.int32),
+        np.concatenate([lo[~again], lo[head]]),
+        np.concatenate([hi[~again], hi[tail]]),
     )
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+    return _batch(schema, columns)
 
 
 def _anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
@@ -187,7 +204,8 @@ def _anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
                 part = np.searchsorted(ends, first, side="right")
                 shift = np.asarray(offsets)[part] - np.concatenate([[0], ends[:-1]])[part]
                 number = np.asarray(numbers)[part]
-                doc, tag, lo, hi = docs[number], tags[number], first + shift, last + shift
+                doc, tag = docs[number], tags[number]
+                lo, hi = first + shift + _shift(tag), last + shift + _shift(tag)
                 again = _repeats(mix(rank) ^ context, doc, lo)
                 yield _ranked(_ANCHORS, again, number, rank, context, doc, tag, lo, hi)
 
@@ -229,11 +247,10 @@ def _rerank_anchors(rows: DataFrame) -> DataFrame:
                 out += [repeated, first]
                 given = bool(several[-1]) or (held is not None and given and len(head) == 1)
                 held = table[head[-1] : head[-1] + 1]
-            found = np.vstack(out)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].astype(f.type.to_pandas_dtype())) for i, f in enumerate(_STRETCHES)], schema=_STRETCHES)
+            yield _batch(_STRETCHES, np.vstack(out).T)
 
     # Known stretches come with keys of their own and are only passed on.
-    return rows.repartition("gram").sortWithinPartitions("kind", "gram", "context", "doc", "lo").mapInArrow(run, _ddl(_STRETCHES))
+    return rows.repartition("gram").sortWithinPartitions("gram", "context", "doc", "lo").mapInArrow(run, _ddl(_STRETCHES))
 
 
 def _with_texts(source: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -245,13 +262,13 @@ def _with_texts(source: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 def _stretches_of(rows: DataFrame) -> DataFrame:
     """For each text its stretches, at most as many as it has bytes, merged where they touch."""
     grouped = rows.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("stretches"))
-    schema = "doc long, tag int, stretches array<struct<lo:int,hi:int>>"
+    schema = "doc long, tag long, stretches array<struct<lo:long,hi:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = list(_ends(batch.column(2)))
             offsets = np.cumsum([0, *[len(lo) for lo, _ in ends]]).astype(np.int32)
-            pairs = [pa.array(np.concatenate([e[i] for e in ends] or [np.zeros(0)]).astype(np.int32)) for i in (0, 1)]
+            pairs = [pa.array(np.concatenate([e[i] for e in ends] or [np.zeros(0)]).astype(np.int64)) for i in (0, 1)]
             merged = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(pairs, ["lo", "hi"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), merged], ["doc", "tag", "stretches"])
 
@@ -283,34 +300,71 @@ def _pieces(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int]]:
             yield at, min(at + SEGMENT, b + 1)
 
 
+def _with_company(pairs: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of kind 0 of which some have the same pair: one of these stands for all (kind 2), the others are known not
+    to be unique (kind 1) and are dealt out evenly, with the pair's name in place of r2."""
+    one, two = (pairs.column(i).to_numpy().view(np.uint64) for i in (1, 2))
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(a)))
+    kind = np.zeros(len(a), np.int8)
+    kind[order[~new]] = 1
+    kind[order[head[count > 1]]] = 2
+    known = kind == 1
+    first = np.where(known, mix(one + np.arange(len(one), dtype=np.uint64)), one)
+    second = np.where(known, _name(one, two), two)
+    return _batch(_PAIRS, (kind, first.view(np.int64), second.view(np.int64), *(pairs.column(i).to_numpy() for i in range(3, 7))))
+
+
+def _name(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The name of a pair of names."""
+    return mix(mix(one) * np.uint64(0x9E3779B97F4A7C15) + two)
+
+
+def _made(one: np.ndarray, two: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, last: bool) -> pa.RecordBatch:
+    """Rows for a round of sorting pairs. In the last one repeats among them are known at once."""
+    if last:
+        number = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))[: len(lo)]
+        return _ranked(_PAIRS, _repeats(mix(one) ^ two, doc, lo), number, one, two, doc, tag, lo, lo)
+    return _with_company(_batch(_PAIRS, (np.zeros(len(lo)), one.view(np.int64), two.view(np.int64), doc, tag, lo, lo)))
+
+
 def _pairs(texts: DataFrame, length: int, start: int) -> DataFrame:
-    """Pairs of ranks at offset `start` of positions in the texts' stretches (kind 0). Where the pairs decide
-    (2 * start >= length), repeats inside a batch are known at once (kind 1)."""
+    """Pairs of ranks at offset `start` of the positions that later rounds need: those in the texts' stretches and as
+    many further on as ranks of 2 * `start` bytes lack."""
     step = min(start, length - start)
     beyond = max(0, length - 2 * start)
 
-    def made(parts: list, docs: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
-        number, p, one, two = (np.concatenate(c) for c in zip(*parts, strict=True))
-        again = np.zeros(len(p), bool) if beyond else _repeats(mix(one) ^ two, docs[number], p)
-        return _ranked(_PAIRS, again, number, one, two, docs[number], tags[number], p, p)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             docs, tags, parts, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], 0
+
+            def made(parts: list) -> pa.RecordBatch:
+                number, p, one, two = (np.concatenate(c) for c in zip(*parts, strict=True))
+                return _made(one, two, docs[number], tags[number], p, not beyond)
+
             for k, (text, (lo, hi)) in enumerate(zip(batch.column(2).to_pylist(), _ends(batch.column(3)), strict=True)):
-                for a, b in _pieces(*_merged(lo, np.minimum(hi + beyond, len(text) - start - step))):
+                shift = int(_shift(tags[k]))
+                for a, b in _pieces(*_merged(lo - shift, np.minimum(hi - shift + beyond, len(text) - start - step))):
                     prints, p = Fingerprints(text[a : b + step + start]), np.arange(b - a)
-                    parts.append((np.full(len(p), k), p + a, prints.of(p, p + start), prints.of(p + step, p + step + start)))
+                    parts.append((np.full(len(p), k), p + a + shift, prints.of(p, p + start), prints.of(p + step, p + step + start)))
                     held += len(p)
                     if held >= SEGMENT:
-                        yield made(parts, docs, tags)
+                        yield made(parts)
                         parts, held = [], 0
             if parts:
-                yield made(parts, docs, tags)
+                yield made(parts)
 
     return texts.select("doc", "tag", "text", "stretches").mapInArrow(run, _ddl(_PAIRS))
 
 
+def _sorted(pairs: DataFrame) -> DataFrame:
+    return pairs.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "doc", "lo")
+
+
 def _later(pairs: DataFrame) -> DataFrame:
     """Sorted pairs to repeated positions (kind 1, one window each); only the last first row is kept for the next
     batch."""
@@ -334,23 +388,81 @@ def _later(pairs: DataFrame) -> DataFrame:
                 held = table[head[-1] : head[-1] + 1]
                 known = np.vstack([known, table[again]])
             known[:, 0] = 1
-            yield pa.RecordBatch.from_arrays([pa.array(known[:, i].astype(f.type.to_pandas_dtype())) for i, f in zip((0, 3, 4, 5, 6), _STRETCHES, strict=True)], schema=_STRETCHES)
+            yield _batch(_STRETCHES, known[:, [0, 3, 4, 5, 6]].T)
 
-    return pairs.repartition("r1", "r2").sortWithinPartitions("kind", "r1", "r2", "doc", "lo").mapInArrow(run, _ddl(_STRETCHES))
+    return _sorted(pairs).mapInArrow(run, _ddl(_STRETCHES))
 
 
-def _double(pairs: DataFrame, reached: int, length: int) -> DataFrame:
-    """One more round: ranks of `reached` bytes from sorted pairs, without unique ones, paired with the ranks further
-    on. A rank is made of the first position that has it."""
-    group = Window.partitionBy("r1", "r2")
-    ranked = pairs.withColumn("n", F.count("*").over(group)).withColumn("at", F.min(F.struct("doc", "lo")).over(group)).filter("n > 1")
-    ranks = written(ranked.select("doc", "tag", "lo", F.xxhash64("at", F.lit(reached)).alias("rank")), "ranks")
-    step = min(reached, length - reached)
-    further = ranks.select("doc", "tag", (F.col("lo") - step).alias("lo"), F.col("rank").alias("r2")).distinct()
-    return ranks.withColumnRenamed("rank", "r1").distinct().join(further, ["doc", "tag", "lo"]).select(F.lit(0).cast("byte").alias("kind"), "r1", "r2", "doc", "tag", "lo", F.col("lo").alias("hi"))
+def _reranked(pairs: DataFrame) -> DataFrame:
+    """Sorted pairs to new ranks (doc, tag, lo, rank), without unique ones. Only the last row of a batch is kept for
+    the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 7), np.int64)  # the first row of the last pair, if it may be unique
+        last: tuple[int, int] | None = None  # the last pair, if its rows are known not to be unique
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])
+            known = table[table[:, 0] == 1]
+            table = np.vstack([held, table[table[:, 0] != 1]])
+            out = [np.column_stack([known[:, 3:6], known[:, 2]])]
+            if len(table):
+                new = np.ones(len(table), bool)
+                new[1:] = (table[1:, 1:3] != table[:-1, 1:3]).any(1)
+                head = np.flatnonzero(new)
+                count = np.diff(np.append(head, len(table)))
+                several = (count > 1) | (np.maximum.reduceat(table[:, 0], head) == 2)
+                if last is not None and (int(table[0, 1]), int(table[0, 2])) == last:
+                    several[0] = True
+                keep = np.repeat(several, count)
+                rank = _name(*(table[keep, i].view(np.uint64) for i in (1, 2))).view(np.int64)
+                out.append(np.column_stack([table[keep, 3:6], rank]))
+                held = table[:0] if several[-1] else table[head[-1] :]
+                last = (int(table[-1, 1]), int(table[-1, 2])) if several[-1] else None
+            yield _batch(_RANKS, np.vstack(out).T)
+
+    return _sorted(pairs).mapInArrow(run, _ddl(_RANKS))
+
+
+def _paired(ranks: DataFrame, step: int, last: bool) -> DataFrame:
+    """Pairs of ranks at offset `step`, for positions that have both. Offsets are dealt out in stretches of PART, and
+    the first `step` positions of each to the one before as well."""
+    part = max(PART, step)
+    lo = F.col("lo")
+    chunk = F.floor(lo / part).cast("long")
+    copies = F.when(F.pmod(lo, F.lit(part)) < step, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    dealt = ranks.withColumn("chunk", F.explode(copies)).repartition("doc", "tag", "chunk").sortWithinPartitions("doc", "tag", "chunk", "lo")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 5), np.int64)
+
+        def made(table: np.ndarray, done: np.ndarray) -> pa.RecordBatch:
+            """Pairs of the rows of table that are `done`: all that may be paired with them are there."""
+            new = np.append(True, (table[1:, [0, 1, 4]] != table[:-1, [0, 1, 4]]).any(1))
+            base = table[np.flatnonzero(new)[np.cumsum(new) - 1], 2]
+            key = (np.cumsum(new) << 32) + table[:, 2] - base
+            at = np.searchsorted(key, key + step)
+            at[at == len(key)] = 0
+            some = done & (key[at] == key + step) & (table[:, 2] // part == table[:, 4])
+            some[1:] &= key[1:] != key[:-1]  # a repeated row of the documents
+            one, two = table[some, 3].view(np.uint64), table[at[some], 3].view(np.uint64)
+            return _made(one, two, table[some, 0], table[some, 1], table[some, 2], last)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = np.vstack([held, np.column_stack([c.to_numpy() for c in batch.columns])])
+            open_ = (table[:, [0, 1, 4]] == table[-1, [0, 1, 4]]).all(1) & (table[:, 2] + step >= table[-1, 2])
+            yield made(table, ~open_)
+            held = table[open_]
+        if len(held):
+            yield made(held, np.ones(len(held), bool))
+
+    return dealt.select("doc", "tag", "lo", "rank", "chunk").mapInArrow(run, _ddl(_PAIRS))
 
 
-def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = 32, start: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = GRAM, start: int = START, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, tag and stretches (lo, hi): starts of the windows of `length` bytes that also start earlier (in a smaller
     doc, or at a smaller offset of the same doc)."""
     source = _source(docs, id_col, text_col)
@@ -359,7 +471,10 @@ def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = 32, start
     pairs = _pairs(_with_texts(source, written(open_windows, "open"), "inner"), length, start)
     reached = 2 * start
     while reached < length:
-        pairs, reached = _double(pairs, reached, length), min(length, 2 * reached)
+        ranks = written(_reranked(pairs), "ranks")
+        step = min(reached, length - reached)
+        reached += step
+        pairs = _paired(ranks, step, reached == length)
     found = sorted_anchors.filter("kind = 1").unionByName(_later(pairs))
     return _stretches_of(found.select("doc", "tag", "lo", "hi"))
 
@@ -373,7 +488,7 @@ def _spans(lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, start: int = 50, texts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, start: int = START, texts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (of removed bytes, as maximal runs), kept (the bytes that remain; null
     without `texts`) and kept_sha256, one row per row of docs.
 
@@ -384,7 +499,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, start: in
     result; other columns are not read.
     """
     stretches = written(repeated_stretches(docs, length, gram, start, id_col, text_col), "stretches")
-    joined = _with_texts(_source(docs, id_col, text_col), stretches, "left").select("doc", "text", "stretches")
+    joined = _with_texts(_source(docs, id_col, text_col), stretches, "left").select("doc", "tag", "text", "stretches")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -393,12 +508,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, start: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for doc, text, (lo, hi) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _ends(batch.column(2)), strict=True):
-                begin, end = _spans(lo, hi, length)
+            for doc, tag, text, (lo, hi) in zip(*(c.to_pylist() for c in batch.columns[:3]), _ends(batch.column(3)), strict=True):
+                shift = LAST if tag < 0 else 0
+                begin, end = _spans(lo - shift, hi - shift, length)
                 edges = zip([0, *end.tolist()], [*begin.tolist(), len(text)], strict=True)
                 kept = b"".join(text[a:b] for a, b in edges)
                 spans = [{"start": a, "end": b} for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                rows.append((None if doc == NULL_ID else doc, len(text), len(text) - len(kept), spans, kept if texts else None, hashlib.sha256(kept).hexdigest()))
+                rows.append((None if tag < 0 else doc, len(text), len(text) - len(kept), spans, kept if texts else None, hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
