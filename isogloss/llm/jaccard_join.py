@@ -5,10 +5,11 @@ link differ in H shingles at most, H following from their sizes. A set gives seg
 2, and these add up to H + 1 (for the largest H that a partner can have): for a linked set there is a segment in
 which the two differ in fewer than v[i] shingles (pigeonhole). v = 1 finds it by the signature of the segment's
 subset; v = 2 by that of the subset or of one with a shingle less on either side, its one-deletion neighbourhood. A
-subset without shingles would meet every other such set, so it gets 0, and as many of the largest subsets among the
-first K segments get 2 instead; K is chosen for each band by the cost of signatures and of chance candidates. So all
-index the subsets of all segments and the neighbourhoods of the first K; a set without enough segments for 2 also
-asks for its empty ones.
+subset without shingles would meet every other such set, and one of shingles that many documents have (a passage, a
+license) very many; so these get 0, and as many others among the first K segments get 2 instead; K is chosen for each
+band by the cost of signatures and of chance candidates. So all index the subsets of all segments and the
+neighbourhoods of the first K; a set without enough segments for 2 also asks for its empty subsets, or leaves
+frequent ones at 1. Which shingles are frequent is counted over all documents, in each task first.
 
 Texts with equal words are one class from the start. Sets that share a signature are candidates: members of a bucket
 are first compared with one of them, then those that are still in different components in groups, inside tasks.
@@ -23,7 +24,7 @@ import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -46,6 +47,9 @@ SKETCH_ROWS, GROUP_ROWS = 2048, 1024
 CANDIDATE_COST = 50.0
 #: A segment needs so many shingles to get the allowance 2.
 LEAST_TWO = 3
+#: Sets of one task's BUFFER of shingles that have a shingle, at least, for it to be counted over all; sets that have a
+#: frequent shingle, at least; and frequent shingles (8 bytes each), the most frequent ones. They change costs only.
+LOCAL_SETS, FREQUENT_SETS, FREQUENT = 8, 100, 1 << 16
 #: Rows of one signature that a task sends on, at most, from each BUFFER of its signatures; further ones are compared
 #: with one of these.
 LOCAL_ROWS, BUFFER = 8, 2_000_000
@@ -197,15 +201,23 @@ def allocate(sets: int, threshold: Threshold, low: int, high: int) -> int:
 
 @dataclass(frozen=True)
 class Scheme:
-    """bands: smallest sizes; near: for each band, how many segments have neighbourhoods (K)."""
+    """bands: smallest sizes; near: for each band, how many segments have neighbourhoods (K); frequent: sorted hashes of
+    shingles that many documents have."""
 
     threshold: Threshold
     bands: tuple[int, ...]
     near: tuple[int, ...]
+    frequent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+    def rare(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.frequent):
+            return np.ones(len(s), bool)
+        return self.frequent[np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)] != s
 
     def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signatures of a set, and what each is (ASKS, SUBSET, NEAR, ANSWERS or EMPTY)."""
         n, out, kinds = len(s), [], []
+        all_rare = self.rare(s)
         own = int(np.searchsorted(self.bands, n, side="right")) - 1
         for band in (own, own + 1):
             if band + 1 >= len(self.bands) or self.threshold.largest(n) < self.bands[band]:
@@ -215,11 +227,11 @@ class Scheme:
             need = self.threshold.differences(n + min(self.threshold.largest(n), high)) + 1
             token = mix(s + np.uint64(band * 2 + 1))
             segment = (token % np.uint64(m)).astype(np.int64)
-            token = mix(token)
+            token, rare = mix(token), all_rare
             if need < m:  # a pair's segments are the first that it needs, which both sets have
                 used = segment < need
-                token, segment = token[used], segment[used]
-            count = np.bincount(segment, minlength=need)
+                token, segment, rare = token[used], segment[used], rare[used]
+            count, rares = np.bincount(segment, minlength=need), np.bincount(segment[rare], minlength=need)
             order = np.argsort(segment, kind="stable")
             token, segment = token[order], segment[order]
             some = np.flatnonzero(count)
@@ -228,15 +240,18 @@ class Scheme:
                 total[some] = np.add.reduceat(token, (np.cumsum(count) - count)[some])
             key = mix(np.arange(need, dtype=np.uint64) + np.uint64((band + 1) << 32))
             kind = np.where(count > 0, SUBSET, EMPTY)
-            empty = need - len(some)
             two = np.zeros(need, bool)
-            if empty:
-                first = np.flatnonzero(count[:k] >= LEAST_TWO)
-                two[first[np.argsort(-count[first], kind="stable")][:empty]] = True
+            # Segments to give nothing: empty ones, then those with frequent shingles only, fewest first.
+            costly = np.flatnonzero(rares == 0)
+            if len(costly):
+                costly = costly[np.argsort(count[costly], kind="stable")]
+                # A neighbour of a subset with two rare shingles has one, so it never meets those that get nothing.
+                first = np.flatnonzero((count[:k] >= LEAST_TWO) & (rares[:k] >= 2))
+                two[first[np.argsort(-rares[first], kind="stable")][: len(costly)]] = True
                 kind[two] = ASKS
-                left = empty - int(two.sum())
-                if left:
-                    kind[np.flatnonzero(count == 0)[:left]] = ASKS
+                met, left = costly[: int(two.sum())], costly[int(two.sum()) :]
+                kind[met[count[met] > 0]] = NEAR  # it still answers those that ask
+                kind[left[count[left] == 0]] = ASKS
             out.append(mix(total + key))
             kinds.append(kind)
             # A subset that asks has LEAST_TWO shingles at least, so that smaller neighbours never answer.
@@ -264,14 +279,38 @@ def _text_digest(text: bytes | None, ident: int | None) -> tuple[int, int]:
     return (int.from_bytes(h.digest()[:8], "little", signed=True), int.from_bytes(h.digest()[8:], "little", signed=True)) if some else (ident or 0, 0)
 
 
-def set_digests(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, the size of its set, and 128 bits that stand for its sequence of words."""
+def _digest_rows(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, the size of its set, and 128 bits that stand for its sequence of words; and for shingles that LOCAL_SETS
+    different texts of a task have: the hash as doc_id, and less the number of texts as size."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_shingles", "d1", "d2")])
 
-    def batch(ids: list, texts: list) -> dict[str, list]:
-        two = [_text_digest(t, i) for t, i in zip(texts, ids, strict=True)]
-        return {"doc_id": ids, "n_shingles": [len(shingle_set(word_hashes(t), words)) for t in texts], "d1": [d[0] for d in two], "d2": [d[1] for d in two]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        sets: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+            token, count = token[count >= LOCAL_SETS].view(np.int64), count[count >= LOCAL_SETS]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (token, -count, 0 * count, 0 * count)], schema=schema)
+
+        for batch in slices(batches):
+            rows = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s, key = shingle_set(word_hashes(text), words), _text_digest(text, i)
+                rows.append((i, len(s), *key))
+                if len(s) and key not in seen:
+                    seen.add(key)
+                    sets.append(s)
+                    size += len(s)
+                if size >= BUFFER:
+                    yield counted()
+                    sets, size = [], 0
+                    seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, schema=schema)
+        yield counted()
 
-    return map_texts(docs, batch, DIGESTS, id_col, text_col)
+    return texts_of(docs, id_col, text_col).mapInArrow(run, DIGESTS)
 
 
 def _short(d1: np.ndarray) -> np.ndarray:
@@ -425,9 +464,12 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: Threshold = Th
     words (by a 128-bit digest) and candidates whose shingles, compared as such, reach the threshold. Rows with one
     doc_id are one node, whatever their texts; rows with a null id have a null component. Repeated rows are kept, an
     empty table gives an empty result; other columns are not read. Sizes of sets are counted over all documents, for
-    the bands; only those counts come to the driver.
+    the bands; only those counts and the most frequent shingles' hashes come to the driver.
     """
-    digests = written(set_digests(docs, words, id_col, text_col), "digests")
+    both = written(_digest_rows(docs, words, id_col, text_col), "digests")
+    digests = both.filter("n_shingles >= 0")
+    tokens = both.filter("n_shingles < 0").groupBy("doc_id").agg((-F.sum("n_shingles")).alias("n")).filter(F.col("n") >= FREQUENT_SETS)
+    frequent = tokens.orderBy(F.desc("n"), "doc_id").limit(FREQUENT).select("doc_id").toPandas()["doc_id"].to_numpy(np.int64)
     known = digests.filter(F.col("doc_id").isNotNull())
     # Classes get numbers when they are written, so that these stay as they are.
     named = known.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
@@ -442,7 +484,7 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: Threshold = Th
     of_band = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bands]), lambda b: b <= F.col("n_shingles"))) - 1
     counts = {r["band"]: r["count"] for r in sets.groupBy(of_band.alias("band")).count().collect()}
     near = [allocate(max(1, counts.get(k, 0) + counts.get(k - 1, 0)), threshold, low, high) for k, (low, high) in enumerate(zip(bands, bands[1:], strict=False))]
-    scheme = Scheme(threshold, tuple(bands), tuple(near))
+    scheme = Scheme(threshold, tuple(bands), tuple(near), np.sort(frequent.view(np.uint64)))
     met = written(_met(_signature_rows(docs, scheme, words, id_col, text_col)), "met")
 
     # From here on classes go by their numbers; the short digests of two may be equal, and then both are meant.
@@ -488,8 +530,8 @@ def _dealt(units: DataFrame, rows: int) -> DataFrame:
 def _linked_in_groups(met: DataFrame, short: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: Threshold, words: int) -> DataFrame:
     """Links (a, b) that join the components which share a bucket: enough of them, not all.
 
-    Documents that buckets with several components connect are a group; where its blocks would be more than the
-    buckets that a document is in, each bucket is a group of its own (buckets with equal members once). Tasks compare
+    Documents that buckets with several components connect are a group, if they are SKETCH_ROWS at most; else each of
+    the buckets is one (buckets with equal members once), so that only documents of a bucket meet. Tasks compare
     sketches, block by block, and give enough of the pairs that may link to connect them all. What these connect are
     groups of texts, which tasks compare by their shingles' postings; they give a link only where its ends aren't
     joined yet. So pairs are never written out.
@@ -503,8 +545,8 @@ def _linked_in_groups(met: DataFrame, short: DataFrame, nodes: DataFrame, texts:
     rows = written(held.join(once, "sig"), "mixed")
     groups = connected_components(rows.join(rows.groupBy("sig").agg(F.min("node").alias("b")), "sig").select(F.col("node").alias("a"), "b"))
     of_bucket = rows.select("sig", "node").join(groups.withColumnRenamed("component", "group"), "node")
-    sizes = of_bucket.groupBy("group").agg(F.count("*").alias("places")).join(groups.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("size")), "group")
-    whole = F.ceil(F.col("size") / F.lit(SKETCH_ROWS)) * F.col("size") <= F.col("places")
+    sizes = groups.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("size"))
+    whole = F.col("size") <= SKETCH_ROWS
     units = of_bucket.join(sizes, "group").select(F.struct(whole.alias("whole"), F.when(whole, F.col("group")).otherwise(F.col("sig")).alias("name")).alias("unit"), "node").distinct()
     inside = rows.groupBy("node").agg(F.min("component").alias("inside"))
     sketches = _dealt(units, SKETCH_ROWS).join(inside, "node").join(texts.select("node", "n_shingles", "sketch"), "node")

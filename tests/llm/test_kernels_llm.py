@@ -231,19 +231,23 @@ def test_words_that_polynomial_hashes_confuse():
 
 
 @pytest.mark.parametrize("part", [80, 90])
+@pytest.mark.parametrize("frequent", [False, True])
 @pytest.mark.parametrize("near", [0, 2, None])
-def test_linked_sets_share_a_signature(part, near):
+def test_linked_sets_share_a_signature(part, near, frequent):
     """The pigeonhole: every pair over the threshold, of any sizes, meets in a bucket where one of them asks."""
     rng = np.random.default_rng(part)
     t = jaccard_join.Threshold(part, 100)
     bands = t.bands(400)
     ranges = list(zip(bands, bands[1:], strict=False))
     k = [min(near, t.differences(t.smallest(a) + a) + 1) if near is not None else jaccard_join.allocate(10**6, t, a, b) for a, b in ranges]
-    scheme = jaccard_join.Scheme(t, tuple(bands), tuple(k))
+    common = np.unique(rng.integers(0, 1 << 63, 60 * frequent).astype(np.uint64))
+    scheme = jaccard_join.Scheme(t, tuple(bands), tuple(k), common)
     seen = 0
     for _ in range(1500):
         n = int(rng.integers(1, 300))
         base = rng.integers(0, 1 << 63, n + 80).astype(np.uint64)
+        some = rng.integers(0, 1 + min(n, len(common)))
+        base[rng.choice(n, some, replace=False)] = common[:some]
         drop, add = rng.integers(0, max(1, n // 8) + 1, 2)
         x, y = np.unique(base[:n]), np.unique(np.concatenate([base[drop:n], base[n : n + add]]))
         if not t.link(x, y):
