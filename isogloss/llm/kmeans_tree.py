@@ -21,7 +21,7 @@ from ..session import written
 #: Rows that the tree is fitted on, at most; rows that a leaf should have; children of a node; leaves, at most.
 SAMPLE, LEAF_ROWS, BRANCH, LEAVES = 16_384, 256, 8, 1024
 #: Recall that calibration asks for on the sample, and the sample's queries that measure it.
-RECALL, CALIBRATION = 0.97, 200
+RECALL, CALIBRATION = 0.97, 400
 #: Distinct vectors, and queries, that one scan task holds.
 BIN_ROWS, QUERY_ROWS = 16_384, 8_192
 
@@ -161,8 +161,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
     if not total:
         return spark.createDataFrame([], schema)
     space = 1 << 40
-    picked = distinct.filter(F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(space)) < F.lit(min(space, space * sample // total))).select("rep", "v").limit(sample).toPandas().sort_values("rep")
-    x = _matrix(picked["v"]) if len(picked) else _matrix(distinct.select("v").limit(1).toPandas()["v"])
+    # About `sample` rows by a hash of the id, so that equal tables give equal trees.
+    picked = distinct.filter(F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(space)) < F.lit(min(space, space * sample // total))).select("rep", "v").toPandas().sort_values("rep")
+    x = _matrix(picked["v"]) if len(picked) else _matrix(distinct.orderBy("rep").select("v").limit(1).toPandas()["v"])
     leaf_rows = max(16, len(x) // LEAVES, round(LEAF_ROWS * len(x) / max(total, LEAF_ROWS)))
     shared = spark.sparkContext.broadcast(fit_tree(x, leaf_rows, k, recall))
     tree = shared.value
@@ -190,7 +191,6 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
 
     wanted = rows.filter(queries(F.col("id")))
     asked = indexed.join(wanted.select("v").distinct(), "v", "left_semi").select("rep", "v")
-    shares = max(1, -(-asked.count() // QUERY_ROWS))
 
     def plan(frames):
         own = shared.value
@@ -205,10 +205,12 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
                 out += [(b, rep, v, leaves) for b, leaves in by_bin.items()]
             yield pd.DataFrame(out, columns=["bin", "rep", "q", "visit"])
 
-    share = F.pmod(F.xxhash64("rep"), F.lit(shares)).cast("int")
-    left = asked.mapInPandas(plan, "bin int, rep long, q array<double>, visit array<int>").withColumn("share", share)
+    planned = written(asked.mapInPandas(plan, "bin int, rep long, q array<double>, visit array<int>"), "queries")
+    # A bin that many queries visit is sent once for each QUERY_ROWS of them, and one that none visits not at all.
+    shares = planned.groupBy("bin").agg(F.ceil(F.count("*") / F.lit(QUERY_ROWS)).cast("int").alias("shares"))
+    left = planned.join(shares, "bin").withColumn("share", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int")).drop("shares")
     right = indexed.withColumn("bin", places[F.col("leaf")] + F.pmod(F.xxhash64("rep"), parts[F.col("leaf")]).cast("int"))
-    right = right.select("bin", "leaf", "v", "ids", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    right = right.join(shares, "bin").select("bin", "leaf", "v", "ids", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
 
     def scan(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []

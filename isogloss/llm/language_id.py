@@ -8,11 +8,12 @@ are fitted by accelerated gradient descent on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import map_texts, slices
@@ -33,8 +34,9 @@ FAMILIES = {
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 #: Hashed features.
 WIDTH = 4096
-#: Labelled rows that the machines learn from, at most, for each language; and languages, at most.
-PER_LANGUAGE, LANGUAGES = 500, 200
+#: Labelled rows that the machines learn from, about: for each language, and of all together (8 KB each); where there
+#: are so many languages that this is less, each has as many.
+PER_LANGUAGE, SAMPLE = 500, 20_000
 UNKNOWN = "und"
 #: Of the likeness that all but the least like RARE of a language's labelled rows have, the share that a text needs to
 #: count as being in it; and labelled rows of about one size that such a likeness is taken from, at least.
@@ -166,16 +168,24 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """The model of about `per_language` rows of each language, chosen by a hash of the id, among rows with an id, a
-    language and a text that are not held out. Only their feature vectors (8 KB each) come to the driver."""
+    """The model of about `per_language` rows of each language (SAMPLE of all), chosen by a hash of the id, among rows
+    with an id, a language and a text that are not held out. Only their feature vectors (8 KB each) come to the
+    driver, repeated rows once, and in the order of their ids, so that equal tables give equal models. Every language
+    of these rows can be predicted; an empty table gives a model without languages."""
     i, t, l = (F.col(f"`{c}`") for c in (id_col, text_col, lang_col))
     rows = docs.filter(i.isNotNull() & l.isNotNull() & t.isNotNull() & ~held_out(id_col)).select(i.cast("long").alias("id"), t.cast("string").alias("text"), l.cast("string").alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return Model((), (), np.zeros((0, 0)), (), np.zeros((0, 0)))
     space = 1 << 40
-    limit = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(space, space * per_language // r["count"])))])
-    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(space)) < F.coalesce(limit[F.col("lang")], F.lit(0)))
+    each = max(1, min(per_language, SAMPLE // len(counts)))
+    # Some more than are wanted by a hash's threshold, so that a language of few rows has one, then those that come first.
+    spare = each + 4 * math.isqrt(each) + 16
+    limit = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(space, space * spare // r["count"])))])
+    place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(space))
+    first = Window.partitionBy("lang").orderBy("place", "id", "text")
+    chosen = rows.withColumn("place", place).filter(F.col("place") < limit[F.col("lang")]).distinct()
+    chosen = chosen.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each)
 
     def vectors(batches):
         for batch in slices(batches, 200):
@@ -183,7 +193,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(2)], ["id", "x", "lang"])
 
     # A repeated row is one example, and sums run in the order of the rows, however they come in.
-    got = sorted({tuple(r) for r in chosen.select("id", "text", "lang").mapInArrow(vectors, "id long, x binary, lang string").collect()})
+    got = sorted(tuple(r) for r in chosen.select("id", "text", "lang").mapInArrow(vectors, "id long, x binary, lang string").collect())
     if not got:
         return Model((), (), np.zeros((0, 0)), (), np.zeros((0, 0)))
     return fit(np.stack([np.frombuffer(x, np.float16) for _, x, _ in got]).astype(np.float32), [lang for _, _, lang in got])

@@ -20,15 +20,17 @@ ROW, ROWS = 576, 4096
 OWN_CODE = 1 << 14
 
 
-@lru_cache(maxsize=1)
-def preset() -> np.ndarray:
-    """Code lengths for all 256 samples, by the rule that the n-th of the usual text bytes weighs 1/n."""
+@lru_cache(maxsize=2)
+def preset(copies: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Code lengths for all 256 samples, by the rule that the n-th of the usual text bytes weighs 1/n; with copies also
+    for their lengths, and for all distances alike."""
     usual = b" etaoinsrhldcumfpgwybvkxjqz.,\n\xc3" + bytes(range(0x80, 0xC0)) + bytes(range(0x21, 0x7F))
-    weight = np.ones(256, np.int64)
+    weight = np.ones(280, np.int64)
     for n, b in reversed(list(enumerate(usual))):
         weight[b] = 100_000 // (n + 1)
     weight[255] = 3000
-    return webp.code_lengths(weight)
+    weight[256:] = 1000 * copies
+    return webp.code_lengths(weight), webp.code_lengths(np.ones(40, np.int64))
 
 
 def payload(text: bytes | None) -> bytes:
@@ -41,8 +43,8 @@ def store(data: bytes) -> bytes:
     """Samples as grey images of ROW columns, one after the other where ROWS rows aren't enough."""
     out = []
     for at in range(0, len(data), ROW * ROWS):
-        grey = np.frombuffer(data, np.uint8, min(ROW * ROWS, len(data) - at), at).reshape(-1, ROW).astype(np.uint32)
-        out.append(webp.encode(grey * np.uint32(0x010101) | np.uint32(webp.BLACK), subtract_green=True, preset=None if len(data) >= OWN_CODE else preset()))
+        grey = np.frombuffer(data, np.uint8, min(ROW * ROWS, len(data) - at), at).reshape(-1, ROW)
+        out.append(webp.encode_grey(grey, None if len(data) >= OWN_CODE else preset))
     return b"".join(out)
 
 

@@ -110,26 +110,29 @@ def fit_classifier(ids: list[np.ndarray], styles: np.ndarray, domains: list[str]
 
 
 def train(docs: DataFrame, labels: DataFrame, domain, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Classifier:
-    """The classifier of about `sample` rows of docs with a label, chosen by a hash of the id. domain: the domain's
-    name from the columns of labels, null for rows without one. Word hashes of those rows come to the driver."""
+    """The classifier of about `sample` ids of docs with a label, chosen by a hash of the id. domain: the domain's
+    name from the columns of labels, null for rows without one; the smallest where an id has several. Rows with a null
+    id or text don't count, and of several texts of an id the smallest does. Word hashes of those rows come to the
+    driver, in the order of their ids, so that equal tables give equal classifiers; without any row there is one
+    domain, `all`."""
     named = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), domain.alias("domain")).filter("id is not null and domain is not null")
     space = 1 << 40
     count = named.count()
     keep = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(space)) < F.lit(min(space, space * sample // max(1, count)))
-    named = named.filter(keep).groupBy("id").agg(F.min("domain").alias("domain")).limit(2 * sample)
+    named = named.filter(keep).groupBy("id").agg(F.min("domain").alias("domain"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for text, name in zip(frame["text"], frame["domain"], strict=True):
+            for key, text, name in zip(frame["id"], frame["text"], frame["domain"], strict=True):
                 data = text.encode()
                 ids, n = word_ids(data)
-                out.append((ids.tobytes(), style(data, len(ids), n), name))
-            yield pd.DataFrame(out, columns=["ids", "style", "domain"])
+                out.append((key, ids.tobytes(), style(data, len(ids), n), name))
+            yield pd.DataFrame(out, columns=["id", "ids", "style", "domain"])
 
-    chosen = rows.filter(keep & F.col("text").isNotNull()).join(F.broadcast(named), "id").select("text", "domain").limit(2 * sample)
-    got = chosen.mapInPandas(describe, "ids binary, style array<double>, domain string").toPandas()
+    chosen = rows.filter(keep & F.col("text").isNotNull()).join(F.broadcast(named), "id").groupBy("id", "domain").agg(F.min("text").alias("text"))
+    got = chosen.mapInPandas(describe, "id long, ids binary, style array<double>, domain string").toPandas().sort_values("id")
     if not len(got):
         return Classifier(("all",), np.zeros(0, np.int64), np.zeros((_STYLE + 1, 1)))
     return fit_classifier([np.frombuffer(b, np.int64) for b in got["ids"]], np.stack(got["style"].tolist()), got["domain"].tolist())
@@ -163,8 +166,8 @@ class Mix:
 
 
 def fit_mix(posteriors: DataFrame, domains: tuple[str, ...], targets: Callable[[dict[str, float]], dict[str, float]], steps: int = STEPS, most: float = np.inf) -> Mix:
-    """Rates of at most `most` for posteriors(n_tokens, p). targets: tokens wanted of each domain, from its tokens at
-    rate 1.
+    """Rates of at most `most` for posteriors(n_tokens, p), neither of them null. targets: tokens wanted of each domain,
+    from its tokens at rate 1. Repeated rows count each; an empty table is settled at totals of 0.
 
     The descent's metric weighs documents by tokens and domains by the inverse of their tokens. Each step's totals
     are one sum over all documents; only as many numbers as domains (squared, once) come to the driver.
@@ -216,7 +219,9 @@ def fit_mix(posteriors: DataFrame, domains: tuple[str, ...], targets: Callable[[
 
 
 def document_posteriors(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens (white-space separated words) and p (posteriors in the classifier's order)."""
+    """doc_id, n_tokens (white-space separated words) and p (posteriors in the classifier's order). A null text counts
+    as empty, a null id stays null, repeated rows give repeated results, an empty table gives an empty result; other
+    columns are not read."""
 
     def batch(ids: list, texts: list) -> dict[str, list]:
         p, tokens = classifier.posteriors(texts)
@@ -227,7 +232,8 @@ def document_posteriors(docs: DataFrame, classifier: Classifier, id_col: str = "
 
 def mix_sources(docs: DataFrame, labels: DataFrame, domain, targets, id_col: str = "doc_id", text_col: str = "text", most: float = np.inf) -> tuple[DataFrame, Mix, Classifier]:
     """doc_id, n_tokens, domain (the likeliest), posterior (its), p, rate (`most` at most), target and reached (expected
-    tokens of each domain, in the order of p: the same in each row) for each row of docs, with the mix and the classifier.
+    tokens of each domain, in the order of p), steps (of the descent) and settled (whether targets are met or no rates
+    come nearer), the same in each row, for each row of docs; with the mix and the classifier.
 
     A null text counts as empty; without labelled rows there is one domain, `all`; repeated rows count each, a null
     id stays null, an empty table gives an empty result; other columns are not read.
@@ -244,7 +250,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame, domain, targets, id_col: str
     rated = table.mapInPandas(rate, "doc_id long, n_tokens long, p array<double>, rate double")
     best = F.array_max("p")
     names = F.array(*[F.lit(d) for d in classifier.domains])
-    out = rated.select("doc_id", "n_tokens", F.element_at(names, F.array_position("p", best).cast("int")).alias("domain"), best.alias("posterior"), "p", "rate", *(F.array(*[F.lit(float(v)) for v in values]).alias(c) for c, values in (("target", mix.targets), ("reached", mix.reached))))
+    out = rated.select("doc_id", "n_tokens", F.element_at(names, F.array_position("p", best).cast("int")).alias("domain"), best.alias("posterior"), "p", "rate", *(F.array(*[F.lit(float(v)) for v in values]).alias(c) for c, values in (("target", mix.targets), ("reached", mix.reached))), F.lit(len(mix.history)).alias("steps"), F.lit(mix.settled).alias("settled"))
     return out, mix, classifier
 
 

@@ -9,7 +9,6 @@ bytes. A match's start comes from the rule's reversed automaton, run back from i
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -363,6 +362,3 @@ def redact(texts: list[bytes | None], scanner: Scanner, mark: bytes = b"[secret]
         out.append(b"".join([*parts, data[at:]]))
     return out
 
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -2,14 +2,17 @@
 
 Pixels are uint32 ARGB arrays (height, width). The decoder reads prefix codes (simple and normal, several groups
 by a meta prefix image), back-references, the colour cache, and inverts the predictor, cross-colour, subtract-green
-and palette (colour-indexing) transforms. The encoder writes the same elements where asked to; by default a grey
-image with the subtract-green transform and prefix codes alone, which numpy writes and reads for a whole image.
+and palette (colour-indexing) transforms. The encoder writes the same elements where asked to. encode_grey chooses
+for grey images among those that can pay there: a palette, a predictor, subtract-green and back-references; numpy
+writes and reads literals in stretches. The colour cache and cross-colour never pay for grey, whose other channels
+cost nothing once they are constant.
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -192,10 +195,12 @@ def _extra(r: Reader, prefix: int) -> int:
     return ((2 + (prefix & 1)) << n) + r.bits(n) + 1
 
 
-def _literals(r: Reader, code: Code, n: int) -> np.ndarray:
-    """n symbols of one code, read together: sizes for every bit of a stretch, then the chain of starts."""
+def _greens(r: Reader, code: Code, far: Code, n: int, width: int) -> np.ndarray:
+    """n symbols of one code, read in stretches: sizes for every bit of a stretch, then the chain of starts. The other
+    codes, but for the distances', have one symbol, so that a literal is one symbol of this code."""
     if code.only >= 0:
         return np.full(n, code.only, np.uint16)
+    sizes = np.where(code.symbols < 256, code.sizes, 0).astype(np.uint8)  # the chain stops at a back-reference
     out, got = np.empty(n, np.uint16), 0
     while got < n:
         base = r.at >> 3
@@ -204,22 +209,39 @@ def _literals(r: Reader, code: Code, n: int) -> np.ndarray:
             raise WebPError("the data end too early")
         word = raw[:-2].astype(np.uint32) | raw[1:-1].astype(np.uint32) << np.uint32(8) | raw[2:].astype(np.uint32) << np.uint32(16)
         window = ((word[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).ravel()
-        size = code.sizes[window].tobytes()
-        stop, p, starts = len(size), r.at & 7, []
-        add = starts.append
-        for _ in range(n - got):
-            if p >= stop:
-                break
-            add(p)
-            p += size[p]
-        out[got : got + len(starts)] = code.symbols[window[starts]]
-        got += len(starts)
-        r.at = 8 * base + p
-        if r.at > r.end:
-            raise WebPError("the data end too early")
+        size = sizes[window].tobytes()
+        stop, p = len(size), r.at & 7
+        while got < n and p < stop:
+            starts: list[int] = []
+            add = starts.append
+            for _ in range(n - got):
+                if p >= stop or not (step := size[p]):
+                    break
+                add(p)
+                p += step
+            out[got : got + len(starts)] = code.symbols[window[starts]]
+            got += len(starts)
+            r.at = 8 * base + p
+            if r.at > r.end:
+                raise WebPError("the data end too early")
+            if got < n and p < stop:
+                s = r.symbol(code)
+                if s >= 280:
+                    raise WebPError("a cached colour without a cache")
+                length, d = _extra(r, s - 256), _distance(_extra(r, r.symbol(far)), width)
+                if d > got or got + length > n:
+                    raise WebPError("a back-reference leaves the image")
+                out[got : got + length] = out[got - d : got - d + length] if d >= length else np.resize(out[got - d : got], length)
+                got += length
+                p = r.at - 8 * base
     return out
 
 
+def _distance(code: int, width: int) -> int:
+    """Pixels back that a distance code stands for in an image of this width."""
+    return code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+
+
 def _read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
     """Entropy-coded pixels, flat; top: the main image, which may have several groups of codes."""
     cache_bits = r.bits(4) if r.bits(1) else 0
@@ -237,8 +259,8 @@ def _read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
     codes = [[_read_code(r, n) for n in sizes] for _ in range(groups)]
     n = width * height
     green = codes[0][0]
-    if groups == 1 and not cache_bits and all(c.only >= 0 for c in codes[0][1:4]) and not green.lengths[256:].any():
-        g = _literals(r, green, n).astype(np.uint32)
+    if groups == 1 and not cache_bits and all(c.only >= 0 for c in codes[0][1:4]) and green.only < 256:
+        g = _greens(r, green, codes[0][4], n, width).astype(np.uint32)
         red, blue, alpha = (c.only for c in codes[0][1:4])
         return g << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
     out, at, shift = [0] * n, 0, 32 - cache_bits
@@ -252,8 +274,7 @@ def _read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
             at += 1
         elif s < 280:
             length = _extra(r, s - 256)
-            d = _extra(r, r.symbol(group[4]))
-            d = d - 120 if d > 120 else max(1, NEAR[d - 1][0] + NEAR[d - 1][1] * width)
+            d = _distance(_extra(r, r.symbol(group[4])), width)
             if d > at or at + length > n:
                 raise WebPError("a back-reference leaves the image")
             for _ in range(length):
@@ -325,6 +346,8 @@ def predict(mode: int, left: tuple, up: tuple, right: tuple, corner: tuple) -> t
 def _predicted(pixels: np.ndarray, modes: np.ndarray, bits: int, invert: bool) -> np.ndarray:
     """Adds (invert) or subtracts the predictions. Each is made from true pixels, so inverting goes in order."""
     height, width = pixels.shape
+    if height and width and modes.size and modes.min() == modes.max() and modes.flat[0] in (1, 2):
+        return _running(pixels, int(modes.flat[0]), invert)
     given = [[tuple(map(int, p)) for p in row] for row in _channels(pixels)]
     true = [[(0, 0, 0, 0)] * width for _ in range(height)] if invert else given
     out = np.empty((height, width, 4), np.uint8)
@@ -344,6 +367,28 @@ def _predicted(pixels: np.ndarray, modes: np.ndarray, bits: int, invert: bool) -
     return out.view("<u4").reshape(height, width)
 
 
+def _running(pixels: np.ndarray, mode: int, invert: bool) -> np.ndarray:
+    """_predicted where all tiles have mode 1 (left) or 2 (up): sums or differences along one axis. The first row is
+    always predicted from the left, and the first column from above."""
+    c = _channels(pixels).copy()
+    if invert:
+        c[0, 0, 3] = (int(c[0, 0, 3]) + 255) & 255
+        if mode == 1:
+            c[:, 0] = np.cumsum(c[:, 0], 0, dtype=np.uint8)
+            return np.cumsum(c, 1, dtype=np.uint8).view("<u4").reshape(pixels.shape)
+        c[0] = np.cumsum(c[0], 0, dtype=np.uint8)
+        return np.cumsum(c, 0, dtype=np.uint8).view("<u4").reshape(pixels.shape)
+    out = c.copy()
+    out[0, 1:] = c[0, 1:] - c[0, :-1]
+    out[0, 0, 3] = (int(out[0, 0, 3]) - 255) & 255
+    if mode == 1:
+        out[1:, 1:] = c[1:, 1:] - c[1:, :-1]
+        out[1:, 0] = c[1:, 0] - c[:-1, 0]
+    else:
+        out[1:] = c[1:] - c[:-1]
+    return out.view("<u4").reshape(pixels.shape)
+
+
 def _signed(v: np.ndarray) -> np.ndarray:
     return v.astype(np.uint8).view(np.int8).astype(np.int32)
 
@@ -546,7 +591,7 @@ def _prefix(v: int) -> tuple[int, int, int]:
 def _tokens(flat: list[int], width: int, cache_bits: int, matches: bool) -> list[tuple[int, ...]]:
     """(0, pixel), (1, length, distance code) or (2, cache index) in order: greedy back-references of 4 pixels and
     more to the last place with the same 4 pixels."""
-    near = {d: i + 1 for i, d in reversed(list(enumerate(max(1, x + y * width) for x, y in NEAR)))}
+    near = _near(width)
     cache, seen, out, at, shift = [0] * (1 << cache_bits), {}, [], 0, 32 - cache_bits
     while at < len(flat):
         length, d = 0, 0
@@ -618,6 +663,138 @@ def _write_pixels(w: Writer, pixels: np.ndarray, top: bool, cache_bits: int = 0,
             w.bits(extra, n)
 
 
+#: Samples of a back-reference of encode_grey, at least, and its longest distance; tiles of a uniform predictor.
+LEAST_COPY, FARTHEST, TILE = 16, (1 << 20) - 120, 9
+#: Bits that a back-reference costs, about, and what a predictor's tiles do; how many times as many bits as a code of an
+#: image's own a preset one may take, which saves most of the time.
+COPY_BITS, PREDICTOR_BITS, PRESET_COST = 36, 400, 1.35
+
+
+def copies(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of repeats of LEAST_COPY samples and more, in order and apart: greedily the earliest
+    start, from the first place that has the same LEAST_COPY samples."""
+    n = len(flat) - LEAST_COPY + 1
+    if n < 2:
+        return []
+    wide = np.zeros(len(flat) - 7, np.uint64)
+    for i in range(8):
+        wide |= flat[i : len(flat) - 7 + i].astype(np.uint64) << np.uint64(8 * i)
+    key = wide[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (wide[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order[1:]] != key[order[:-1]])
+    if new.all():
+        return []
+    source = np.empty(n, np.int64)
+    source[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    found = np.flatnonzero((source < np.arange(n)) & (np.arange(n) - source <= FARTHEST))
+    out, k = [], 0
+    while k < len(found):
+        p = int(found[k])
+        d, length, step = p - int(source[p]), 0, 64
+        while p + length < len(flat):
+            a = flat[p + length : p + length + step]
+            same = a == flat[p + length - d : p + length - d + len(a)]
+            if not same.all():
+                length += int(same.argmin())
+                break
+            length, step = length + len(a), step * 2
+        if length >= LEAST_COPY:
+            out += [(p + at, min(4096, length - at), d) for at in range(0, length, 4096)]
+            k = int(np.searchsorted(found, p + length))
+        else:
+            k += 1
+    return out
+
+
+def _bits(counts: np.ndarray) -> float:
+    """Bits of as many symbols by their entropy."""
+    some = counts[counts > 0]
+    return float((some * np.log2(some.sum() / some)).sum())
+
+
+def encode_grey(samples: np.ndarray, preset: Callable[[bool], tuple[np.ndarray, np.ndarray]] | None = None) -> bytes:
+    """A lossless WebP file of 8-bit grey samples (height, width), with the elements that make it smallest, by an
+    estimate: a palette for up to 16 samples, else the predictor `left` or `up`, else subtract-green alone; with
+    back-references to repeats. preset: for images with repeats or without, lengths of the green code and of the
+    distances', used where there is neither palette nor predictor instead of codes of their own."""
+    height, width = samples.shape
+    w = _header(height, width)
+    colours = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+    if len(colours) <= 16:
+        green = _palette(w, (colours * 0x010101 | BLACK).astype(np.uint32), np.searchsorted(colours, samples))
+        w.bits(0, 1)
+        _write_greens(w, green, copies(green.ravel()), 255)
+        return _file(w)
+    repeats = copies(samples.ravel())
+    literals = np.bincount(_left(samples.ravel(), repeats), minlength=256)
+    own = _bits(literals)
+    plain = own + COPY_BITS * len(repeats)
+    if preset is not None and float(literals @ preset(bool(repeats))[0][:256]) > PRESET_COST * own + 2000:
+        preset = None
+    changes = {mode: _bits(np.bincount(np.diff(samples, axis=axis, prepend=np.uint8(0)).ravel(), minlength=256)) for mode, axis in ((1, 1), (2, 0))}
+    mode, alpha = min(changes, key=changes.__getitem__), 255
+    if changes[mode] + PREDICTOR_BITS < plain:
+        modes = np.full(((height - 1 >> TILE) + 1, (width - 1 >> TILE) + 1), mode, np.uint32)
+        _write_tiled(w, PREDICTOR, TILE, (modes << np.uint32(8)) | np.uint32(BLACK))
+        pixels = _predicted(samples.astype(np.uint32) * np.uint32(0x010101) | np.uint32(BLACK), modes, TILE, False)
+        samples = np.ascontiguousarray(_channels(pixels)[..., 1])
+        repeats, alpha, preset = copies(samples.ravel()), 0, None  # alpha is predicted wherever it is
+    w.bits(1, 1)
+    w.bits(SUBTRACT_GREEN, 2)
+    w.bits(0, 1)
+    _write_greens(w, samples, repeats, alpha, preset)
+    return _file(w)
+
+
+def _left(flat: np.ndarray, repeats: list[tuple[int, int, int]]) -> np.ndarray:
+    """What back-references leave."""
+    if not repeats:
+        return flat
+    edge = np.zeros(len(flat) + 1, np.int8)
+    at, length = np.array(repeats)[:, :2].T
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + length, -1)
+    return flat[np.cumsum(edge[:-1]) == 0]
+
+
+@lru_cache(maxsize=64)
+def _near(width: int) -> dict[int, int]:
+    """Distance codes of the pixels nearby, by distance."""
+    return {d: i + 1 for i, d in reversed(list(enumerate(max(1, x + y * width) for x, y in NEAR)))}
+
+
+def _write_greens(w: Writer, green: np.ndarray, repeats: list[tuple[int, int, int]], alpha: int, preset: Callable[[bool], tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+    """The main image, with constant channels but green: literals in stretches, and back-references."""
+    flat, near = green.ravel(), _near(green.shape[1])
+    coded = [(_prefix(length), _prefix(near.get(d, d + 120))) for _, length, d in repeats]
+    far = np.zeros(40, np.uint8)
+    if preset is None:
+        lengths = code_lengths(np.bincount(_left(flat, repeats), minlength=280) + np.bincount(np.array([256 + a[0] for a, _ in coded], np.int64), minlength=280))
+        far = code_lengths(np.bincount(np.array([b[0] for _, b in coded], np.int64), minlength=40))
+    else:
+        lengths, distances = preset(bool(repeats))
+        far = distances if repeats else far
+    w.bits(0, 1)
+    w.bits(0, 1)
+    alphas = np.zeros(256, np.uint8)
+    alphas[alpha] = 1
+    for one in (lengths, np.zeros(256, np.uint8), np.zeros(256, np.uint8), alphas, far):
+        _write_code(w, one)
+    code, distances = _code(lengths.tobytes()), _code(far.tobytes())
+    at = 0
+    for (start, length, _), (a, b) in zip([*repeats, (len(flat), 0, 0)], [*coded, ((0, 0, 0), (0, 0, 0))], strict=True):
+        if code.only < 0 and start > at:
+            w.array(code.codes[flat[at:start]], lengths[flat[at:start]])
+        if length:
+            if code.only < 0:
+                w.bits(int(code.codes[256 + a[0]]), int(lengths[256 + a[0]]))
+            w.bits(a[1], a[2])
+            if distances.only < 0:
+                w.bits(int(distances.codes[b[0]]), int(far[b[0]]))
+            w.bits(b[1], b[2])
+        at = start + length
+
+
 def encode(pixels: np.ndarray, palette: bool = False, predictor: np.ndarray | None = None, cross: np.ndarray | None = None, subtract_green: bool = False, bits: int = 3, cache_bits: int = 0, matches: bool = False, preset: np.ndarray | None = None) -> bytes:
     """A lossless WebP file of uint32 ARGB pixels.
 
@@ -626,27 +803,10 @@ def encode(pixels: np.ndarray, palette: bool = False, predictor: np.ndarray | No
     the green code, which must hold every green value, instead of those of the image's own counts.
     """
     height, width = pixels.shape
-    if not (0 < width <= MAX_SIDE and 0 < height <= MAX_SIDE):
-        raise ValueError("a side must have 1 to 16384 pixels")
-    w = Writer()
-    w.bits(0x2F, 8)
-    w.bits(width - 1, 14)
-    w.bits(height - 1, 14)
-    w.bits(int((pixels >> np.uint32(24) != 255).any()), 1)
-    w.bits(0, 3)
+    w = _header(height, width, bool((pixels >> np.uint32(24) != 255).any()))
     if palette:
         colours, index = np.unique(pixels, return_inverse=True)
-        if len(colours) > 256:
-            raise ValueError("over 256 colours")
-        w.bits(1, 1)
-        w.bits(PALETTE, 2)
-        w.bits(len(colours) - 1, 8)
-        steps = np.diff(_channels(colours), axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
-        _write_pixels(w, np.ascontiguousarray(steps).view("<u4").reshape(1, -1), False)
-        index, bundle = index.reshape(height, width), _bundle(len(colours))
-        n = 1 << bundle
-        index = np.pad(index, ((0, 0), (0, -width % n))).reshape(height, -1, n)
-        pixels = ((index << (np.arange(n) * (8 >> bundle))).sum(2) << 8 | BLACK).astype(np.uint32)
+        pixels = (_palette(w, colours, index.reshape(height, width)).astype(np.uint32) << np.uint32(8)) | np.uint32(BLACK)
     if predictor is not None:
         _write_tiled(w, PREDICTOR, bits, (predictor.astype(np.uint32) << np.uint32(8)) | np.uint32(BLACK))
         pixels = _predicted(pixels, predictor, bits, False)
@@ -659,6 +819,34 @@ def encode(pixels: np.ndarray, palette: bool = False, predictor: np.ndarray | No
         pixels = _subtract_green(pixels, False)
     w.bits(0, 1)
     _write_pixels(w, pixels, True, cache_bits, matches, preset)
+    return _file(w)
+
+
+def _header(height: int, width: int, alpha: bool = False) -> Writer:
+    if not (0 < width <= MAX_SIDE and 0 < height <= MAX_SIDE):
+        raise ValueError("a side must have 1 to 16384 pixels")
+    w = Writer()
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (int(alpha), 1), (0, 3)):
+        w.bits(value, n)
+    return w
+
+
+def _palette(w: Writer, colours: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Writes the transform; the green channel that stands for the indices, several in a pixel where they fit."""
+    if len(colours) > 256:
+        raise ValueError("over 256 colours")
+    w.bits(1, 1)
+    w.bits(PALETTE, 2)
+    w.bits(len(colours) - 1, 8)
+    steps = np.diff(_channels(colours), axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
+    _write_pixels(w, np.ascontiguousarray(steps).view("<u4").reshape(1, -1), False)
+    bundle = _bundle(len(colours))
+    n = 1 << bundle
+    index = np.pad(index, ((0, 0), (0, -index.shape[1] % n))).reshape(len(index), -1, n)
+    return (index << (np.arange(n) * (8 >> bundle))).sum(2).astype(np.uint8)
+
+
+def _file(w: Writer) -> bytes:
     data = w.bytes()
     chunk = b"VP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -324,9 +325,74 @@ def test_mix_reports_targets_and_reached(docs):
     assert row.target == mix.targets.tolist() and row.reached == mix.reached.tolist() and len(row.p) == len(row.target)
 
 
-def test_language_is_learned_from_rows_that_are_not_held_out(spark):
-    import zlib
+def test_stages_tables_with_odd_columns(spark, docs):
+    """Columns with names that operators use, of types that don't sort, and empty tables."""
+    odd = docs.withColumns({"__n": F.lit(1), "__rows": F.lit(2), "__old": F.lit("o"), "n_chars": F.length("text").cast("int"), "m": F.create_map(F.lit("a"), F.lit(1))})
+    members = jaccard_join.similar_documents(odd)
+    kept = table_filters.one_of_each(odd, members)
+    assert kept.columns == odd.columns and kept.count() == members.select("component_id").distinct().count()
+    none = odd.filter("false")
+    assert table_filters.one_of_each(none, members).count() == 0
+    longer = table_filters.rewrite_texts(odd, lambda texts: [t if t is None else t + "é".encode() for t in texts])
+    assert longer.dtypes == odd.dtypes
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) and r["__old"] == "o" for r in longer.collect())
+    assert table_filters.rewrite_texts(none, lambda texts: texts).count() == 0
+    assert table_filters.keep_rows(none, lambda ids, texts: [True] * len(ids)).count() == 0
+    some = table_filters.keep_rows(odd, lambda ids, texts: [i is None or t is None for i, t in zip(ids, texts, strict=True)])
+    assert some.count() == 2 and some.dtypes == odd.dtypes
+
+
+def test_very_long_texts(spark):
+    """Whole texts of several MB, through every operator on texts."""
+    rng = random.Random(5)
+    long = " ".join(rng.choices(WORDS, k=300_000))
+    rows = [(1, long), (2, long + " token=abcdef0123456789"), (3, "x" * 3_000_000), (4, " " * 1_500_000 + "end"), (5, "short words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(3).cache()
+    assert {r.doc_id: len(r.found) for r in secret_scan.scan_secrets(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0}
+    for r in byte_bpe.encode_digests(df).collect():
+        assert r.decoded_sha256 == hashlib.sha256(rows[r.doc_id - 1][1].encode()).hexdigest()
+    assert {r.doc_id: r.n_pretokens for r in token_counts.count_tokens(df).collect()} == {i: len(token_counts.pre_tokens(t)) for i, t in rows}
+    assert {r.lang_pred for r in language_id.predict(df, language_id.train(df)).collect()} <= {"en"}
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    assert mixing.mix_sources(df, labels, mixing.label_domain(), mixing.weighted({}))[0].count() == 5
+    assert {r.doc_id: r.component_id for r in jaccard_join.similar_documents(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df, texts=False).collect()}[2] == len(long)
+
+
+def test_held_out_languages_are_recognised(spark):
+    """The registered query on rows that it didn't learn from."""
+    truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [r for r in queries.QUERIES["op6_language_id"](spark, "/root/testdata/sf0.01").collect() if r.held_out and truth[r.doc_id]]
+    assert len(rows) > 200 and np.mean([r.lang_pred == truth[r.doc_id] for r in rows]) >= 0.97
+
+
+def test_every_language_can_be_predicted(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 600)
+    rows = [(k, " ".join([f"{chr(97 + k % 250 // 26)}{chr(97 + k % 250 % 26)}q"] * 9), f"l{k % 250}") for k in range(2500)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == len({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}) > 240
+    assert language_id.train(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(3)).gates.tobytes() == model.gates.tobytes()
+
+
+def test_mix_query_is_as_near_to_its_targets_as_rates_can_be(spark):
+    """The registered query's rows against plain projected gradient descent, run until nothing changes."""
+    rows = queries.QUERIES["op10_mixing"](spark, "/root/testdata/sf0.001").collect()
+    p, t, rate = np.array([r.p for r in rows]), np.array([float(r.n_tokens) for r in rows]), np.array([r.rate for r in rows])
+    target, totals = np.array(rows[0].target), t @ p
+    assert p.sum(1) == pytest.approx(np.ones(len(rows))) and (rate >= 0).all()
+    assert (t * rate) @ p == pytest.approx(rows[0].reached) and len({(r.steps, r.settled) for r in rows}) == 1
+
+    def missed(x):
+        return float((((t * x) @ p - target) ** 2 / totals).sum())
+
+    best = np.ones(len(rows))
+    top = np.linalg.eigvalsh((p * t[:, None]).T @ p / np.sqrt(totals[:, None] * totals)).max()
+    for _ in range(20_000):
+        best = np.maximum(0, best - p @ (((t * best) @ p - target) / totals) / top)
+    assert missed(rate) <= missed(best) + (1e-3 if rows[0].settled else 5e-3) * missed(np.ones(len(rows)))
 
+
+def test_language_is_learned_from_rows_that_are_not_held_out(spark):
     df = spark.range(300).select(F.col("id").alias("doc_id"))
     held = {r.doc_id for r in df.filter(language_id.held_out()).collect()}
     assert held == {i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1}
