@@ -513,7 +513,8 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: Threshold = Th
     smallest = names.groupBy("node_component").agg(F.min("rep").alias("least"))
     labels = written(names.join(smallest, "node_component").select("n_shingles", "d1", "d2", "least"), "labels")
     for table in (met, stars, wanted, texts, first, nodes, classes, *links):
-        discard(table)
+        if hasattr(table, "written_path"):
+            discard(table)
     out = digests.join(labels, ["n_shingles", "d1", "d2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))
 
@@ -543,6 +544,9 @@ def _linked_in_groups(met: DataFrame, short: DataFrame, nodes: DataFrame, texts:
     mixed = held.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("own")).filter("x <> y and n > 2")
     once = mixed.groupBy("n", "x", "y", "own").agg(F.min("sig").alias("sig")).select("sig")
     rows = written(held.join(once, "sig"), "mixed")
+    if rows.isEmpty():
+        discard(held)
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
     groups = connected_components(rows.join(rows.groupBy("sig").agg(F.min("node").alias("b")), "sig").select(F.col("node").alias("a"), "b"))
     of_bucket = rows.select("sig", "node").join(groups.withColumnRenamed("component", "group"), "node")
     sizes = groups.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("size"))

@@ -19,16 +19,17 @@ from pyspark.sql import functions as F
 from ..session import written
 
 #: Rows that the tree is fitted on, at most; rows that a leaf should have; children of a node; leaves, at most.
-SAMPLE, LEAF_ROWS, BRANCH, LEAVES = 16_384, 256, 8, 1024
+SAMPLE, LEAF_ROWS, BRANCH, LEAVES = 16_384, 32, 8, 1024
 #: Recall that calibration asks for on the sample, and the sample's queries that measure it.
-RECALL, CALIBRATION = 0.97, 400
+RECALL, CALIBRATION = 0.95, 400
 #: Distinct vectors, and queries, that one scan task holds.
 BIN_ROWS, QUERY_ROWS = 16_384, 8_192
 
 
 @dataclass
 class Tree:
-    """Nodes in breadth-first order; node 0 is the root. first_child is -1 for leaves, whose number is in leaf."""
+    """Nodes in breadth-first order; node 0 is the root. first_child is -1 for leaves, whose number is in leaf. visits:
+    leaves that a query visits; sample_recall and share: the recall on the sample, and the share of its rows scanned."""
 
     centre: np.ndarray
     spread: np.ndarray
@@ -38,6 +39,7 @@ class Tree:
     leaves: int
     visits: int = 1
     sample_recall: float = 0.0
+    share: float = 1.0
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf that each row descends to, always to the nearest centre."""
@@ -112,17 +114,19 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, rng: np.random.G
         tree.visits, tree.sample_recall = tree.leaves, 1.0
         return
     own, queries = tree.assign(x), rng.choice(len(x), min(CALIBRATION, len(x)), replace=False)
-    hits = np.zeros(tree.leaves)
+    hits, scanned, rows = np.zeros(tree.leaves), np.zeros(tree.leaves), np.bincount(own, minlength=tree.leaves)
     for q in queries:
         score = x @ x[q]
         score[q] = -np.inf
         near = np.argpartition(-score, k)[:k]
-        place = np.empty(tree.leaves, int)
-        place[tree.order(x[q], tree.leaves)] = np.arange(tree.leaves)
+        place, order = np.empty(tree.leaves, int), tree.order(x[q], tree.leaves)
+        place[order] = np.arange(tree.leaves)
+        scanned += np.cumsum(rows[order])
         hits += np.bincount(place[own[near]], minlength=tree.leaves)
     reached = np.cumsum(hits) / (k * len(queries))
     tree.visits = min(tree.leaves, int(np.searchsorted(reached, recall)) + 1)
     tree.sample_recall = float(reached[tree.visits - 1])
+    tree.share = float(scanned[tree.visits - 1] / (len(x) * len(queries)))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -141,8 +145,9 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row whose id satisfies `queries` (a function of the id
-    column), its k nearest found among all other ids by largest inner product in double precision, nearest first,
+    """query_id, rank (from 1), vec_id, score, and the same in each row: leaves (of the tree), visits (of a query),
+    share (of the sample's rows that these hold) and sample_recall. For each row whose id satisfies `queries` (a function of the id
+    column) its k nearest found among all other ids by largest inner product in double precision, nearest first,
     ties to the smaller id.
 
     Rows that are not usable (see usable()) take no part; a repeated row counts once; fewer candidates than k are
@@ -157,7 +162,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
     ranked = rows.distinct().withColumn("n", F.row_number().over(by_vector)).filter(F.col("n") <= k + 1)
     distinct = written(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "vectors")
     total = distinct.count()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, leaves int, visits int, share double, sample_recall double"
     if not total:
         return spark.createDataFrame([], schema)
     space = 1 << 40
@@ -243,4 +248,4 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
     ask = wanted.distinct().join(keys, "v").select(F.col("id").alias("query_id"), "rep").join(lists, "rep")
     kept = F.slice(F.filter("best", lambda b: b["i"] != F.col("query_id")), 1, k)
     out = ask.select("query_id", F.posexplode(kept).alias("pos", "b"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"), *[F.lit(v).alias(c) for c, v in (("leaves", tree.leaves), ("visits", tree.visits), ("share", tree.share), ("sample_recall", tree.sample_recall))])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 from .arrow_text import slices
 from .jaccard_join import mix
 
@@ -147,7 +147,8 @@ def _segments(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[int
         yield made()
 
 
-#: kind 0: an anchor; kind 1: a stretch of repeated windows already known from the same batch.
+#: kind 0: an anchor; kind 1: a stretch of repeated windows already known from the same batch; kind 2: an open one, whose
+#: gram has other contexts in the batch; kind 4: an anchor that stands for these.
 _ANCHORS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("gram", "context", "doc", "tag", "lo", "hi"))])
 _STRETCHES = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("doc", "tag", "lo", "hi"))])
 _PAIRS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("r1", "r2", "doc", "tag", "lo", "hi"))])
@@ -207,11 +208,28 @@ def _anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
                 doc, tag = docs[number], tags[number]
                 lo, hi = first + shift + _shift(tag), last + shift + _shift(tag)
                 again = _repeats(mix(rank) ^ context, doc, lo)
-                yield _ranked(_ANCHORS, again, number, rank, context, doc, tag, lo, hi)
+                yield _with_contexts(_ranked(_ANCHORS, again, number, rank, context, doc, tag, lo, hi))
 
     return source.mapInArrow(run, _ddl(_ANCHORS))
 
 
+def _with_contexts(anchors: pa.RecordBatch) -> pa.RecordBatch:
+    """Of anchors whose gram has several contexts in a batch, one stands for all where grams are sorted. The windows of
+    the others are open, and are dealt out evenly."""
+    kind, gram, context = (anchors.column(i).to_numpy() for i in range(3))
+    own = np.flatnonzero(kind == 0)
+    order = own[np.lexsort((context[own], gram[own]))]
+    new = np.append(True, gram[order[1:]] != gram[order[:-1]]) if len(order) else np.zeros(0, bool)
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(order)))
+    several = np.repeat(count > 1, count)
+    kind, gram = kind.copy(), gram.copy()
+    rest = order[several & ~new]
+    kind[order[several & new]], kind[rest] = 4, 2
+    gram[rest] = mix(context[rest].view(np.uint64) + np.arange(len(rest), dtype=np.uint64)).view(np.int64)
+    return _batch(_ANCHORS, (kind, gram, context, *(anchors.column(i).to_numpy() for i in range(3, 7))))
+
+
 def _rerank_anchors(rows: DataFrame) -> DataFrame:
     """Sorted anchors to stretches: kind 1, windows that repeat earlier ones; kind 2, windows of the first of each
     context of a gram that has several. Only the last row of a batch is kept for the next."""
@@ -223,9 +241,9 @@ def _rerank_anchors(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])
-            known = table[table[:, 0] == 1]
-            table = table[table[:, 0] == 0]
-            out = [known[:, [0, 3, 4, 5, 6]]]
+            passed = (table[:, 0] == 1) | (table[:, 0] == 2)
+            out = [table[passed][:, [0, 3, 4, 5, 6]]]
+            table = table[~passed]
             if len(table):
                 if held is not None:
                     table = np.vstack([held, table])
@@ -238,7 +256,7 @@ def _rerank_anchors(rows: DataFrame) -> DataFrame:
                 repeated = table[again][:, [0, 3, 4, 5, 6]]
                 repeated[:, 0] = 1
                 same = gram[head[1:]] == gram[head[:-1]]
-                several = np.append(False, same) | np.append(same, False)
+                several = np.append(False, same) | np.append(same, False) | (np.maximum.reduceat(table[:, 0], head) == 4)
                 if held is not None and given:
                     several[0] = False
                 # The last context's first waits, unless it is known to be one of several.
@@ -467,16 +485,21 @@ def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = GRAM, sta
     doc, or at a smaller offset of the same doc)."""
     source = _source(docs, id_col, text_col)
     sorted_anchors = written(_rerank_anchors(_anchor_rows(source, length, gram)), "anchors")
-    open_windows = _stretches_of(sorted_anchors.filter("kind = 2").select("doc", "tag", "lo", "hi"))
-    pairs = _pairs(_with_texts(source, written(open_windows, "open"), "inner"), length, start)
+    open_windows = written(_stretches_of(sorted_anchors.filter("kind = 2").select("doc", "tag", "lo", "hi")), "open")
+    done = [sorted_anchors, open_windows]
+    pairs = _pairs(_with_texts(source, open_windows, "inner"), length, start)
     reached = 2 * start
     while reached < length:
         ranks = written(_reranked(pairs), "ranks")
+        done.append(ranks)
         step = min(reached, length - reached)
         reached += step
         pairs = _paired(ranks, step, reached == length)
     found = sorted_anchors.filter("kind = 1").unionByName(_later(pairs))
-    return _stretches_of(found.select("doc", "tag", "lo", "hi"))
+    out = written(_stretches_of(found.select("doc", "tag", "lo", "hi")), "stretches")
+    for table in done:
+        discard(table)
+    return out
 
 
 def _spans(lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -498,7 +521,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, start:
     earlier, so repeated rows have equal results. A null id counts as the largest. An empty table gives an empty
     result; other columns are not read.
     """
-    stretches = written(repeated_stretches(docs, length, gram, start, id_col, text_col), "stretches")
+    stretches = repeated_stretches(docs, length, gram, start, id_col, text_col)
     joined = _with_texts(_source(docs, id_col, text_col), stretches, "left").select("doc", "tag", "text", "stretches")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import struct
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -31,6 +31,8 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 CACHE_FACTOR = 0x1E35A7BD
 BLACK = 0xFF000000
 MAX_SIDE = 1 << 14
+#: Literals that are read at once, at most.
+RUN = 4
 
 
 class WebPError(ValueError):
@@ -71,6 +73,20 @@ class Code:
         self.symbols = table[back].astype(np.uint16)
         self.sizes = lengths[table[back]].astype(np.uint8)
 
+    @cached_property
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each value of the next 15 bits the literals (symbols below 256) that lie in them whole, RUN at most, how
+        many they are, and their bits."""
+        v, used, n = np.arange(1 << 15), np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        found, open_ = np.zeros((1 << 15, RUN), np.uint8), np.ones(1 << 15, bool)
+        for k in range(RUN):
+            rest = v >> used
+            open_ &= (used + self.sizes[rest] <= 15) & (self.symbols[rest] < 256)
+            found[:, k] = np.where(open_, self.symbols[rest], 0)
+            n += open_
+            used += np.where(open_, self.sizes[rest], 0)
+        return found, n.astype(np.uint8), used.astype(np.uint8)
+
 
 @lru_cache(maxsize=1)
 def _all_reversed() -> np.ndarray:
@@ -200,32 +216,44 @@ def _greens(r: Reader, code: Code, far: Code, n: int, width: int) -> np.ndarray:
     codes, but for the distances', have one symbol, so that a literal is one symbol of this code."""
     if code.only >= 0:
         return np.full(n, code.only, np.uint16)
-    sizes = np.where(code.symbols < 256, code.sizes, 0).astype(np.uint8)  # the chain stops at a back-reference
+    literals, number, bits = code.runs
     out, got = np.empty(n, np.uint16), 0
     while got < n:
         base = r.at >> 3
-        raw = np.frombuffer(r.data, np.uint8, min(len(r.data) - base, (1 << 17) + 8), base)
+        raw = np.frombuffer(r.data, np.uint8, min(len(r.data) - base, 1 << 17, 2 * (n - got) + 64), base)
         if len(raw) < 3:
             raise WebPError("the data end too early")
         word = raw[:-2].astype(np.uint32) | raw[1:-1].astype(np.uint32) << np.uint32(8) | raw[2:].astype(np.uint32) << np.uint32(16)
         window = ((word[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).ravel()
-        size = sizes[window].tobytes()
-        stop, p = len(size), r.at & 7
+        stop, p = len(window), r.at & 7
+        size = bits[window].tobytes() + b"\0" * 16  # the chain stops at a back-reference, and where the stretch ends
         while got < n and p < stop:
             starts: list[int] = []
             add = starts.append
             for _ in range(n - got):
-                if p >= stop or not (step := size[p]):
+                if not (step := size[p]):
                     break
                 add(p)
                 p += step
-            out[got : got + len(starts)] = code.symbols[window[starts]]
-            got += len(starts)
+            if starts:
+                some = window[starts]
+                count = number[some]
+                made = literals[some][np.arange(RUN) < count[:, None]]
+                if len(made) > n - got:  # the last of them are what follows the image
+                    last = int(np.searchsorted(np.cumsum(count), n - got))
+                    p = starts[last]
+                    for _ in range(n - got - int(count[:last].sum())):
+                        p += int(code.sizes[window[p]])
+                    made = made[: n - got]
+                out[got : got + len(made)] = made
+                got += len(made)
             r.at = 8 * base + p
             if r.at > r.end:
                 raise WebPError("the data end too early")
             if got < n and p < stop:
                 s = r.symbol(code)
+                if s < 256:  # a literal whose code is longer than what is left of a run's 15 bits can't be
+                    raise WebPError("a code of more than 15 bits")
                 if s >= 280:
                     raise WebPError("a cached colour without a cache")
                 length, d = _extra(r, s - 256), _distance(_extra(r, r.symbol(far)), width)
@@ -680,8 +708,12 @@ def copies(flat: np.ndarray) -> list[tuple[int, int, int]]:
     for i in range(8):
         wide |= flat[i : len(flat) - 7 + i].astype(np.uint64) << np.uint64(8 * i)
     key = wide[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (wide[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
-    order = np.argsort(key, kind="stable")
-    new = np.append(True, key[order[1:]] != key[order[:-1]])
+    # Places stand below the hashes, so that sorting numbers sorts both; places that only hashes match copy nothing.
+    key = key >> np.uint64(24) << np.uint64(24) | np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64(0xFFFFFF)).astype(np.int64)
+    key >>= np.uint64(24)
+    new = np.append(True, key[1:] != key[:-1])
     if new.all():
         return []
     source = np.empty(n, np.int64)

@@ -233,9 +233,26 @@ def test_sparse_leaves_give_all_neighbours(spark, monkeypatch):
     assert {r["query_id"]: r["count"] for r in got} == dict.fromkeys(range(295, 303), 20)
 
 
+def test_registered_search_prunes_and_finds(spark):
+    """The registered query against brute force, where it scans less than all."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect() if r.embedding and None not in r.embedding]
+    rows = [(r.vec_id, np.array(r.embedding, np.float64)) for r in rows if np.isfinite(r.embedding).all() and np.any(r.embedding)]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    got = queries.QUERIES["op2_ann_kmeans_tree"](spark, "/root/testdata/sf0.1").toPandas()
+    assert got["share"].iloc[0] < 0.9 and got["visits"].iloc[0] < got["leaves"].iloc[0] and got["sample_recall"].iloc[0] >= kmeans_tree.RECALL
+    hits, asked = 0, [k for k, i in enumerate(ids) if i % 20 == 0]
+    for k in asked:
+        score = (x * x[k]).sum(1)
+        near = [i for _, i in sorted((-s, i) for s, i in zip(score.tolist(), ids.tolist(), strict=True) if i != ids[k])[:20]]
+        own = got[got["query_id"] == ids[k]].sort_values("rank")
+        assert len(own) == 20 and own["score"].is_monotonic_decreasing
+        hits += len({*near} & {*own["vec_id"]})
+    assert hits >= 0.9 * 20 * len(asked)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in kmeans_tree.nearest(df, lambda i: i == 0).orderBy("rank").collect()]
+    got = [tuple(r)[:4] for r in kmeans_tree.nearest(df, lambda i: i == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
 
 
