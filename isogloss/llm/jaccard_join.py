@@ -26,6 +26,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -555,15 +556,10 @@ def _linked_in_groups(met: DataFrame, short: DataFrame, nodes: DataFrame, texts:
     inside = rows.groupBy("node").agg(F.min("component").alias("inside"))
     sketches = _dealt(units, SKETCH_ROWS).join(inside, "node").join(texts.select("node", "n_shingles", "sketch"), "node")
 
-    def near(frame):
-        import pandas as pd
-
-        frame = frame.sort_values(["n_shingles", "node"]).reset_index(drop=True)
-        found = near_of([np.frombuffer(x, np.uint8) for x in frame["sketch"]], frame["n_shingles"].to_numpy(), frame["inside"].to_numpy(), frame["block"].to_numpy(), threshold)
-        node = frame["node"].to_numpy()
-        return pd.DataFrame({"a": node[[a for a, _ in found]], "b": node[[b for _, b in found]]}, dtype="int64")
-
-    close = connected_components(sketches.groupBy("unit", "i", "j").applyInPandas(near, "a long, b long"))
+    order = ["unit", "i", "j", "n_shingles", "node"]
+    sorted_rows = sketches.repartition("unit", "i", "j").sortWithinPartitions(*order)
+    columns = [F.col("unit.whole").cast("long").alias("whole"), F.col("unit.name").alias("name"), *(F.col(c).cast("long") for c in ("i", "j", "node", "n_shingles", "inside", "block")), "sketch"]
+    close = connected_components(sorted_rows.select(*columns).mapInArrow(_near_rows(threshold), "a long, b long"))
     units = close.select(F.col("component").alias("unit"), "node")
     held_texts = _dealt(units, GROUP_ROWS).join(inside, "node").join(texts.select("node", "text"), "node")
 
@@ -581,6 +577,28 @@ def _linked_in_groups(met: DataFrame, short: DataFrame, nodes: DataFrame, texts:
     return links
 
 
+def _near_rows(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """near_of each group (unit, i, j) of sorted rows; only the last group of a batch is held for the next."""
+
+    def pairs(table: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
+        found = near_of([np.frombuffer(x, np.uint8) for x in sketches], table[:, 5], table[:, 6], table[:, 7], threshold)
+        return [(int(table[a, 4]), int(table[b, 4])) for a, b in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, sketches = np.zeros((0, 8), np.int64), []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                table = np.vstack([table, np.column_stack([batch.column(i).to_numpy() for i in range(8)])])
+                sketches += batch.column(8).to_pylist()
+            edge = np.flatnonzero((table[1:, :4] != table[:-1, :4]).any(1)) + 1
+            edges = [0, *edge.tolist(), *([len(table)] if batch is None else [])]
+            found = [p for x, y in zip(edges, edges[1:], strict=False) for p in pairs(table[x:y], sketches[x:y])]
+            table, sketches = table[edges[-1] :], sketches[edges[-1] :]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 class _Joined:
     """Which of some things pairs have joined."""
 
@@ -604,21 +622,25 @@ def near_of(sketches: list[np.ndarray], size: np.ndarray, inside: np.ndarray, bl
     """Pairs (a < b) in different blocks (of the same one if there is one only) and different `inside` that sketches,
     in ascending order of size, don't rule out: enough to connect all that do."""
     joined, one, out = _Joined(len(sketches)), len(set(block.tolist())) == 1, []
+    if (inside == inside[0]).all():
+        return []
     width = np.array([len(x) for x in sketches])
-    stacked = {m: np.stack([x for x in sketches if len(x) == m]) for m in set(width.tolist())}
-    first = {m: int(np.searchsorted(width, m)) for m in stacked}
-    for i, x in enumerate(sketches):
-        low = int(np.searchsorted(size, threshold.smallest(int(size[i]))))
-        for m, table in stacked.items():
-            a, b = max(low, first[m]), min(i, first[m] + len(table))
-            if a >= b or m > len(x):
-                continue
-            far = (table[a - first[m] : b - first[m]] != folded(x, m)).sum(1)
-            most = (threshold.whole - threshold.part) * (size[a:b] + size[i]) // (threshold.whole + threshold.part)
-            hit = (far <= most) & (inside[a:b] != inside[i])
+    for m in np.unique(width).tolist():
+        # Sizes ascend, and partners' widths are equal or one is twice the other.
+        left = np.flatnonzero(width == m)
+        right = np.flatnonzero((width == m) | (width == 2 * m))
+        wide = np.stack([folded(sketches[k], m) for k in right.tolist()])
+        for at in range(0, len(left), step := max(1, (1 << 22) // (len(right) * m))):
+            rows = left[at : at + step]
+            first, last = np.searchsorted(right, rows[0]), len(right)
+            far = (wide[rows - left[0], None] != wide[None, first:last]).sum(2)
+            other = right[first:last]
+            total = size[rows][:, None] + size[other][None]
+            hit = (far <= (threshold.whole - threshold.part) * total // (threshold.whole + threshold.part)) & (rows[:, None] < other[None])
+            hit &= (size[other][None] <= size[rows][:, None] * threshold.whole // threshold.part) & (inside[rows][:, None] != inside[other][None])
             if not one:
-                hit &= block[a:b] != block[i]
-            out += [(a + int(j), i) for j in np.flatnonzero(hit) if joined.join(a + int(j), i)]
+                hit &= block[rows][:, None] != block[other][None]
+            out += [(a, b) for a, b in zip(rows[np.nonzero(hit)[0]].tolist(), other[np.nonzero(hit)[1]].tolist(), strict=True) if joined.join(a, b)]
     return out
 
 
