@@ -82,8 +82,7 @@ def brute_components(rows, words, part):
     return sorted(((d, len(s), label.get(d)) for d, s in sets), key=repr)
 
 
-@pytest.mark.parametrize(("words", "part"), [(3, 90), (5, 80)])
-@pytest.mark.parametrize("group_rows", [4, 1024])
+@pytest.mark.parametrize(("words", "part", "group_rows"), [(3, 90, 4), (5, 80, 1024)])
 def test_jaccard_components(docs, words, part, group_rows, monkeypatch):
     monkeypatch.setattr(jaccard_join, "GROUP_ROWS", group_rows)
     monkeypatch.setattr(jaccard_join, "SKETCH_ROWS", group_rows)

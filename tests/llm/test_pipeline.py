@@ -102,3 +102,22 @@ def test_tokens_stage(stages):
     for r in rows:
         assert r.ids == enc.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids)
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Repeated ids and rows, nulls, long texts and clashing columns; then tables without rows."""
+    rng = random.Random(1)
+    words = {lang: rng.choices(text.split(), k=400) for lang, text in (("en", "the quick brown fox jumps over a lazy dog and then it sleeps under warm sun"), ("de", "der schnelle braune fuchs springt und dann schlafen wir unter warmer sonne"))}
+    rows = [(i, " ".join(rng.choices(words[lang], k=60)), lang, "s", 1, {"a": i}) for i in range(60) for lang in (("en", "de")[i % 2],)]
+    rows += [rows[3], (4, rows[9][1], "de", "s", 1, None), (None, rows[5][1], "de", None, None, None), (70, None, None, None, None, None), (71, "", "en", "s", 0, None), (72, rows[8][1] + " zzz", "en", "s", 1, None), (73, " ".join(rng.choices(words["en"], k=200_000)), "en", "s", 1, None), (74, rows[10][1] + " token = abcdef0123456789", "en", "s", 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id map<string,int>")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(3, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.write.parquet(f"{tmp_path}/some/{name}.parquet")
+        df.filter("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    ids = [r.doc_id for r in out]
+    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and not {70, 71, 72} & set(ids)
+    assert 73 in ids and len(out) >= 50 and all(len(r.ids) == r.n_tokens for r in out)
+    empty = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert empty.count() == 0 and empty.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
