@@ -1,8 +1,8 @@
 """A corpus pipeline over documents: language, near copies, secrets, mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and
-reads it again for the next stage. Nulls, empty texts, repeated rows, empty tables and further columns are handled
-as the operators' docstrings say; further columns of docs are carried along by all stages but the last.
+reads it again for the next stage. Further columns of docs, whatever their names and types, are carried along by all
+stages but the last. An empty table gives an empty result in each stage.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ WEIGHTS = {"toxic": 0.45, "quality0": 0.95, "quality1": 0.98}
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language isn't recognised: null, without a letter, or not like any language that was
-    learned, as calibrated on labelled rows (language_id.calibrate)."""
+    learned, as calibrated on labelled rows (language_id.calibrate). Repeated rows fare alike; a null id doesn't
+    matter. Without labelled rows only texts that can have no language go."""
     model = language_id.train(docs)
 
     def keep(ids: list, texts: list) -> list[bool]:
@@ -34,12 +35,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links of 5-word shingles with a similarity of 0.8 or more join, the one with
-    the smallest doc_id."""
+    the smallest doc_id; of rows that repeat it, one. Rows with a null id and texts without words stay."""
     return table_filters.one_of_each(docs, jaccard_join.similar_documents(docs, 5, jaccard_join.Threshold(80, 100)))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by a mark."""
+    """Replaces every secret by a mark; n_chars follows. A null text stays null, repeated rows get equal texts."""
     automaton = secret_scan.compile_rules()
     holder: list[secret_scan.Scanner] = []
 
@@ -53,7 +54,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps each document with a chance of its fitted rate, 1 at most: where a hash of its id (of its text without one)
-    lies below the rate. The tokens kept of each domain are then expected to be those of WEIGHTS."""
+    lies below the rate. The tokens kept of each domain are then expected to be those of WEIGHTS. A null text counts as
+    empty, rows that repeat an id and a text fare alike; without labels every row stays."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     _, fitted, classifier = mixing.mix_sources(docs, labels, mixing.label_domain(), mixing.weighted(WEIGHTS), most=1.0)
 
@@ -68,7 +70,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digest of the bytes that the ids decode to."""
+    """doc_id, n_tokens, ids and the digest of the bytes that the ids decode to, a row for each row; a null text counts
+    as empty, a null id stays null."""
     out = byte_bpe.encode_texts(docs)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
