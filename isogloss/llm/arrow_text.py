@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows, and about how many bytes, that a kernel gets at once. Spark's own batches have 64 MB at most.
+#: Rows, and about how many bytes, that a kernel gets at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Has Spark make Arrow batches of about BATCH_BYTES, unless the session already says how large they are to be. The
+    value is the same for all operators, so that it doesn't matter which was called last."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of `rows` rows at most, and of fewer where rows are large. No batch is copied."""
     for batch in batches:
@@ -22,6 +30,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id (long) and text (UTF-8 bytes); no other column is read."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
 
 

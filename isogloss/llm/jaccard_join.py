@@ -50,10 +50,10 @@ CANDIDATE_COST = 50.0
 LEAST_TWO = 3
 #: Sets of one task's BUFFER of shingles that have a shingle, at least, for it to be counted over all; sets that have a
 #: frequent shingle, at least; and frequent shingles (8 bytes each), the most frequent ones. They change costs only.
-LOCAL_SETS, FREQUENT_SETS, FREQUENT = 8, 100, 1 << 16
+LOCAL_SETS, FREQUENT_SETS, FREQUENT = 6, 100, 1 << 16
 #: Rows of one signature that a task sends on, at most, from each BUFFER of its signatures; further ones are compared
 #: with one of these.
-LOCAL_ROWS, BUFFER = 8, 2_000_000
+LOCAL_ROWS, BUFFER = 8, 1_000_000
 #: Shingles that sets of hashes may lack: where they come so near the threshold, the shingles are compared.
 SLACK = 2
 _GAP = re.compile(rb"[ \t-\r]")
@@ -291,8 +291,12 @@ def _digest_rows(docs: DataFrame, words: int, id_col: str, text_col: str) -> Dat
         size = 0
 
         def counted() -> pa.RecordBatch:
-            token, count = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
-            token, count = token[count >= LOCAL_SETS].view(np.int64), count[count >= LOCAL_SETS]
+            token = np.concatenate(sets or [np.zeros(0, np.uint64)])
+            sets.clear()
+            token.sort()
+            head = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+            count = np.diff(np.append(head, len(token)))
+            token, count = token[head[count >= LOCAL_SETS]].view(np.int64), count[count >= LOCAL_SETS]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (token, -count, 0 * count, 0 * count)], schema=schema)
 
         for batch in slices(batches):
@@ -306,7 +310,7 @@ def _digest_rows(docs: DataFrame, words: int, id_col: str, text_col: str) -> Dat
                     size += len(s)
                 if size >= BUFFER:
                     yield counted()
-                    sets, size = [], 0
+                    size = 0
                     seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, schema=schema)
         yield counted()
@@ -344,7 +348,10 @@ def _signature_rows(docs: DataFrame, scheme: Scheme, words: int, id_col: str, te
         size = 0
 
         def made() -> pa.RecordBatch:
-            sig, node, hub = collapse(np.concatenate(sigs).view(np.int64), np.concatenate(nodes))
+            sig, node = np.concatenate(sigs).view(np.int64), np.concatenate(nodes)
+            sigs.clear()
+            nodes.clear()
+            sig, node, hub = collapse(sig, node)
             return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(hub)], schema=_SIGNED)
 
         for batch in slices(batches):
@@ -361,7 +368,7 @@ def _signature_rows(docs: DataFrame, scheme: Scheme, words: int, id_col: str, te
                 size += len(sig)
                 if size >= BUFFER:
                     yield made()
-                    sigs, nodes, size = [], [], 0
+                    size = 0
         if sigs:
             yield made()
 

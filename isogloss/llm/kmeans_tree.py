@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .arrow_text import bounded_batches
 
 #: Rows that the tree is fitted on, at most; rows that a leaf should have; children of a node; leaves, at most.
 SAMPLE, LEAF_ROWS, BRANCH, LEAVES = 16_384, 32, 8, 1024
@@ -156,6 +157,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
     its sample and the leaves' sizes come to the driver; rows and queries do not.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = usable(vectors, id_col, vec_col)
     by_vector = Window.partitionBy("v").orderBy("id")
     # The limit on ranks reaches below the shuffle, so that a vector that many rows share sends few of them.

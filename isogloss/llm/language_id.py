@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import map_texts, slices
+from .arrow_text import bounded_batches, map_texts, slices
 
 #: Families of ISO 639-1 codes. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -172,6 +172,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     with an id, a language and a text that are not held out. Only their feature vectors (8 KB each) come to the
     driver, repeated rows once, and in the order of their ids, so that equal tables give equal models. Every language
     of these rows can be predicted; an empty table gives a model without languages."""
+    bounded_batches(docs.sparkSession)
     i, t, l = (F.col(f"`{c}`") for c in (id_col, text_col, lang_col))
     rows = docs.filter(i.isNotNull() & l.isNotNull() & t.isNotNull() & ~held_out(id_col)).select(i.cast("long").alias("id"), t.cast("string").alias("text"), l.cast("string").alias("lang"))
     counts = rows.groupBy("lang").count().orderBy("lang").collect()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import webp
-from .arrow_text import map_texts, slices
+from .arrow_text import bounded_batches, map_texts, slices
 
 #: Bytes of a row of samples; a payload is a whole number of rows. Rows of one image, at most.
 ROW, ROWS = 576, 4096
@@ -89,6 +89,7 @@ def decode_images(df: DataFrame, media_col: str = "media", id_col: str = "doc_id
     """doc_id, image (from 0), width, height and pixels (the ARGB bytes of each pixel in that order, row by row) of
     every image in a binary column. A null or empty value gives no rows; bytes that aren't lossless WebP are an
     error; repeated rows give repeated results."""
+    bounded_batches(df.sparkSession)
     schema = "doc_id long, image int, width int, height int, pixels binary"
 
     def run(batches):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .arrow_text import map_texts
+from .arrow_text import bounded_batches, map_texts
 
 #: Labelled rows that the classifier learns from, at most; words that it knows, at most; and the chi-square of a
 #: word's rows with a domain's from which on it is known.
@@ -115,6 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, domain, id_col: str = "doc_id", te
     id or text don't count, and of several texts of an id the smallest does. Word hashes of those rows come to the
     driver, in the order of their ids, so that equal tables give equal classifiers; without any row there is one
     domain, `all`."""
+    bounded_batches(docs.sparkSession)
     named = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), domain.alias("domain")).filter("id is not null and domain is not null")
     space = 1 << 40
     count = named.count()

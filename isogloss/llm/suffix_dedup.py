@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, written
-from .arrow_text import slices
+from .arrow_text import bounded_batches, slices
 from .jaccard_join import mix
 
 #: Bytes of text whose windows are anchored together (their places must fit in PLACE bits of a sort key).
@@ -47,6 +47,7 @@ LAST_ID, LAST = (1 << 63) - 1, 1 << 40
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, tag (tells rows with one id and different texts apart; negative for a null id), text as UTF-8."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     ident = F.col(f"`{id_col}`").cast("long")
     half = F.shiftrightunsigned(F.xxhash64(text), 1)

@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import slices
+from .arrow_text import bounded_batches, slices
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[int | None], list[bytes | None]], list[bool]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, for which keep(ids, texts) is true. keep gets null ids and texts as None, and
     repeated rows each; an empty table gives an empty result, and names of further columns don't matter."""
+    bounded_batches(docs.sparkSession)
     i, t = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,6 +30,7 @@ def rewrite_texts(docs: DataFrame, rewrite: Callable[[list[bytes | None]], list[
     """docs with each text replaced, and its number of characters where there is a column for it and it changed.
     rewrite gets a null text as None and may leave it; repeated rows give repeated results, an empty table an empty
     one, and names of further columns don't matter."""
+    bounded_batches(docs.sparkSession)
     t = docs.columns.index(text_col)
     n = docs.columns.index(size_col) if size_col in docs.columns else -1
 
