@@ -12,7 +12,7 @@ bytes alone. Windows that follow each other share anchors; equal windows have eq
    offsets `start`, 2 * `start`, ... are sorted, unique ones leave, and the others are reranked and paired again,
    until ranks are of `length` bytes.
 
-A rank of h bytes is a 64-bit name made of the two names that it joins, so that each position can be renamed where it
+A rank of h bytes is a name of 64 bits (32 for the first ones) made of the two names that it joins, so that each position can be renamed where it
 is; sorting decides which names are unique. Rows with a pair that a task has already seen aren't sorted: of each task's
 rows, one stands for all with its pair, so that a pair that a third of all positions has doesn't fill one task.
 """
@@ -38,7 +38,7 @@ SEGMENT = 1 << PLACE
 #: by shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Bytes of a gram that anchors are chosen by, and of the first ranks.
-GRAM, START = 48, 25
+GRAM, START = 64, 25
 #: Positions of a text that are paired together.
 PART = 1 << 16
 #: A null id counts as the largest: as this one, with offsets above those of any text.
@@ -363,6 +363,8 @@ def _pairs(texts: DataFrame, length: int, start: int) -> DataFrame:
 
             def made(parts: list) -> pa.RecordBatch:
                 number, p, one, two = (np.concatenate(c) for c in zip(*parts, strict=True))
+                if beyond:  # first ranks have 32 bits, so that a pair is one number, and pairs sort as numbers do
+                    one, two = (one >> np.uint64(32) << np.uint64(32)) | (two >> np.uint64(32)), np.zeros_like(two)
                 return _made(one, two, docs[number], tags[number], p, not beyond)
 
             for k, (text, (lo, hi)) in enumerate(zip(batch.column(2).to_pylist(), _ends(batch.column(3)), strict=True)):
