@@ -12,8 +12,8 @@ bytes alone. Windows that follow each other share anchors; equal windows have eq
    offsets `start`, 2 * `start`, ... are sorted, unique ones leave, and the others are reranked and paired again,
    until ranks are of `length` bytes.
 
-A rank of h bytes is a name of 64 bits (32 for the first ones) made of the two names that it joins, so that each position can be renamed where it
-is; sorting decides which names are unique. Rows with a pair that a task has already seen aren't sorted: of each task's
+A rank of h bytes is a name of 64 bits (32 for the first ones) made of the two names that it joins, so that each
+position can be renamed where its text is; sorting decides which names are unique. Rows with a pair that a task has already seen aren't sorted: of each task's
 rows, one stands for all with its pair, so that a pair that a third of all positions has doesn't fill one task.
 """
 
@@ -39,8 +39,6 @@ SEGMENT = 1 << PLACE
 BROADCAST_ROWS = 2_000_000
 #: Bytes of a gram that anchors are chosen by, and of the first ranks.
 GRAM, START = 64, 25
-#: Positions of a text that are paired together.
-PART = 1 << 16
 #: A null id counts as the largest: as this one, with offsets above those of any text.
 LAST_ID, LAST = (1 << 63) - 1, 1 << 40
 
@@ -153,7 +151,6 @@ def _segments(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[int
 _ANCHORS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("gram", "context", "doc", "tag", "lo", "hi"))])
 _STRETCHES = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("doc", "tag", "lo", "hi"))])
 _PAIRS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("r1", "r2", "doc", "tag", "lo", "hi"))])
-_RANKS = pa.schema([(c, pa.int64()) for c in ("doc", "tag", "lo", "rank")])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -319,43 +316,55 @@ def _pieces(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int]]:
             yield at, min(at + SEGMENT, b + 1)
 
 
-def _with_company(pairs: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows of kind 0 of which some have the same pair: one of these stands for all (kind 2), the others are known not
-    to be unique (kind 1) and are dealt out evenly, with the pair's name in place of r2."""
-    one, two = (pairs.column(i).to_numpy().view(np.uint64) for i in (1, 2))
-    order = np.lexsort((two, one))
-    a, b = one[order], two[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    head = np.flatnonzero(new)
-    count = np.diff(np.append(head, len(a)))
-    kind = np.zeros(len(a), np.int8)
-    kind[order[~new]] = 1
-    kind[order[head[count > 1]]] = 2
-    known = kind == 1
-    first = np.where(known, mix(one + np.arange(len(one), dtype=np.uint64)), one)
-    second = np.where(known, _name(one, two), two)
-    return _batch(_PAIRS, (kind, first.view(np.int64), second.view(np.int64), *(pairs.column(i).to_numpy() for i in range(3, 7))))
-
-
 def _name(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """The name of a pair of names."""
     return mix(mix(one) * np.uint64(0x9E3779B97F4A7C15) + two)
 
 
+def _packed(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First ranks have 32 bits, so that a pair is one number, and pairs sort as numbers do."""
+    return (one >> np.uint64(32) << np.uint64(32)) | (two >> np.uint64(32)), np.zeros_like(two)
+
+
 def _made(one: np.ndarray, two: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, last: bool) -> pa.RecordBatch:
-    """Rows for a round of sorting pairs. In the last one repeats among them are known at once."""
+    """Rows for a round of sorting pairs. In the last one repeats among them are known at once (kind 1). Before, of rows
+    with the same pair one stands for all (kind 2), and the others are known not to be unique (kind 1)."""
+    number = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))[: len(lo)]
     if last:
-        number = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))[: len(lo)]
         return _ranked(_PAIRS, _repeats(mix(one) ^ two, doc, lo), number, one, two, doc, tag, lo, lo)
-    return _with_company(_batch(_PAIRS, (np.zeros(len(lo)), one.view(np.int64), two.view(np.int64), doc, tag, lo, lo)))
+    order = np.lexsort((two, one))
+    new = np.append(True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]))[: len(lo)]
+    head = np.flatnonzero(new)
+    known, company = np.zeros(len(lo), bool), np.zeros(len(lo), bool)
+    known[order[~new]] = True
+    company[order[head[np.diff(np.append(head, len(lo))) > 1]]] = True
+    rows = _ranked(_PAIRS, known, number, one, two, doc, tag, lo, lo)
+    kind = rows.column(0).to_numpy().copy()
+    kind[: int((~known).sum())] = np.where(company[~known], 2, 0)
+    return rows.set_column(0, _PAIRS.field(0), pa.array(kind))
+
+
+def _ranks(data: bytes, start: int, steps: list[int]) -> np.ndarray:
+    """Ranks of all places in data, after rounds that paired at these offsets."""
+    prints, p = Fingerprints(data), np.arange(len(data) - start + 1)
+    rank = prints.of(p, p + start)
+    for k, step in enumerate(steps):
+        one, two = rank[: len(rank) - step], rank[step:]
+        rank = _name(*(_packed(one, two) if not k else (one, two)))
+    return rank
+
+
+def _held(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether places lie in one of the stretches."""
+    at = np.searchsorted(lo, q, side="right") - 1
+    return (at >= 0) & (q <= hi[np.maximum(at, 0)]) if len(lo) else np.zeros(len(q), bool)
 
 
-def _pairs(texts: DataFrame, length: int, start: int) -> DataFrame:
-    """Pairs of ranks at offset `start` of the positions that later rounds need: those in the texts' stretches and as
-    many further on as ranks of 2 * `start` bytes lack."""
-    step = min(start, length - start)
-    beyond = max(0, length - 2 * start)
+def _pairs(texts: DataFrame, start: int, steps: list[int], step: int, beyond: int, last: bool) -> DataFrame:
+    """Pairs of ranks at offset `step`, after rounds at offsets `steps`. In the first one, of all positions in the
+    texts' stretches and `beyond` further ones, which later rounds need; else of those that lie, with the place `step`
+    further, in the stretches, where ranks aren't unique."""
+    reached = start + sum(steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -363,16 +372,18 @@ def _pairs(texts: DataFrame, length: int, start: int) -> DataFrame:
 
             def made(parts: list) -> pa.RecordBatch:
                 number, p, one, two = (np.concatenate(c) for c in zip(*parts, strict=True))
-                if beyond:  # first ranks have 32 bits, so that a pair is one number, and pairs sort as numbers do
-                    one, two = (one >> np.uint64(32) << np.uint64(32)) | (two >> np.uint64(32)), np.zeros_like(two)
-                return _made(one, two, docs[number], tags[number], p, not beyond)
+                if not steps and not last:
+                    one, two = _packed(one, two)
+                return _made(one, two, docs[number], tags[number], p, last)
 
             for k, (text, (lo, hi)) in enumerate(zip(batch.column(2).to_pylist(), _ends(batch.column(3)), strict=True)):
                 shift = int(_shift(tags[k]))
-                for a, b in _pieces(*_merged(lo - shift, np.minimum(hi - shift + beyond, len(text) - start - step))):
-                    prints, p = Fingerprints(text[a : b + step + start]), np.arange(b - a)
-                    parts.append((np.full(len(p), k), p + a + shift, prints.of(p, p + start), prints.of(p + step, p + step + start)))
-                    held += len(p)
+                lo, hi = lo - shift, hi - shift
+                for a, b in _pieces(*_merged(lo, np.minimum(hi + beyond, len(text) - reached - step))):
+                    rank, p = _ranks(text[a : b + step + reached - 1], start, steps), np.arange(a, b)
+                    some = _held(p + step, lo, hi) if steps else np.ones(len(p), bool)
+                    parts.append((np.full(int(some.sum()), k), p[some] + shift, rank[: b - a][some], rank[step : step + b - a][some]))
+                    held += len(parts[-1][0])
                     if held >= SEGMENT:
                         yield made(parts)
                         parts, held = [], 0
@@ -414,9 +425,9 @@ def _later(pairs: DataFrame) -> DataFrame:
     return _sorted(pairs).mapInArrow(run, _ddl(_STRETCHES))
 
 
-def _reranked(pairs: DataFrame) -> DataFrame:
-    """Sorted pairs to new ranks (doc, tag, lo, rank), without unique ones. Only the last row of a batch is kept for
-    the next."""
+def _in_company(pairs: DataFrame) -> DataFrame:
+    """Sorted pairs to the positions (stretches of kind 1) whose new rank, the pair's name, isn't unique. Only the last
+    row of a batch is kept for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 7), np.int64)  # the first row of the last pair, if it may be unique
@@ -425,9 +436,8 @@ def _reranked(pairs: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])
-            known = table[table[:, 0] == 1]
+            out = table[table[:, 0] == 1]
             table = np.vstack([held, table[table[:, 0] != 1]])
-            out = [np.column_stack([known[:, 3:6], known[:, 2]])]
             if len(table):
                 new = np.ones(len(table), bool)
                 new[1:] = (table[1:, 1:3] != table[:-1, 1:3]).any(1)
@@ -436,51 +446,13 @@ def _reranked(pairs: DataFrame) -> DataFrame:
                 several = (count > 1) | (np.maximum.reduceat(table[:, 0], head) == 2)
                 if last is not None and (int(table[0, 1]), int(table[0, 2])) == last:
                     several[0] = True
-                keep = np.repeat(several, count)
-                rank = _name(*(table[keep, i].view(np.uint64) for i in (1, 2))).view(np.int64)
-                out.append(np.column_stack([table[keep, 3:6], rank]))
+                out = np.vstack([out, table[np.repeat(several, count)]])
                 held = table[:0] if several[-1] else table[head[-1] :]
                 last = (int(table[-1, 1]), int(table[-1, 2])) if several[-1] else None
-            yield _batch(_RANKS, np.vstack(out).T)
-
-    return _sorted(pairs).mapInArrow(run, _ddl(_RANKS))
-
-
-def _paired(ranks: DataFrame, step: int, last: bool) -> DataFrame:
-    """Pairs of ranks at offset `step`, for positions that have both. Offsets are dealt out in stretches of PART, and
-    the first `step` positions of each to the one before as well."""
-    part = max(PART, step)
-    lo = F.col("lo")
-    chunk = F.floor(lo / part).cast("long")
-    copies = F.when(F.pmod(lo, F.lit(part)) < step, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
-    dealt = ranks.withColumn("chunk", F.explode(copies)).repartition("doc", "tag", "chunk").sortWithinPartitions("doc", "tag", "chunk", "lo")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 5), np.int64)
-
-        def made(table: np.ndarray, done: np.ndarray) -> pa.RecordBatch:
-            """Pairs of the rows of table that are `done`: all that may be paired with them are there."""
-            new = np.append(True, (table[1:, [0, 1, 4]] != table[:-1, [0, 1, 4]]).any(1))
-            base = table[np.flatnonzero(new)[np.cumsum(new) - 1], 2]
-            key = (np.cumsum(new) << 32) + table[:, 2] - base
-            at = np.searchsorted(key, key + step)
-            at[at == len(key)] = 0
-            some = done & (key[at] == key + step) & (table[:, 2] // part == table[:, 4])
-            some[1:] &= key[1:] != key[:-1]  # a repeated row of the documents
-            one, two = table[some, 3].view(np.uint64), table[at[some], 3].view(np.uint64)
-            return _made(one, two, table[some, 0], table[some, 1], table[some, 2], last)
+            out[:, 0] = 1
+            yield _batch(_STRETCHES, out[:, [0, 3, 4, 5, 6]].T)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = np.vstack([held, np.column_stack([c.to_numpy() for c in batch.columns])])
-            open_ = (table[:, [0, 1, 4]] == table[-1, [0, 1, 4]]).all(1) & (table[:, 2] + step >= table[-1, 2])
-            yield made(table, ~open_)
-            held = table[open_]
-        if len(held):
-            yield made(held, np.ones(len(held), bool))
-
-    return dealt.select("doc", "tag", "lo", "rank", "chunk").mapInArrow(run, _ddl(_PAIRS))
+    return _sorted(pairs).mapInArrow(run, _ddl(_STRETCHES))
 
 
 def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = GRAM, start: int = START, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -490,14 +462,17 @@ def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = GRAM, sta
     sorted_anchors = written(_rerank_anchors(_anchor_rows(source, length, gram)), "anchors")
     open_windows = written(_stretches_of(sorted_anchors.filter("kind = 2").select("doc", "tag", "lo", "hi")), "open")
     done = [sorted_anchors, open_windows]
-    pairs = _pairs(_with_texts(source, open_windows, "inner"), length, start)
-    reached = 2 * start
-    while reached < length:
-        ranks = written(_reranked(pairs), "ranks")
-        done.append(ranks)
+    steps, reached, beyond = [], start, max(0, length - 2 * start)
+    while True:
         step = min(reached, length - reached)
-        reached += step
-        pairs = _paired(ranks, step, reached == length)
+        pairs = _pairs(_with_texts(source, open_windows, "inner"), start, steps, step, 0 if steps else beyond, reached + step == length)
+        steps, reached = [*steps, step], reached + step
+        if reached == length:
+            break
+        alike = written(_in_company(pairs), "ranks")
+        open_windows = written(_stretches_of(alike.select("doc", "tag", "lo", "hi")), "open")
+        discard(alike)
+        done.append(open_windows)
     found = sorted_anchors.filter("kind = 1").unionByName(_later(pairs))
     out = written(_stretches_of(found.select("doc", "tag", "lo", "hi")), "stretches")
     for table in done:

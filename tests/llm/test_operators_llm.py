@@ -160,9 +160,8 @@ def brute_repeats(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("length", "gram", "start", "part"), [(20, 6, 10, 64), (20, 6, 5, 64), (23, 5, 4, 32), (100, 16, 50, 1 << 16), (100, suffix_dedup.GRAM, suffix_dedup.START, 128)])
-def test_repeated_strings(spark, length, gram, start, part, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PART", part)
+@pytest.mark.parametrize(("length", "gram", "start"), [(20, 6, 10), (20, 6, 5), (23, 5, 4), (100, 16, 50), (100, suffix_dedup.GRAM, suffix_dedup.START)])
+def test_repeated_strings(spark, length, gram, start):
     rng = random.Random(5)
     parts = ["".join(rng.choice("abé ") for _ in range(rng.randint(10, 60))) for _ in range(8)]
     rows = [(i, "".join(rng.choice(parts) + rng.choice(["", "x", "yy"]) for _ in range(rng.randint(0, 9)))) for i in range(50)]
@@ -176,13 +175,13 @@ def test_repeated_strings(spark, length, gram, start, part, monkeypatch):
 
 def test_registered_parameters_double(spark, monkeypatch):
     """The registered query sorts pairs at offsets START and 2 * START."""
-    steps, paired = [], suffix_dedup._paired
-    monkeypatch.setattr(suffix_dedup, "_paired", lambda ranks, step, last: (steps.append((step, last)), paired(ranks, step, last))[1])
+    steps, pairs = [], suffix_dedup._pairs
+    monkeypatch.setattr(suffix_dedup, "_pairs", lambda texts, start, before, step, *rest: (steps.append((before, step)), pairs(texts, start, before, step, *rest))[1])
     text = "".join(random.Random(3).choices("abcdefg ", k=400))
     rows = [(1, text), (2, "x" + text[50:260]), (3, text[150:260] + "yy"), (4, text[:99])]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), texts=False)
     assert sorted(map(tuple, got.select("doc_id", "n_bytes", "n_removed", F.size("spans"), "kept_sha256").collect()), key=repr) == brute_repeats(rows, 100)
-    assert steps == [(50, True)] and suffix_dedup.START == 25
+    assert steps == [([], 25), ([25], 50)] and suffix_dedup.START == 25
 
 
 def test_repeats_beyond_a_segment(spark, monkeypatch):
