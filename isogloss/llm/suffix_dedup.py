@@ -13,8 +13,9 @@ bytes alone. Windows that follow each other share anchors; equal windows have eq
    until ranks are of `length` bytes.
 
 A rank of h bytes is a name of 64 bits (32 for the first ones) made of the two names that it joins, so that each
-position can be renamed where its text is; sorting decides which names are unique. Rows with a pair that a task has already seen aren't sorted: of each task's
-rows, one stands for all with its pair, so that a pair that a third of all positions has doesn't fill one task.
+position can be renamed where its text is; sorting decides which names are unique. Rows with a pair that a task has
+already seen aren't sorted: of each task's rows, one stands for all with its pair, so that a pair that a third of all
+positions has doesn't fill one task.
 """
 
 from __future__ import annotations
