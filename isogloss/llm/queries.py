@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, kmeans_tree, language_id, media, mixing, secret_scan, suffix_dedup, token_counts, url_filter
+from . import byte_bpe, centroid_clusters, jaccard_join, kmeans_tree, language_id, license_rules, license_scan, media, mixing, secret_scan, suffix_dedup, token_counts, url_filter, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -167,3 +167,110 @@ pieces AS (SELECT e.doc_id, e.a, coalesce((SELECT min(s.a) FROM spans s WHERE s.
 kept AS (SELECT p.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM pieces p JOIN docs USING (doc_id) GROUP BY p.doc_id)
 SELECT d.doc_id, n AS n_bytes, n - length(k) // 2 AS n_removed, (SELECT count(*) FROM spans s WHERE s.doc_id = d.doc_id) AS n_spans, sha256(unhex(k)) AS kept_sha256
 FROM docs d JOIN kept USING (doc_id)"""
+
+
+# Vectors as whole numbers; sums of squares are exact.
+_WHOLE = "len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0"
+
+
+def _floor(total: str, n: str) -> str:
+    return f"CAST(({total} - ((({total} % {n}) + {n}) % {n})) // {n} AS BIGINT)"
+
+
+@_query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every embedding after ten rounds."""
+    return centroid_clusters.cluster_vectors(_table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def _cluster_sql() -> str:
+    k, width, scale, seed, rounds = centroid_clusters.CENTROIDS, centroid_clusters.WIDTH, centroid_clusters.SCALE, centroid_clusters.SEED, centroid_clusters.ROUNDS
+    d = f"list_sum(list_transform(range(1, {width + 1}), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = {width} AND {_WHOLE})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, x) - 1 AS j, x AS c FROM v QUALIFY j < {k})",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT r, vec_id, x, j, d FROM (SELECT *, {d} AS d FROM v CROSS JOIN c{t}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, j) = 1)")
+        if t < rounds:
+            parts.append(f"m{t} AS (SELECT j, list({_floor('s', 'n')} ORDER BY i) AS c FROM (SELECT j, i, sum(e) AS s, count(*) AS n FROM (SELECT j, unnest(range(1, {width + 1})) AS i, unnest(x) AS e FROM a{t}) GROUP BY 1, 2) GROUP BY 1)")
+            parts.append(f"c{t + 1} AS MATERIALIZED (SELECT j, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} USING (j))")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, j::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (j)"""
+
+
+ORACLE["op11_centroid_clusters"] = _cluster_sql()
+
+
+@_query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every embedding, eight parts of a half byte's range each."""
+    return vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings")).drop("codes")
+
+
+def _code_sql() -> str:
+    parts, entries, rounds, scale = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS, vector_codes.SCALE
+    out = [
+        f"fit AS (SELECT * FROM embeddings WHERE {_WHOLE} AND len(embedding) > 0 AND len(embedding) % {parts} = 0)",
+        "wide AS (SELECT len(embedding) AS w FROM fit GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)",
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)::BIGINT) AS x, w // {parts} AS w FROM fit JOIN wide ON len(embedding) = w)",
+        f"p AS MATERIALIZED (SELECT r, k, x[k * w + 1 : k * w + w] AS x, w FROM (SELECT *, unnest(range({parts})) AS k FROM v))",
+        f"first AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS j FROM v QUALIFY j < {entries})",
+        "c0 AS MATERIALIZED (SELECT k, j, x AS c FROM p JOIN first USING (r))",
+    ]
+    for t in range(rounds + 1):
+        out.append(f"a{t} AS MATERIALIZED (SELECT r, k, x, w, j, d FROM (SELECT p.*, j, list_sum(list_transform(range(1, w + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d FROM p JOIN c{t} USING (k)) QUALIFY row_number() OVER (PARTITION BY r, k ORDER BY d, j) = 1)")
+        if t < rounds:
+            out.append(f"m{t} AS (SELECT k, j, list({_floor('s', 'n')} ORDER BY i) AS c FROM (SELECT k, j, i, sum(e) AS s, count(*) AS n FROM (SELECT k, j, unnest(range(1, w + 1)) AS i, unnest(x) AS e FROM a{t}) GROUP BY 1, 2, 3) GROUP BY 1, 2)")
+            out.append(f"c{t + 1} AS MATERIALIZED (SELECT k, j, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} USING (k, j))")
+    return f"""WITH {", ".join(out)},
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, j)) AS codebooks_sha256 FROM c{rounds}),
+coded AS (SELECT r, string_agg(printf('%02x', j), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (r) CROSS JOIN books"""
+
+
+ORACLE["op13_vector_codes"] = _code_sql()
+
+
+@_query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every text of documents."""
+    scanned = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+    def labels(*found):
+        return F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.transform(f, lambda d: d["label"]) for f in found]))), ",")
+
+    starts = F.transform("base", lambda d: d["start"])
+    spans = F.array_join(F.transform("found", lambda d: F.concat_ws(":", d["label"], d["start"].cast("string"), d["end"].cast("string"))), ",")
+    return scanned.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels("base").alias("base_labels"), labels("base", "found").alias("labels"), license_scan.sureness(F.col("found")).alias("score"), spans.alias("spans"),
+    )
+
+
+def _license_sql() -> str:
+    kinds = license_rules.rules()
+    table = ", ".join(f"({r.level}, {i}, '{r.label}', {str(r.base).lower()}, '{license_scan.pattern(r.expression)}')" for i, r in enumerate(kinds))
+    keys = "|".join(sorted({w for r in kinds for g in r.words for w in g}))
+    sure = ", ".join(map(str, license_rules.SURE))
+    return rf"""
+WITH rules(level, rule, label, base, pattern) AS (VALUES {table}),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.WORD}') AS w FROM documents),
+spaced AS MATERIALIZED (SELECT rid, ' ' || array_to_string(w, '  ') || ' ' AS t FROM docs),
+likely AS (SELECT * FROM spaced WHERE regexp_matches(t, ' ({keys}) ')),
+met AS (SELECT * FROM likely JOIN rules ON regexp_matches(t, pattern)),
+marked AS (SELECT *, string_split(trim(regexp_replace(t, pattern, E' \1', 'g'), ' '), '  ') AS m, regexp_extract_all(t, pattern, 1) AS hits FROM met),
+each AS (SELECT rid, level, rule, label, base, unnest(list_filter(range(len(m)), lambda i: starts_with(m[i + 1], E''))) AS s, unnest(hits) AS hit FROM marked),
+found AS MATERIALIZED (SELECT rid, level, rule, label, base, s, s + len(string_split(rtrim(hit, ' '), '  ')) AS e FROM each),
+kept AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.rid = f.rid AND g.s <= f.s AND g.e >= f.e AND g.level <= f.level AND (g.s < f.s OR g.e > f.e OR g.level < f.level OR g.rule < f.rule))),
+bases AS (SELECT rid, count(*) AS n, min(s) AS a, max(s) AS b, list(DISTINCT label) AS l FROM found WHERE base GROUP BY rid),
+stays AS (SELECT rid, list(DISTINCT label) AS l, max([{sure}][level + 1]) AS score, string_agg(concat(label, ':', s, ':', e), ',' ORDER BY s, e DESC, level, rule) AS spans FROM kept GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
+       array_to_string(list_sort(coalesce(bases.l, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(bases.l, []), coalesce(stays.l, [])))), ',') AS labels,
+       coalesce(score, 0)::DOUBLE AS score, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN bases USING (rid) LEFT JOIN stays USING (rid)"""
+
+
+ORACLE["op12_license_scan"] = _license_sql()
