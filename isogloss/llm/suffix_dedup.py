@@ -6,16 +6,19 @@ repeats. Most positions of a corpus are unique, so candidates are found first: e
 anchor, the smallest fingerprint of `gram` bytes in it (the leftmost of equal ones), which depends on the window's
 bytes alone. Windows that follow each other share anchors; equal windows have equal anchors.
 
-1. Anchors are sorted by (rank of the gram, rank of the bytes of all windows that share the anchor). Equal pairs are
+1. Anchors are sorted by (rank of the gram, digest of the bytes of all windows that share the anchor). Equal ones are
    repeats of the first. A gram with one such context only is unique there, and its windows leave.
 2. The windows of the other contexts are open. Positions in them are ranked by `start` bytes; pairs of ranks at
    offsets `start`, 2 * `start`, ... are sorted, unique ones leave, and the others are reranked and paired again,
    until ranks are of `length` bytes.
 
 A rank of h bytes is a name of 64 bits (32 for the first ones) made of the two names that it joins, so that each
-position can be renamed where its text is; sorting decides which names are unique. Rows with a pair that a task has
-already seen aren't sorted: of each task's rows, one stands for all with its pair, so that a pair that a third of all
-positions has doesn't fill one task.
+position can be renamed where its text is; sorting decides which names are unique. Names only decide what stays open:
+two different strings that a name confuses go on together. What is removed has been compared by a digest of 128 bits of
+its bytes as well, in both steps.
+
+Rows with a key that a task has already seen aren't sorted: of each task's rows, one stands for all with its key, so that
+a key that a third of all positions has doesn't fill one task.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,13 +97,20 @@ class Fingerprints:
         return mix((self.total[end] - self.total[start]) * self.down[start])
 
 
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of 128 bits of stretches of data, in two halves."""
+    made = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    halves = np.frombuffer(made, np.uint64).reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
 def anchors(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of texts that follow each other in data (up to SEGMENT bytes) and end at `ends`: rank of the gram, rank of the
-    context, first and last window start, for each anchor in order."""
+    """Of texts that follow each other in data (up to SEGMENT bytes) and end at `ends`: rank of the gram, the context's
+    digest in two halves, first and last window start, for each anchor in order."""
     windows = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if windows <= 0:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return *[none.astype(np.uint64)] * 3, none, none
     prints = Fingerprints(data)
     grams = np.arange(len(data) - gram + 1)
     rank = prints.of(grams, grams + gram)
@@ -119,8 +130,8 @@ def anchors(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np.n
     final = np.append(new[1:] | ~inside[1:], True)
     last = np.flatnonzero(final & inside)
     at = place[first]
-    context = mix(prints.of(first, last + length) + (at - first).astype(np.uint64) * np.uint64(0x9E3779B1) + (last - first).astype(np.uint64) * np.uint64(0x85EBCA77C2B2AE63))
-    return rank[at], context, first, last
+    context, check = digests(data, first, last + length)
+    return rank[at], mix(context + (at - first).astype(np.uint64)), check, first, last
 
 
 def _segments(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[int], list[int], np.ndarray]]:
@@ -149,9 +160,9 @@ def _segments(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[int
 
 #: kind 0: an anchor; kind 1: a stretch of repeated windows already known from the same batch; kind 2: an open one, whose
 #: gram has other contexts in the batch; kind 4: an anchor that stands for these.
-_ANCHORS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("gram", "context", "doc", "tag", "lo", "hi"))])
+_ANCHORS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("gram", "context", "doc", "tag", "lo", "hi", "check"))])
 _STRETCHES = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("doc", "tag", "lo", "hi"))])
-_PAIRS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("r1", "r2", "doc", "tag", "lo", "hi"))])
+_PAIRS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("r1", "r2", "doc", "tag", "lo", "hi", "check"))])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -163,19 +174,47 @@ def _batch(schema: pa.Schema, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(f.type.to_pandas_dtype())) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _repeats(key: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Whether a row with the same key starts earlier."""
-    order = np.lexsort((lo, doc, key))
-    k, d, s = key[order], doc[order], lo[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-    out = np.zeros(len(k), bool)
+class Seen:
+    """Rows that a task has met, as many as there are slots: of a key that comes again and again one is there."""
+
+    def __init__(self, bits: int = 17) -> None:
+        self.shift = np.uint64(64 - bits)
+        self.key = [np.zeros(1 << bits, np.uint64) for _ in range(3)]
+        self.doc, self.lo = np.full(1 << bits, LAST_ID), np.full(1 << bits, np.iinfo(np.int64).max)
+
+    def slot(self, keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's slot, and whether it holds this key."""
+        at = (mix(keys[0] ^ mix(keys[1] ^ mix(keys[2]))) >> self.shift).astype(np.int64)
+        return at, np.logical_and.reduce([own[at] == k for own, k in zip(self.key, keys, strict=True)])
+
+    def put(self, at: np.ndarray, keys: tuple[np.ndarray, ...], doc: np.ndarray, lo: np.ndarray) -> None:
+        for own, k in zip((*self.key, self.doc, self.lo), (*keys, doc, lo), strict=True):
+            own[at] = k
+
+    def earlier(self, keys: tuple[np.ndarray, ...], doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Whether a row with the same key that starts earlier has been met; these rows are met now."""
+        at, known = self.slot(keys)
+        later = (doc > self.doc[at]) | ((doc == self.doc[at]) & (lo > self.lo[at]))
+        new = np.flatnonzero(~(known & later))
+        self.put(at[new], tuple(k[new] for k in keys), doc[new], lo[new])
+        return known & later
+
+
+def _repeats(keys: tuple[np.ndarray, ...], doc: np.ndarray, lo: np.ndarray, seen: Seen) -> np.ndarray:
+    """Whether a row with the same key starts earlier, among these and those that the task has seen."""
+    order = np.lexsort((lo, doc, *keys[::-1]))
+    d, s = doc[order], lo[order]
+    new = np.ones(len(d), bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
+    out = np.zeros(len(d), bool)
     out[order] = (d != d[head]) | (s != s[head])
+    first = np.flatnonzero(~out)
+    out[first] = seen.earlier(tuple(k[first] for k in keys), doc[first], lo[first])
     return out
 
 
-def _ranked(schema: pa.Schema, again: np.ndarray, number: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+def _ranked(schema: pa.Schema, again: np.ndarray, number: np.ndarray, one: np.ndarray, two: np.ndarray, check: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     """Rows of kind 0 with two ranks, and stretches of kind 1 of those that are repeats already: repeats that follow
     each other in one text are one stretch. Stretches get ranks of their own, so that they are dealt out evenly."""
     joint = again[1:] & again[:-1] & (number[1:] == number[:-1]) & (lo[1:] == hi[:-1] + 1)
@@ -190,31 +229,33 @@ def _ranked(schema: pa.Schema, again: np.ndarray, number: np.ndarray, one: np.nd
         np.concatenate([tag[~again], tag[head]]),
         np.concatenate([lo[~again], lo[head]]),
         np.concatenate([hi[~again], hi[tail]]),
+        np.concatenate([check[~again], check[head]]).view(np.int64),
     )
     return _batch(schema, columns)
 
 
 def _anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, grams = Seen(), Seen()
         for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for data, numbers, offsets, ends in _segments(texts, length):
-                rank, context, first, last = anchors(data, ends, length, gram)
+                rank, context, check, first, last = anchors(data, ends, length, gram)
                 part = np.searchsorted(ends, first, side="right")
                 shift = np.asarray(offsets)[part] - np.concatenate([[0], ends[:-1]])[part]
                 number = np.asarray(numbers)[part]
                 doc, tag = docs[number], tags[number]
                 lo, hi = first + shift + _shift(tag), last + shift + _shift(tag)
-                again = _repeats(mix(rank) ^ context, doc, lo)
-                yield _with_contexts(_ranked(_ANCHORS, again, number, rank, context, doc, tag, lo, hi))
+                again = _repeats((rank, context, check), doc, lo, seen)
+                yield _with_contexts(_ranked(_ANCHORS, again, number, rank, context, check, doc, tag, lo, hi), grams)
 
     return source.mapInArrow(run, _ddl(_ANCHORS))
 
 
-def _with_contexts(anchors: pa.RecordBatch) -> pa.RecordBatch:
-    """Of anchors whose gram has several contexts in a batch, one stands for all where grams are sorted. The windows of
-    the others are open, and are dealt out evenly."""
+def _with_contexts(anchors: pa.RecordBatch, grams: Seen) -> pa.RecordBatch:
+    """Of anchors whose gram has several contexts in a batch, one stands for all where grams are sorted, unless the task
+    has already sent such a one. The windows of the others are open, and are dealt out evenly."""
     kind, gram, context = (anchors.column(i).to_numpy() for i in range(3))
     own = np.flatnonzero(kind == 0)
     order = own[np.lexsort((context[own], gram[own]))]
@@ -225,8 +266,17 @@ def _with_contexts(anchors: pa.RecordBatch) -> pa.RecordBatch:
     kind, gram = kind.copy(), gram.copy()
     rest = order[several & ~new]
     kind[order[several & new]], kind[rest] = 4, 2
+    # A gram that the task has sent as one of several needs no further row.
+    lone = order[new]
+    keys = (gram[lone].view(np.uint64), np.zeros(len(lone), np.uint64), np.zeros(len(lone), np.uint64))
+    at, known = grams.slot(keys)
+    told = np.flatnonzero(known & (gram[lone] != 0))
+    kind[lone[told]] = 2
+    sent = np.flatnonzero(~known & (kind[lone] == 4))
+    grams.put(at[sent], tuple(k[sent] for k in keys), np.zeros(len(sent), np.int64), np.zeros(len(sent), np.int64))
+    rest = np.concatenate([rest, lone[told]])
     gram[rest] = mix(context[rest].view(np.uint64) + np.arange(len(rest), dtype=np.uint64)).view(np.int64)
-    return _batch(_ANCHORS, (kind, gram, context, *(anchors.column(i).to_numpy() for i in range(3, 7))))
+    return _batch(_ANCHORS, (kind, gram, context, *(anchors.column(i).to_numpy() for i in range(3, 8))))
 
 
 def _rerank_anchors(rows: DataFrame) -> DataFrame:
@@ -239,16 +289,16 @@ def _rerank_anchors(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])
+            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(8)])
             passed = (table[:, 0] == 1) | (table[:, 0] == 2)
             out = [table[passed][:, [0, 3, 4, 5, 6]]]
             table = table[~passed]
             if len(table):
                 if held is not None:
                     table = np.vstack([held, table])
-                gram, context = table[:, 1], table[:, 2]
+                gram, context, check = table[:, 1], table[:, 2], table[:, 7]
                 new = np.ones(len(table), bool)
-                new[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
+                new[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]) | (check[1:] != check[:-1])
                 head = np.flatnonzero(new)
                 at = head[np.cumsum(new) - 1]
                 again = ~new & ((table[:, 3] != table[at, 3]) | (table[:, 5] != table[at, 5]))
@@ -267,7 +317,7 @@ def _rerank_anchors(rows: DataFrame) -> DataFrame:
             yield _batch(_STRETCHES, np.vstack(out).T)
 
     # Known stretches come with keys of their own and are only passed on.
-    return rows.repartition("gram").sortWithinPartitions("gram", "context", "doc", "lo").mapInArrow(run, _ddl(_STRETCHES))
+    return rows.repartition("gram").sortWithinPartitions("gram", "context", "check", "doc", "lo").mapInArrow(run, _ddl(_STRETCHES))
 
 
 def _with_texts(source: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -327,19 +377,25 @@ def _packed(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (one >> np.uint64(32) << np.uint64(32)) | (two >> np.uint64(32)), np.zeros_like(two)
 
 
-def _made(one: np.ndarray, two: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, last: bool) -> pa.RecordBatch:
+def _made(one: np.ndarray, two: np.ndarray, check: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, last: bool, seen: Seen) -> pa.RecordBatch:
     """Rows for a round of sorting pairs. In the last one repeats among them are known at once (kind 1). Before, of rows
-    with the same pair one stands for all (kind 2), and the others are known not to be unique (kind 1)."""
+    with the same pair one stands for all (kind 2), and the others are known not to be unique (kind 1), as are those with
+    a pair that the task has sent so before."""
     number = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))[: len(lo)]
     if last:
-        return _ranked(_PAIRS, _repeats(mix(one) ^ two, doc, lo), number, one, two, doc, tag, lo, lo)
+        return _ranked(_PAIRS, _repeats((one, two, check), doc, lo, seen), number, one, two, check, doc, tag, lo, lo)
     order = np.lexsort((two, one))
     new = np.append(True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]))[: len(lo)]
     head = np.flatnonzero(new)
     known, company = np.zeros(len(lo), bool), np.zeros(len(lo), bool)
     known[order[~new]] = True
     company[order[head[np.diff(np.append(head, len(lo))) > 1]]] = True
-    rows = _ranked(_PAIRS, known, number, one, two, doc, tag, lo, lo)
+    first = order[new]
+    at, met = seen.slot((one[first], two[first], check[first]))
+    sent = first[~met & company[first]]
+    seen.put(at[~met & company[first]], (one[sent], two[sent], check[sent]), doc[sent], lo[sent])
+    known[first[met]] = True
+    rows = _ranked(_PAIRS, known, number, one, two, check, doc, tag, lo, lo)
     kind = rows.column(0).to_numpy().copy()
     kind[: int((~known).sum())] = np.where(company[~known], 2, 0)
     return rows.set_column(0, _PAIRS.field(0), pa.array(kind))
@@ -368,14 +424,17 @@ def _pairs(texts: DataFrame, start: int, steps: list[int], step: int, beyond: in
     reached = start + sum(steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in slices(batches):
             docs, tags, parts, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], 0
 
             def made(parts: list) -> pa.RecordBatch:
-                number, p, one, two = (np.concatenate(c) for c in zip(*parts, strict=True))
-                if not steps and not last:
+                number, p, one, two, *digest = (np.concatenate(c) for c in zip(*parts, strict=True))
+                if last:  # the name of the pair, and the bytes' digest
+                    return _made(_name(one, two), *digest, docs[number], tags[number], p, last, seen)
+                if not steps:
                     one, two = _packed(one, two)
-                return _made(one, two, docs[number], tags[number], p, last)
+                return _made(one, two, np.zeros_like(one), docs[number], tags[number], p, last, seen)
 
             for k, (text, (lo, hi)) in enumerate(zip(batch.column(2).to_pylist(), _ends(batch.column(3)), strict=True)):
                 shift = int(_shift(tags[k]))
@@ -383,7 +442,9 @@ def _pairs(texts: DataFrame, start: int, steps: list[int], step: int, beyond: in
                 for a, b in _pieces(*_merged(lo, np.minimum(hi + beyond, len(text) - reached - step))):
                     rank, p = _ranks(text[a : b + step + reached - 1], start, steps), np.arange(a, b)
                     some = _held(p + step, lo, hi) if steps else np.ones(len(p), bool)
-                    parts.append((np.full(int(some.sum()), k), p[some] + shift, rank[: b - a][some], rank[step : step + b - a][some]))
+                    places = p[some]
+                    digest = digests(text, places, places + reached + step) if last else ()
+                    parts.append((np.full(len(places), k), places + shift, rank[: b - a][some], rank[step : step + b - a][some], *digest))
                     held += len(parts[-1][0])
                     if held >= SEGMENT:
                         yield made(parts)
@@ -395,7 +456,7 @@ def _pairs(texts: DataFrame, start: int, steps: list[int], step: int, beyond: in
 
 
 def _sorted(pairs: DataFrame) -> DataFrame:
-    return pairs.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "doc", "lo")
+    return pairs.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "check", "doc", "lo")
 
 
 def _later(pairs: DataFrame) -> DataFrame:
@@ -407,14 +468,14 @@ def _later(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])
+            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(8)])
             known = table[table[:, 0] == 1]
             table = table[table[:, 0] == 0]
             if len(table):
                 if held is not None:
                     table = np.vstack([held, table])
                 new = np.ones(len(table), bool)
-                new[1:] = (table[1:, 1:3] != table[:-1, 1:3]).any(1)
+                new[1:] = (table[1:, [1, 2, 7]] != table[:-1, [1, 2, 7]]).any(1)
                 head = np.flatnonzero(new)
                 at = head[np.cumsum(new) - 1]
                 again = ~new & ((table[:, 3] != table[at, 3]) | (table[:, 5] != table[at, 5]))
@@ -431,12 +492,12 @@ def _in_company(pairs: DataFrame) -> DataFrame:
     row of a batch is kept for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 7), np.int64)  # the first row of the last pair, if it may be unique
+        held = np.zeros((0, 8), np.int64)  # the first row of the last pair, if it may be unique
         last: tuple[int, int] | None = None  # the last pair, if its rows are known not to be unique
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])
+            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(8)])
             out = table[table[:, 0] == 1]
             table = np.vstack([held, table[table[:, 0] != 1]])
             if len(table):

@@ -160,6 +160,45 @@ def brute_repeats(rows, length):
     return sorted(out, key=repr)
 
 
+def test_suffix_dedup_of_strings_that_names_confuse(spark):
+    """Strings of 25 bytes whose names share 32 bits, with one tail of 75 each: nothing repeats, nothing goes."""
+    rng = random.Random(17)
+    rows, confused = [], ("jkgmckgeshmyzqienagmzdbvv", "s uofahpiatkeddkaefgclpkk")
+    for i in range(12):
+        tail = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=75))
+        rows += [(2 * i, confused[0] + tail), (2 * i + 1, confused[1] + tail)]
+    prints = suffix_dedup.Fingerprints(" ".join(confused).encode())
+    names = prints.of(np.array([0, 26]), np.array([25, 51]))
+    assert names[0] != names[1] and names[0] >> np.uint64(32) == names[1] >> np.uint64(32)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.n_removed for r in suffix_dedup.remove_repeats(df, texts=False).collect()} == {0}
+    more = df.union(df.filter("doc_id < 4").select(F.col("doc_id") + 100, "text"))
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(more, texts=False).collect() if r.n_removed} == {100 + i: 100 for i in range(4)}
+
+
+@pytest.mark.parametrize("bits", [1, 4, 17])
+def test_keys_that_a_task_has_seen(bits):
+    """However many keys a task can hold and in whatever order rows come: those left out repeat an earlier row of the
+    same key, names that are equal with other digests aren't the same key, and hot keys are sent a few times."""
+    rng = np.random.default_rng(bits)
+    seen, met, sent = suffix_dedup.Seen(bits), [], []
+    for _ in range(40):
+        n = 50
+        key = (np.zeros(n, np.uint64), rng.integers(0, 12, n).astype(np.uint64), (rng.integers(0, 3, n) ** 2).astype(np.uint64))
+        doc, lo = rng.integers(0, 2000, n), rng.integers(0, 5, n)
+        again = suffix_dedup._repeats(key, doc, lo, seen)
+        rows = list(zip(key[1].tolist(), key[2].tolist(), doc.tolist(), lo.tolist(), strict=True))
+        met += rows
+        sent += [r for r, a in zip(rows, again, strict=True) if not a]
+        first = {}
+        for r in sorted(met):
+            first.setdefault(r[:2], r)
+        assert all(r > first[r[:2]] for r, a in zip(rows, again, strict=True) if a)
+        assert set(first.values()) <= set(sent)
+    if bits == 17:
+        assert len(sent) < len(met) / 4
+
+
 @pytest.mark.parametrize(("length", "gram", "start"), [(20, 6, 10), (20, 6, 5), (23, 5, 4), (100, 16, 50), (100, suffix_dedup.GRAM, suffix_dedup.START)])
 def test_repeated_strings(spark, length, gram, start):
     rng = random.Random(5)
