@@ -1,17 +1,23 @@
 """Mixing sources to target weights (operator 10), with soft membership.
 
 A classifier learned from a labelled table gives each document posteriors over domains. Projected gradient descent
-then fits a rate of at least 0 (and at most a bound, if there is one) for each document, so that the expected tokens of each domain, the sum of rate times
-tokens times posterior, match targets in the least-squares sense. Steps have momentum, which starts anew where it
-leads uphill. A step needs the domains' totals and two more sums only: those are
-summed where the documents are, and a document's rate follows from its posteriors and the steps made so far.
+then fits a rate of at least 0 (and at most a bound, if there is one) for each document, so that the expected tokens of
+each domain, the sum of rate times tokens times posterior, match targets in the least-squares sense.
+
+The step is implicit: rates are those at the start, 1, less the gradient at the rates arrived at times a length, projected
+onto the bounds. However long, such a step doesn't overshoot, and a long one ends where descent does. The gradient is
+a document's posteriors times one number for each domain, so what is to be found are these few numbers, `pull`. They are found
+by Newton's method: their equations' residual and slope, and the merit of some lengths of a Newton step, are sums over
+the documents, made where these are, in one pass for each step. A document's rate follows from its posteriors and the
+pull alone. Descent has settled when targets are met, or when an ordinary projected gradient step from there moves
+no rates.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,9 +30,10 @@ from .arrow_text import bounded_batches, map_texts
 #: Labelled rows that the classifier learns from, at most; words that it knows, at most; and the chi-square of a
 #: word's rows with a domain's from which on it is known.
 SAMPLE, WORDS, TELLING = 8000, 2048, 24.0
-#: Steps of the descent, at most; the distance of each domain from its target, and the projected gradient (what a step
-#: moves rates by, as the root of the mean square over tokens), at which it ends.
-STEPS, TOLERANCE, OPTIMAL = 200, 1e-4, 1e-5
+#: Passes over the documents, at most; the distance of each domain from its target, and the projected gradient (what an
+#: ordinary step moves rates by, as the root of the mean square over tokens), at which descent has settled; the inverse of
+#: the implicit step's length; and parts of a Newton step that a pass compares.
+STEPS, TOLERANCE, OPTIMAL, NEAR, LENGTHS = 100, 1e-6, 1e-5, 1e-8, 2.0 ** np.arange(6, -26, -1)
 _WORD = re.compile(rb"[^\x00-@\[-`{-\x7f]+")
 _STYLE = 6
 
@@ -142,40 +149,45 @@ def train(docs: DataFrame, labels: DataFrame, domain, id_col: str = "doc_id", te
 @dataclass
 class Mix:
     """The fitted mix. totals: tokens of each domain at rate 1; targets: those asked for; reached: those expected;
-    history: what each step takes from a document's rate, as weights of its posteriors, and its momentum; most: the
-    largest rate; settled: whether targets are met or no rates come nearer, else the steps were used up."""
+    pull: what a document's posteriors take from its rate; most: the largest rate; steps: passes over the documents;
+    settled: whether targets are met or no rates come nearer, else the passes were used up."""
 
     domains: tuple[str, ...]
     totals: np.ndarray
     targets: np.ndarray
     reached: np.ndarray
-    history: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    pull: np.ndarray
     most: float = np.inf
+    steps: int = 0
     settled: bool = True
 
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
-        return self.walk(posteriors)[0]
+        return np.clip(1.0 - posteriors @ self.pull, 0.0, self.most)
 
-    def walk(self, posteriors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rates, those before the last step, and where the last step began."""
-        rate = before = start = ahead = np.ones(len(posteriors))
-        for step in self.history:
-            start, before = ahead, rate
-            rate = np.clip(start - posteriors @ step[:-1], 0.0, self.most)
-            ahead = rate + step[-1] * (rate - before)
-        return rate, before, start
+
+def _totals(p: np.ndarray, t: np.ndarray, most: float, pull: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each of some other pulls: its tokens of each domain, the gram matrix of documents between the bounds, and by
+    how much its merit departs from that of its tangent at `pull`. All summands of the last are positive, so that
+    nothing is lost between large numbers."""
+    out, rate = [], np.clip(1.0 - p @ pull, 0.0, most)
+    for other in others:
+        u = 1.0 - p @ other
+        free = (u > 0) & (u <= most)
+        new = np.clip(u, 0.0, most)
+        out += [(t * new) @ p, ((p[free] * t[free, None]).T @ p[free]).ravel(), [t @ ((new - rate) ** 2 / 2 + (new - rate) * (u - new))]]
+    return np.concatenate(out)
 
 
 def fit_mix(posteriors: DataFrame, domains: tuple[str, ...], targets: Callable[[dict[str, float]], dict[str, float]], steps: int = STEPS, most: float = np.inf) -> Mix:
     """Rates of at most `most` for posteriors(n_tokens, p), neither of them null. targets: tokens wanted of each domain,
     from its tokens at rate 1. Repeated rows count each; an empty table is settled at totals of 0.
 
-    The descent's metric weighs documents by tokens and domains by the inverse of their tokens. Each step's totals
-    are one sum over all documents; only as many numbers as domains (squared, once) come to the driver.
+    What is least is the sum over domains of (reached - target) squared by the domain's tokens. A pass is one sum over
+    all documents; for each compared length as many numbers as domains (squared, twice) come to the driver.
     """
     k = len(domains)
 
-    def sums(kernel) -> np.ndarray:
+    def sums(kernel, size: int) -> np.ndarray:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = None
             for frame in frames:
@@ -183,39 +195,51 @@ def fit_mix(posteriors: DataFrame, domains: tuple[str, ...], targets: Callable[[
                     part = kernel(np.stack(frame["p"].tolist()), frame["n_tokens"].to_numpy(np.float64))
                     total = part if total is None else total + part
             if total is not None:
-                yield pd.DataFrame({"place": np.arange(total.size), "value": total.ravel()})
+                yield pd.DataFrame({"place": np.arange(total.size), "value": total})
 
         found = posteriors.select("n_tokens", "p").mapInPandas(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-        out = np.zeros(k * k + k + 1)
+        out = np.zeros(size)
         for r in found:
             out[r["place"]] = r["value"]
         return out
 
-    both = sums(lambda p, t: np.concatenate([t @ p, ((p * t[:, None]).T @ p).ravel()]))
-    totals, gram = both[:k], both[k : k * k + k].reshape(k, k)
+    one = k + k * k + 1
+    both = sums(lambda p, t: np.concatenate([t @ p, _totals(p, t, most, np.zeros(k), np.zeros((1, k)))]), k + one)
+    totals, at = both[:k], both[k:]
     wanted = targets(dict(zip(domains, totals.tolist(), strict=True)))
     goal = np.array([wanted[d] for d in domains])
-    scale = np.where(totals > 0, 1 / np.maximum(totals, 1e-12), 0.0)
+    some = totals > 0
+    scale = np.where(some, 1 / np.maximum(totals, 1e-12), 0.0)
     root = np.sqrt(scale)
-    top = np.linalg.eigvalsh(root[:, None] * gram * root).max() if totals.any() else 1.0
-    mix = Mix(domains, totals, goal, totals.copy(), np.zeros((0, k + 1)), most, not totals.any())
+    gram = at[k : k + k * k].reshape(k, k)
+    top = max(float(np.linalg.eigvalsh(root[:, None] * gram * root).max()), 1e-12)
+    mix = Mix(domains, totals, goal, at[:k], np.zeros(k), most, 1, not totals.any())
     far = np.where(goal > 0, 1 / np.maximum(goal, 1e-12), scale)
-
-    def stepped(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-        rate, before, start = mix.walk(p)
-        return np.array([*((t * rate) @ p), t @ (rate - start) ** 2, t @ ((start - rate) * (rate - before))])
-
-    start, pace = totals, 1.0
-    for _ in range(steps if totals.any() else 0):
-        mix.history = np.vstack([mix.history, np.append(scale * (start - goal) / top, 0.0)])
-        found = sums(stepped)
-        reached, moved, uphill = found[:k], np.sqrt(found[k] / totals.sum()), found[k + 1] > 0
-        pace, last = (1.0 if uphill else (1 + np.sqrt(1 + 4 * pace * pace)) / 2), pace
-        mix.history[-1, -1] = 0.0 if uphill else (last - 1) / pace
-        start, mix.reached = reached + mix.history[-1, -1] * (reached - mix.reached), reached
-        mix.settled = bool((np.abs(reached - goal) * far).max() <= TOLERANCE or moved <= OPTIMAL)
-        if mix.settled:
+    # A domain without tokens pulls nothing.
+    stiff = NEAR * np.where(some, totals, 1.0)
+    while not mix.settled and mix.steps < steps:
+        if (np.abs(mix.reached - goal) * far)[some].max() <= TOLERANCE:
+            mix.settled = True
+            break
+        slope = np.diag(stiff) + at[k : k + k * k].reshape(k, k)
+        rest = np.where(some, stiff * mix.pull + goal - mix.reached, 0.0)
+        steps_by = np.concatenate([[0.0], LENGTHS])[:, None] * -np.linalg.solve(slope, rest)
+        pulls = mix.pull + steps_by
+        gradient = scale * (mix.reached - goal) / top
+
+        def compared(p: np.ndarray, t: np.ndarray, pulls=pulls, gradient=gradient, mix=mix) -> np.ndarray:
+            rate = mix.rates(p)
+            moved = np.clip(rate - p @ gradient, 0.0, most) - rate
+            return np.append(_totals(p, t, most, mix.pull, pulls), t @ (moved * moved))
+
+        found = sums(compared, one * len(pulls) + 1)
+        mix.steps += 1
+        mix.settled = bool(np.sqrt(found[-1] / totals.sum()) <= OPTIMAL)
+        merits = found[:-1].reshape(len(pulls), one)
+        best = int((merits[:, -1] + steps_by @ rest + steps_by**2 @ stiff / 2).argmin())
+        if mix.settled or not best:  # no part of the step has more merit
             break
+        at, mix.pull, mix.reached = merits[best], pulls[best], merits[best][:k]
     return mix
 
 
@@ -233,7 +257,7 @@ def document_posteriors(docs: DataFrame, classifier: Classifier, id_col: str = "
 
 def mix_sources(docs: DataFrame, labels: DataFrame, domain, targets, id_col: str = "doc_id", text_col: str = "text", most: float = np.inf) -> tuple[DataFrame, Mix, Classifier]:
     """doc_id, n_tokens, domain (the likeliest), posterior (its), p, rate (`most` at most), target and reached (expected
-    tokens of each domain, in the order of p), steps (of the descent) and settled (whether targets are met or no rates
+    tokens of each domain, in the order of p), steps (passes of the descent) and settled (whether targets are met or no rates
     come nearer), the same in each row, for each row of docs; with the mix and the classifier.
 
     A null text counts as empty; without labelled rows there is one domain, `all`; repeated rows count each, a null
@@ -251,7 +275,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame, domain, targets, id_col: str
     rated = table.mapInPandas(rate, "doc_id long, n_tokens long, p array<double>, rate double")
     best = F.array_max("p")
     names = F.array(*[F.lit(d) for d in classifier.domains])
-    out = rated.select("doc_id", "n_tokens", F.element_at(names, F.array_position("p", best).cast("int")).alias("domain"), best.alias("posterior"), "p", "rate", *(F.array(*[F.lit(float(v)) for v in values]).alias(c) for c, values in (("target", mix.targets), ("reached", mix.reached))), F.lit(len(mix.history)).alias("steps"), F.lit(mix.settled).alias("settled"))
+    out = rated.select("doc_id", "n_tokens", F.element_at(names, F.array_position("p", best).cast("int")).alias("domain"), best.alias("posterior"), "p", "rate", *(F.array(*[F.lit(float(v)) for v in values]).alias(c) for c, values in (("target", mix.targets), ("reached", mix.reached))), F.lit(mix.steps).alias("steps"), F.lit(mix.settled).alias("settled"))
     return out, mix, classifier
 
 
