@@ -7,6 +7,8 @@ stages but the last. An empty table gives an empty result in each stage.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +57,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps each document with a chance of its fitted rate, 1 at most: where a hash of its id (of its text without one)
     lies below the rate. The tokens kept of each domain are then expected to be those of WEIGHTS. A null text counts as
-    empty, rows that repeat an id and a text fare alike; without labels every row stays."""
+    empty, rows that repeat an id and a text fare alike; without labels every row stays. A fit that ran out of passes before
+    it settled is used, with a warning that says how far it got."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     _, fitted, classifier = mixing.mix_sources(docs, labels, mixing.label_domain(), mixing.weighted(WEIGHTS), most=1.0)
+    if not fitted.settled:
+        warnings.warn(f"the mix has not settled: {fitted.reached.tolist()} of {fitted.targets.tolist()} tokens", stacklevel=2)
 
     def keep(ids: list, texts: list) -> list[bool]:
         import xxhash
