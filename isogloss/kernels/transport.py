@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
+from . import simplex
+
 METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "euclidean": lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)),
     "sqeuclidean": lambda a, b: ((a[:, None] - b[None]) ** 2).sum(2),
@@ -21,54 +23,32 @@ def ground_costs(a: np.ndarray, b: np.ndarray, metric: str | Callable = "euclide
     return METRICS[metric](np.asarray(a, float), np.asarray(b, float))
 
 
-def flow(p: Sequence[float], q: Sequence[float], cost: np.ndarray) -> np.ndarray:
-    """The cheapest flow from masses p to masses q, by successive shortest paths.
+def optimum(p: Sequence[float], q: Sequence[float], cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cheapest flow from masses p to masses q and its potentials (see simplex.solve).
 
     Masses must be non-negative and have equal sums (within 1e-4 of each other, relative; a smaller rest than that
-    is left where it is); else ValueError.
+    is left where it is, at no cost, as its potentials are at most 0 there); else ValueError.
     """
     p, q, cost = np.array(p, float), np.array(q, float), np.asarray(cost, float)
     if (p < 0).any() or (q < 0).any() or not np.isfinite(cost).all():
         raise ValueError("masses must not be negative, costs must be finite")
-    total = max(p.sum(), q.sum())
-    if abs(p.sum() - q.sum()) > 1e-4 * max(total, 1e-300):
+    rest, total = p.sum() - q.sum(), max(p.sum(), q.sum())
+    if abs(rest) > 1e-4 * max(total, 1e-300):
         raise ValueError("masses have different sums")
     m, n = cost.shape
-    moved = np.zeros((m, n))
-    tiny, slack = 1e-12 * total, 1e-12 * max(1e-300, np.abs(cost).max(initial=0))
-    supply, demand = p.copy(), q.copy()
-    while (supply > tiny).any() and (demand > tiny).any():
-        near = np.where(supply > tiny, 0.0, np.inf)  # cheapest way to each source, then to each sink
-        far, via, back = np.full(n, np.inf), np.full(n, -1), np.full(m, -1)
-        while True:
-            reach = near[:, None] + cost
-            source = reach.argmin(0)
-            far_now = reach[source, np.arange(n)]
-            better = far_now < far - slack
-            if not better.any():
-                break
-            far = np.where(better, far_now, far)
-            via = np.where(better, source, via)
-            undo = np.where(moved > tiny, far[None, :] - cost, np.inf)
-            sink = undo.argmin(1)
-            near_now = undo[np.arange(m), sink]
-            closer = near_now < near - slack
-            near, back = np.where(closer, near_now, near), np.where(closer, sink, back)
-        end = int(np.where(demand > tiny, far, np.inf).argmin())
-        path, j = [], end
-        while True:
-            i = int(via[j])
-            path.append((i, j))
-            if back[i] < 0:
-                break
-            j = int(back[i])
-            path.append((i, j))
-        amount = min(supply[path[-1][0]], demand[end], *[moved[e] for e in path[1::2]])
-        for k, e in enumerate(path):
-            moved[e] += -amount if k % 2 else amount
-        supply[path[-1][0]] -= amount
-        demand[end] -= amount
-    return np.maximum(moved, 0.0)
+    if abs(rest) <= 1e-12 * total:
+        q[-1] = max(0.0, q[-1] + rest)
+        return simplex.solve(p, q, cost)
+    # The rest goes to, or comes from, a place that costs nothing.
+    wide = np.zeros((m + (rest < 0), n + (rest > 0)))
+    wide[:m, :n] = cost
+    moved, u, v = simplex.solve(np.append(p, -rest) if rest < 0 else p, np.append(q, rest) if rest > 0 else q, wide)
+    return moved[:m, :n], u[:m], v[:n]
+
+
+def flow(p: Sequence[float], q: Sequence[float], cost: np.ndarray) -> np.ndarray:
+    """The flow of optimum."""
+    return optimum(p, q, cost)[0]
 
 
 def emd(p: Sequence[float], q: Sequence[float], cost: np.ndarray) -> float:

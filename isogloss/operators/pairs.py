@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ..functions import round_half_even
+from ..functions import ground_distance, round_half_even
 from ..kernels.dtw import normalized_distances
 
 
@@ -34,41 +33,103 @@ def item_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], blocks: i
     return left.join(right, [*keys, "__a", "__b"]).drop("__a", "__b")
 
 
-#: Recordings of one word that a task holds on either side.
-PAIR_ROWS = 256
-
-
-@F.pandas_udf(DoubleType())
-def dtw(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Normalised warping distance of two arrays of frames; null if one is empty or null."""
-
-    none = np.zeros((0, 1))
-
-    def frames(x) -> np.ndarray:
-        return none if x is None or not len(x) else np.stack(x).astype(np.float64)
-
-    return pd.Series(normalized_distances([(frames(x), frames(y)) for x, y in zip(a, b, strict=True)]), dtype="float64")
+#: Recordings of one word, and about how many bytes of their frames, that a block holds; a task has two blocks.
+PAIR_ROWS, PAIR_BYTES = 256, 128 << 20
 
 
 def blocks_for(frames: DataFrame, keys: Sequence[str] = ("model", "layer")) -> int:
-    """Blocks that leave a task about PAIR_ROWS recordings of one word on either side, from the counts of words."""
-    largest = frames.groupBy(*keys, "word").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    return -(-largest // PAIR_ROWS)
+    """Blocks that hold about PAIR_ROWS recordings of one word and PAIR_BYTES at most, from the words' counts and
+    sizes. Frames of a recording have one width."""
+    size = F.coalesce(F.size("frames") * F.size(F.get("frames", F.lit(0))), F.lit(0)).cast("long") * 8
+    words = frames.groupBy(*keys, "word").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    most = words.agg(F.max("n").alias("n"), F.max("bytes").alias("bytes")).first()
+    return max(1, -(-(most["n"] or 1) // PAIR_ROWS), -(-(most["bytes"] or 0) // PAIR_BYTES))
+
+
+def _frames(column: pa.ListArray) -> list[np.ndarray]:
+    """Each row's frames as a matrix; no frames where they are null."""
+    inner = column.flatten()
+    flat, starts = inner.flatten().to_numpy(zero_copy_only=False).astype(np.float64), inner.offsets.to_numpy() if len(inner) else np.zeros(1, np.int64)
+    offsets, base = column.offsets.to_numpy(), column.offsets.to_numpy()[0] if len(column) else 0
+    out = []
+    for a, b, ok in zip(offsets[:-1] - base, offsets[1:] - base, column.is_valid().to_pylist(), strict=True):
+        cut = flat[starts[a] - starts[0] : starts[b] - starts[0]] if ok and b > a else flat[:0]
+        out.append(cut.reshape(b - a, -1) if len(cut) else np.zeros((0, 1)))
+    return out
 
 
 def sequence_distances(frames: DataFrame, keys: Sequence[str] = ("model", "layer"), blocks: int = 1, symmetric: bool = True) -> DataFrame:
-    """keys, a, b, word and distance for all pairs of recordings that share a word, in ordered pairs of villages.
+    """keys, a, b, word and distance for all pairs of recordings that share a word, in ordered pairs of villages;
+    null where a recording has no frames.
 
     frames: keys, village, word, recording, frames. With symmetric each pair of different villages is computed once,
-    village a before b; a village with itself has all its ordered pairs of recordings.
-    """
-    def side(x: str) -> DataFrame:
-        return frames.select(*keys, "word", F.col("village").alias(x), F.col("recording").alias(f"id_{x}"), F.col("frames").alias(f"frames_{x}"))
+    village a before b (a null village is in none); a village with itself has all its ordered pairs of recordings.
 
-    met = item_pairs(side("a"), side("b"), [*keys, "word"], blocks)
-    if symmetric:
-        met = met.filter("a <= b")
-    return met.select(*keys, "a", "b", "word", dtw("frames_a", "frames_b").alias("distance"))
+    Recordings are dealt into blocks by their names, and a group is a word with two blocks: a recording is sent once for
+    each block, `blocks` times, and pairs are made where the groups are, so that none is shuffled or copied.
+    """
+    keys = list(keys)
+    kinds = dict(frames.select(*keys, "village", "word").dtypes)
+    own = frames.select(*keys, "word", "village", "frames", F.pmod(F.xxhash64("recording"), F.lit(blocks)).cast("int").alias("__own"))
+    sent = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.withColumns({"__x": F.least("__own", "__other"), "__y": F.greatest("__own", "__other")}).drop("__other")
+    head = "".join(f"{c} {kinds[c]}, " for c in keys)
+    schema = f"{head}a {kinds['village']}, b {kinds['village']}, word {kinds['word']}, distance double"
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        village, block, x, y = (table.column(c).to_pylist() for c in ("village", "__own", "__x", "__y"))
+        made = _frames(table.column("frames").combine_chunks() if isinstance(table.column("frames"), pa.ChunkedArray) else table.column("frames"))
+        one = range(len(block)) if x[0] == y[0] else [k for k, v in enumerate(block) if v == x[0]]
+        pairs: list[tuple[int, int]] = []  # computed ones
+        given: list[tuple[int, int, int]] = []  # rows: computed pair, a, b
+        for i in one:
+            for j in range(i, len(block)) if x[0] == y[0] else (k for k, v in enumerate(block) if v == y[0]):
+                if symmetric and (village[i] is None or village[j] is None):
+                    continue
+                if not symmetric or village[i] == village[j]:
+                    given += [(len(pairs), i, j)] + [(len(pairs), j, i)] * (i != j)
+                else:
+                    given.append((len(pairs), *((i, j) if village[i] < village[j] else (j, i))))
+                pairs.append((i, j))
+        distance = normalized_distances([(made[i], made[j]) for i, j in pairs])
+        at = np.array(given, np.int64).reshape(-1, 3)
+        first = pa.array(np.zeros(len(at), np.int64))
+        values = distance[at[:, 0]]
+        columns = {c: table.column(c).take(first) for c in keys}
+        columns |= {"a": table.column("village").take(pa.array(at[:, 1])), "b": table.column("village").take(pa.array(at[:, 2])), "word": table.column("word").take(first)}
+        columns["distance"] = pa.array(values, pa.float64(), mask=np.isnan(values))
+        return pa.table(columns)
+
+    return sent.groupBy(*keys, "word", "__x", "__y").applyInArrow(run, schema)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def warping(a: Column, b: Column) -> Column:
+    """Normalised warping distance of two arrays of frames, in DataFrame functions; null without frames.
+
+    A row of g is carried from frame to frame of a, and is made from left to right over the frames of b."""
+    a, b = (x.cast("array<array<double>>") for x in (a, b))
+    none = F.array().cast("array<double>")
+
+    def row(above: Column, x: Column) -> Column:
+        def cells(d: Column) -> Column:
+            def cell(done: Column, j: Column) -> Column:
+                here = F.get(d, j)
+                # Missing neighbours are null, which least passes over.
+                best = F.least(F.get(above, j) + here, F.get(above, j - 1) + 2 * here, F.get(done, j - 1) + here)
+                return F.concat(done, F.array(F.coalesce(best, here)))
+
+            return F.aggregate(F.sequence(F.lit(0), F.size(d) - 1), none, cell)
+
+        return _let(F.transform(b, lambda y: ground_distance(x, y)), cells)
+
+    last = F.element_at(F.aggregate(a, none, row), -1)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), last / (F.size(a) + F.size(b)))
 
 
 def locality_distances(frames: DataFrame, keys: Sequence[str] = ("model", "layer"), digits: int | None = 4, blocks: int = 1, words: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import file_stem, natural_key, path_part, round_half_even, zero_padded
-from ..operators import lookup, select
+from ..operators import lookup, running, select
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,10 +81,9 @@ def value_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand, row_number() OVER (ORDER BY regexp_extract(p_brand, '^(\\D*)', 1), try_cast(regexp_extract(p_brand, '(\\d+)', 1) AS INT)) AS place FROM (SELECT DISTINCT p_brand FROM part)")
 def natural_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
-    return brands.withColumn("place", F.row_number().over(Window.orderBy(*natural_key(F.col("p_brand")))))
+    text, number = natural_key(F.col("p_brand"))
+    brands = table(spark, sf_dir, "part").select("p_brand").distinct().withColumns({"text": text, "number": number})
+    return running.numbered(brands, [], ["text", "number", "p_brand"], "place").select("p_brand", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT event_type, user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS n FROM events) WHERE n = 1")

@@ -8,11 +8,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import contains, file_stem, path_part
+from ..operators.running import running_sums
 
 # Cells of a matrix file without a distance.
 NOT_AVAILABLE = ("", "NA", "N/A", "nan", "NaN", "null", "NULL", "None")
@@ -137,10 +138,10 @@ def _lines(spark: SparkSession, pattern: str) -> DataFrame:
 
 def partition_labels(lines: DataFrame, group: Sequence[str], pos: str = "pos", line: str = "line", blank=None) -> DataFrame:
     """Lines with a label: how many blank lines came before in the group. Blank lines themselves go, so a group
-    without members leaves a gap in the labels; without any blank line all is one cluster."""
+    without members leaves a gap in the labels; without any blank line all is one cluster. A group may have any
+    number of lines; their places differ."""
     blank = F.trim(F.col(line)) == "" if blank is None else blank
-    before = Window.partitionBy(*group).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("__blank", blank).withColumn("label", F.sum(F.col("__blank").cast("int")).over(before).cast("int"))
+    marked = running_sums(lines.withColumn("__blank", blank), group, [pos], {"label": F.col("__blank").cast("int")}).withColumn("label", F.col("label").cast("int"))
     return marked.filter(~F.col("__blank")).drop("__blank")
 
 
