@@ -122,7 +122,7 @@ def anchors(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np.n
         width *= 2
     least = np.minimum(wide[:windows], wide[span - width : span - width + windows])
     place = (least & np.uint64(SEGMENT - 1)).astype(np.int64)
-    text = np.searchsorted(ends, np.arange(windows), side="right")
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:windows]
     inside = np.arange(windows) + length <= ends[np.minimum(text, len(ends) - 1)]
     new = np.ones(windows, bool)
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
@@ -162,6 +162,7 @@ def _segments(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[int
 #: gram has other contexts in the batch; kind 4: an anchor that stands for these.
 _ANCHORS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("gram", "context", "doc", "tag", "lo", "hi", "check"))])
 _STRETCHES = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("doc", "tag", "lo", "hi"))])
+_COMPANY = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("r1", "doc", "tag", "lo", "hi"))])
 _PAIRS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("r1", "r2", "doc", "tag", "lo", "hi", "check"))])
 
 
@@ -202,35 +203,36 @@ class Seen:
 
 def _repeats(keys: tuple[np.ndarray, ...], doc: np.ndarray, lo: np.ndarray, seen: Seen) -> np.ndarray:
     """Whether a row with the same key starts earlier, among these and those that the task has seen."""
-    order = np.lexsort((lo, doc, *keys[::-1]))
+    # Most keys are alone: only the others are sorted by all that counts.
+    joint = mix(keys[0]) ^ mix(keys[1] + keys[2])
+    order = np.argsort(joint)
+    same = joint[order[1:]] == joint[order[:-1]]
+    edge = np.zeros(min(1, len(order)), bool)
+    order = order[np.concatenate([edge, same]) | np.concatenate([same, edge])]
+    order = order[np.lexsort((lo[order], doc[order], *[k[order] for k in keys[::-1]]))]
     d, s = doc[order], lo[order]
     new = np.ones(len(d), bool)
     new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
     head = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
-    out = np.zeros(len(d), bool)
+    out = np.zeros(len(doc), bool)
     out[order] = (d != d[head]) | (s != s[head])
     first = np.flatnonzero(~out)
     out[first] = seen.earlier(tuple(k[first] for k in keys), doc[first], lo[first])
     return out
 
 
-def _ranked(schema: pa.Schema, again: np.ndarray, number: np.ndarray, one: np.ndarray, two: np.ndarray, check: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    """Rows of kind 0 with two ranks, and stretches of kind 1 of those that are repeats already: repeats that follow
+def _ranked(schema: pa.Schema, again: np.ndarray, number: np.ndarray, keys: tuple[np.ndarray, ...], doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Rows of kind 0 with their keys, and stretches of kind 1 of those that are repeats already: repeats that follow
     each other in one text are one stretch. Stretches get ranks of their own, so that they are dealt out evenly."""
     joint = again[1:] & again[:-1] & (number[1:] == number[:-1]) & (lo[1:] == hi[:-1] + 1)
     edge = np.zeros(min(1, len(again)), bool)
     head, tail = np.flatnonzero(again & ~np.concatenate([edge, joint])), np.flatnonzero(again & ~np.concatenate([joint, edge]))
     n, m = int((~again).sum()), len(head)
-    columns = (
-        np.concatenate([np.zeros(n), np.ones(m)]),
-        np.concatenate([one[~again], mix(one[head] + np.arange(m, dtype=np.uint64))]).view(np.int64),
-        np.concatenate([two[~again], two[head]]).view(np.int64),
-        np.concatenate([doc[~again], doc[head]]),
-        np.concatenate([tag[~again], tag[head]]),
-        np.concatenate([lo[~again], lo[head]]),
-        np.concatenate([hi[~again], hi[tail]]),
-        np.concatenate([check[~again], check[head]]).view(np.int64),
-    )
+    one, *further = ([np.concatenate([k[~again], k[head]]) for k in keys])
+    one[n:] = mix(one[n:] + np.arange(m, dtype=np.uint64))
+    two, check = ([k.view(np.int64)] for k in further) if further else ([], [])
+    places = [np.concatenate([doc[~again], doc[head]]), np.concatenate([tag[~again], tag[head]]), np.concatenate([lo[~again], lo[head]]), np.concatenate([hi[~again], hi[tail]])]
+    columns = [np.concatenate([np.zeros(n), np.ones(m)]), one.view(np.int64), *two, *places, *check]
     return _batch(schema, columns)
 
 
@@ -248,7 +250,7 @@ def _anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
                 doc, tag = docs[number], tags[number]
                 lo, hi = first + shift + _shift(tag), last + shift + _shift(tag)
                 again = _repeats((rank, context, check), doc, lo, seen)
-                yield _with_contexts(_ranked(_ANCHORS, again, number, rank, context, check, doc, tag, lo, hi), grams)
+                yield _with_contexts(_ranked(_ANCHORS, again, number, (rank, context, check), doc, tag, lo, hi), grams)
 
     return source.mapInArrow(run, _ddl(_ANCHORS))
 
@@ -258,7 +260,7 @@ def _with_contexts(anchors: pa.RecordBatch, grams: Seen) -> pa.RecordBatch:
     has already sent such a one. The windows of the others are open, and are dealt out evenly."""
     kind, gram, context = (anchors.column(i).to_numpy() for i in range(3))
     own = np.flatnonzero(kind == 0)
-    order = own[np.lexsort((context[own], gram[own]))]
+    order = own[np.argsort(gram[own])]
     new = np.append(True, gram[order[1:]] != gram[order[:-1]]) if len(order) else np.zeros(0, bool)
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(order)))
@@ -372,33 +374,34 @@ def _name(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return mix(mix(one) * np.uint64(0x9E3779B97F4A7C15) + two)
 
 
-def _packed(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First ranks have 32 bits, so that a pair is one number, and pairs sort as numbers do."""
-    return (one >> np.uint64(32) << np.uint64(32)) | (two >> np.uint64(32)), np.zeros_like(two)
+def _packed(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The name of a pair of first ranks: 32 bits of each."""
+    return (one >> np.uint64(32) << np.uint64(32)) | (two >> np.uint64(32))
 
 
-def _made(one: np.ndarray, two: np.ndarray, check: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, last: bool, seen: Seen) -> pa.RecordBatch:
-    """Rows for a round of sorting pairs. In the last one repeats among them are known at once (kind 1). Before, of rows
-    with the same pair one stands for all (kind 2), and the others are known not to be unique (kind 1), as are those with
-    a pair that the task has sent so before."""
+def _made(keys: tuple[np.ndarray, ...], doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, last: bool, seen: Seen) -> pa.RecordBatch:
+    """Rows for a round of sorting. In the last one repeats among them are known at once (kind 1). Before, of rows with
+    the same name one stands for all (kind 2), and the others are known not to be unique (kind 1), as are those with a
+    name that the task has sent so before."""
     number = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))[: len(lo)]
     if last:
-        return _ranked(_PAIRS, _repeats((one, two, check), doc, lo, seen), number, one, two, check, doc, tag, lo, lo)
-    order = np.lexsort((two, one))
-    new = np.append(True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]))[: len(lo)]
+        return _ranked(_PAIRS, _repeats(keys, doc, lo, seen), number, keys, doc, tag, lo, lo)
+    (name,) = keys
+    order = np.argsort(name)
+    new = np.append(True, name[order[1:]] != name[order[:-1]])[: len(lo)]
     head = np.flatnonzero(new)
     known, company = np.zeros(len(lo), bool), np.zeros(len(lo), bool)
     known[order[~new]] = True
     company[order[head[np.diff(np.append(head, len(lo))) > 1]]] = True
-    first = order[new]
-    at, met = seen.slot((one[first], two[first], check[first]))
-    sent = first[~met & company[first]]
-    seen.put(at[~met & company[first]], (one[sent], two[sent], check[sent]), doc[sent], lo[sent])
+    first, none = order[new], np.zeros(len(head), np.uint64)
+    at, met = seen.slot((name[first], none, none))
+    some = ~met & company[first]
+    seen.put(at[some], (name[first[some]], none[some], none[some]), doc[first[some]], lo[first[some]])
     known[first[met]] = True
-    rows = _ranked(_PAIRS, known, number, one, two, check, doc, tag, lo, lo)
+    rows = _ranked(_COMPANY, known, number, keys, doc, tag, lo, lo)
     kind = rows.column(0).to_numpy().copy()
     kind[: int((~known).sum())] = np.where(company[~known], 2, 0)
-    return rows.set_column(0, _PAIRS.field(0), pa.array(kind))
+    return rows.set_column(0, _COMPANY.field(0), pa.array(kind))
 
 
 def _ranks(data: bytes, start: int, steps: list[int]) -> np.ndarray:
@@ -407,7 +410,7 @@ def _ranks(data: bytes, start: int, steps: list[int]) -> np.ndarray:
     rank = prints.of(p, p + start)
     for k, step in enumerate(steps):
         one, two = rank[: len(rank) - step], rank[step:]
-        rank = _name(*(_packed(one, two) if not k else (one, two)))
+        rank = mix(_packed(one, two)) if not k else _name(one, two)
     return rank
 
 
@@ -430,11 +433,9 @@ def _pairs(texts: DataFrame, start: int, steps: list[int], step: int, beyond: in
 
             def made(parts: list) -> pa.RecordBatch:
                 number, p, one, two, *digest = (np.concatenate(c) for c in zip(*parts, strict=True))
-                if last:  # the name of the pair, and the bytes' digest
-                    return _made(_name(one, two), *digest, docs[number], tags[number], p, last, seen)
-                if not steps:
-                    one, two = _packed(one, two)
-                return _made(one, two, np.zeros_like(one), docs[number], tags[number], p, last, seen)
+                # In the last round the name of the pair and the bytes' digest, else the name that the pair gets.
+                keys = (_name(one, two), *digest) if last else (_name(one, two) if steps else _packed(one, two),)
+                return _made(keys, docs[number], tags[number], p, last, seen)
 
             for k, (text, (lo, hi)) in enumerate(zip(batch.column(2).to_pylist(), _ends(batch.column(3)), strict=True)):
                 shift = int(_shift(tags[k]))
@@ -452,11 +453,7 @@ def _pairs(texts: DataFrame, start: int, steps: list[int], step: int, beyond: in
             if parts:
                 yield made(parts)
 
-    return texts.select("doc", "tag", "text", "stretches").mapInArrow(run, _ddl(_PAIRS))
-
-
-def _sorted(pairs: DataFrame) -> DataFrame:
-    return pairs.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "check", "doc", "lo")
+    return texts.select("doc", "tag", "text", "stretches").mapInArrow(run, _ddl(_PAIRS if last else _COMPANY))
 
 
 def _later(pairs: DataFrame) -> DataFrame:
@@ -484,37 +481,35 @@ def _later(pairs: DataFrame) -> DataFrame:
             known[:, 0] = 1
             yield _batch(_STRETCHES, known[:, [0, 3, 4, 5, 6]].T)
 
-    return _sorted(pairs).mapInArrow(run, _ddl(_STRETCHES))
+    return pairs.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "check", "doc", "lo").mapInArrow(run, _ddl(_STRETCHES))
 
 
 def _in_company(pairs: DataFrame) -> DataFrame:
-    """Sorted pairs to the positions (stretches of kind 1) whose new rank, the pair's name, isn't unique. Only the last
-    row of a batch is kept for the next."""
+    """Sorted names to the positions (stretches of kind 1) whose name isn't unique. Only the last row of a batch is kept
+    for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 8), np.int64)  # the first row of the last pair, if it may be unique
-        last: tuple[int, int] | None = None  # the last pair, if its rows are known not to be unique
+        held = np.zeros((0, 6), np.int64)  # the first row of the last name, if it may be unique
+        last: int | None = None  # the last name, if its rows are known not to be unique
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(8)])
+            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6)])
             out = table[table[:, 0] == 1]
             table = np.vstack([held, table[table[:, 0] != 1]])
             if len(table):
-                new = np.ones(len(table), bool)
-                new[1:] = (table[1:, 1:3] != table[:-1, 1:3]).any(1)
-                head = np.flatnonzero(new)
+                head = np.flatnonzero(np.append(True, table[1:, 1] != table[:-1, 1]))
                 count = np.diff(np.append(head, len(table)))
                 several = (count > 1) | (np.maximum.reduceat(table[:, 0], head) == 2)
-                if last is not None and (int(table[0, 1]), int(table[0, 2])) == last:
+                if last is not None and int(table[0, 1]) == last:
                     several[0] = True
                 out = np.vstack([out, table[np.repeat(several, count)]])
                 held = table[:0] if several[-1] else table[head[-1] :]
-                last = (int(table[-1, 1]), int(table[-1, 2])) if several[-1] else None
+                last = int(table[-1, 1]) if several[-1] else None
             out[:, 0] = 1
-            yield _batch(_STRETCHES, out[:, [0, 3, 4, 5, 6]].T)
+            yield _batch(_STRETCHES, out[:, [0, 2, 3, 4, 5]].T)
 
-    return _sorted(pairs).mapInArrow(run, _ddl(_STRETCHES))
+    return pairs.repartition("r1").sortWithinPartitions("r1").mapInArrow(run, _ddl(_STRETCHES))
 
 
 def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = GRAM, start: int = START, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -531,9 +526,7 @@ def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = GRAM, sta
         steps, reached = [*steps, step], reached + step
         if reached == length:
             break
-        alike = written(_in_company(pairs), "ranks")
-        open_windows = written(_stretches_of(alike.select("doc", "tag", "lo", "hi")), "open")
-        discard(alike)
+        open_windows = written(_stretches_of(_in_company(pairs).select("doc", "tag", "lo", "hi")), "open")
         done.append(open_windows)
     found = sorted_anchors.filter("kind = 1").unionByName(_later(pairs))
     out = written(_stretches_of(found.select("doc", "tag", "lo", "hi")), "stretches")
