@@ -158,12 +158,14 @@ def _segments(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[int
         yield made()
 
 
+#: A stretch is one number, its first place with how much further its last one is in the low bits.
+FAR = PLACE + 1
 #: kind 0: an anchor; kind 1: a stretch of repeated windows already known from the same batch; kind 2: an open one, whose
 #: gram has other contexts in the batch; kind 4: an anchor that stands for these.
-_ANCHORS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("gram", "context", "doc", "tag", "lo", "hi", "check"))])
-_STRETCHES = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("doc", "tag", "lo", "hi"))])
-_COMPANY = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("r1", "doc", "tag", "lo", "hi"))])
-_PAIRS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("r1", "r2", "doc", "tag", "lo", "hi", "check"))])
+_ANCHORS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("gram", "context", "doc", "tag", "at", "check"))])
+_STRETCHES = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("doc", "tag", "at"))])
+_COMPANY = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("r1", "doc", "tag", "at"))])
+_PAIRS = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("r1", "r2", "doc", "tag", "at", "check"))])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -231,7 +233,8 @@ def _ranked(schema: pa.Schema, again: np.ndarray, number: np.ndarray, keys: tupl
     one, *further = ([np.concatenate([k[~again], k[head]]) for k in keys])
     one[n:] = mix(one[n:] + np.arange(m, dtype=np.uint64))
     two, check = ([k.view(np.int64)] for k in further) if further else ([], [])
-    places = [np.concatenate([doc[~again], doc[head]]), np.concatenate([tag[~again], tag[head]]), np.concatenate([lo[~again], lo[head]]), np.concatenate([hi[~again], hi[tail]])]
+    first, last = np.concatenate([lo[~again], lo[head]]), np.concatenate([hi[~again], hi[tail]])
+    places = [np.concatenate([doc[~again], doc[head]]), np.concatenate([tag[~again], tag[head]]), first << FAR | (last - first)]
     columns = [np.concatenate([np.zeros(n), np.ones(m)]), one.view(np.int64), *two, *places, *check]
     return _batch(schema, columns)
 
@@ -278,7 +281,7 @@ def _with_contexts(anchors: pa.RecordBatch, grams: Seen) -> pa.RecordBatch:
     grams.put(at[sent], tuple(k[sent] for k in keys), np.zeros(len(sent), np.int64), np.zeros(len(sent), np.int64))
     rest = np.concatenate([rest, lone[told]])
     gram[rest] = mix(context[rest].view(np.uint64) + np.arange(len(rest), dtype=np.uint64)).view(np.int64)
-    return _batch(_ANCHORS, (kind, gram, context, *(anchors.column(i).to_numpy() for i in range(3, 8))))
+    return _batch(_ANCHORS, (kind, gram, context, *(anchors.column(i).to_numpy() for i in range(3, 7))))
 
 
 def _rerank_anchors(rows: DataFrame) -> DataFrame:
@@ -291,27 +294,27 @@ def _rerank_anchors(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(8)])
+            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])
             passed = (table[:, 0] == 1) | (table[:, 0] == 2)
-            out = [table[passed][:, [0, 3, 4, 5, 6]]]
+            out = [table[passed][:, [0, 3, 4, 5]]]
             table = table[~passed]
             if len(table):
                 if held is not None:
                     table = np.vstack([held, table])
-                gram, context, check = table[:, 1], table[:, 2], table[:, 7]
+                gram, context, check = table[:, 1], table[:, 2], table[:, 6]
                 new = np.ones(len(table), bool)
                 new[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]) | (check[1:] != check[:-1])
                 head = np.flatnonzero(new)
                 at = head[np.cumsum(new) - 1]
-                again = ~new & ((table[:, 3] != table[at, 3]) | (table[:, 5] != table[at, 5]))
-                repeated = table[again][:, [0, 3, 4, 5, 6]]
+                again = ~new & ((table[:, 3] != table[at, 3]) | (table[:, 5] >> FAR != table[at, 5] >> FAR))
+                repeated = table[again][:, [0, 3, 4, 5]]
                 repeated[:, 0] = 1
                 same = gram[head[1:]] == gram[head[:-1]]
                 several = np.append(False, same) | np.append(same, False) | (np.maximum.reduceat(table[:, 0], head) == 4)
                 if held is not None and given:
                     several[0] = False
                 # The last context's first waits, unless it is known to be one of several.
-                first = table[head[several]][:, [0, 3, 4, 5, 6]]
+                first = table[head[several]][:, [0, 3, 4, 5]]
                 first[:, 0] = 2
                 out += [repeated, first]
                 given = bool(several[-1]) or (held is not None and given and len(head) == 1)
@@ -319,7 +322,7 @@ def _rerank_anchors(rows: DataFrame) -> DataFrame:
             yield _batch(_STRETCHES, np.vstack(out).T)
 
     # Known stretches come with keys of their own and are only passed on.
-    return rows.repartition("gram").sortWithinPartitions("gram", "context", "check", "doc", "lo").mapInArrow(run, _ddl(_STRETCHES))
+    return rows.repartition("gram").sortWithinPartitions("gram", "context", "check", "doc", "at").mapInArrow(run, _ddl(_STRETCHES))
 
 
 def _with_texts(source: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -330,15 +333,19 @@ def _with_texts(source: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 def _stretches_of(rows: DataFrame) -> DataFrame:
     """For each text its stretches, at most as many as it has bytes, merged where they touch."""
-    grouped = rows.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("stretches"))
+    grouped = rows.groupBy("doc", "tag").agg(F.collect_list("at").alias("at"))
     schema = "doc long, tag long, stretches array<struct<lo:long,hi:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = list(_ends(batch.column(2)))
-            offsets = np.cumsum([0, *[len(lo) for lo, _ in ends]]).astype(np.int32)
+            flat, offsets = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
+            ends = []
+            for a, b in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], strict=True):
+                at = np.sort(flat[a:b])
+                ends.append(_merged(at >> FAR, (at >> FAR) + (at & ((1 << FAR) - 1))))
+            bounds = np.cumsum([0, *[len(lo) for lo, _ in ends]]).astype(np.int32)
             pairs = [pa.array(np.concatenate([e[i] for e in ends] or [np.zeros(0)]).astype(np.int64)) for i in (0, 1)]
-            merged = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(pairs, ["lo", "hi"]))
+            merged = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(pairs, ["lo", "hi"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), merged], ["doc", "tag", "stretches"])
 
     return grouped.mapInArrow(run, schema)
@@ -465,23 +472,23 @@ def _later(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(8)])
+            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])
             known = table[table[:, 0] == 1]
             table = table[table[:, 0] == 0]
             if len(table):
                 if held is not None:
                     table = np.vstack([held, table])
                 new = np.ones(len(table), bool)
-                new[1:] = (table[1:, [1, 2, 7]] != table[:-1, [1, 2, 7]]).any(1)
+                new[1:] = (table[1:, [1, 2, 6]] != table[:-1, [1, 2, 6]]).any(1)
                 head = np.flatnonzero(new)
                 at = head[np.cumsum(new) - 1]
-                again = ~new & ((table[:, 3] != table[at, 3]) | (table[:, 5] != table[at, 5]))
+                again = ~new & ((table[:, 3] != table[at, 3]) | (table[:, 5] >> FAR != table[at, 5] >> FAR))
                 held = table[head[-1] : head[-1] + 1]
                 known = np.vstack([known, table[again]])
             known[:, 0] = 1
-            yield _batch(_STRETCHES, known[:, [0, 3, 4, 5, 6]].T)
+            yield _batch(_STRETCHES, known[:, [0, 3, 4, 5]].T)
 
-    return pairs.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "check", "doc", "lo").mapInArrow(run, _ddl(_STRETCHES))
+    return pairs.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "check", "doc", "at").mapInArrow(run, _ddl(_STRETCHES))
 
 
 def _in_company(pairs: DataFrame) -> DataFrame:
@@ -489,12 +496,12 @@ def _in_company(pairs: DataFrame) -> DataFrame:
     for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 6), np.int64)  # the first row of the last name, if it may be unique
+        held = np.zeros((0, 5), np.int64)  # the first row of the last name, if it may be unique
         last: int | None = None  # the last name, if its rows are known not to be unique
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6)])
+            table = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)])
             out = table[table[:, 0] == 1]
             table = np.vstack([held, table[table[:, 0] != 1]])
             if len(table):
@@ -507,7 +514,7 @@ def _in_company(pairs: DataFrame) -> DataFrame:
                 held = table[:0] if several[-1] else table[head[-1] :]
                 last = int(table[-1, 1]) if several[-1] else None
             out[:, 0] = 1
-            yield _batch(_STRETCHES, out[:, [0, 2, 3, 4, 5]].T)
+            yield _batch(_STRETCHES, out[:, [0, 2, 3, 4]].T)
 
     return pairs.repartition("r1").sortWithinPartitions("r1").mapInArrow(run, _ddl(_STRETCHES))
 
@@ -517,7 +524,7 @@ def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = GRAM, sta
     doc, or at a smaller offset of the same doc)."""
     source = _source(docs, id_col, text_col)
     sorted_anchors = written(_rerank_anchors(_anchor_rows(source, length, gram)), "anchors")
-    open_windows = written(_stretches_of(sorted_anchors.filter("kind = 2").select("doc", "tag", "lo", "hi")), "open")
+    open_windows = written(_stretches_of(sorted_anchors.filter("kind = 2").select("doc", "tag", "at")), "open")
     done = [sorted_anchors, open_windows]
     steps, reached, beyond = [], start, max(0, length - 2 * start)
     while True:
@@ -526,10 +533,10 @@ def repeated_stretches(docs: DataFrame, length: int = 100, gram: int = GRAM, sta
         steps, reached = [*steps, step], reached + step
         if reached == length:
             break
-        open_windows = written(_stretches_of(_in_company(pairs).select("doc", "tag", "lo", "hi")), "open")
+        open_windows = written(_stretches_of(_in_company(pairs).select("doc", "tag", "at")), "open")
         done.append(open_windows)
     found = sorted_anchors.filter("kind = 1").unionByName(_later(pairs))
-    out = written(_stretches_of(found.select("doc", "tag", "lo", "hi")), "stretches")
+    out = written(_stretches_of(found.select("doc", "tag", "at")), "stretches")
     for table in done:
         discard(table)
     return out
