@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..session import written
 from .arrow_text import bounded_batches
 
-#: Rows that the tree is fitted on, at most; rows that a leaf should have; children of a node; leaves, at most.
+#: Rows that the tree is fitted on, about; rows that a leaf should have; children of a node; parts that the sample is to be
+#: divided into at most, on average (k-means leaves are uneven, so that there may be a few times as many leaves).
 SAMPLE, LEAF_ROWS, BRANCH, LEAVES = 16_384, 32, 8, 1024
 #: Recall that calibration asks for on the sample, and the sample's queries that measure it.
 RECALL, CALIBRATION = 0.95, 400
@@ -153,7 +154,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
 
     Rows that are not usable (see usable()) take no part; a repeated row counts once; fewer candidates than k are
     all returned; an empty table gives an empty result; other columns are not read. Equal vectors are indexed once,
-    with the k + 1 smallest of their ids, which are all that any query can need. The tree (at most LEAVES leaves),
+    with the k + 1 smallest of their ids, which are all that any query can need. The tree,
     its sample and the leaves' sizes come to the driver; rows and queries do not.
     """
     spark = vectors.sparkSession
