@@ -4,6 +4,7 @@ vec_id % 4 the predicted cluster, label % 4 the gold one."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ground_distance, round_half_even
 from ..kernels.linkage import METHODS
-from ..operators import clustering, evaluate, matrix, pairs, running, select, spanning
-from ..session import written
-from ..sources import writers
+from ..operators import ancestry, clustering, evaluate, matrix, pairs, running, select, spanning
+from ..session import shared_folder, written
+from ..sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,6 +161,26 @@ def dif_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.dif_lines(cells, names).select("kind", "i", "j", F.col("line").cast("double").alias("value"))
 
 
+@query(f"WITH RECURSIVE {DIST_SQL} SELECT row_loc::VARCHAR AS row_loc, col_loc::VARCHAR AS col_loc, round_even(dist, 7) AS dist FROM dist WHERE row_loc > col_loc")
+def dif_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangular matrix file of each model and layer, written in one job and read in splits."""
+    names = labels(spark, sf_dir).withColumn("locality", F.col("locality").cast("string"))
+    cells = distances(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("row_loc", "col_loc")})
+    folder = f"{shared_folder(spark).rstrip('/')}/isogloss-dif-{uuid.uuid4().hex}"
+    writers.dif(cells, names, folder, KEYS)
+    return readers.dif(spark, folder).select("row_loc", "col_loc", "dist")
+
+
+@query(f"WITH {FRAMES_SQL} SELECT village::VARCHAR AS village_key, word::VARCHAR AS word, len(frames) AS n_frames, round_even(list_sum(list_transform(frames, lambda f, i: i * list_sum(list_transform(f, lambda x, j: j * x)))), 4) AS content FROM frames")
+def npy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames through files that tasks write, one for each recording; content weighs each number by its place."""
+    folder = f"{shared_folder(spark).rstrip('/')}/isogloss-npy-{uuid.uuid4().hex}"
+    writers.npy_features(frames(spark, sf_dir), folder)
+    weighed = F.transform("frames", lambda f, i: (i + 1) * F.aggregate(F.transform(f, lambda x, j: (j + 1) * x.cast("double")), F.lit(0.0), lambda s, v: s + v))
+    total = F.aggregate(weighed, F.lit(0.0), lambda s, v: s + v)
+    return readers.npy_features(spark, f"{folder}/*/*/*").select("village_key", "word", F.size("frames").cast("long").alias("n_frames"), round_half_even(total, 4).alias("content"))
+
+
 @query(f"WITH RECURSIVE {DIST_SQL} SELECT row_loc, col_loc, CASE WHEN row_loc = col_loc THEN 0 ELSE dist END AS dist FROM dist")
 def full_from_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = matrix.lower_triangle(distances(spark, sf_dir), labels(spark, sf_dir))
@@ -240,6 +261,16 @@ def cophenetic_sl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_loc", "col_loc", round_half_even(F.col("coph"), 6).alias("coph"))
 
 
+@query(f"WITH RECURSIVE {merge_sql(METHODS)} SELECT method, x::VARCHAR AS row_loc, y::VARCHAR AS col_loc, round_even(h, 6) AS coph FROM coph UNION ALL SELECT DISTINCT method, village::VARCHAR, village::VARCHAR, 0.0::DOUBLE FROM clusters")
+def cophenetic_by_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven methods' cophenetic distances, from merges and the pairs that are asked for."""
+    merges = written(clustering.merge_rows(clustered(spark, sf_dir)), "merges")
+    names = labels(spark, sf_dir).select(F.col("locality").cast("string").alias("locality"))
+    asked = matrix.scaffold(merges.select(*KEYS, "method", F.col("a").alias("row_loc"), F.col("b").alias("col_loc")), names, [*KEYS, "method"])
+    rows = ancestry.cophenetic_heights(asked, merges, [*KEYS, "method"])
+    return rows.select("method", "row_loc", "col_loc", round_half_even(F.col("coph"), 6).alias("coph"))
+
+
 @query(f"""WITH RECURSIVE {MINIMAX_SQL},
 tree AS (SELECT d, row_number() OVER (ORDER BY d) AS n FROM nine JOIN coph USING (x, y) WHERE x < y AND d = h),
 villages AS (SELECT DISTINCT label AS l FROM embeddings),

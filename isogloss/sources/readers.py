@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import contains, file_stem, path_part
 from ..operators.running import running_sums
+from ..session import written
 
 # Cells of a matrix file without a distance.
 NOT_AVAILABLE = ("", "NA", "N/A", "nan", "NaN", "null", "NULL", "None")
@@ -151,13 +152,30 @@ def partitions(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def dif(spark: SparkSession, pattern: str) -> DataFrame:
-    """path, row_loc, col_loc, dist (row after column in the file's order) of triangular matrix files."""
-    lines = _lines(spark, pattern).filter(F.trim("line") != "")
-    files = lines.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("l")).withColumn("n", F.col("l")[0].cast("int"))
-    cells = files.select("path", "l", "n", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i")).filter("i >= 1")
-    cells = cells.select("path", "l", "n", "i", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("j"))
-    at = F.col("n") + 1 + (F.col("i") * (F.col("i") - 1) / 2).cast("int") + F.col("j")
-    return cells.select("path", F.col("l")[F.col("i") + 1].alias("row_loc"), F.col("l")[F.col("j") + 1].alias("col_loc"), _number(F.col("l")[at]).alias("dist"))
+    """path, row_loc, col_loc, dist (row after column in the file's order) of triangular matrix files: the number of
+    labels, the labels, then the strict lower triangle row by row; blank lines don't count. A file that has more or fewer
+    lines than its number asks for is an error; one without lines has no cells.
+
+    Files are read in splits, lines are numbered by running sums, and a line's number gives its row and column, so that
+    no task has to hold a file.
+    """
+    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    # A split is read by one task from its start on, so ids are in the order of its lines.
+    at = running_sums(lines.filter(F.trim("line") != ""), ["path"], ["block", "id"], {"at": F.lit(1).cast("long")}).select("path", "line", (F.col("at") - 1).alias("at"))
+    n = F.max(F.when(F.col("at") == 0, F.trim("line").try_cast("long")))
+    heads = at.groupBy("path").agg(n.alias("n"), F.count("*").alias("lines"))
+    wrong = F.raise_error(F.concat(F.lit("not as many lines as a matrix of its size has: "), F.col("path"))).cast("long")
+    heads = written(heads.select("path", F.when(F.col("lines") == 1 + F.col("n") + F.col("n") * (F.col("n") - 1) / 2, F.col("n")).otherwise(wrong).alias("n")), "heads")
+    # A row a file, broadcast once counted.
+    sized = at.join(F.broadcast(heads) if heads.count() <= 500_000 else heads, "path")
+    k = F.col("at") - F.col("n") - 1
+    cells = sized.filter("at > n").withColumn("k", k).withColumn("i", F.floor((1 + F.sqrt(1.0 + 8 * F.col("k"))) / 2))
+    # The root of a large number may be off by one.
+    first = F.expr("i * (i - 1) div 2")
+    cells = cells.withColumn("i", F.when(first > F.col("k"), F.col("i") - 1).when(first + F.col("i") <= F.col("k"), F.col("i") + 1).otherwise(F.col("i"))).withColumn("j", F.col("k") - first)
+    names = sized.filter("at between 1 and n").select("path", (F.col("at") - 1).alias("i"), F.col("line").alias("name"))
+    rows, columns = names.withColumnRenamed("name", "row_loc"), names.select("path", F.col("i").alias("j"), F.col("name").alias("col_loc"))
+    return cells.join(rows, ["path", "i"]).join(columns, ["path", "j"]).select("path", "row_loc", "col_loc", _number(F.col("line")).alias("dist"))
 
 
 def file_metadata(paths: DataFrame, path: str = "path") -> DataFrame:

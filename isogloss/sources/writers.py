@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import natural_key, round_half_even, zero_padded
 from ..operators.matrix import lower_triangle, wide
+from .files import write_files
 
 
 def features(frames: DataFrame, folder: str) -> None:
@@ -21,8 +22,8 @@ def features(frames: DataFrame, folder: str) -> None:
 
 def npy_features(frames: DataFrame, folder: str) -> None:
     """Frames as `<model>/layer-<l>/<recording>/layer-<ll>.npy` files below a folder, for programs that read those; what
-    was there is overwritten. Tasks make the files' bytes and the driver writes them through Hadoop's file systems, one
-    partition at a time, so that any store works; features() is the way for large sets."""
+    was there is overwritten. Tasks write the files and their commit moves them into place; features() is the way for
+    large sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -35,18 +36,19 @@ def npy_features(frames: DataFrame, folder: str) -> None:
 
     layer = F.col("layer").cast("string")
     path = F.concat_ws("/", "model", F.concat(F.lit("layer-"), layer), "recording", F.concat(F.lit("layer-"), zero_padded(layer, 2), F.lit(".npy")))
-    spark = frames.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for row in frames.select(path.alias("path"), "frames").mapInPandas(run, "path string, content binary").toLocalIterator():
-        target = hadoop.Path(f"{folder.rstrip('/')}/{row.path}")
-        stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-        stream.write(bytearray(row.content))
-        stream.close()
+    write_files(frames.select(path.alias("path"), "frames").mapInPandas(run, "path string, content binary"), folder)
 
 
-def matrix_csv(cells: DataFrame, labels: Sequence[str], folder: str) -> None:
-    """One matrix as CSV with a header and row labels, rows and columns in the labels' order."""
-    wide(cells, labels).coalesce(1).sortWithinPartitions("row_loc").write.mode("overwrite").option("header", True).csv(folder)
+def _parted(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Sorted rows of one file, or of a file for each group `by`."""
+    rows = rows.repartition(*by) if by else rows.coalesce(1)
+    return rows.sortWithinPartitions(*by, *order)
+
+
+def matrix_csv(cells: DataFrame, labels: Sequence[str], folder: str, by: Sequence[str] = ()) -> None:
+    """A matrix as CSV with a header and row labels, columns in the labels' order. by: a matrix for each group, all in one
+    job, each in its own folder `<name>=<value>/...`."""
+    _parted(wide(cells, labels, by), by, ["row_loc"]).write.mode("overwrite").partitionBy(*by).option("header", True).csv(folder)
 
 
 def dif_lines(cells: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -66,9 +68,11 @@ def dif_lines(cells: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> Da
     return head.unionByName(names).unionByName(values)
 
 
-def dif(cells: DataFrame, labels: DataFrame, folder: str) -> None:
-    """One matrix as a triangular matrix file (one part)."""
-    dif_lines(cells, labels).coalesce(1).sortWithinPartitions("kind", "i", "j").select("line").write.mode("overwrite").text(folder)
+def dif(cells: DataFrame, labels: DataFrame, folder: str, by: Sequence[str] = ()) -> None:
+    """A matrix as a triangular matrix file (one part). by: a file for each group, all in one job, each in its own folder
+    `<name>=<value>/...`."""
+    rows = _parted(dif_lines(cells, labels, by), by, ["kind", "i", "j"])
+    rows.select(*by, "line").write.mode("overwrite").partitionBy(*by).text(folder)
 
 
 def cophenetic_tab(cells: DataFrame, labels: Sequence[str], folder: str) -> None:

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from isogloss.kernels import dtw, linkage, simplex, transport
-from isogloss.operators import evaluate, pairs, running, spanning
+from isogloss.operators import ancestry, evaluate, pairs, running, spanning
+from isogloss.sources import files, readers, writers
 
 
 @pytest.mark.parametrize("kind", ["random", "equal masses", "small whole costs", "empty masses"])
@@ -172,3 +173,95 @@ def test_spanning_trees_give_single_linkage(spark):
     tree = spanning.spanning_edges(df, ["model"])
     assert sorted(map(tuple, spanning.single_linkage(tree, ["model"]).collect())) == want
     assert spanning.spanning_edges(df.filter("false"), ["model"]).count() == 0
+
+
+@pytest.mark.parametrize("method", linkage.METHODS)
+def test_ancestors_give_cophenetic_distances(spark, method):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for m, n in (("p", 2), ("q", 3), ("r", 17), ("chain", 40)):
+        x = np.cumsum(np.arange(n) * 1.0)[:, None] if m == "chain" else rng.normal(size=(n, 2))
+        tree = linkage.merges(np.sqrt(((x[:, None] - x) ** 2).sum(2)), method)
+        names = [f"n{k:03}" for k in range(n)]
+        rows += [(m, s, names[a], names[b], h, k) for s, (a, b, h, k) in enumerate(tree)]
+        coph = linkage.cophenetic(n, tree)
+        want |= {(m, names[i], names[j]): coph[i, j] for i in range(n) for j in range(n)}
+    merges = spark.createDataFrame(rows, "model string, step int, a string, b string, height double, size int").repartition(3)
+    asked = spark.createDataFrame([(*k, 7) for k in want] + [("q", "n000", "nobody", 7), ("none", "n000", "n001", 7)], "model string, row_loc string, col_loc string, digit_of_theirs int")
+    got = {(r.model, r.row_loc, r.col_loc): r.coph for r in ancestry.cophenetic_heights(asked, merges, ["model"]).collect()}
+    assert got.pop(("q", "n000", "nobody")) is None and got.pop(("none", "n000", "n001")) is None
+    assert got == pytest.approx(want)
+    places = [(r.model, r.pos) for r in ancestry.leaf_positions(merges, ["model"]).collect()]
+    assert sorted(places) == sorted((m, k) for m, n in (("p", 2), ("q", 3), ("r", 17), ("chain", 40)) for k in range(n))
+    plan = ancestry.cophenetic_heights(asked, merges, ["model"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+
+
+def test_ancestors_of_no_trees(spark):
+    merges = spark.createDataFrame([], "model string, step int, a string, b string, height double, size int")
+    asked = spark.createDataFrame([("m", "a", "b")], "model string, row_loc string, col_loc string")
+    assert ancestry.cophenetic_heights(asked, merges, ["model"]).first().coph is None
+    assert ancestry.leaf_positions(merges, ["model"]).count() == 0
+
+
+def triangle(names, rng):
+    cells = [round(float(v), 3) for v in rng.random(len(names) * (len(names) - 1) // 2)]
+    pairs = [(names[i], names[j]) for i in range(len(names)) for j in range(i)]
+    return [str(len(names)), *names, *map(str, cells)], dict(zip(pairs, cells, strict=True))
+
+
+def test_triangular_files_are_read_in_splits(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    long, want = triangle([f"place {k}" for k in range(150)], rng)
+    (tmp_path / "a.dif").write_text("\r\n".join(long))
+    small, other = triangle(["x", "y", "z"], rng)
+    (tmp_path / "b.dif").write_text("\n\n".join(small) + "\n")
+    (tmp_path / "c.dif").write_text("1\nalone\n")
+    (tmp_path / "d.dif").write_text("")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        assert spark.read.text(str(tmp_path / "a.dif")).rdd.getNumPartitions() > 20
+        rows = readers.dif(spark, str(tmp_path / "*.dif")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name, cells in (("a", want), ("b", other), ("c", {}), ("d", {})):
+        own = [r for r in rows if r.path.endswith(f"{name}.dif")]
+        assert {(r.row_loc, r.col_loc): r.dist for r in own} == cells and len(own) == len(cells)
+
+
+@pytest.mark.parametrize("text", ["3\na\nb\nc\n1\n2", "3\na\nb\nc\n1\n2\n3\n4", "many\na", "2\na"])
+def test_triangular_files_of_wrong_length(spark, tmp_path, text):
+    (tmp_path / "x.dif").write_text(text)
+    with pytest.raises(Exception, match="not as many lines"):
+        readers.dif(spark, str(tmp_path / "x.dif")).collect()
+
+
+def test_many_matrices_in_one_write(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    names = ["a", "b", "c", "d"]
+    cells = [(m, n, x, y, round(float(rng.random()), 3)) for m in "pq" for n in (1, 2, 10) for x in names for y in names]
+    df = spark.createDataFrame(cells, "model string, layer int, row_loc string, col_loc string, dist double").repartition(5)
+    ords = spark.createDataFrame([(x, k) for k, x in enumerate(names)], "locality string, ord int")
+    writers.dif(df, ords, str(tmp_path / "dif"), ["model", "layer"])
+    writers.matrix_csv(df, names, str(tmp_path / "csv"), ["model", "layer"])
+    for kind, suffix in (("dif", "txt"), ("csv", "csv")):
+        assert len(list((tmp_path / kind).glob(f"model=*/layer=*/part-*.{suffix}"))) == 6
+    back = {(*r.path.split("/")[-3:-1], r.row_loc, r.col_loc): r.dist for r in readers.dif(spark, str(tmp_path / "dif")).collect()}
+    assert back == {(f"model={m}", f"layer={n}", x, y): d for m, n, x, y, d in cells if x > y}
+    one = readers.matrix_csv(spark, str(tmp_path / "csv" / "model=q" / "layer=10"))
+    assert {(r.row_loc, r.col_loc): r.dist for r in one.collect()} == {(x, y): d for m, n, x, y, d in cells if (m, n) == ("q", 10)}
+
+
+def test_tasks_write_files(spark, tmp_path):
+    made = spark.createDataFrame([(f"d{k % 3}/f{k}.bin", bytes([k] * k)) for k in range(20)], "path string, content binary").repartition(6)
+    files.write_files(made, str(tmp_path))
+    files.write_files(made.filter("path like 'd1/%'").withColumn("content", F.lit(b"new")), f"file://{tmp_path}/")
+    found = {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file() and p.suffix == ".bin"}
+    assert found == {f"d{k % 3}/f{k}.bin": b"new" if k % 3 == 1 else bytes([k] * k) for k in range(20)}
+    assert not [p for p in tmp_path.rglob("_temporary*")]
+    with pytest.raises(Exception, match="not below the folder"):
+        files.write_files(made.withColumn("path", F.when(F.col("path") == "d2/f5.bin", "../out.bin").otherwise(F.concat(F.lit("bad/"), "path"))), str(tmp_path))
+    assert not (tmp_path / "bad").exists() and not (tmp_path.parent / "out.bin").exists()
