@@ -264,9 +264,10 @@ def cophenetic_sl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {merge_sql(METHODS)} SELECT method, x::VARCHAR AS row_loc, y::VARCHAR AS col_loc, round_even(h, 6) AS coph FROM coph UNION ALL SELECT DISTINCT method, village::VARCHAR, village::VARCHAR, 0.0::DOUBLE FROM clusters")
 def cophenetic_by_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven methods' cophenetic distances, from merges and the pairs that are asked for."""
-    merges = written(clustering.merge_rows(clustered(spark, sf_dir)), "merges")
-    names = labels(spark, sf_dir).select(F.col("locality").cast("string").alias("locality"))
-    asked = matrix.scaffold(merges.select(*KEYS, "method", F.col("a").alias("row_loc"), F.col("b").alias("col_loc")), names, [*KEYS, "method"])
+    cells = written(distances(spark, sf_dir, None).withColumn("dist", round_half_even(F.col("dist"), 9)), "cells")
+    merges = written(clustering.merge_rows(clustering.cluster(cells, 4, METHODS, KEYS)), "merges")
+    every = F.explode(F.array(*[F.lit(m) for m in METHODS]))
+    asked = cells.select(*KEYS, *[F.col(c).cast("string").alias(c) for c in ("row_loc", "col_loc")], every.alias("method"))
     rows = ancestry.cophenetic_heights(asked, merges, [*KEYS, "method"])
     return rows.select("method", "row_loc", "col_loc", round_half_even(F.col("coph"), 6).alias("coph"))
 
