@@ -31,6 +31,16 @@ def file_stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
+def without_ending(path: Column, ending: str) -> Column:
+    """A path without the first place where any character stands before `ending`; all of it where there is none."""
+    return F.regexp_replace(path, rf"(?s)^(.*?).\Q{ending}\E", "$1")
+
+
+def partition_name(model: Column, layer: Column, method: Column) -> Column:
+    """The name of a clustering's partition file; the one of transcription distances has no layer."""
+    return F.concat_ws(".", F.when(model == "LD", model).otherwise(F.concat_ws("-", model, layer)), method, F.lit("initclust.n4"))
+
+
 def zero_padded(x: Column, width: int) -> Column:
     """The number as text with zeros in front up to width; longer ones are kept."""
     text = x.cast("string")

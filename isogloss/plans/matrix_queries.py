@@ -7,12 +7,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ground_distance, round_half_even
 from ..kernels.linkage import METHODS
-from ..operators import ancestry, clustering, evaluate, matrix, pairs, running, select, spanning
+from ..operators import ancestry, clustering, evaluate, featurize, matrix, pairs, running, select, spanning
 from ..session import shared_folder, written
 from ..sources import readers, writers
 
@@ -91,6 +92,31 @@ def frames_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("village", "word", F.size("frames").cast("long").alias("n_frames"), round_half_even(weighted, 5).alias("weighted"))
 
 
+def windows_of(waves: np.ndarray, lengths: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """A model of two layers for batches: mean and maximum of windows of 64 samples, 32 apart, and how far they are from
+    the recording's own means of them."""
+    counts = (lengths - 64) // 32 + 1
+    cut = np.lib.stride_tricks.sliding_window_view(waves.astype(np.float64), 64, axis=1)[:, ::32]
+    one = np.stack([cut.mean(2), cut.max(2)], 2)
+    there = (np.arange(one.shape[1]) < counts[:, None])[:, :, None]
+    return [(1, one, counts), (2, one - (one * there).sum(1, keepdims=True) / counts[:, None, None], counts)]
+
+
+# The numbers of a recording's frames, one after the other, are its waveform; every number of a layer counts, by its place.
+@query(f"""WITH {FRAMES_SQL},
+cut AS (SELECT village, word, w, unnest(range(0, (len(w) - 64) // 32 + 1)) AS t FROM (SELECT village, word, flatten(frames) AS w FROM frames)),
+one AS (SELECT village, word, t, list_avg(w[t * 32 + 1 : t * 32 + 64]) AS x, list_max(w[t * 32 + 1 : t * 32 + 64]) AS y FROM cut),
+two AS (SELECT 1 AS layer, village, word, t, x, y FROM one
+         UNION ALL SELECT 2, village, word, t, x - avg(x) OVER (PARTITION BY village, word), y - avg(y) OVER (PARTITION BY village, word) FROM one)
+SELECT layer::INT AS layer, village::VARCHAR AS village, word::VARCHAR AS word, count(*) AS n_frames, round_even(sum((t + 1) * (x::FLOAT::DOUBLE + 2 * y::FLOAT::DOUBLE)), 3) AS weighted FROM two GROUP BY 1, 2, 3""")
+def batch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = frames(spark, sf_dir)
+    waves = made.select(F.col("recording").alias("path"), F.col("village").cast("string").alias("village_key"), F.col("word").cast("string").alias("word"), F.flatten("frames").alias("waveform"))
+    out = featurize.featurize_batches(waves, "windows", lambda _: windows_of)
+    weighted = F.aggregate(F.transform("frames", lambda f, i: (i + 1) * (f[0].cast("double") + 2 * f[1].cast("double"))), F.lit(0.0), lambda s, v: s + v)
+    return out.select("layer", "village", "word", F.size("frames").cast("long").alias("n_frames"), round_half_even(weighted, 3).alias("weighted"))
+
+
 @query(f"WITH {FRAMES_SQL} SELECT a.village AS a, b.village AS b, word FROM frames a JOIN frames b USING (word)")
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import file_stem, natural_key, path_part, round_half_even, zero_padded
+from ..functions import file_stem, natural_key, partition_name, path_part, round_half_even, without_ending, zero_padded
 from ..operators import lookup, running, select
 from ..sources import readers
 
@@ -130,3 +130,22 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(i.cast("string"), F.when(i % 2 == 0, ".ga.").otherwise(".wm."), F.lit("initclust.n4"))
     paths = table(spark, sf_dir, "pages").select(F.concat_ws("/", F.lit("out"), model, layer, name).alias("path"))
     return readers.result_files(paths, models=["m0", "m1", readers.TRIANGULAR], method="wm").select("path", "kind", "model", "layer", "method")
+
+
+MATRIX_SQL = "files AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'LD' ELSE 'm' || page_id % 3 END AS model, 'layer-' || page_id % 7 AS layer, CASE WHEN page_id % 2 = 0 THEN 'ga' ELSE 'wm' END AS method, CASE WHEN page_id % 5 = 0 THEN 'indiff/' ELSE 'out/' END || page_id % 3 || CASE WHEN page_id % 6 = 0 THEN '.tab' ELSE '.dif' END AS path FROM pages)"
+
+
+@query(f"WITH {MATRIX_SQL} SELECT page_id, regexp_replace(path, '.dif', '') || '.' || method || '.coph.clust' AS coph, CASE WHEN model = 'LD' THEN model ELSE model || '-' || layer END || '.' || method || '.initclust.n4' AS partition_file FROM files")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a clustering's files, from its matrix file and from model, layer and method."""
+    i = F.col("page_id")
+    model, layer = F.when(i % 4 == 0, "LD").otherwise(F.concat(F.lit("m"), i % 3)), F.concat(F.lit("layer-"), i % 7)
+    method = F.when(i % 2 == 0, "ga").otherwise("wm")
+    path = F.concat(F.when(i % 5 == 0, "indiff/").otherwise("out/"), i % 3, F.when(i % 6 == 0, ".tab").otherwise(".dif"))
+    coph = F.concat_ws(".", without_ending(path, "dif"), method, F.lit("coph.clust"))
+    return table(spark, sf_dir, "pages").select("page_id", coph.alias("coph"), partition_name(model, layer, method).alias("partition_file"))
+
+
+@query("SELECT string_split(url, '/')[-3] AS model, string_split(url, '/')[-2] AS layer, count(DISTINCT url) AS n FROM pages WHERE url IS NOT NULL GROUP BY 1, 2")
+def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.file_counts(table(spark, sf_dir, "pages").filter("url is not null"), "url")

@@ -184,6 +184,11 @@ def file_metadata(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.withColumns({"model": path_part(p, 3), "layer": path_part(p, 2), "method": path_part(path_part(p, 1), 3, ".")})
 
 
+def file_counts(paths: DataFrame, path: str = "path") -> DataFrame:
+    """model, layer and n, the number of files that are in the folder of each; paths may repeat and count once."""
+    return file_metadata(paths.select(path).distinct(), path).groupBy("model", "layer").agg(F.count("*").alias("n"))
+
+
 def result_files(paths: DataFrame, path: str = "path", models: Sequence[str] | None = None, method: str | None = None) -> DataFrame:
     """The paths of matrices, with kind, model, layer and method. kind: `layer` where the folders name one, else
     `ld` where they are those of transcription distances; other paths go. model: `ld` in the folder of triangular

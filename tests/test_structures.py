@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from isogloss import schemas
 from isogloss.kernels import dtw, linkage, simplex, transport
-from isogloss.operators import ancestry, evaluate, pairs, running, spanning
+from isogloss.operators import ancestry, evaluate, featurize, pairs, running, spanning
 from isogloss.sources import files, readers, writers
 
 
@@ -265,3 +266,28 @@ def test_tasks_write_files(spark, tmp_path):
     with pytest.raises(Exception, match="not below the folder"):
         files.write_files(made.withColumn("path", F.when(F.col("path") == "d2/f5.bin", "../out.bin").otherwise(F.concat(F.lit("bad/"), "path"))), str(tmp_path))
     assert not (tmp_path / "bad").exists() and not (tmp_path.parent / "out.bin").exists()
+
+
+def test_batches_give_the_frames_of_single_waveforms(spark):
+    rng = np.random.default_rng(3)
+    lengths = [0, 1, 399, 400, 401, 719, 720, 3000, 3100, 3700, 9000, 9000]
+    rows = [(f"p{i}", f"v{i % 3}", f"w{i}", 16000, rng.normal(size=n).astype(np.float32).tolist()) for i, n in enumerate(lengths)]
+    waves = spark.createDataFrame(rows, schemas.WAVEFORM).repartition(2)
+    single = featurize.featurize(waves, "m", lambda _: featurize.spectral_featurizer((1, 3)))
+    batched = featurize.featurize_batches(waves, "m", lambda _: featurize.spectral_batches((1, 3)), rows=4)
+    assert [(f.name, f.dataType) for f in batched.schema] == [(f.name, f.dataType) for f in single.schema]
+    want, got = ({(r.recording, r.layer, r.village, r.word, r.model): np.array(r.frames) for r in d.collect()} for d in (single, batched))
+    assert got.keys() == want.keys() and len(got) == 2 * len(lengths)
+    for key, frames in want.items():
+        assert got[key].shape == frames.shape and np.allclose(got[key], frames, atol=1e-6)
+    silent = featurize.featurize_batches(waves.withColumn("waveform", F.lit(None).cast("array<float>")), "m", lambda _: featurize.spectral_batches())
+    assert {len(r.frames) for r in silent.collect()} == {1}
+    assert featurize.featurize_batches(waves.limit(0), "m", lambda _: featurize.spectral_batches()).count() == 0
+    assert [b.tolist() for b in featurize.batches_of_lengths(np.array([100, 0, 90, 0, 126, 99]), 3)] == [[1, 3], [2, 5, 0], [4]]
+
+
+def test_models_without_layers_or_frames(spark):
+    waves = spark.createDataFrame([("p", "v", "w", 16000, [1.0, 2.0])], schemas.WAVEFORM)
+    assert featurize.featurize_batches(waves, "m", lambda _: lambda x, n: []).count() == 0
+    none = featurize.featurize_batches(waves, "m", lambda _: lambda x, n: [(5, np.zeros((len(x), 0, 3)), np.zeros(len(x), int))])
+    assert [(r.layer, r.frames) for r in none.collect()] == [(5, [])]
