@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows, and about how many bytes, that a kernel gets at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Rows of a batch that a kernel sends back, at most.
+SENT_ROWS = 1 << 16
+
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -28,6 +35,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(at, step)
 
 
+def frugal(run: Kernel) -> Kernel:
+    """The kernel, whose batches are sent in pieces of SENT_ROWS rows at most, so that the JVM never holds a large one, and
+    which at its end gives memory that is free, but kept by Arrow or the allocator, back to the machine: workers live on,
+    beside those of the next tasks."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for made in run(batches):
+                for at in range(0, max(1, made.num_rows), SENT_ROWS):
+                    yield made.slice(at, SENT_ROWS)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id (long) and text (UTF-8 bytes); no other column is read."""
     bounded_batches(df.sparkSession)
@@ -42,6 +68,7 @@ def map_texts(df: DataFrame, fn: Callable[[list[int | None], list[bytes | None]]
 
     out = to_arrow_schema(_parse_datatype_string(schema))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = fn(batch.column(0).to_pylist(), batch.column(1).to_pylist())

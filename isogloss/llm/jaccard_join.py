@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, written
-from .arrow_text import map_texts, slices, texts_of
+from .arrow_text import frugal, map_texts, slices, texts_of
 from .components import connected_components
 
 #: Bytes whose words are held as objects at once.
@@ -50,10 +50,10 @@ CANDIDATE_COST = 50.0
 LEAST_TWO = 3
 #: Sets of one task's BUFFER of shingles that have a shingle, at least, for it to be counted over all; sets that have a
 #: frequent shingle, at least; and frequent shingles (8 bytes each), the most frequent ones. They change costs only.
-LOCAL_SETS, FREQUENT_SETS, FREQUENT = 6, 100, 1 << 16
-#: Rows of one signature that a task sends on, at most, from each BUFFER of its signatures; further ones are compared
+BUFFER, LOCAL_SETS, FREQUENT_SETS, FREQUENT = 1_000_000, 6, 100, 1 << 16
+#: Rows of one signature that a task sends on, at most, from each SIGNED of its signatures; further ones are compared
 #: with one of these.
-LOCAL_ROWS, BUFFER = 8, 1_000_000
+LOCAL_ROWS, SIGNED = 8, 500_000
 #: Shingles that sets of hashes may lack: where they come so near the threshold, the shingles are compared.
 SLACK = 2
 _GAP = re.compile(rb"[ \t-\r]")
@@ -285,6 +285,7 @@ def _digest_rows(docs: DataFrame, words: int, id_col: str, text_col: str) -> Dat
     different texts of a task have: the hash as doc_id, and less the number of texts as size."""
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_shingles", "d1", "d2")])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         sets: list[np.ndarray] = []
@@ -341,6 +342,7 @@ def _signature_rows(docs: DataFrame, scheme: Scheme, words: int, id_col: str, te
     """sig, node (what the row is, and 60 bits of the text's digest) and hub. Texts of one class that a task has seen
     lately are signed once."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         sigs: list[np.ndarray] = []
@@ -366,7 +368,7 @@ def _signature_rows(docs: DataFrame, scheme: Scheme, words: int, id_col: str, te
                 sigs.append(sig)
                 nodes.append((kind << 60) | int(_short(np.array(key[:1], np.int64))[0]))
                 size += len(sig)
-                if size >= BUFFER:
+                if size >= SIGNED:
                     yield made()
                     size = 0
         if sigs:
@@ -385,6 +387,7 @@ def _met(signed: DataFrame) -> DataFrame:
     Rows that have a hub already are dealt out evenly.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 2), np.int64)
         for batch in batches:
@@ -412,6 +415,7 @@ def _maybe(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFram
     """The pairs (a, b) that sketches don't rule out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
@@ -431,6 +435,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold, words: i
     """The pairs (a, b) of ids whose texts link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
@@ -591,6 +596,7 @@ def _near_rows(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Ite
         found = near_of([np.frombuffer(x, np.uint8) for x in sketches], table[:, 5], table[:, 6], table[:, 7], threshold)
         return [(int(table[a, 4]), int(table[b, 4])) for a, b in found]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sketches = np.zeros((0, 8), np.int64), []
         for batch in chain(batches, [None]):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import bounded_batches, slices
+from .arrow_text import bounded_batches, frugal, slices
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[int | None], list[bytes | None]], list[bool]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -18,6 +18,7 @@ def keep_rows(docs: DataFrame, keep: Callable[[list[int | None], list[bytes | No
     bounded_batches(docs.sparkSession)
     i, t = docs.columns.index(id_col), docs.columns.index(text_col)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             mask = keep(batch.column(i).to_pylist(), batch.column(t).cast(pa.binary()).to_pylist())
@@ -34,6 +35,7 @@ def rewrite_texts(docs: DataFrame, rewrite: Callable[[list[bytes | None]], list[
     t = docs.columns.index(text_col)
     n = docs.columns.index(size_col) if size_col in docs.columns else -1
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             columns, kind = list(batch.columns), batch.schema.field(t).type
