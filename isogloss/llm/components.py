@@ -34,7 +34,7 @@ def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    """Each partition's links, up to LOCAL_LINKS at a time, as stars."""
+    """Each partition's links, about LOCAL_LINKS at a time, as stars."""
     most = LOCAL_LINKS
 
     def star(frames: list[pd.DataFrame]) -> pd.DataFrame:
@@ -75,7 +75,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     discarded with the result.
     """
     ends = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    edges = written(_contracted(ends.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))), "edges")
+    edges = written(ends.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct(), "edges")
+    # A task gives a row for each of its nodes, so tasks must hold many links: those that made them would each repeat
+    # the nodes of a large group.
+    if (tasks := -(-edges.count() // LOCAL_LINKS)) > 1:
+        old, edges = edges, written(_contracted(edges.coalesce(tasks)), "edges")
+        discard(old)
     before = None
     while True:
         few = edges.count() <= LOCAL_LINKS

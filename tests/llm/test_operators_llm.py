@@ -346,6 +346,24 @@ def test_components(spark, seed, local, monkeypatch):
     assert dict(map(tuple, got.collect())) == label
 
 
+@pytest.mark.parametrize("local, tasks", [(components.LOCAL_LINKS, 1), (300, 6)])
+def test_links_are_contracted_by_tasks_that_hold_many(spark, local, tasks, monkeypatch):
+    """All links of 50 nodes, dealt over 40 partitions, of which each has most nodes."""
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
+    made, real = [], components.written
+
+    def counted(df, name):
+        out = real(df, name)
+        if "MapInPandas" in df._jdf.queryExecution().simpleString():
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "written", counted)
+    links = spark.createDataFrame([(a, b) for a in range(50) for b in range(50)], "a long, b long").repartition(40)
+    assert {tuple(r) for r in components.connected_components(links).collect()} == {(n, 0) for n in range(50)}
+    assert sum(made) <= 49 * tasks
+
+
 def test_mix_reaches_feasible_targets(spark):
     rng = np.random.default_rng(0)
     rows = [(int(t), [float(p), float(1 - p)]) for t, p in zip(rng.integers(10, 100, 500), rng.choice([0.05, 0.9], 500), strict=True)]
