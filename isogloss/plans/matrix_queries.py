@@ -134,14 +134,9 @@ def dtw_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE["dtw_distance"])
 def dtw_distance_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dtw_distance in DataFrame functions, without Python: for short recordings."""
-    f = frames(spark, sf_dir)
-
-    def side(x: str) -> DataFrame:
-        return f.select(*KEYS, "word", F.col("village").alias(x), F.col("recording").alias(f"id_{x}"), F.col("frames").alias(f"frames_{x}"))
-
-    met = pairs.item_pairs(side("a"), side("b"), [*KEYS, "word"], pairs.blocks_for(f, KEYS)).filter("a <= b")
-    return met.select("a", "b", "word", round_half_even(pairs.warping(F.col("frames_a"), F.col("frames_b")), 6).alias("distance"))
+    """dtw_distance in DataFrame functions, without Python, where a word's recordings are short."""
+    made = pairs.column_distances(frames(spark, sf_dir), KEYS)
+    return made.select("a", "b", "word", round_half_even(F.col("distance"), 6).alias("distance"))
 
 
 @query(f"WITH RECURSIVE {DIST_SQL} SELECT row_loc, col_loc, dist, n_pairs FROM dist")

@@ -128,6 +128,27 @@ def test_warping_in_columns(spark):
         assert r.d == (pytest.approx(dtw.normalized_distance(np.array(x), np.array(y))) if x and y else None)
 
 
+@pytest.mark.parametrize("n, m", [(1, 1), (1, 6), (6, 1), (5, 8), (8, 5), (30, 41)])
+def test_warping_by_diagonals(spark, n, m):
+    rng = np.random.default_rng(n * m)
+    x, y = rng.normal(size=(n, 3)), rng.normal(size=(m, 3))
+    df = spark.createDataFrame([(x.tolist(), y.tolist())], "x array<array<double>>, y array<array<double>>")
+    assert df.select(pairs.warping(F.col("x"), F.col("y"))).first()[0] == pytest.approx(dtw.normalized_distance(x, y))
+
+
+@pytest.mark.parametrize("longest", [0, 2, 1000])
+def test_words_of_long_recordings_go_to_the_kernel(spark, longest, monkeypatch):
+    """Some words, all or none; the rows are those of sequence_distances."""
+    monkeypatch.setattr(pairs, "COLUMN_FRAMES", longest)
+    _, df = recordings(spark)
+    some = df.filter("layer = 1 and village is not null and word is not null")
+
+    def rows(made):
+        return sorted(((r.a, r.b, r.word, None if r.distance is None else round(r.distance, 9)) for r in made.collect()), key=repr)
+
+    assert rows(pairs.column_distances(some)) == rows(pairs.sequence_distances(some)) != []
+
+
 def plain_merges(d, method, squared):
     w = np.tril(d, -1) + np.tril(d, -1).T
     root = squared and method in ("uc", "wc", "wm")
