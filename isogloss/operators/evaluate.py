@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ground_distance
 from ..kernels import transport
+from ..session import written
 from .running import running_sums
 
 
@@ -110,16 +111,20 @@ def certificates(plans: DataFrame, left: DataFrame, right: DataFrame, keys: Sequ
         worth = plans.filter(F.col("kind") == kind).select(*keys, F.col(x).alias("name"), F.col("value").alias(f"worth_{x}"))
         return df.join(sizes, keys).join(worth, [*keys, "name"]).select(*keys, F.col("name").alias(x), F.col("point").alias(f"point_{x}"), F.col("mass").alias(f"mass_{x}"), f"worth_{x}")
 
-    a, b = side(left, "a", "left"), side(right, "b", "right")
+    # Steps are written, so that no task holds the sorts and maps of all joins at once.
+    a, b = written(side(left, "a", "left"), "left"), written(side(right, "b", "right"), "right")
     flow = plans.filter("kind = 'flow'").select(*keys, "a", "b", F.col("value").alias("moved"))
-    cells = a.join(b, keys).join(flow, [*keys, "a", "b"], "left").withColumn("away", ground_distance(F.col("point_a"), F.col("point_b"), metric)).fillna(0.0, ["moved"])
-    over = cells.groupBy(*keys).agg(F.sum(F.col("moved") * F.col("away")).alias("cost"), F.max(F.col("worth_a") + F.col("worth_b") - F.col("away")).alias("over"))
+    # Pairs of points go from the join into the aggregate; only the flow's, fewer than points, are joined by their names.
+    away = ground_distance(F.col("point_a"), F.col("point_b"), metric)
+    over = a.join(b, keys).groupBy(*keys).agg(F.max(F.col("worth_a") + F.col("worth_b") - away).alias("over"))
+    carried = flow.join(a, [*keys, "a"]).join(b, [*keys, "b"]).groupBy(*keys).agg(F.sum(F.col("moved") * away).alias("cost"))
+    over = written(written(over, "over").join(carried, keys, "left").fillna(0.0, ["cost"]), "over")
 
     def margins(df: DataFrame, x: str) -> DataFrame:
         met = df.join(flow.groupBy(*keys, x).agg(F.sum("moved").alias("moved")), [*keys, x], "left").fillna(0.0, ["moved"])
         return met.groupBy(*keys).agg(F.max(F.abs(F.col("moved") - F.col(f"mass_{x}"))).alias(f"short_{x}"), F.sum(F.col(f"mass_{x}") * F.col(f"worth_{x}")).alias(f"value_{x}"))
 
-    met = over.join(margins(a, "a"), keys).join(margins(b, "b"), keys)
+    met = over.join(written(margins(a, "a"), "margins"), keys).join(written(margins(b, "b"), "margins"), keys)
     return met.select(*keys, "cost", F.greatest("short_a", "short_b").alias("short"), "over", (F.col("cost") - F.col("value_a") - F.col("value_b")).alias("gap"))
 
 

@@ -492,7 +492,7 @@ def transport_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = written(evaluate.transport_plans(left, right, ["block"]), "plans")
     found = evaluate.certificates(plans, left, right, ["block"])
     met = left.select("block", F.col("point").alias("a")).join(right.select("block", F.col("point").alias("b")), "block")
-    naive = met.groupBy("block").agg(F.avg(ground_distance(F.col("a"), F.col("b"))).alias("naive"))
+    naive = written(met.groupBy("block").agg(F.avg(ground_distance(F.col("a"), F.col("b"))).alias("naive")), "naive")
     out = certified(found).join(naive, "block")
     return out.select("block", round_half_even(F.col("naive"), 6).alias("naive"), (F.col("cost") <= F.col("naive") + 1e-6).alias("at_most_naive"), "short", "over", "gap")
 

@@ -53,6 +53,17 @@ def test_certificates_tell_good_plans_from_bad(spark):
     assert told[2].over > 0.9 and told[3].short > 0 and told[3].gap > 0 and told[1] == found[1]
 
 
+def test_certificates_join_in_steps(spark):
+    """What is left of the plan joins rows of groups only; a group without a flow costs nothing."""
+    rows = [(g, i, [float(i), float(g)]) for g in range(3) for i in range(4)]
+    left, right = (spark.createDataFrame(rows, "g int, name long, point array<double>") for _ in range(2))
+    plans = evaluate.transport_plans(left, right.withColumn("point", F.reverse("point")), ["g"])
+    found = evaluate.certificates(plans.filter("kind <> 'flow' or g <> 1"), left, right, ["g"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "point" not in plan
+    assert {r.g: (r.cost, r.short) for r in found.collect()}[1] == (0.0, 0.25)
+
+
 def test_costs_on_a_circle(spark):
     rng = np.random.default_rng(8)
     left = [("a", int(rng.integers(0, 2)), float(v)) for v in rng.integers(0, 28, 20) / 28] + [(None, 0, 0.9)]
