@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from isogloss import schemas
 from isogloss.kernels import dtw, linkage, simplex, transport
 from isogloss.operators import ancestry, evaluate, featurize, pairs, running, spanning
+from isogloss.plans import matrix_queries
 from isogloss.sources import files, readers, writers
 
 
@@ -128,6 +129,24 @@ def test_recordings_are_sent_once_for_each_block(spark):
     assert sent.output().mkString(",").count("frames") == 1
 
 
+def test_ground_cost_is_dealt_into_blocks(spark, tmp_path, monkeypatch):
+    """No sort and no broadcast; blocks follow the largest label, and rows are all pairs of a label."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=2).tolist(), 0 if i < 30 else 1 if i < 40 else None) for i in range(45)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {(a, b) for a, _, x in rows for b, _, y in rows if x is not None and x == y}
+    for size, blocks in ((8, 4), (1000, 1)):
+        monkeypatch.setattr(pairs, "POINT_ROWS", size)
+        monkeypatch.setattr(pairs, "TASK_PAIRS", 100 if size == 8 else 1 << 20)
+        assert pairs.point_blocks(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), ["label"]) == (blocks, 11 if size == 8 else 1)
+        made = matrix_queries.ground_cost(spark, str(tmp_path))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort" not in plan and "Broadcast" not in plan
+        assert made.rdd.getNumPartitions() == (11 if size == 8 else 1)
+        found = [(r.a, r.b) for r in made.collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
 def test_warping_in_columns(spark):
     rows, df = recordings(spark)
     named = {r[4]: r[5] for r in rows}
