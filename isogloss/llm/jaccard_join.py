@@ -590,7 +590,8 @@ def _linked_in_groups(met: DataFrame, short: DataFrame, nodes: DataFrame, texts:
 
 
 def _near_rows(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """near_of each group (unit, i, j) of sorted rows; only the last group of a batch is held for the next."""
+    """near_of each group (unit, i, j) of sorted rows; only the last group of a batch is held for the next. A partition
+    may be without rows, and then has no group."""
 
     def pairs(table: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
         found = near_of([np.frombuffer(x, np.uint8) for x in sketches], table[:, 5], table[:, 6], table[:, 7], threshold)
@@ -604,7 +605,7 @@ def _near_rows(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 table = np.vstack([table, np.column_stack([batch.column(i).to_numpy() for i in range(8)])])
                 sketches += batch.column(8).to_pylist()
             edge = np.flatnonzero((table[1:, :4] != table[:-1, :4]).any(1)) + 1
-            edges = [0, *edge.tolist(), *([len(table)] if batch is None else [])]
+            edges = [0, *edge.tolist(), *([len(table)] if batch is None and len(table) else [])]
             found = [p for x, y in zip(edges, edges[1:], strict=False) for p in pairs(table[x:y], sketches[x:y])]
             table, sketches = table[edges[-1] :], sketches[edges[-1] :]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -635,7 +636,7 @@ def near_of(sketches: list[np.ndarray], size: np.ndarray, inside: np.ndarray, bl
     """Pairs (a < b) in different blocks (of the same one if there is one only) and different `inside` that sketches,
     in ascending order of size, don't rule out: enough to connect all that do."""
     joined, one, out = _Joined(len(sketches)), len(set(block.tolist())) == 1, []
-    if (inside == inside[0]).all():
+    if len(np.unique(inside)) < 2:
         return []
     width = np.array([len(x) for x in sketches])
     for m in np.unique(width).tolist():

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -351,6 +352,14 @@ def test_near_sketches_connect_what_may_link(blocks):
     assert len({joined.root(i) for i in range(48)}) >= 4
 
 
+def test_a_partition_without_rows_has_no_near_sketches():
+    t = jaccard_join.Threshold(90, 100)
+    none = pa.RecordBatch.from_arrays([*(pa.array([], pa.int64()) for _ in range(8)), pa.array([], pa.binary())], [*"abcdefgh", "sketch"])
+    for batches in ([], [none]):
+        assert sum(b.num_rows for b in jaccard_join._near_rows(t)(iter(batches))) == 0
+    assert jaccard_join.near_of([], *(np.zeros(0, np.int64) for _ in range(3)), t) == []
+
+
 def test_links_in_a_group_join_its_components():
     rng = np.random.default_rng(9)
     base = np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64))

@@ -131,6 +131,32 @@ def test_jaccard_of_sets_with_empty_segments(spark, local, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, 5, 80)
 
 
+def test_jaccard_over_more_partitions_than_groups(spark, monkeypatch):
+    """Nothing merges small partitions here, so that most tasks that compare sketches and texts have no rows."""
+    monkeypatch.setattr(jaccard_join, "allocate", lambda *_: 0)
+    monkeypatch.setattr(jaccard_join, "LOCAL_ROWS", 1)
+    rng = random.Random(3)
+    base = [rng.choices([f"w{i}" for i in range(300)], k=n) for n in (20, 24)]
+    rows = []
+    for i in range(60):
+        words = list(base[i % 2])
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    groups, compare = [], jaccard_join._linked_in_groups
+    monkeypatch.setattr(jaccard_join, "_linked_in_groups", lambda *a: groups.append(1) or compare(*a))
+    settings = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, jaccard_join.Threshold(80, 100)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert groups and sorted(map(tuple, got), key=repr) == brute_components(rows, 3, 80)
+
+
 def test_one_row_of_each_group_stays(docs):
     kept = table_filters.one_of_each(docs, jaccard_join.similar_documents(docs))
     members = brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 5, 80)
