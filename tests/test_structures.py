@@ -2,7 +2,9 @@
 plain versions."""
 
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -147,6 +149,37 @@ def test_ground_cost_is_dealt_into_blocks(spark, tmp_path, monkeypatch):
         assert len(found) == len(want) and set(found) == want
 
 
+def test_all_distances_of_odd_points(spark, monkeypatch):
+    """Equal points, equal and missing ids, places that are missing, no number or without end, in blocks and bands."""
+    rng = np.random.default_rng(7)
+    odd = [(None, 0.1, 0.2), (3, 0.1, 0.2), (3, 0.1, 0.2), (90, None, 0.1), (91, None, None), (92, math.nan, 0.1), (93, math.inf, 0.1), (94, math.inf, -math.inf), (95, 1e200, 0.0), (96, -5.0, 7.0)]
+    rows = [(g, i, x, y) for g in ("p", None) for i, x, y in odd] + [("q", i, *(rng.normal(size=2) * 0.3).tolist()) for i in range(50)] + [("p", i, 0.5, 0.5) for i in range(20)] + [("r", 1, 0.0, 0.0)]
+    monkeypatch.setattr(pairs, "POINT_ROWS", 4)
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 300)
+    found = pairs.point_distances(spark.createDataFrame(rows, "label string, id long, x double, y double"), ["label"])
+    want = Counter()
+    with np.errstate(all="ignore"):
+        for g, a, x, y in rows:
+            for h, b, v, w in rows:
+                if g is not None and g == h:
+                    far = None if None in (x, y, v, w) else float(np.rint(np.sqrt((x - v) * (x - v) + np.float64(y - w) * (y - w)) * 1e6) / 1e6)
+                    want[a, b, str(far)] += 1
+    assert Counter((r.a, r.b, str(r.cost)) for r in found.collect()) == want
+    tasks = found.filter("cost < 1.9").groupBy(F.spark_partition_id()).agg(F.countDistinct(F.floor(F.col("cost") * 1e6 / pairs.BAND_VALUES)).alias("n"))
+    assert tasks.count() > 5 and tasks.agg(F.avg("n")).first()[0] < 8
+
+
+def test_all_distances_take_few_bytes(spark, tmp_path):
+    """Pairs come so that ids repeat and distances follow once more as they are turned round; dealt by hashes of ids they took 2.4 bytes each."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.random(2) * 0.04).tolist(), 0) for i in range(1536)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    matrix_queries.ground_cost(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    made = spark.read.parquet(f"{tmp_path}/out")
+    assert made.count() == made.distinct().count() == 1536**2
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 2 * 1536**2
+
+
 def test_warping_in_columns(spark):
     rows, df = recordings(spark)
     named = {r[4]: r[5] for r in rows}
